@@ -8,8 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opquality.functions.text import strip
-
 
 def to_datetime(column: Column, data_type: T.DataType, formats: Iterable[str] = ()) -> Column:
     """Zone-less timestamp; text that is no date becomes NULL instead of failing.
@@ -19,9 +17,8 @@ def to_datetime(column: Column, data_type: T.DataType, formats: Iterable[str] =
     if isinstance(data_type, T.TimestampNTZType):
         return column
     if isinstance(data_type, T.StringType):
-        text = strip(column)
-        tries = [text.try_cast("timestamp_ntz")]
-        tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+        tries = [column.try_cast("timestamp_ntz")]
+        tries += [F.try_to_timestamp(F.trim(column), F.lit(f)).cast("timestamp_ntz") for f in formats]
         return F.coalesce(*tries)
     if isinstance(data_type, (T.TimestampType, T.DateType)):
         return column.cast("timestamp_ntz")

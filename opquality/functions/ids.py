@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,15 +15,12 @@ ID_WIDTH = 6
 def number_text(number: Column) -> Column:
     """Plain decimal text of a double without trailing zeros.
 
-    Spark switches to exponents below 1e-3 and from 1e7 on, so those ranges go
-    through a decimal. Magnitudes outside 1e-4..1e16 and, there, more than ten
-    decimals are out of contract.
+    Goes through a decimal because Spark writes large and small doubles with
+    exponents. More than ten decimals and 1e28 and beyond are out of contract
+    (the latter give NULL).
     """
-    size = F.abs(number)
-    plain = (number == 0) | ((size >= 1e-3) & (size < 1e7))
-    wide = F.coalesce(number.try_cast("decimal(38,10)").cast("string"), number.cast("string"))
-    text = F.when(plain, number.cast("string")).otherwise(wide)
-    return F.regexp_replace(text, r"\.0+$|(\.\d*[1-9])0+$", "$1")
+    text = number.try_cast("decimal(38,10)").cast("string")
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
 def _as_text(column: Column, data_type: T.DataType) -> Column:
@@ -33,22 +30,28 @@ def _as_text(column: Column, data_type: T.DataType) -> Column:
     return strip(column.cast("string"))
 
 
-def normalize_id(column: Column, data_type: T.DataType, mode: str = "numeric") -> Column:
-    """Operator id padded to six characters.
-
-    ``numeric``: anything that reads as a number is cut to its whole part first
-    (``12.7`` and ``1e3`` become ``000012`` and ``001000``).
-    ``text``: only a trailing ``.0`` is dropped, the rest is kept as written.
-    """
+def unpadded_id(column: Column, data_type: T.DataType, mode: str) -> Column:
+    """Operator id before padding; see ``normalized_ids``."""
     if isinstance(data_type, T.IntegralType):
-        return zfill(column.cast("string"), ID_WIDTH)
+        return column.cast("string")
     text = _as_text(column, data_type)
     if mode == "text":
-        return zfill(F.regexp_replace(text, r"\.0+$", ""), ID_WIDTH)
+        return F.regexp_replace(text, r"\.0+$", "")
     if mode != "numeric":
         raise ValueError(f"unknown id mode: {mode}")
     whole = to_number(column, data_type).try_cast("bigint").cast("string")
-    return zfill(F.coalesce(whole, text), ID_WIDTH)
+    return F.coalesce(whole, text)
+
+
+def normalized_ids(df: DataFrame, source: str = "OP_ID", mode: str = "numeric", target: str = "OP_ID") -> DataFrame:
+    """Operator ids of ``source`` padded to six characters, as ``target``.
+
+    ``numeric``: anything that reads as a number is cut to its whole part first
+    (``12.7`` and ``1e3`` become ``000012`` and ``001000``).
+    ``text``: only a trailing ``.0`` is dropped, the rest is kept as written.
+    """
+    bare = unpadded_id(F.col(f"`{source}`"), df.schema[source].dataType, mode)
+    return df.withColumn("_ID", bare).withColumn(target, zfill(F.col("_ID"), ID_WIDTH)).drop("_ID")
 
 
 def dimension_key(column: Column) -> Column:
@@ -62,5 +65,4 @@ def code_text(column: Column, data_type: T.DataType) -> Column:
         return column.cast("string")
     if is_floating(data_type):
         return _as_text(column, data_type)
-    number = to_number(column, data_type)
-    return F.when(number.isNotNull(), number_text(number)).otherwise(strip(column.cast("string")))
+    return F.coalesce(number_text(to_number(column, data_type)), strip(column.cast("string")))

@@ -28,8 +28,7 @@ def nan_to_null(column: Column, data_type: T.DataType) -> Column:
 def to_number(column: Column, data_type: T.DataType) -> Column:
     """Double, or NULL where the value is not a number."""
     if isinstance(data_type, T.StringType):
-        text = strip(column)
-        return F.when(text.rlike(NUMBER), text.try_cast("double"))
+        return F.regexp_extract(strip(column), NUMBER, 0).try_cast("double")
     return nan_to_null(column, data_type).cast("double")
 
 

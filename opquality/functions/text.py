@@ -31,12 +31,14 @@ def is_blank(text: Column) -> Column:
 
 
 def zfill(text: Column, width: int = 6) -> Column:
-    """Left-pad with zeros, never truncating and keeping a leading sign first."""
-    signed = F.left(text, F.lit(1)).isin("+", "-")
-    padded = F.when(
-        signed,
-        F.concat(F.left(text, F.lit(1)), F.lpad(F.substring(text, 2, 1 << 30), width - 1, "0")),
-    ).otherwise(F.lpad(text, width, "0"))
+    """Left-pad with zeros, never truncating and keeping a leading sign first.
+
+    ``text`` occurs several times, so it should be a plain column: repeated
+    expressions grow the generated code past what the JVM compiles.
+    """
+    first = F.left(text, F.lit(1))
+    signed = F.concat(first, F.lpad(F.substring(text, 2, 1 << 30), width - 1, "0"))
+    padded = F.when(first.isin("+", "-"), signed).otherwise(F.lpad(text, width, "0"))
     return F.when(F.length(text) >= width, text).otherwise(padded)
 
 

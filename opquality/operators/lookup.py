@@ -61,9 +61,8 @@ class Lookup:
 
     @classmethod
     def of(cls, table: DataFrame, *keys: str) -> "Lookup":
-        """Rows without a key can never match and are left out."""
-        known = table.dropna(subset=list(keys))
-        return cls(known, keys, within_broadcast_limits(known))
+        """Rows without a key do no harm: they never match in an equi-join."""
+        return cls(table, keys, within_broadcast_limits(table))
 
     def select(self, *columns: str) -> "Lookup":
         return Lookup(self.table.select(*columns), self.keys, self.small)

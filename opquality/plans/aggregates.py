@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opquality.functions.dates import to_datetime, week_label
-from opquality.functions.ids import normalize_id
+from opquality.functions.ids import normalized_ids
 from opquality.functions.numbers import number_or_zero, ratio, total, total_count
 from opquality.operators.filters import CONFECTION, FINISHING, of_step, with_code
 from opquality.operators.lookup import Lookup, first_per_key
@@ -25,8 +25,7 @@ SCRAP = "OP_SCRAP_LBS_BY_TIRES"
 
 
 def _renormalized(df: DataFrame, mode: str) -> DataFrame:
-    df = upper_columns(df)
-    return df.withColumn("OP_ID", normalize_id(F.col("OP_ID"), column_type(df, "OP_ID"), mode))
+    return normalized_ids(upper_columns(df), mode=mode)
 
 
 def _events(df: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
@@ -104,8 +103,7 @@ def _leaderboard(prod: DataFrame, others: list[DataFrame], measures: dict[str, s
         total(F.col("TIRES_BUILT")).alias("TIRES_BUILT"),
         F.count("PROD_DATE").alias("SHIFTS_WORKED"),
     )
-    known = [o.where(F.col("OP_ID").isNotNull()) for o in others]
-    events = combine(known, ["OP_ID"], measures)
+    events = combine(others, ["OP_ID"], measures)
     merged = base.join(events, "OP_ID", "left").fillna(0, subset=list(measures))
     merged = merged.withColumns(percentages(rft))
     terms = {name.replace("_PCT", "_NORM"): F.coalesce(F.col(name), F.lit(0.0)) for name in ("BC_PCT", "AC_PCT", "SCRAP_PCT")}
@@ -129,10 +127,9 @@ def agg_top_performers(prod: DataFrame, bc: DataFrame, ac: DataFrame, scrap: Dat
 
 def _finishing_tests(uniformity: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Tests credited to the finishing operator, best flag per tire."""
-    tests = upper_columns(uniformity)
-    op_id = normalize_id(F.col("FINISHING_OPERATOR_ID"), column_type(tests, "FINISHING_OPERATOR_ID"), "text")
+    tests = normalized_ids(upper_columns(uniformity), "FINISHING_OPERATOR_ID", "text")
     flag = number_or_zero(F.col("IS_RFT"), column_type(tests, "IS_RFT"))
-    return tested_once(tests.withColumns({"OP_ID": op_id, "IS_RFT": flag}), keys, "BARCODE", "IS_RFT")
+    return tested_once(tests.withColumn("IS_RFT", flag), keys, "BARCODE", "IS_RFT")
 
 
 def _building_tests(uniformity: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -181,9 +178,9 @@ def agg_uniformity(tests: DataFrame, operators: Lookup, step: str = FINISHING) -
     stamp = next((f"{p}_TIMESTAMP" for p in prefixes if f"{p}_TIMESTAMP" in tests.columns), "CONFECTION_TIMESTAMP")
     grade = next((c for c in ("OGU2_GRADE", "UNI_GRADE") if c in tests.columns), None)
     when = to_datetime(F.col(stamp), column_type(tests, stamp))
-    slim = tests.select(
+    slim = normalized_ids(tests, op_column).select(
         *[c for c in ("BARCODE", "TEST_DATETIME") if c in tests.columns],
-        normalize_id(F.col(op_column), column_type(tests, op_column)).alias("OP_ID"),
+        "OP_ID",
         rft_flag(tests, grade).alias("IS_RFT"),
         repair_flag(tests).alias("IS_REPAIR"),
         F.year(when).alias("PROD_YEAR"),
@@ -230,9 +227,23 @@ def agg_operator_week(
         tests(uniformity, OPERATOR_WEEK_KEYS),
     ]
     counts = combine(parts, OPERATOR_WEEK_KEYS, OPERATOR_WEEK_MEASURES)
-    named = prod.where(F.col("OPERATOR_NAME").isNotNull())
-    identity = first_per_key(named.select("OP_ID", "OPERATOR_NAME", "BU", "CREW").distinct(), ["OP_ID"])
-    return counts.join(identity, "OP_ID", "left")
+    return _with_identity(counts, prod)
+
+
+def _with_identity(counts: DataFrame, prod: DataFrame) -> DataFrame:
+    """Name, unit and crew of each operator, from rows that carry a name.
+
+    Missing names sort last, so no filter is needed to prefer known ones; the
+    null-safe join keeps Spark from adding one on the computed id.
+    """
+    seen = prod.select("OP_ID", "OPERATOR_NAME", "BU", "CREW").distinct()
+    first = first_per_key(seen, ["OP_ID"])
+    named = F.col("OPERATOR_NAME").isNotNull()
+    identity = first.select(
+        F.col("OP_ID").alias("_OP"), "OPERATOR_NAME",
+        F.when(named, F.col("BU")).alias("BU"), F.when(named, F.col("CREW")).alias("CREW"),
+    )
+    return counts.join(identity, F.col("OP_ID").eqNullSafe(F.col("_OP")), "left").drop("_OP")
 
 
 def agg_op_week(prod: DataFrame, bc: DataFrame, ac: DataFrame, scrap: DataFrame, uniformity: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opquality.functions.dates import week_label
-from opquality.functions.ids import normalize_id
+from opquality.functions.ids import normalized_ids
 from opquality.functions.numbers import ratio, ratio_or_zero, total, total_count
 from opquality.operators.filters import Filters, with_code
 from opquality.operators.measures import AMOUNT, COUNT, combine_onto, stack, sums
 from opquality.operators.topk import top
 from opquality.plans.aggregates import SCRAP, WEEK_KEYS, percentages
-from opquality.sources.columns import column_type, upper_columns
+from opquality.sources.columns import upper_columns
 
 EVERYTHING = Filters()
 
@@ -21,9 +21,7 @@ EVENT_ALERT = 5
 
 
 def _selected(df: DataFrame, filters: Filters) -> DataFrame:
-    df = upper_columns(df)
-    op_id = normalize_id(F.col("OP_ID"), column_type(df, "OP_ID"), "numeric")
-    return filters.apply(df.withColumn("OP_ID", op_id))
+    return filters.apply(normalized_ids(upper_columns(df)))
 
 
 def _measures(prod: DataFrame, bc: DataFrame, ac: DataFrame, scrap: DataFrame, filters: Filters, keys: tuple[str, ...]) -> tuple[DataFrame, list[DataFrame]]:

@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opquality.functions.dates import short_week_label
-from opquality.functions.ids import normalize_id
+from opquality.functions.ids import normalized_ids
 from opquality.functions.numbers import band, ratio, ratio_or_zero, total, total_count
 from opquality.operators.filters import CONFECTION, FINISHING, Filters, of_step_or_all
 from opquality.operators.measures import AMOUNT, COUNT, combine_onto, stack, sums
 from opquality.operators.scoring import scored_and_ranked
 from opquality.operators.topk import top, top_with_other, with_position
 from opquality.plans.aggregates import WEEK_KEYS, percentages
-from opquality.sources.columns import column_type, upper_columns
+from opquality.sources.columns import upper_columns
 
 STEPS = {"1": CONFECTION, "2": FINISHING}
 IDENTITY = ("OP_ID", "OPERATOR_NAME", "BU", "CREW")
@@ -35,8 +35,7 @@ BREAKDOWN_COLUMNS = ("CQ_TYPE_TIER", "CQ_DESCRIPTION", "CQ_CODE_STR")
 
 
 def with_text_ids(df: DataFrame) -> DataFrame:
-    df = upper_columns(df)
-    return df.withColumn("OP_ID", normalize_id(F.col("OP_ID"), column_type(df, "OP_ID"), "text"))
+    return normalized_ids(upper_columns(df), mode="text")
 
 
 def _available(df: DataFrame | None) -> bool:

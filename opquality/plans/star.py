@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opquality.functions.dates import calendar_parts, to_datetime
-from opquality.functions.ids import code_text, dimension_key, normalize_id
-from opquality.operators.filters import since, with_code
+from opquality.functions.ids import code_text, dimension_key, normalized_ids
+from opquality.functions.numbers import nan_to_null
+from opquality.operators.filters import since
 from opquality.operators.lookup import Lookup, first_per_key, within_broadcast_limits
 from opquality.sources.columns import col, column_type, first_column, resolve_column, upper_columns
 from opquality.sources.readers import Catalog
@@ -45,10 +46,6 @@ UNIFORMITY_NAMES = {
 }
 
 
-def _id(df: DataFrame, name: str, mode: str = "numeric") -> Column:
-    return normalize_id(col(name), column_type(df, name), mode)
-
-
 def _stamp(df: DataFrame, name: str, formats: Iterable[str] = ()) -> Column:
     return to_datetime(col(name), column_type(df, name), formats)
 
@@ -60,9 +57,7 @@ def dim_operator(employees: DataFrame, bu: DataFrame) -> DataFrame:
     twice, and missing ids match each other. Columns both sides have are told
     apart by ``_x`` and ``_y``.
     """
-    left, right = upper_columns(employees), upper_columns(bu)
-    left = left.withColumn("OP_ID", _id(left, "OP_ID"))
-    right = right.withColumn("OP_ID", _id(right, "OP_ID"))
+    left, right = (normalized_ids(upper_columns(d)) for d in (employees, bu))
     shared_names = [c for c in left.columns if c in right.columns and c != "OP_ID"]
     left = left.withColumnsRenamed({c: c + "_x" for c in shared_names})
     right = right.withColumnsRenamed({c: c + "_y" for c in shared_names} | {"OP_ID": "_BU_OP_ID"})
@@ -74,7 +69,7 @@ def dim_operator(employees: DataFrame, bu: DataFrame) -> DataFrame:
 def operator_lookup(dim: DataFrame) -> Lookup:
     """One row per operator id, checked once for how it can be joined."""
     slim = upper_columns(dim).select(*OPERATOR_COLUMNS)
-    slim = slim.withColumn("OP_ID", dimension_key(F.col("OP_ID"))).dropna(subset=["OP_ID"])
+    slim = slim.withColumn("OP_ID", dimension_key(F.col("OP_ID")))
     return Lookup.of(first_per_key(slim, ["OP_ID"]), "OP_ID")
 
 
@@ -87,7 +82,7 @@ def code_lookup(codes: DataFrame) -> Lookup:
         F.col("CQ_CODE_DESCRIPTION").alias("CQ_DESCRIPTION"),
         col(relates).alias("CQ_RELATES_TO"),
         F.col("TYPES").alias("CQ_TYPE_TIER"),
-    ).dropna(subset=["CQ_CODE_STR"])
+    )
     return Lookup.of(first_per_key(slim, ["CQ_CODE_STR"]), "CQ_CODE_STR")
 
 
@@ -110,10 +105,8 @@ def _production(
     formats: Iterable[str],
     day_of_week: bool = False,
 ) -> DataFrame:
-    stamped = source.withColumns(
-        {"OP_ID": _id(source, op_column), "PROD_DATE": _stamp(source, date_column, formats)}
-    )
-    kept = since(stamped, min_date)
+    kept = since(source.withColumn("PROD_DATE", _stamp(source, date_column, formats)), min_date)
+    kept = normalized_ids(kept, op_column)
     return _with_operator(kept, operators).withColumns(calendar_parts(F.col("PROD_DATE"), day_of_week))
 
 
@@ -148,13 +141,15 @@ def fact_conf(events: DataFrame, operators: Lookup, codes: Lookup, min_date: str
     code_column = resolve_column(names, exact=("CQ_CODE",), contains=("CQ", "CODE"), required="defect code")
     date_column = first_column(names, exact="DATE", contains="PROD_DATE")
     picked = {
-        "OP_ID": _id(events, op_column, "text"),
+        "OP_ID": col(op_column),
         "CQ_CODE_STR": code_text(col(code_column), column_type(events, code_column)),
     }
     if date_column:
         picked["PROD_DATE"] = _stamp(events, date_column, formats)
-    slim = events.select(*[c.alias(n) for n, c in picked.items()])
-    kept = since(with_code(slim), min_date)
+    # A code is missing exactly where its source is, so the test goes to the scan.
+    coded = events.where(nan_to_null(col(code_column), column_type(events, code_column)).isNotNull())
+    kept = since(coded.select(*[c.alias(n) for n, c in picked.items()]), min_date)
+    kept = normalized_ids(kept, mode="text")
     slim_operators = operators.select(*EVENT_OPERATOR_COLUMNS)
     fact = codes.left_join(_with_operator(kept, slim_operators))
     columns = [*EVENT_OPERATOR_COLUMNS, "CQ_CODE_STR", "CQ_DESCRIPTION", "CQ_RELATES_TO", "CQ_TYPE_TIER"]
@@ -184,9 +179,8 @@ def fact_uniformity(tests: DataFrame, operators: Lookup, min_date: str | None =
     """One row per uniformity test, credited to the operator who built the tire
     and dated by the build, or by the test where the build time is missing."""
     tests = upper_columns(tests)
-    op_id = _id(tests, "CONFECTION_OPERATOR_ID").alias("OP_ID")
     kept = [c for c in UNIFORMITY_COLUMNS if c in tests.columns]
-    slim = tests.select(op_id, *kept).withColumnsRenamed(UNIFORMITY_NAMES)
+    slim = normalized_ids(tests, "CONFECTION_OPERATOR_ID").select("OP_ID", *kept).withColumnsRenamed(UNIFORMITY_NAMES)
     slim = slim.withColumns(
         {
             "IS_RFT": rft_flag(slim, "UNI_GRADE"),

@@ -19,6 +19,7 @@ class Catalog:
         self.spark = spark
         self.root = root.rstrip("/") if root else None
         self.tables = dict(tables or {})
+        self._opened: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         if not self.root:
@@ -26,9 +27,15 @@ class Catalog:
         return f"{self.root}/{name}"
 
     def read(self, name: str, columns: Iterable[str] | None = None) -> DataFrame:
-        df = self._find(name)
+        if name not in self._opened:
+            self._opened[name] = self._find(name)
+        df = self._opened[name]
         return df if columns is None else project(df, columns)
 
+    def forget(self, name: str) -> None:
+        """Look the table up again next time, after it was written."""
+        self._opened.pop(name, None)
+
     def _find(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
