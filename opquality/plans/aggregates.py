@@ -69,14 +69,18 @@ def agg_kpi_summary(prod: DataFrame, bc: DataFrame, ac: DataFrame, scrap: DataFr
     return combine_onto(base, others, CELL_KEYS, measures).withColumns(percentages())
 
 
+def donut_cells(events: DataFrame) -> DataFrame:
+    """Events per unit, crew, week and code; missing parts are groups of their own."""
+    return with_code(upper_columns(events)).groupBy(*CELL_KEYS, *CODE_KEYS).agg(F.count(F.lit(1)).alias("CQ_COUNT"))
+
+
 def agg_donut(events: DataFrame) -> DataFrame:
-    """Events per unit, crew, week and code, with their share of unit and crew.
+    """Event cells with their share of all events of the unit and crew.
 
     The share divides a week's count by the total of all weeks.
     """
     keys = [*CELL_KEYS, *CODE_KEYS]
-    cells = with_code(upper_columns(events)).groupBy(*keys).agg(F.count(F.lit(1)).alias("CQ_COUNT"))
-    slices = with_share_of_total(share(cells), "CQ_COUNT", total_count, ["BU", "CREW"], "BU_CREW_TOTAL", "PCT_OF_SLICE")
+    slices = with_share_of_total(share(donut_cells(events)), "CQ_COUNT", total_count, ["BU", "CREW"], "BU_CREW_TOTAL", "PCT_OF_SLICE")
     return slices.orderBy(F.desc("CQ_COUNT"), *keys)
 
 

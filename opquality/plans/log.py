@@ -46,25 +46,29 @@ MAX_DROPDOWN = 40
 MAX_SHOWN = 1500
 
 
-def clean_log(log: DataFrame, date_removed: str = DATE_REMOVED) -> DataFrame:
+def clean_log(log: DataFrame, date_removed: str = DATE_REMOVED, carry: Sequence[str] = ()) -> DataFrame:
     """Drops rows that are blank throughout, strips text, blanks to NULL, adds
-    the status. Dates stay text: they carry no year."""
-    cleaned = as_text(log).select(*[blank_to_null(col(c)).alias(c) for c in log.columns])
-    kept = cleaned.dropna(how="all")
-    return kept.withColumn(STATUS, status_of(col(date_removed))) if date_removed in log.columns else kept
+    the status. Dates stay text: they carry no year.
+
+    ``carry`` names columns, such as a line number, that are passed through and
+    do not make a row count as filled.
+    """
+    content = [c for c in log.columns if c not in carry]
+    text = [blank_to_null(col(c).cast("string")).alias(c) for c in content]
+    kept = log.select(*[col(c) for c in carry], *text).dropna(how="all", subset=[f"`{c}`" for c in content])
+    return kept.withColumn(STATUS, status_of(col(date_removed))) if date_removed in content else kept
 
 
-def clean_report(log: DataFrame, date_removed: str = DATE_REMOVED) -> DataFrame:
+def clean_report(log: DataFrame, date_removed: str = DATE_REMOVED, carry: Sequence[str] = ()) -> DataFrame:
     """Rows read, dropped and kept, and how many of them are closed or open."""
-    text = as_text(log)
-    blank = reduce(lambda a, b: a & b, [is_blank(col(c)) for c in log.columns])
+    blank = reduce(lambda a, b: a & b, [is_blank(col(c).cast("string")) for c in log.columns if c not in carry])
     closed = status_of(col(date_removed)) == CLOSED
-    return text.agg(
+    return log.select(blank.alias("_blank"), closed.alias("_closed")).agg(
         F.count(F.lit(1)).alias("INPUT_ROWS"),
-        F.count_if(blank).alias("DROPPED"),
-        F.count_if(~blank).alias("OUTPUT_ROWS"),
-        F.count_if(~blank & closed).alias("CLOSED_ROWS"),
-        F.count_if(~blank & ~closed).alias("OPEN_ROWS"),
+        F.count_if(F.col("_blank")).alias("DROPPED"),
+        F.count_if(~F.col("_blank")).alias("OUTPUT_ROWS"),
+        F.count_if(~F.col("_blank") & F.col("_closed")).alias("CLOSED_ROWS"),
+        F.count_if(~F.col("_blank") & ~F.col("_closed")).alias("OPEN_ROWS"),
     )
 
 
