@@ -209,7 +209,9 @@ REGISTERED: dict[str, Callable[[Board], DataFrame]] = {
     "kpi_banded_filtered": lambda b: card.kpi_summary(b.op_week_fin, b.leak_tests, UNIT_AND_WEEK),
     "breakdown_bc": lambda b: card.breakdown(agg.donut_cells(b.star.fact_conf_bc), "1", "bc"),
     "breakdown_ac": lambda b: card.breakdown(agg.donut_cells(b.star.fact_conf_ac), "2", "ac", SELECTION),
-    "breakdown_codes": lambda b: card.category_totals(agg.donut_cells(b.star.fact_conf_bc), ["CQ_CODE_STR"], "CQ_COUNT"),
+    "breakdown_codes": lambda b: card.category_totals(
+        card.folded(agg.donut_cells(b.star.fact_conf_bc), ["CQ_CODE_STR"], "CQ_COUNT"), ["CQ_CODE_STR"], "CQ_COUNT"
+    ),
     "step_filter_fallback": _fallback,
     "trend_live": lambda b: card.weekly_trend(b.op_week, SELECTION),
     "trend_with_rft": lambda b: card.weekly_trend_from_periods(b.trend, b.uniformity(CONFECTION), UNIT_AND_WEEK),

@@ -7,40 +7,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opquality.functions.numbers import is_floating, nan_to_null, to_number
-from opquality.functions.text import strip, zfill
+from opquality.functions.text import SPACE, strip, zfill
 
 ID_WIDTH = 6
+FINAL_ID = r"^[0-9]{6}$"
+
+# Text without surrounding space and without a trailing ".0".
+BARE_ID = rf"(?s)^{SPACE}*(.*?)(?:\.0+)?{SPACE}*\z"
+
+# Unsigned decimals short enough for a double to hold them exactly as written:
+# surplus zeros are cut by text, without parsing.
+PLAIN_CODE = r"^0*([0-9]{1,8}?)(?:\.0{0,6}|(\.[0-9]{0,5}[1-9])0{0,6})?$"
 
 
 def number_text(number: Column) -> Column:
     """Plain decimal text of a double without trailing zeros.
 
-    Goes through a decimal because Spark writes large and small doubles with
-    exponents. More than ten decimals and 1e28 and beyond are out of contract
-    (the latter give NULL).
+    Spark writes doubles outside 1e-3..1e7 with exponents; those go through a
+    decimal. There, more than ten decimals are out of contract, and 1e28 and
+    beyond give NULL.
     """
-    text = number.try_cast("decimal(38,10)").cast("string")
-    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    size = F.abs(number)
+    short = F.regexp_replace(number.cast("string"), r"\.0$", "")
+    long = F.regexp_replace(number.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    return F.when(((size >= 1e-3) & (size < 1e7)) | (number == 0), short).otherwise(long)
 
 
-def _as_text(column: Column, data_type: T.DataType) -> Column:
-    if is_floating(data_type):
-        number = nan_to_null(column, data_type).cast("double")
-        return number_text(number)
-    return strip(column.cast("string"))
+def _floating_text(column: Column, data_type: T.DataType) -> Column:
+    return number_text(nan_to_null(column, data_type).cast("double"))
 
 
 def unpadded_id(column: Column, data_type: T.DataType, mode: str) -> Column:
     """Operator id before padding; see ``normalized_ids``."""
+    if mode not in ("numeric", "text"):
+        raise ValueError(f"unknown id mode: {mode}")
     if isinstance(data_type, T.IntegralType):
         return column.cast("string")
-    text = _as_text(column, data_type)
+    if is_floating(data_type):
+        whole = nan_to_null(column, data_type).try_cast("bigint").cast("string")
+        return _floating_text(column, data_type) if mode == "text" else whole
+    text = column.cast("string")
     if mode == "text":
-        return F.regexp_replace(text, r"\.0+$", "")
-    if mode != "numeric":
-        raise ValueError(f"unknown id mode: {mode}")
-    whole = to_number(column, data_type).try_cast("bigint").cast("string")
-    return F.coalesce(whole, text)
+        return F.regexp_extract(text, BARE_ID, 1)
+    whole = to_number(text, T.StringType()).try_cast("bigint").cast("string")
+    return F.coalesce(whole, strip(text))
 
 
 def normalized_ids(df: DataFrame, source: str = "OP_ID", mode: str = "numeric", target: str = "OP_ID") -> DataFrame:
@@ -50,8 +60,12 @@ def normalized_ids(df: DataFrame, source: str = "OP_ID", mode: str = "numeric",
     (``12.7`` and ``1e3`` become ``000012`` and ``001000``).
     ``text``: only a trailing ``.0`` is dropped, the rest is kept as written.
     """
-    bare = unpadded_id(F.col(f"`{source}`"), df.schema[source].dataType, mode)
-    return df.withColumn("_ID", bare).withColumn(target, zfill(F.col("_ID"), ID_WIDTH)).drop("_ID")
+    column, data_type = F.col(f"`{source}`"), df.schema[source].dataType
+    padded = zfill(unpadded_id(column, data_type, mode), ID_WIDTH)
+    if isinstance(data_type, T.StringType):
+        # Most ids are in their final form already.
+        padded = F.when(column.rlike(FINAL_ID), column).otherwise(padded)
+    return df.withColumn(target, padded)
 
 
 def dimension_key(column: Column) -> Column:
@@ -64,5 +78,7 @@ def code_text(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.IntegralType):
         return column.cast("string")
     if is_floating(data_type):
-        return _as_text(column, data_type)
-    return F.coalesce(number_text(to_number(column, data_type)), strip(column.cast("string")))
+        return _floating_text(column, data_type)
+    text = column.cast("string")
+    other = F.coalesce(number_text(to_number(text, T.StringType())), strip(text))
+    return F.when(text.rlike(PLAIN_CODE), F.regexp_replace(text, PLAIN_CODE, "$1$2")).otherwise(other)

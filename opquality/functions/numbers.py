@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opquality.functions.text import strip
+from opquality.functions.text import SPACE
 
 # Decimal notation only. Spark's own cast also takes Java forms such as "12d"
 # or hexadecimal floats, which are codes rather than numbers here.
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER = rf"^{SPACE}*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?){SPACE}*$"
 
 # Sums of doubles depend on the order of addition; past this many decimals the
 # digits are noise, and dropping them makes results independent of partitioning.
@@ -28,7 +28,7 @@ def nan_to_null(column: Column, data_type: T.DataType) -> Column:
 def to_number(column: Column, data_type: T.DataType) -> Column:
     """Double, or NULL where the value is not a number."""
     if isinstance(data_type, T.StringType):
-        return F.regexp_extract(strip(column), NUMBER, 0).try_cast("double")
+        return F.regexp_extract(column, NUMBER, 1).try_cast("double")
     return nan_to_null(column, data_type).cast("double")
 
 

@@ -134,24 +134,32 @@ def grid_filter(log: DataFrame, column_filters: Mapping[str, str] | None = None,
     return rows
 
 
-def natural_order(name: str, descending: bool = False) -> list[Column]:
+def natural_keys(name: str) -> dict[str, Column]:
+    """Sort keys of a column: blank, leading number, natural text, text."""
+    text = _shown_text(name)
+    return {"_blank": text == "", "_number": leading_number(text), "_natural": natural_key(text), "_text": text}
+
+
+def natural_order(descending: bool = False) -> list[Column]:
     """Blanks last either way; numbers by value, before other text, digit runs
     in text by value."""
-    text = _shown_text(name)
-    number, key = leading_number(text), natural_key(text)
     if descending:
-        return [F.asc(text == ""), number.desc_nulls_first(), key.desc(), text.desc()]
-    return [F.asc(text == ""), number.asc_nulls_last(), key.asc(), text.asc()]
+        return [F.asc("_blank"), F.desc_nulls_first("_number"), F.desc("_natural"), F.desc("_text")]
+    return [F.asc("_blank"), F.asc_nulls_last("_number"), F.asc("_natural"), F.asc("_text")]
 
 
 def grid_query(
     log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", sort: str | None = None,
     descending: bool = False, limit: int = MAX_SHOWN, exact: Iterable[str] | None = None, key: str = KEY,
 ) -> DataFrame:
-    """The page of rows the grid shows, numbered from 1; ties keep key order."""
+    """The page of rows the grid shows, numbered from 1; ties keep key order.
+
+    Sort keys are columns: as expressions they would be redone per comparison.
+    """
     rows = grid_filter(log, column_filters, search, exact, key)
-    order = (natural_order(sort, descending) if sort else []) + [F.asc(key)]
-    return with_position(top(rows, limit, *order), *order)
+    keys = natural_keys(sort) if sort else {}
+    order = (natural_order(descending) if sort else []) + [F.asc(key)]
+    return with_position(top(rows.withColumns(keys), limit, *order), *order).drop(*keys)
 
 
 def grid_counts(

@@ -14,6 +14,7 @@ from opquality.functions.numbers import band, ratio, ratio_or_zero, total, total
 from opquality.operators.filters import CONFECTION, FINISHING, Filters, of_step_or_all
 from opquality.operators.measures import AMOUNT, COUNT, combine_onto, stack, sums
 from opquality.operators.scoring import scored_and_ranked
+from opquality.operators.sharing import share
 from opquality.operators.topk import top, top_with_other, with_position
 from opquality.plans.aggregates import WEEK_KEYS, percentages
 from opquality.sources.columns import upper_columns
@@ -135,12 +136,20 @@ def kpi_summary(op_week: DataFrame, leak_tests: DataFrame, filters: Filters = EV
     )
 
 
+def folded(df: DataFrame, columns: Sequence[str], value: str) -> DataFrame:
+    """Totals per combination of the columns, computed once: a handful of rows
+    per code, which the choice of a breakdown then reads several times."""
+    names = [c for c in columns if c in df.columns]
+    return share(df.groupBy(*names).agg(F.sum(value).alias(value)))
+
+
 def category_totals(df: DataFrame, candidates: Sequence[str], value: str, k: int = 6) -> DataFrame:
     """Totals by the first candidate column with at least two categories (else
     the first with any), the k largest and the remainder.
 
     Two different categories exist exactly when smallest and largest differ, so
-    the choice is a one-row subquery and no distinct count is needed.
+    the choice is a one-row subquery and no distinct count is needed. ``df``
+    should be ``folded``.
     """
     names = [c for c in candidates if c in df.columns]
     text = {c: F.col(c).cast("string") for c in names}
@@ -149,8 +158,8 @@ def category_totals(df: DataFrame, candidates: Sequence[str], value: str, k: int
     choices = [(found[f"{c}_lo"] != found[f"{c}_hi"], text[c]) for c in names]
     choices += [(found[f"{c}_lo"].isNotNull(), text[c]) for c in names]
     label = reduce(lambda chain, choice: chain.when(*choice), choices[1:], F.when(*choices[0]))
-    labelled = df.select(label.alias("LABEL"), F.col(value)).where(F.col("LABEL").isNotNull())
-    return top_with_other(labelled.withColumnRenamed("LABEL", "_category"), "_category", value, k)
+    labelled = df.select(label.alias("_category"), F.col(value)).where(F.col("_category").isNotNull())
+    return top_with_other(labelled, "_category", value, k)
 
 
 def breakdown(donut: DataFrame, step: str, stage: str, filters: Filters = EVERYTHING, k: int = 6) -> DataFrame:
@@ -160,6 +169,7 @@ def breakdown(donut: DataFrame, step: str, stage: str, filters: Filters = EVERYT
     the second step always count in full. The operator filter does not apply.
     """
     rows = filters.apply(upper_columns(donut), known_bu_only=True)
+    rows = folded(rows, ("CQ_RELATES_TO", *BREAKDOWN_COLUMNS), "CQ_COUNT")
     if not (stage == "ac" and step == "2"):
         rows = of_step_or_all(rows, STEPS[step])
     return category_totals(rows, BREAKDOWN_COLUMNS, "CQ_COUNT", k)
