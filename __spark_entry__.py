@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 import oracle
 from opquality.functions.dates import calendar_parts, short_week_label, to_datetime, week_label
-from opquality.functions.ids import code_text, normalized_ids
+from opquality.functions.ids import canonical_codes, normalized_ids
 from opquality.functions.numbers import half_even
 from opquality.operators.filters import CONFECTION, Filters, of_step_or_all
 from opquality.plans import aggregates as agg
@@ -127,8 +127,7 @@ def _raw(b: Board, sql: str) -> DataFrame:
 
 
 def _code_form(b: Board) -> DataFrame:
-    raw = _raw(b, RAW_CODES)
-    return raw.select("l_orderkey", "l_linenumber", code_text(F.col("CQ_CODE"), TEXT).alias("CQ_CODE_STR"))
+    return canonical_codes(_raw(b, RAW_CODES)).drop("CQ_CODE")
 
 
 def _date_parts(b: Board) -> DataFrame:

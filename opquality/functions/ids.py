@@ -1,4 +1,7 @@
-"""Canonical forms of operator ids and defect codes."""
+"""Canonical forms of operator ids and defect codes.
+
+Both work in steps on plain columns, so that no expression is repeated.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opquality.functions.numbers import is_floating, nan_to_null, to_number
-from opquality.functions.text import SPACE, strip, zfill
+from opquality.functions.staging import computed_once
+from opquality.functions.text import strip, zfill
 
 ID_WIDTH = 6
 FINAL_ID = r"^[0-9]{6}$"
-
-# Text without surrounding space and without a trailing ".0".
-BARE_ID = rf"(?s)^{SPACE}*(.*?)(?:\.0+)?{SPACE}*\z"
-
-# Unsigned decimals short enough for a double to hold them exactly as written:
-# surplus zeros are cut by text, without parsing.
-PLAIN_CODE = r"^0*([0-9]{1,8}?)(?:\.0{0,6}|(\.[0-9]{0,5}[1-9])0{0,6})?$"
+NO_SPACE = r"^[!-~]+$"
 
 
 def number_text(number: Column) -> Column:
@@ -28,44 +26,42 @@ def number_text(number: Column) -> Column:
     beyond give NULL.
     """
     size = F.abs(number)
-    short = F.regexp_replace(number.cast("string"), r"\.0$", "")
-    long = F.regexp_replace(number.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
-    return F.when(((size >= 1e-3) & (size < 1e7)) | (number == 0), short).otherwise(long)
-
+    direct = ((size >= 1e-3) & (size < 1e7)) | (number == 0)
+    text = F.when(direct, number.cast("string")).otherwise(number.try_cast("decimal(38,10)").cast("string"))
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
-def _floating_text(column: Column, data_type: T.DataType) -> Column:
-    return number_text(nan_to_null(column, data_type).cast("double"))
 
-
-def unpadded_id(column: Column, data_type: T.DataType, mode: str) -> Column:
-    """Operator id before padding; see ``normalized_ids``."""
-    if mode not in ("numeric", "text"):
-        raise ValueError(f"unknown id mode: {mode}")
+def _bare_id(column: Column, data_type: T.DataType, mode: str) -> Column:
     if isinstance(data_type, T.IntegralType):
         return column.cast("string")
     if is_floating(data_type):
-        whole = nan_to_null(column, data_type).try_cast("bigint").cast("string")
-        return _floating_text(column, data_type) if mode == "text" else whole
+        known = nan_to_null(column, data_type).cast("double")
+        return number_text(known) if mode == "text" else known.try_cast("bigint").cast("string")
     text = column.cast("string")
     if mode == "text":
-        return F.regexp_extract(text, BARE_ID, 1)
-    whole = to_number(text, T.StringType()).try_cast("bigint").cast("string")
-    return F.coalesce(whole, strip(text))
+        stripped = F.when(text.rlike(NO_SPACE), text).otherwise(strip(text))
+        bare = F.regexp_replace(stripped, r"\.0+$", "")
+    else:
+        # The second try is for spaces outside ASCII; most ids need the first only.
+        tries = [to_number(t, T.StringType()).try_cast("bigint").cast("string") for t in (text, strip(text))]
+        bare = F.coalesce(*tries, strip(text))
+    # Most ids are in their final form already.
+    return F.when(text.rlike(FINAL_ID), text).otherwise(bare)
 
 
 def normalized_ids(df: DataFrame, source: str = "OP_ID", mode: str = "numeric", target: str = "OP_ID") -> DataFrame:
     """Operator ids of ``source`` padded to six characters, as ``target``.
 
     ``numeric``: anything that reads as a number is cut to its whole part first
-    (``12.7`` and ``1e3`` become ``000012`` and ``001000``).
+    (``12.7`` and ``1e3`` become ``000012`` and ``001000``); numbers of more
+    than 18 digits are out of contract.
     ``text``: only a trailing ``.0`` is dropped, the rest is kept as written.
     """
-    column, data_type = F.col(f"`{source}`"), df.schema[source].dataType
-    padded = zfill(unpadded_id(column, data_type, mode), ID_WIDTH)
-    if isinstance(data_type, T.StringType):
-        # Most ids are in their final form already.
-        padded = F.when(column.rlike(FINAL_ID), column).otherwise(padded)
-    return df.withColumn(target, padded)
+    if mode not in ("numeric", "text"):
+        raise ValueError(f"unknown id mode: {mode}")
+    bare = _bare_id(F.col(f"`{source}`"), df.schema[source].dataType, mode)
+    staged = df.withColumn("_BARE", bare)
+    return computed_once(staged, target, zfill(F.col("_BARE"), ID_WIDTH)).drop("_BARE")
 
 
 def dimension_key(column: Column) -> Column:
@@ -73,12 +69,13 @@ def dimension_key(column: Column) -> Column:
     return F.upper(strip(column.cast("string")))
 
 
-def code_text(column: Column, data_type: T.DataType) -> Column:
-    """Defect code as text: numbers in shortest decimal form, others stripped."""
+def canonical_codes(df: DataFrame, source: str = "CQ_CODE", target: str = "CQ_CODE_STR") -> DataFrame:
+    """Defect codes as text: numbers in shortest decimal form, others stripped."""
+    column, data_type = F.col(f"`{source}`"), df.schema[source].dataType
     if isinstance(data_type, T.IntegralType):
-        return column.cast("string")
-    if is_floating(data_type):
-        return _floating_text(column, data_type)
-    text = column.cast("string")
-    other = F.coalesce(number_text(to_number(text, T.StringType())), strip(text))
-    return F.when(text.rlike(PLAIN_CODE), F.regexp_replace(text, PLAIN_CODE, "$1$2")).otherwise(other)
+        return df.withColumn(target, column.cast("string"))
+    staged = df.withColumn("_NUMBER", to_number(column, data_type))
+    text = number_text(F.col("_NUMBER"))
+    if not is_floating(data_type):
+        text = F.coalesce(text, strip(column.cast("string")))
+    return computed_once(staged, target, text).drop("_NUMBER")

@@ -6,11 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opquality.functions.text import SPACE
-
 # Decimal notation only. Spark's own cast also takes Java forms such as "12d"
 # or hexadecimal floats, which are codes rather than numbers here.
-NUMBER = rf"^{SPACE}*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?){SPACE}*$"
+NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 
 # Sums of doubles depend on the order of addition; past this many decimals the
 # digits are noise, and dropping them makes results independent of partitioning.

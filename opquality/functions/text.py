@@ -10,14 +10,8 @@ from pyspark.sql import functions as F
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" + "".join(
     map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
-# The same as a class of regular expressions.
-SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
-
 OPEN, CLOSED = "Open", "Closed"
 
-# Stands for a padding zero until a sign is in place; ids do not hold it.
-PAD_MARK = "\x01"
-
 # Digit runs are left-padded to this width for natural ordering.
 DIGIT_WIDTH = 30
 
@@ -38,13 +32,12 @@ def is_blank(text: Column) -> Column:
 def zfill(text: Column, width: int = 6) -> Column:
     """Left-pad with zeros, never truncating and keeping a leading sign first.
 
-    The padding is marked until a sign has moved before it. ``text`` occurs
-    only twice: its copies multiply when Spark pushes a filter on the result
-    down, and grow the generated code past what the JVM compiles.
+    ``text`` is used several times and should be a plain column.
     """
-    padded = F.lpad(text, F.greatest(F.length(text), F.lit(width)), PAD_MARK)
-    signed = F.regexp_replace(padded, f"^({PAD_MARK}+)([+-])", "$2$1")
-    return F.replace(signed, F.lit(PAD_MARK), F.lit("0"))
+    first = F.left(text, F.lit(1))
+    signed = F.concat(first, F.lpad(F.substring(text, 2, width), width - 1, "0"))
+    padded = F.when(first.isin("+", "-"), signed).otherwise(F.lpad(text, width, "0"))
+    return F.when(F.length(text) >= width, text).otherwise(padded)
 
 
 def status_of(date_removed: Column) -> Column:

@@ -43,7 +43,7 @@ def combine_onto(base: DataFrame, others: Sequence[DataFrame], keys: Sequence[st
     return rolled.where(F.col("_IN_BASE") == 1).drop("_IN_BASE")
 
 
-def tested_once(tests: DataFrame, keys: Sequence[str], item: str, flag: str) -> DataFrame:
+def best_per_item(tests: DataFrame, keys: Sequence[str], item: str, flag: str) -> DataFrame:
     """Per key and item the best flag of its tests, as rows of two measures.
 
     A missing item is a group of its own: it is not counted as tested but its

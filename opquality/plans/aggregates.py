@@ -10,7 +10,7 @@ from opquality.functions.ids import normalized_ids
 from opquality.functions.numbers import number_or_zero, ratio, total, total_count
 from opquality.operators.filters import CONFECTION, FINISHING, of_step, with_code
 from opquality.operators.lookup import Lookup, first_per_key
-from opquality.operators.measures import AMOUNT, COUNT, combine, combine_onto, stack, sums, tested_once, with_share_of_total
+from opquality.operators.measures import AMOUNT, COUNT, combine, combine_onto, stack, sums, best_per_item, with_share_of_total
 from opquality.operators.scoring import scored_and_ranked
 from opquality.operators.sharing import share
 from opquality.plans.star import repair_flag, rft_flag
@@ -133,14 +133,14 @@ def _finishing_tests(uniformity: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Tests credited to the finishing operator, best flag per tire."""
     tests = normalized_ids(upper_columns(uniformity), "FINISHING_OPERATOR_ID", "text")
     flag = number_or_zero(F.col("IS_RFT"), column_type(tests, "IS_RFT"))
-    return tested_once(tests.withColumn("IS_RFT", flag), keys, "BARCODE", "IS_RFT")
+    return best_per_item(tests.withColumn("IS_RFT", flag), keys, "BARCODE", "IS_RFT")
 
 
 def _building_tests(uniformity: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Tests credited to the building operator, best flag per tire."""
     tests = _renormalized(uniformity, "text")
     flag = number_or_zero(F.col("IS_RFT"), column_type(tests, "IS_RFT"))
-    return tested_once(tests.withColumn("IS_RFT", flag), keys, "BARCODE", "IS_RFT")
+    return best_per_item(tests.withColumn("IS_RFT", flag), keys, "BARCODE", "IS_RFT")
 
 
 def agg_top_performers_fin(
@@ -235,19 +235,15 @@ def agg_operator_week(
 
 
 def _with_identity(counts: DataFrame, prod: DataFrame) -> DataFrame:
-    """Name, unit and crew of each operator, from rows that carry a name.
-
-    Missing names sort last, so no filter is needed to prefer known ones; the
-    null-safe join keeps Spark from adding one on the computed id.
-    """
+    """Name, unit and crew of each operator, from rows that carry a name, which
+    sort before those that do not."""
     seen = prod.select("OP_ID", "OPERATOR_NAME", "BU", "CREW").distinct()
     first = first_per_key(seen, ["OP_ID"])
     named = F.col("OPERATOR_NAME").isNotNull()
     identity = first.select(
-        F.col("OP_ID").alias("_OP"), "OPERATOR_NAME",
-        F.when(named, F.col("BU")).alias("BU"), F.when(named, F.col("CREW")).alias("CREW"),
+        "OP_ID", "OPERATOR_NAME", F.when(named, F.col("BU")).alias("BU"), F.when(named, F.col("CREW")).alias("CREW")
     )
-    return counts.join(identity, F.col("OP_ID").eqNullSafe(F.col("_OP")), "left").drop("_OP")
+    return counts.join(identity, "OP_ID", "left")
 
 
 def agg_op_week(prod: DataFrame, bc: DataFrame, ac: DataFrame, scrap: DataFrame, uniformity: DataFrame) -> DataFrame:

@@ -78,6 +78,7 @@ def refresh(
     for name, build in steps.items():
         try:
             _write(build(), out.path(name), partition_facts and name in FACTS)
+            out.forget(name)
             built.append(name)
         except (PySparkException, ValueError) as problem:
             failures[name] = str(problem)

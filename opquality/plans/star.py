@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opquality.functions.dates import calendar_parts, to_datetime
-from opquality.functions.ids import code_text, dimension_key, normalized_ids
+from opquality.functions.ids import canonical_codes, dimension_key, normalized_ids
 from opquality.functions.numbers import nan_to_null
 from opquality.operators.filters import since
 from opquality.operators.lookup import Lookup, first_per_key, within_broadcast_limits
@@ -77,8 +77,8 @@ def code_lookup(codes: DataFrame) -> Lookup:
     """One row per defect code with its description, step and tier."""
     codes = upper_columns(codes)
     relates = resolve_column(codes.columns, exact=("RELATES TO", "RELATES_TO"), required="related step")
-    slim = codes.select(
-        code_text(F.col("CQ"), column_type(codes, "CQ")).alias("CQ_CODE_STR"),
+    slim = canonical_codes(codes, "CQ").select(
+        "CQ_CODE_STR",
         F.col("CQ_CODE_DESCRIPTION").alias("CQ_DESCRIPTION"),
         col(relates).alias("CQ_RELATES_TO"),
         F.col("TYPES").alias("CQ_TYPE_TIER"),
@@ -140,16 +140,13 @@ def fact_conf(events: DataFrame, operators: Lookup, codes: Lookup, min_date: str
     op_column = resolve_column(names, exact=("OP_ID",), suffix="OP_ID", required="operator id")
     code_column = resolve_column(names, exact=("CQ_CODE",), contains=("CQ", "CODE"), required="defect code")
     date_column = first_column(names, exact="DATE", contains="PROD_DATE")
-    picked = {
-        "OP_ID": col(op_column),
-        "CQ_CODE_STR": code_text(col(code_column), column_type(events, code_column)),
-    }
-    if date_column:
-        picked["PROD_DATE"] = _stamp(events, date_column, formats)
     # A code is missing exactly where its source is, so the test goes to the scan.
     coded = events.where(nan_to_null(col(code_column), column_type(events, code_column)).isNotNull())
-    kept = since(coded.select(*[c.alias(n) for n, c in picked.items()]), min_date)
-    kept = normalized_ids(kept, mode="text")
+    picked = [col(op_column).alias("OP_ID"), col(code_column).alias("CQ_CODE")]
+    if date_column:
+        picked.append(_stamp(events, date_column, formats).alias("PROD_DATE"))
+    kept = since(coded.select(*picked), min_date)
+    kept = canonical_codes(normalized_ids(kept, mode="text")).drop("CQ_CODE")
     slim_operators = operators.select(*EVENT_OPERATOR_COLUMNS)
     fact = codes.left_join(_with_operator(kept, slim_operators))
     columns = [*EVENT_OPERATOR_COLUMNS, "CQ_CODE_STR", "CQ_DESCRIPTION", "CQ_RELATES_TO", "CQ_TYPE_TIER"]
