@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opquality.operators.sharing import share
+from opquality.sources.columns import col
 
 # monotonically_increasing_id() keeps the row's place within its partition in
 # the lower 33 bits (public contract of the function).
@@ -22,7 +23,7 @@ def dense_numbers(df: DataFrame, order_by: Sequence[Column] = (), name: str = "r
     large group of equal rows spread over several tasks. Without it the rows
     keep the order they are read in and nothing is shuffled.
     """
-    columns = [c for c in df.columns if c != name]
+    columns = [col(c) for c in df.columns if c != name]
     rows = df.select(*columns)
     if order_by:
         rows = rows.withColumn("_read", F.monotonically_increasing_id()).orderBy(*order_by, "_read").drop("_read")
