@@ -115,23 +115,28 @@ def _shown_text(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(""))
 
 
-def grid_filter(log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", exact: Iterable[str] | None = None, key: str = KEY) -> DataFrame:
-    """Rows matching every column filter and, in some visible column, the search.
+def grid_predicate(log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", exact: Iterable[str] | None = None, key: str = KEY) -> Column:
+    """True for rows matching every column filter and, in some visible column,
+    the search.
 
     Dropdown columns compare exactly, the others by case-insensitive
     containment. ``exact`` spares finding out which columns are dropdowns.
     """
     wanted = {n: v.strip() for n, v in (column_filters or {}).items() if v and v.strip()}
     chosen = set(exact) if exact is not None else dropdown_columns(log, wanted)
-    rows = log
+    tests = [F.lit(True)]
     for name, value in wanted.items():
         text = _shown_text(name)
-        rows = rows.where(text == value if name in chosen else contains_ignoring_case(text, value))
+        tests.append(text == value if name in chosen else contains_ignoring_case(text, value))
     needle = search.strip()
     if needle:
         hits = [contains_ignoring_case(_shown_text(c), needle) for c in log.columns if c != key]
-        rows = rows.where(reduce(lambda a, b: a | b, hits))
-    return rows
+        tests.append(reduce(lambda a, b: a | b, hits))
+    return reduce(lambda a, b: a & b, tests)
+
+
+def grid_filter(log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", exact: Iterable[str] | None = None, key: str = KEY) -> DataFrame:
+    return log.where(grid_predicate(log, column_filters, search, exact, key))
 
 
 def natural_keys(name: str) -> dict[str, Column]:
@@ -166,11 +171,10 @@ def grid_counts(
     log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", limit: int = MAX_SHOWN,
     exact: Iterable[str] | None = None, key: str = KEY,
 ) -> DataFrame:
-    """How many rows match, are shown and exist."""
-    marked = grid_filter(log, column_filters, search, exact, key).select(F.lit(1).alias("_hit"))
-    everything = log.select(F.lit(0).alias("_hit"))
-    counts = marked.unionByName(everything).agg(
-        F.count_if(F.col("_hit") == 1).alias("MATCHED"), F.count_if(F.col("_hit") == 0).alias("TOTAL")
+    """How many rows match, are shown and exist, in one pass."""
+    counts = log.agg(
+        F.count_if(grid_predicate(log, column_filters, search, exact, key)).alias("MATCHED"),
+        F.count(F.lit(1)).alias("TOTAL"),
     )
     return counts.withColumn("SHOWN", F.least(F.col("MATCHED"), F.lit(limit).cast("long")))
 
