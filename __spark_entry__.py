@@ -145,9 +145,9 @@ def _week_labels(b: Board) -> DataFrame:
 
 
 def _profile(b: Board) -> DataFrame:
-    """Means and deviations are cut to 4 decimals: the order of addition differs."""
-    wide = profile(b.read("lineitem"))
-    return wide.withColumns({"MEAN": half_even(F.col("MEAN"), 4), "STD": half_even(F.col("STD"), 4)})
+    """Cut to decimals that do not depend on the order of addition."""
+    digits = {"MEAN": 4, "STD": 4, "Q25": 6, "Q50": 6, "Q75": 6}
+    return profile(b.read("lineitem")).withColumns({name: half_even(F.col(name), d) for name, d in digits.items()})
 
 
 def _diagnostics(b: Board) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,10 +43,14 @@ def quartiles(df: DataFrame) -> DataFrame:
             picks.append(F.max(F.when(here, F.col("VALUE"))).alias(f"{name}_{edge}"))
         picks.append(F.max(place - F.floor(place)).alias(f"{name}_part"))
     edges = sized.groupBy("COLUMN").agg(*picks)
-    return edges.select(
-        "COLUMN",
-        *[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_part")).alias(n) for n in QUARTILES],
-    )
+
+    def between(name: str) -> Column:
+        """Interpolated from the nearer end, which keeps equal ends exact."""
+        low, high, part = (F.col(f"{name}_{x}") for x in ("lo", "hi", "part"))
+        gap = high - low
+        return F.when(part < 0.5, low + gap * part).otherwise(high - gap * (1 - part)).alias(name)
+
+    return edges.select("COLUMN", *[between(n) for n in QUARTILES])
 
 
 def profile(df: DataFrame) -> DataFrame:
