@@ -26,6 +26,12 @@ from opquality.sources.profile import fact_diagnostics, profile, value_counts
 from opquality.sources.samples import sample_catalog
 from opquality.sources.writers import json_records
 
+try:  # the corpus operators are an optional part
+    import corpus_pipeline
+    from opquality.llm import queries as corpus
+except ImportError:
+    corpus = None
+
 SELECTION = Filters(bus=("EUROPE", "ASIA", "AFRICA"), crews=(1, 2, 3), weeks=tuple(range(5, 31)))
 UNIT_AND_WEEK = Filters(bus=("EUROPE",), weeks=tuple(range(1, 27)))
 ONE_OPERATOR = Filters(op_id="000018")
@@ -255,8 +261,14 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, build=build: build(board(spark, sf_dir))) for name, build in REGISTERED.items()}
+    found = {name: (lambda spark, sf_dir, build=build: build(board(spark, sf_dir))) for name, build in REGISTERED.items()}
+    if corpus is not None:
+        found |= corpus.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    known = oracle.statements()
+    if corpus is not None:
+        known |= corpus.ORACLE_SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return known
