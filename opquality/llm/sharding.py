@@ -57,10 +57,11 @@ def byte_size(text_col: str) -> Column:
     return (F.octet_length(text_of(text_col)) + 1).cast("long")
 
 
-STATS = [
-    F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("i").alias("i0"), F.max("i").alias("i1"),
-    F.sum("s").alias("bytes"), F.count(F.lit(1)).alias("rows"),
-]
+def _stats() -> list[Column]:
+    return [
+        F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("i").alias("i0"), F.max("i").alias("i1"),
+        F.sum("s").alias("bytes"), F.count(F.lit(1)).alias("rows"),
+    ]
 
 
 def _bins(found, below_bytes: int, below_rows: int) -> list[Bin]:
@@ -104,7 +105,7 @@ def find_splitters(slim: DataFrame, targets: list[int], tolerance: int) -> list[
 
     wanted, bits = sorted(set(targets)), FIRST_BITS
     if wanted:
-        first = slim.groupBy(F.shiftright("k", KEY_BITS - bits).alias("bin")).agg(*STATS).orderBy("bin").collect()
+        first = slim.groupBy(F.shiftright("k", KEY_BITS - bits).alias("bin")).agg(*_stats()).orderBy("bin").collect()
         place(_bins(first, 0, 0), wanted)
     # Probes on the hash: bins are prefixes, each cut into the same number of finer ones.
     while apart := {t: b for t, b in inside.items() if b.key_min != b.key_max}:
@@ -113,7 +114,7 @@ def find_splitters(slim: DataFrame, targets: list[int], tolerance: int) -> list[
         prefixes = sorted({b.key_min >> (KEY_BITS - bits) for b in apart.values()})
         rows = (
             slim.where(F.shiftright("k", KEY_BITS - bits).isin(prefixes))
-            .groupBy(F.shiftright("k", KEY_BITS - finer).alias("bin")).agg(*STATS).orderBy("bin").collect()
+            .groupBy(F.shiftright("k", KEY_BITS - finer).alias("bin")).agg(*_stats()).orderBy("bin").collect()
         )
         for b in {b.bytes_below: b for b in apart.values()}.values():
             mine = [r for r in rows if r.k0 >> (KEY_BITS - bits) == b.key_min >> (KEY_BITS - bits)]
@@ -130,7 +131,7 @@ def find_splitters(slim: DataFrame, targets: list[int], tolerance: int) -> list[
         rows = (
             one.where(F.col("r").isNotNull())
             .groupBy(F.col("r.k").alias("key"), F.col("r.lo").alias("lo"), F.floor((F.col("i").cast("decimal(20,0)") - F.col("r.lo").cast("decimal(20,0)")) / F.col("r.w")).alias("bin"))
-            .agg(*STATS).orderBy("key", "lo", "bin").collect()
+            .agg(*_stats()).orderBy("key", "lo", "bin").collect()
         )
         for (key, lo), b in groups.items():
             mine = [r for r in rows if r.key == key and r.lo == lo]
