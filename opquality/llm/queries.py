@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opquality.llm.bpe import bpe_roundtrip
 from opquality.llm.common import table, text_of
 from opquality.llm.sharding import histogram_sort
+from opquality.llm.token_files import read_token_files, write_token_files
 
 
 def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +22,26 @@ def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(files).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_histogram_sort": op3_histogram_sort,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
