@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opquality.llm.bpe import bpe_roundtrip
 from opquality.llm.common import table, text_of
 from opquality.llm.decontaminate import scan
+from opquality.llm.fertility import quality
 from opquality.llm.sharding import histogram_sort
 from opquality.llm.token_files import read_token_files, write_token_files
 
@@ -31,6 +32,16 @@ def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+VOCABULARIES = {"byte_bpe_multi_50k": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality(docs, VOCABULARIES, public_tokenizers.PATTERN).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select(
@@ -50,6 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_histogram_sort": op3_histogram_sort,
+    "op5_quality_rules": op5_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_token_files": op10_token_files,
 }
