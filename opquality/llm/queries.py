@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opquality.llm import language, toxicity
 from opquality.llm.bpe import bpe_roundtrip
 from opquality.llm.common import table, text_of
 from opquality.llm.decontaminate import scan
@@ -42,6 +43,28 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crc_of_id(divisor: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where((_crc_of_id(5) != 0) & F.col("toxic").isNotNull())
+    prior = labels.agg(F.coalesce(F.avg(F.col("toxic").cast("double")), F.lit(0.0))).head()[0]
+    model = toxicity.fit(docs.where(_crc_of_id(5) != 0), labels.where("toxic = 1"), prior)
+    return toxicity.score(docs, model).select(
+        "doc_id", (_crc_of_id(5) == 0).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(_crc_of_id(3) != 1))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (_crc_of_id(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "ambiguous",
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select(
@@ -62,7 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_histogram_sort": op3_histogram_sort,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
 

@@ -28,6 +28,7 @@ MAGIC = b"OQTOK1\0\0"
 NO_ID = -(1 << 63)
 VALUES_A_FILE = 4 << 20
 CONTROLS_A_STEP = 1 << 16
+TEXTS_A_CALL = 8
 
 # For each control byte: the bytes of its four values, and for each of the sixteen
 # bytes of four decoded values its place in the data and whether it is there.
@@ -107,7 +108,10 @@ class Tokens:
             self.lengths[i] = len(added[i].encode()) if i in added else len(token)
 
     def encode(self, texts: list[str]) -> Encoded:
-        found = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # The library's own records of a token are large, so few texts at a time.
+        found = []
+        for n in range(0, len(texts), TEXTS_A_CALL):
+            found += [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts[n:n + TEXTS_A_CALL], add_special_tokens=False)]
         return np.concatenate([np.zeros(0, dtype=np.uint32), *found]), bounds([len(x) for x in found])
 
 

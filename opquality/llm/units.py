@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 IRREGULAR = f" {WHITE}|{WHITE} "
 JOINED = 2048
+# Words are made distinct within so many bytes of text; ids are handed out by smaller blocks.
+SHARED_BYTES = 16 << 20
 BLOCK_BYTES = 2 << 20
 
 # Ids of some texts, one after the other, and where each text's ids begin.
@@ -61,6 +63,12 @@ def encode_texts(texts: pa.StringArray, encode: Callable[[list[str]], Encoded],
     """For one slice of the texts after the other: its first and last row, the ids and
     where each row's ids begin. Nulls count as empty. token_bytes: bytes of each id."""
     texts = pc.fill_null(texts, "")
+    for a, b in blocks(pc.binary_length(texts).to_numpy(), SHARED_BYTES):
+        for lo, hi, ids, at in _encode_shared(texts.slice(a, b - a), encode, token_bytes):
+            yield a + lo, a + hi, ids, at
+
+
+def _encode_shared(texts: pa.StringArray, encode: Callable[[list[str]], Encoded], token_bytes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     whole = pc.match_substring_regex(texts, IRREGULAR)
     parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
     first = parts.offsets.to_numpy()
