@@ -28,7 +28,7 @@ BITS = 20
 # Beginnings of so many bytes count beside whole words, for inflected and compound forms.
 BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
 SCAN_BYTES = 2 << 20
-MIN_STEPS = 800
+MIN_STEPS = 150
 MAX_POSITIVE = 6000
 MAX_UNLABELLED = 12000
 
