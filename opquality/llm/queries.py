@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 
 from opquality.llm import language, toxicity
 from opquality.llm.bpe import bpe_roundtrip
-from opquality.llm.common import table, text_of
+from opquality.llm.common import table, text_of, write_parquet
 from opquality.llm.decontaminate import scan
 from opquality.llm.fertility import quality
 from opquality.llm.sharding import histogram_sort
+from opquality.llm.warc import assemble, page_id, write_warc
 from opquality.llm.token_files import read_token_files, write_token_files
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = assemble(write_warc(table(spark, sf_dir, "pages")))
+    # The payload is dropped here; what the records say of it stays.
+    pages = captures.select("capture_id", "capture.type", "capture.payload_bytes", "capture.payload_digest", F.col("capture.refers_to").alias("refers_id"), page_id().alias("page_id"))
+    pages = write_parquet(pages, "warc-pages")
+    targets = pages.where("type = 'response'").groupBy(F.col("capture_id").alias("refers_id")).agg(F.max("page_id").alias("refers_to"))
+    return pages.join(targets, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs, table(spark, sf_dir, "benchmark")).select(
@@ -82,6 +92,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
     "op3_histogram_sort": op3_histogram_sort,
     "op5_quality_rules": op5_quality_rules,
@@ -93,7 +104,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+BASE32 = " || ".join(f"lpad(to_base(cast('0x' || substr(h, {n}, 5) AS BIGINT), 32), 4, '0')" for n in range(1, 41, 5))
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT h, max(page_id) AS keep FROM p GROUP BY h)
+SELECT page_id, payload_bytes, translate(upper({BASE32}), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM p JOIN k USING (h)""",
     "op2_decontaminate": f"""
 WITH b AS (SELECT coalesce(cast(item_id AS VARCHAR), '') AS item, {WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 bn AS (SELECT *, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
