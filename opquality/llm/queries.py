@@ -13,6 +13,7 @@ from opquality.llm.bpe import bpe_roundtrip
 from opquality.llm.common import table, text_of, write_parquet
 from opquality.llm.decontaminate import scan
 from opquality.llm.fertility import quality
+from opquality.llm.jaccard_join import jaccard_components
 from opquality.llm.sharding import histogram_sort
 from opquality.llm.warc import assemble, page_id, write_warc
 from opquality.llm.token_files import read_token_files, write_token_files
@@ -67,6 +68,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(_crc_of_id(3) != 1))
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
