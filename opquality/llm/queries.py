@@ -15,6 +15,7 @@ from opquality.llm.decontaminate import scan
 from opquality.llm.fertility import quality
 from opquality.llm.jaccard_join import jaccard_components
 from opquality.llm.sharding import histogram_sort
+from opquality.llm.suffix_dedup import remove_repeats
 from opquality.llm.warc import assemble, page_id, write_warc
 from opquality.llm.token_files import read_token_files, write_token_files
 
@@ -44,6 +45,14 @@ def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 VOCABULARIES = {"byte_bpe_multi_50k": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
 
 
@@ -100,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
     "op3_histogram_sort": op3_histogram_sort,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
