@@ -1,12 +1,59 @@
-"""A corpus pipeline: each stage is written as Parquet and reread as the next one's documents."""
+"""A corpus pipeline: each stage is written as Parquet and reread as the next one's documents.
+
+Stages take and return the columns of documents; the last returns token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from opquality.llm.bpe import bpe_roundtrip
 from opquality.llm.common import table, write_parquet
+from opquality.llm.decontaminate import without_contaminated
+from opquality.llm.fertility import kept_rows
+from opquality.llm.jaccard_join import one_per_component
+from opquality.llm.suffix_dedup import remove_repeats
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return kept_rows(docs, {VOCABULARY: public_tokenizers.path(VOCABULARY)}, public_tokenizers.PATTERN)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one of least id stays."""
+    return one_per_component(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings that occur earlier are cut out of the texts; documents of which nothing is
+    left go. n_chars follows the text."""
+    cut_out = remove_repeats(docs, as_text=True).where(F.col("kept") != "")
+    return cut_out.withColumns({"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold too much of the benchmark go."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, and the hash of the bytes they decode to."""
+    coded = bpe_roundtrip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("suffix_dedup", suffix_dedup),
+    ("decontaminate", decontaminate),
+    ("byte_bpe", byte_bpe),
+]
 
 # The first and the last stage call a tokeniser, which SQL cannot express.
 ORACLE_SQL = None

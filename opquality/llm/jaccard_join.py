@@ -384,3 +384,15 @@ def jaccard_components(
         F.nullif("doc", F.lit(NO_ID)).alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.nullif(F.coalesce("component_id", "doc"), F.lit(NO_ID)).alias("component_id"),
     )
+
+
+def one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df that are the least of their component, with the columns they came
+    with. Rows that share an id, or have none, are told apart by their texts first: each
+    text stays once."""
+    rows = df
+    if not df.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
+        rows = df.dropDuplicates([id_col, text_col])
+    found = jaccard_components(rows, id_col, text_col, **options)
+    others = cut(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct())
+    return rows.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, id_col, "left_anti").select(df.columns)

@@ -248,14 +248,15 @@ def _only(df: DataFrame, ids: DataFrame, few: bool, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, "doc", how)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """Every row of df with all its columns, and
 
     n_bytes  UTF-8 bytes of the text
     runs     maximal runs of removed bytes (start, end): those covered by a string of so
              many bytes that also starts earlier, in a row of smaller id or before in the
              same text. All strings are judged on the input, and none crosses a text
-    kept     the other bytes, in order (binary)
+    kept     the other bytes, in order (binary); as_text: as a string, without bytes that
+             no longer make up a character
 
     A null text is empty; a null id comes before all others. Rows that are equal in id and
     text are one document and get the same result; other rows of one id are ordered by
@@ -284,13 +285,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if whole is None:
         # Columns of the input with the names used here are set aside.
         aside = {c: f"_own_{c}" for c in columns if c in ("doc", "version")}
-        back = remove_repeats(rows.withColumnsRenamed(aside), aside.get(id_col, id_col), aside.get(text_col, text_col), length, gram)
+        back = remove_repeats(rows.withColumnsRenamed(aside), aside.get(id_col, id_col), aside.get(text_col, text_col), length, gram, as_text)
         return back.withColumnsRenamed({v: k for k, v in aside.items()})
     touched = runs.select("doc").distinct()
     few = touched.count() <= BROADCAST_IDS
     hit = _only(whole, touched, few, "left_semi").join(runs, ["doc", "version"], "left").select(*columns, "_spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    added = T.StructType.fromDDL("n_bytes long, runs array<struct<start:int,end:int>>, kept binary").fields
+    added = T.StructType.fromDDL("n_bytes long, runs array<struct<start:int,end:int>>, kept " + ("string" if as_text else "binary")).fields
     at_column = columns.index(text_col)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,14 +304,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     edges = [0, *(x for r in found_runs for x in r), len(raw)]
                     sizes.append(len(raw))
                     all_runs.append([{"start": x, "end": y} for x, y in found_runs])
-                    kept.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2])))
+                    left = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
+                    kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 yield pa.RecordBatch.from_arrays([
                     *part.columns[:-1], pa.array(sizes, pa.int64()),
-                    pa.array(all_runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()),
+                    pa.array(all_runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string() if as_text else pa.binary()),
                 ], names=[*columns, *new])
 
     schema = T.StructType([*rows.schema.fields, *added])
     untouched = _only(whole, touched, few, "left_anti").select(
-        *columns, F.octet_length(text).cast("long").alias("n_bytes"), F.array().cast(added[1].dataType).alias("runs"), text.alias("kept")
+        *columns, F.octet_length(text).cast("long").alias("n_bytes"), F.array().cast(added[1].dataType).alias("runs"), (text.cast("string") if as_text else text).alias("kept")
     )
     return map_arrow(hit, tasks, schema).unionByName(untouched)
