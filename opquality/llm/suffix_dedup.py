@@ -37,11 +37,13 @@ LENGTH = 100
 GRAM = 24
 SCAN_BYTES = 2 << 20
 ENTRIES_A_BUCKET = 1 << 20
-# From so many surroundings of one gram in a batch, its entries are spread by both.
-MANY = 64
+# From so many surroundings of one gram in a batch, its entries are spread by both; from
+# so many in all, its byte positions are ranked in buckets of their own.
+MANY = 128
+MANY_IN_ALL = 4096
 BROADCAST_IDS = 2_000_000
 NO_ID = -(1 << 63)
-COVERED, CANDIDATE = 0, 1
+COVERED, CANDIDATE, COMMON = 0, 1, 2
 MARK = np.uint64(0)
 
 
@@ -120,18 +122,25 @@ def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind)
 
 
-def _intervals(doc, version, lo, hi, kind) -> pa.Table:
-    return pa.table({"doc": doc.astype(np.int64), "version": version.astype(np.int64), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "kind": np.broadcast_to(np.int8(kind), len(lo)).copy() if np.isscalar(kind) else kind.astype(np.int8)})
+def _later(first: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """Which sorted rows come after the first of their group and differ from it in a key;
+    a repeated row is no earlier document."""
+    owner = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return ~first & np.any([k != k[owner] for k in keys], axis=0)
 
 
-INTERVALS = "doc long, version long, lo int, hi int, kind byte"
-_KINDS = {"doc": np.int64, "version": np.int64, "lo": np.int32, "hi": np.int32}
+INTERVALS = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("kind", pa.int8()), ("gram", pa.int64())])
+INTERVALS_DDL = "doc long, version long, lo int, hi int, kind byte, gram long"
 
 
-def _rank_samples(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """Rounds 1 and 2: covered intervals (first byte, end) and candidate starts (first,
-    last) of each document."""
-    packer = Packer(buckets, ["gram", "around", "doc", "version", "lo", "hi", "shared"])
+def _intervals(doc, version, lo, hi, kind, gram) -> pa.Table:
+    return pa.table([pa.array(np.asarray(x).astype(t.to_pandas_dtype())) for x, t in zip((doc, version, lo, hi, kind, gram), INTERVALS.types)], schema=INTERVALS)
+
+
+def _rank_samples(docs: DataFrame, buckets: int, length: int, gram: int, many: int, many_in_all: int) -> DataFrame:
+    """Rounds 1 and 2: intervals of each document that are covered (first byte, end) or of
+    which the starts are still open (first, last)."""
+    packer = Packer(buckets, ["gram", "around", "doc", "version", "lo", "width", "shared"])
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,59 +149,71 @@ def _rank_samples(docs: DataFrame, buckets: int, length: int, gram: int) -> Data
             for a, b in blocks(pc.binary_length(batch.column(2)).to_numpy(), SCAN_BYTES):
                 data, text_at = raw_bytes(batch.column(2).slice(a, b - a))
                 text, lo, hi, value, around = samples(data, text_at, length, gram)
-                base = text_at[text]
-                for x, y in zip(found, (value, around, ids[a + text], versions[a + text], (lo - base).astype(np.int32), (hi - base).astype(np.int32))):
+                for x, y in zip(found, (value, around, ids[a + text], versions[a + text], (lo - text_at[text]).astype(np.int32), (hi - lo).astype(np.uint16))):
                     x.append(y)
-            value, around, doc, version, lo, hi = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in found)
-            by, first = earliest([value, around], [doc, version, lo])
-            value, around, doc, version, lo, hi = (x[by] for x in (value, around, doc, version, lo, hi))
-            # A repeated row is no earlier document.
-            owner = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-            again = ~first & ~((doc == doc[owner]) & (version == version[owner]) & (lo == lo[owner]))
-            covered = [doc[again], version[again], lo[again], (hi[again] + length).astype(np.int32)]
-            value, around, doc, version, lo, hi = (x[first] for x in (value, around, doc, version, lo, hi))
+            if not found[0]:
+                continue
+            columns = [np.concatenate(x) for x in found]
+            by, first = earliest(columns[:2], columns[2:5])
+            value, around, doc, version, lo, width = (x[by] for x in columns)
+            again = _later(first, [doc, version, lo])
+            covered = [doc[again], version[again], lo[again], lo[again] + width[again] + np.int32(length)]
+            # Grams with many surroundings; a mark tells the gram's own bucket.
+            value, around = value[first], around[first]
             new = np.ones(len(value), dtype=bool)
             new[1:] = value[1:] != value[:-1]
             at = np.flatnonzero(new)
             size = np.diff(np.concatenate((at, [len(value)])))
-            many = np.repeat(size >= MANY, size)
-            # Marks tell the gram's own bucket that it is shared.
-            marks = at[size >= MANY]
-            bucket = np.concatenate((mix(value + np.where(many, around, np.uint64(0))), mix(value[marks]))) % np.uint64(packer.buckets)
-            with_marks = lambda x: np.concatenate((x, x[marks]))
+            marks, spread = at[size >= many], np.repeat(size >= many, size)
+            # Entries in the order of documents, which the shuffle packs better.
+            order = np.argsort(by[first], kind="stable")
+            pick = np.concatenate((order, marks))
+            is_mark = np.arange(len(pick)) >= len(order)
+            shared = spread[pick] | is_mark
+            route = mix(value[pick] + np.where(spread[pick] & ~is_mark, around[pick], np.uint64(0)))
             entries = [
-                with_marks(value), np.concatenate((around, np.full(len(marks), MARK))), with_marks(doc), with_marks(version),
-                with_marks(lo), with_marks(hi), np.concatenate((many, np.ones(len(marks), dtype=bool))).astype(np.int8),
+                (value[pick] >> np.uint64(32)).astype(np.uint32), np.where(is_mark, MARK, around[pick]),
+                *(x[first][pick] for x in (doc, version, lo, width)), shared.astype(np.int8),
             ]
-            yield packer.rows(bucket.astype(np.int64), entries, covered)
+            yield packer.rows((route % np.uint64(packer.buckets)).astype(np.int64), entries, [covered[0], covered[1], covered[2], covered[3].astype(np.int32)])
 
     def rank(group: pa.Table) -> pa.Table:
-        value, around = _joined(group, "gram", np.uint64), _joined(group, "around", np.uint64)
-        doc, version, lo, hi = (_joined(group, n, k) for n, k in _KINDS.items())
-        shared = _joined(group, "shared", np.int8) > 0
-        by, first = earliest([value, around], [doc, version, lo])
-        value, around, doc, version, lo, hi, shared = (x[by] for x in (value, around, doc, version, lo, hi, shared))
-        owner = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        again = ~first & ~((doc == doc[owner]) & (version == version[owner]) & (lo == lo[owner])) & (around != MARK)
+        kinds = {"gram": np.uint32, "around": np.uint64, "doc": np.int64, "version": np.int64, "lo": np.int32, "width": np.uint16, "shared": np.int8}
+        columns = [_joined(group, n, k) for n, k in kinds.items()]
+        done = [_joined(group, f"c{k}", t) for k, t in enumerate((np.int64, np.int64, np.int32, np.int32))]
+        by, first = earliest(columns[:2], columns[2:5])
+        value, around, doc, version, lo, width, shared = (x[by] for x in columns)
+        real = around != MARK
+        again = _later(first, [doc, version, lo]) & real
         # A gram with several surroundings, here or by a mark, is still open.
         new = np.ones(len(value), dtype=bool)
         new[1:] = value[1:] != value[:-1]
         group_of = np.cumsum(new) - 1
-        open_ = (np.bincount(group_of, first) > 1) | (np.bincount(group_of, shared) > 0)
-        candidate = first & (around != MARK) & open_[group_of] if len(group_of) else first
-        kind = np.concatenate((np.full(int(again.sum()), COVERED), np.full(int(candidate.sum()), CANDIDATE), np.full(len(_joined(group, "c0", np.int64)), COVERED)))
-        take = lambda x, done: np.concatenate((x[again], x[candidate], done))
-        end = np.concatenate((hi[again] + length, hi[candidate], _joined(group, "c3", np.int32)))
-        return _intervals(take(doc, _joined(group, "c0", np.int64)), take(version, _joined(group, "c1", np.int64)), take(lo, _joined(group, "c2", np.int32)), end, kind)
+        classes = np.bincount(group_of, first, minlength=1)[group_of] if len(value) else value
+        marked = np.bincount(group_of, shared, minlength=1)[group_of] > 0 if len(value) else first
+        open_ = first & real & ((classes > 1) | marked)
+        kind = np.where(marked | (classes >= many_in_all), COMMON, CANDIDATE)
+        hi = lo.astype(np.int64) + width
+        name = (group["bucket"][0].as_py() << 32) | value.astype(np.int64)
+        both = lambda x, rest: np.concatenate((x[again], x[open_], rest))
+        return _intervals(
+            both(doc, done[0]), both(version, done[1]), both(lo, done[2]), np.concatenate((hi[again] + length, hi[open_], done[3])),
+            np.concatenate((np.full(int(again.sum()), COVERED), kind[open_], np.full(len(done[0]), COVERED))), both(name, np.zeros(len(done[0]), dtype=np.int64)),
+        )
 
-    return map_arrow(docs, tasks, packer.ddl()).groupBy("bucket").applyInArrow(rank, INTERVALS)
+    return map_arrow(docs, tasks, packer.ddl()).groupBy("bucket").applyInArrow(rank, INTERVALS_DDL)
 
 
 def _rank_positions(candidates: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Round 3. candidates: doc, version, text, spans (first and last start)."""
-    packer = Packer(buckets, ["half", "rest", "doc", "version", "lo"])
+    """Round 3. candidates: doc, version, text, spans (first and last start, whether the
+    gram is common, and its name). The strings of a gram go to its bucket as text; those
+    of a common gram as one pair of ranks per position, by these ranks."""
+    packer = Packer(buckets, ["one", "two", "doc", "version", "lo", "text", "text_bytes", "text_doc", "text_version", "text_lo"])
     half = length // 2
 
+    def names(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return range_hashes(data, at, at + half), range_hashes(data, at + half, at + length)
+
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -200,37 +221,64 @@ def _rank_positions(candidates: DataFrame, buckets: int, length: int) -> DataFra
                 data, text_at = raw_bytes(batch.column(2).slice(a, b - a))
                 spans = batch.column(3).slice(a, b - a)
                 text = np.repeat(np.arange(b - a), pc.list_value_length(spans).to_numpy())
-                lo = spans.flatten().field(0).to_numpy().astype(np.int64) + text_at[text]
-                hi = spans.flatten().field(1).to_numpy().astype(np.int64) + text_at[text]
-                n = hi - lo + 1
-                at, text = ragged(lo, n), np.repeat(text, n)
-                one, two = range_hashes(data, at, at + half), range_hashes(data, at + half, at + length)
-                doc, version, start = ids[a + text], versions[a + text], (at - text_at[text]).astype(np.int32)
+                lo, hi, kind, gram = (spans.flatten().field(k).to_numpy().astype(np.int64) for k in range(4))
+                common = kind == COMMON
+                n = (hi - lo + 1)[common]
+                at, owner = ragged((lo + text_at[text])[common], n), np.repeat(text[common], n)
+                one, two = names(data, at)
+                doc, version, start = ids[a + owner], versions[a + owner], (at - text_at[owner]).astype(np.int32)
                 by, first = earliest([one, two], [doc, version, start])
                 one, two, doc, version, start = (x[by] for x in (one, two, doc, version, start))
-                owner = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-                again = ~first & ~((doc == doc[owner]) & (version == version[owner]) & (start == start[owner]))
-                covered = [doc[again], version[again], start[again], (start[again] + length).astype(np.int32)]
-                yield packer.rows((mix(one ^ two) % np.uint64(packer.buckets))[first].astype(np.int64), [x[first] for x in (one, two, doc, version, start)], covered)
+                again = _later(first, [doc, version, start])
+                covered = [doc[again], version[again], start[again], start[again] + np.int32(length)]
+                route = (mix(one ^ two) % np.uint64(buckets))[first].astype(np.int64)
+                row = packer.rows(route, [x[first] for x in (one, two, doc, version, start)] + [np.zeros(len(route), dtype=np.uint8)] * 5, covered)
+                # Texts of the other grams, beside the positions of their bucket.
+                to = (mix(gram.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                by_bucket = np.argsort(np.where(common, buckets, to), kind="stable")
+                edges = np.searchsorted(np.where(common, buckets, to)[by_bucket], np.arange(buckets + 1))
+                rows = {r["bucket"]: r for r in row.to_pylist()}
+                for k in range(buckets):
+                    own = by_bucket[edges[k]:edges[k + 1]]
+                    if not len(own):
+                        if k in rows:
+                            rows[k] |= {n: b"" for n in packer.names[5:]}
+                        continue
+                    where, size = lo[own] + text_at[text[own]], hi[own] - lo[own] + length
+                    rows[k] = rows.get(k, {"bucket": k, **{n: b"" for n in [*packer.names[:5], "c0", "c1", "c2", "c3"]}}) | {
+                        "text": data[ragged(where, size)].tobytes(), "text_bytes": size.astype(np.uint32).tobytes(),
+                        "text_doc": ids[a + text[own]].tobytes(), "text_version": versions[a + text[own]].tobytes(), "text_lo": lo[own].astype(np.int32).tobytes(),
+                    }
+                yield pa.RecordBatch.from_pylist([*rows.values()], schema=row.schema)
 
     def rank(group: pa.Table) -> pa.Table:
-        one, two = _joined(group, "half", np.uint64), _joined(group, "rest", np.uint64)
-        doc, version, start = (_joined(group, n, _KINDS[n]) for n in ("doc", "version", "lo"))
+        one, two = _joined(group, "one", np.uint64), _joined(group, "two", np.uint64)
+        doc, version, start = _joined(group, "doc", np.int64), _joined(group, "version", np.int64), _joined(group, "lo", np.int32)
+        data, size = _joined(group, "text", np.uint8), _joined(group, "text_bytes", np.uint32).astype(np.int64)
+        n = size - length + 1
+        at = ragged(bounds(size)[:-1], n)
+        own_one, own_two = names(data, at)
+        of = lambda name, kind: np.repeat(_joined(group, name, kind), n)
+        own_start = of("text_lo", np.int32) + ragged(np.zeros(len(n), dtype=np.int64), n)
+        one, two = np.concatenate((one, own_one)), np.concatenate((two, own_two))
+        doc, version = np.concatenate((doc, of("text_doc", np.int64))), np.concatenate((version, of("text_version", np.int64)))
+        start = np.concatenate((start, own_start)).astype(np.int64)
         by, first = earliest([one, two], [doc, version, start])
         doc, version, start = doc[by], version[by], start[by]
-        owner = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        again = ~first & ~((doc == doc[owner]) & (version == version[owner]) & (start == start[owner]))
-        doc, version, lo, hi = (np.concatenate((x, _joined(group, f"c{k}", kind))) for k, (x, kind) in enumerate(zip((doc[again], version[again], start[again], start[again] + length), _KINDS.values())))
+        again = _later(first, [doc, version, start])
+        done = [_joined(group, f"c{k}", t) for k, t in enumerate((np.int64, np.int64, np.int32, np.int32))]
+        doc, version, lo, hi = (np.concatenate(x) for x in zip((doc[again], version[again], start[again], start[again] + length), done))
         # Neighbouring starts of a document are one interval.
         order = np.lexsort((lo, version, doc))
-        doc, version, lo, hi = doc[order], version[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+        doc, version, lo, hi = (x[order] for x in (doc, version, lo, hi))
         new = np.ones(len(doc), dtype=bool)
         new[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (lo[1:] > hi[:-1])
         firsts = np.flatnonzero(new)
         lasts = np.concatenate((firsts[1:], [len(doc)])) - 1 if len(firsts) else firsts
-        return _intervals(doc[firsts], version[firsts], lo[firsts], hi[lasts], COVERED)
+        none = np.zeros(len(firsts), dtype=np.int64)
+        return _intervals(doc[firsts], version[firsts], lo[firsts], hi[lasts], none, none)
 
-    return map_arrow(candidates, tasks, packer.ddl()).groupBy("bucket").applyInArrow(rank, INTERVALS)
+    return map_arrow(candidates, tasks, packer.ddl()).groupBy("bucket").applyInArrow(rank, INTERVALS_DDL)
 
 
 def removed_runs(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -248,7 +296,10 @@ def _only(df: DataFrame, ids: DataFrame, few: bool, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, "doc", how)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+def remove_repeats(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False,
+    many: int = MANY, many_in_all: int = MANY_IN_ALL,
+) -> DataFrame:
     """Every row of df with all its columns, and
 
     n_bytes  UTF-8 bytes of the text
@@ -265,16 +316,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     new = ["n_bytes", "runs", "kept"]
     rows = df.drop(*new)
     columns = rows.columns
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("version")]
+    repeated = not rows.groupBy(id_col).count().where("count > 1").isEmpty()
+    version = F.xxhash64(F.col(text_col).cast("string")) if repeated else F.lit(0).cast("long")
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), version.alias("version")]
     docs = rows.select(*key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     long = docs.where(F.octet_length("text") >= length)
     total = long.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     buckets = max(64, -(-2 * total // ((length - gram + 2) * ENTRIES_A_BUCKET)))
-    found = write_parquet(_rank_samples(long, buckets, length, gram), "suffix-samples")
+    found = write_parquet(_rank_samples(long, buckets, length, gram, many, many_in_all), "suffix-samples")
 
-    open_ = found.where(F.col("kind") == CANDIDATE)
+    open_ = found.where(F.col("kind") != COVERED)
     starts, ids = open_.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + 1), F.lit(0)), F.count_distinct("doc")).head()
-    spans = open_.groupBy("doc", "version").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = open_.groupBy("doc", "version").agg(F.collect_set(F.struct("lo", "hi", "kind", "gram")).alias("spans"))
     few = ids <= BROADCAST_IDS
     candidates = _only(long, open_.select("doc").distinct(), few, "left_semi").join(spans, ["doc", "version"]).select("doc", "version", "text", "spans")
     later = _rank_positions(candidates, max(64, -(-starts // ENTRIES_A_BUCKET)), length)
@@ -285,7 +338,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if whole is None:
         # Columns of the input with the names used here are set aside.
         aside = {c: f"_own_{c}" for c in columns if c in ("doc", "version")}
-        back = remove_repeats(rows.withColumnsRenamed(aside), aside.get(id_col, id_col), aside.get(text_col, text_col), length, gram, as_text)
+        back = remove_repeats(rows.withColumnsRenamed(aside), aside.get(id_col, id_col), aside.get(text_col, text_col), length, gram, as_text, many, many_in_all)
         return back.withColumnsRenamed({v: k for k, v in aside.items()})
     touched = runs.select("doc").distinct()
     few = touched.count() <= BROADCAST_IDS
