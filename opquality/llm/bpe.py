@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opquality.llm.common import map_arrow
-from opquality.llm.units import Encoded, bounds, encode_texts, ragged
+from opquality.llm.units import Cache, Encoded, bounds, encode_texts, ragged
 
 INFINITE = np.iinfo(np.int64).max
 FEW = 16
@@ -33,6 +33,7 @@ class Ranks:
     """Vocabulary by rank, which is also the id."""
 
     def __init__(self, path: str):
+        self.cache = Cache()
         with open(path, "rb") as file:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         size = max(self.rank.values()) + 1
@@ -243,7 +244,7 @@ def bpe_roundtrip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
         ranks = load_ranks(vocabulary)
         encode = encoder(ranks, pattern)
         for batch in batches:
-            for lo, hi, ids, at in encode_texts(batch.column(1), encode, ranks.lengths):
+            for lo, hi, ids, at in encode_texts(batch.column(1), encode, ranks.lengths, ranks.cache):
                 decoded = ranks.decode(ids)
                 ends = bounds(ranks.lengths[ids])[at]
                 yield pa.RecordBatch.from_arrays([

@@ -182,7 +182,7 @@ def quality(
                 ranks = load_ranks(vocabulary)
                 fallback = _fallback(vocabulary)
                 n, share, entropy = [], [], []
-                for _, _, ids, at in encode_texts(texts, encoder(ranks, pattern), ranks.lengths):
+                for _, _, ids, at in encode_texts(texts, encoder(ranks, pattern), ranks.lengths, ranks.cache):
                     f, e = token_measures(ids, at, fallback)
                     n.append(np.diff(at)), share.append(f), entropy.append(e)
                 n, share, entropy = (np.concatenate(x) if x else np.zeros(0) for x in (n, share, entropy))

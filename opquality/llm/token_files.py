@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opquality.llm.common import cut, map_arrow, new_folder
-from opquality.llm.units import Encoded, bounds, encode_texts
+from opquality.llm.units import Cache, Encoded, bounds, encode_texts
 
 MAGIC = b"OQTOK1\0\0"
 NO_ID = -(1 << 63)
@@ -64,11 +64,12 @@ def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
 
 
 def file_bytes(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
-    distinct, code, often = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -often))
-    rank = np.empty(len(order), dtype=np.uint32)
-    rank[order] = np.arange(len(order))
-    control, data = pack(rank[code])
+    often = np.bincount(ids)
+    distinct = np.flatnonzero(often)
+    order = np.lexsort((distinct, -often[distinct]))
+    rank = np.empty(len(often), dtype=np.uint32)
+    rank[distinct[order]] = np.arange(len(order))
+    control, data = pack(rank[ids])
     return b"".join([
         MAGIC, np.array([len(doc_ids), len(ids), len(order)], dtype="<u4").tobytes(),
         np.array(doc_ids, dtype="<i8").tobytes(), np.array(counts, dtype="<u4").tobytes(),
@@ -101,6 +102,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cache = Cache()
         added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         # In byte-level vocabularies each character of a token stands for one byte.
         self.lengths = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=np.int64)
@@ -154,7 +156,7 @@ def write_token_files(
 
         for batch in batches:
             own = batch.column(0).to_pylist()
-            for lo, hi, ids, at in encode_texts(batch.column(1), tokens.encode, tokens.lengths):
+            for lo, hi, ids, at in encode_texts(batch.column(1), tokens.encode, tokens.lengths, tokens.cache):
                 doc_ids += own[lo:hi]
                 counts += (np.diff(at) + 1).tolist()
                 held.append(np.insert(ids, at[1:], end_id))

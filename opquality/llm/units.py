@@ -21,6 +21,7 @@ JOINED = 2048
 # Words are made distinct within so many bytes of text; ids are handed out by smaller blocks.
 SHARED_BYTES = 16 << 20
 BLOCK_BYTES = 2 << 20
+CACHED_WORDS = 1 << 18
 
 # Ids of some texts, one after the other, and where each text's ids begin.
 Encoded = tuple[np.ndarray, np.ndarray]
@@ -37,6 +38,28 @@ def bounds(lengths) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
 
 
+class Cache:
+    """Ids of words that came up again, for the texts to come; of bounded size."""
+
+    def __init__(self, most: int = CACHED_WORDS):
+        self.most = most
+        self.words = pa.array([], pa.string())
+        self.ids = np.zeros(0, dtype=np.int64)
+        self.at = np.zeros(1, dtype=np.int64)
+
+    def find(self, words: pa.StringArray) -> np.ndarray:
+        """The place of each word, -1 for those not held."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+
+    def add(self, words: pa.StringArray, chosen: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        chosen = chosen[:self.most - len(self.words)]
+        if len(chosen):
+            n = np.diff(at)[chosen]
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(chosen))])
+            self.ids = np.concatenate((self.ids, ids[ragged(at[:-1][chosen], n)]))
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(n)))
+
+
 def _encode_tails(words: list[str], encode: Callable[[list[str]], Encoded], token_bytes: np.ndarray) -> Encoded:
     """Ids of " word" for each word: many joined to a text, parted again by their bytes."""
     texts = [" " + " ".join(words[n:n + JOINED]) for n in range(0, len(words), JOINED)]
@@ -59,16 +82,16 @@ def blocks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def encode_texts(texts: pa.StringArray, encode: Callable[[list[str]], Encoded], token_bytes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encode_texts(texts: pa.StringArray, encode: Callable[[list[str]], Encoded], token_bytes: np.ndarray, cache: Cache | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For one slice of the texts after the other: its first and last row, the ids and
     where each row's ids begin. Nulls count as empty. token_bytes: bytes of each id."""
     texts = pc.fill_null(texts, "")
     for a, b in blocks(pc.binary_length(texts).to_numpy(), SHARED_BYTES):
-        for lo, hi, ids, at in _encode_shared(texts.slice(a, b - a), encode, token_bytes):
+        for lo, hi, ids, at in _encode_shared(texts.slice(a, b - a), encode, token_bytes, cache or Cache(0)):
             yield a + lo, a + hi, ids, at
 
 
-def _encode_shared(texts: pa.StringArray, encode: Callable[[list[str]], Encoded], token_bytes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _encode_shared(texts: pa.StringArray, encode: Callable[[list[str]], Encoded], token_bytes: np.ndarray, cache: Cache) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     whole = pc.match_substring_regex(texts, IRREGULAR)
     parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
     first = parts.offsets.to_numpy()
@@ -79,14 +102,20 @@ def _encode_shared(texts: pa.StringArray, encode: Callable[[list[str]], Encoded]
     code = words.indices.to_numpy().astype(np.int64)
     is_head = np.zeros(len(code), dtype=bool)
     is_head[first[:-1]] = True
-    used = np.zeros(len(words.dictionary), dtype=bool)
-    used[code[~is_head]] = True
+    used = np.bincount(code[~is_head], minlength=len(words.dictionary))
     tails = np.flatnonzero(used)
-    tail_ids, tail_at = _encode_tails(words.dictionary.take(pa.array(tails)).to_pylist(), encode, token_bytes)
-    pool = np.concatenate((head_ids, tail_ids))
+    tail_words = words.dictionary.take(pa.array(tails))
+    held = cache.find(tail_words)
+    fresh = np.flatnonzero(held < 0)
+    fresh_words = tail_words.take(pa.array(fresh))
+    tail_ids, tail_at = _encode_tails(fresh_words.to_pylist(), encode, token_bytes)
+    pool = np.concatenate((head_ids, tail_ids, cache.ids))
     # Where the ids of a unit lie in the pool: tails by word, heads by text.
     start, length = np.zeros(len(used), dtype=np.int64), np.zeros(len(used), dtype=np.int64)
-    start[tails], length[tails] = len(head_ids) + tail_at[:-1], np.diff(tail_at)
+    start[tails[fresh]], length[tails[fresh]] = len(head_ids) + tail_at[:-1], np.diff(tail_at)
+    known, place = tails[held >= 0], held[held >= 0]
+    start[known], length[known] = len(head_ids) + len(tail_ids) + cache.at[place], np.diff(cache.at)[place]
+    cache.add(fresh_words, np.flatnonzero(used[tails[fresh]] > 1), tail_ids, tail_at)
     head_code = heads.indices.to_numpy()
     head_start, head_length = head_at[:-1][head_code], np.diff(head_at)[head_code]
     for lo, hi in blocks(pc.binary_length(texts).to_numpy(), BLOCK_BYTES):
