@@ -105,12 +105,12 @@ def board(spark: SparkSession, sf_dir: str) -> Board:
 # Inputs that exercise the id, code and date forms on every row of a table.
 RAW_IDS = """
 SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN s || '.0' WHEN 2 THEN '  ' || s || ' ' WHEN 3 THEN '-' || s WHEN 4 THEN s || '.7'
-       WHEN 5 THEN s || 'e1' WHEN 6 THEN 'op' || s ELSE '00000000' || s END AS OP_ID
+       WHEN 5 THEN s || 'e1' WHEN 6 THEN 'op' || s WHEN 7 THEN '98765432109876543210' || lpad(s, 3, '0') || '.0' ELSE '00000000' || s END AS OP_ID
 FROM (SELECT l_orderkey, l_linenumber, cast(l_suppkey AS string) AS s FROM {lineitem}) AS ids"""
 RAW_CODES = """
-SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN s || '.50' WHEN 2 THEN s || '.0' WHEN 3 THEN ' X' || s WHEN 4 THEN s || 'e2'
+SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN s || '.50' WHEN 2 THEN s || '.0' WHEN 3 THEN ' X' || s WHEN 4 THEN s || 'e2' WHEN 7 THEN s || CASE WHEN l_suppkey % 2 = 0 THEN 'e28' ELSE 'e-20' END
        WHEN 5 THEN s || '000000.250' WHEN 6 THEN '' END AS CQ_CODE
-FROM (SELECT l_orderkey, l_linenumber, cast(l_partkey AS string) AS s FROM {lineitem}) AS codes"""
+FROM (SELECT l_orderkey, l_linenumber, l_suppkey, cast(l_partkey AS string) AS s FROM {lineitem}) AS codes"""
 RAW_DATES = """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'no date ' || o_orderpriority ELSE cast(o_orderdate AS string) END AS PROD_DATE FROM {orders}"""
 INSERTS = """
@@ -212,6 +212,7 @@ REGISTERED: dict[str, Callable[[Board], DataFrame]] = {
     "op_rollup_operator": lambda b: card.op_rollup(b.op_week, ONE_OPERATOR),
     "kpi_banded": lambda b: card.kpi_summary(b.op_week, b.leak_tests),
     "kpi_banded_filtered": lambda b: card.kpi_summary(b.op_week_fin, b.leak_tests, UNIT_AND_WEEK),
+    "kpi_period": lambda b: card.kpi_summary(b.op_week.limit(0), b.leak_tests, UNIT_AND_WEEK, period=agg.agg_top_performers(*b.facts)),
     "breakdown_bc": lambda b: card.breakdown(agg.donut_cells(b.star.fact_conf_bc), "1", "bc"),
     "breakdown_ac": lambda b: card.breakdown(agg.donut_cells(b.star.fact_conf_ac), "2", "ac", SELECTION),
     "breakdown_codes": lambda b: card.category_totals(
@@ -221,6 +222,7 @@ REGISTERED: dict[str, Callable[[Board], DataFrame]] = {
     "trend_live": lambda b: card.weekly_trend(b.op_week, SELECTION),
     "trend_with_rft": lambda b: card.weekly_trend_from_periods(b.trend, b.uniformity(CONFECTION), UNIT_AND_WEEK),
     "trend_with_rft_all": lambda b: card.weekly_trend_from_periods(b.trend_fin, b.uniformity("Finishing")),
+    "trend_fallback": lambda b: card.trend(None, b.trend, b.uniformity(CONFECTION), UNIT_AND_WEEK),
     "quality_top": lambda b: card.quality_top(card.op_rollup(b.op_week)),
     "scrap_top": lambda b: card.scrap_top(card.op_rollup(b.op_week, SELECTION)),
     "rankings": lambda b: card.rankings(card.op_rollup(b.op_week_fin), 15),
@@ -228,6 +230,8 @@ REGISTERED: dict[str, Callable[[Board], DataFrame]] = {
     "leak_stations": lambda b: card.leaks_by(b.leak_tests, "COUNTER_VERIFIER_ID", LEAK_SELECTION),
     "leak_shifts": lambda b: card.leaks_by(b.leak_tests, "SHIFT", n=None),
     "leak_trend": lambda b: card.leak_trend(b.leak_tests),
+    "leak_trend_filtered": lambda b: card.leak_trend(b.leak_tests, LEAK_SELECTION),
+    "leak_kpis_filtered": lambda b: card.leak_kpis(b.leak_tests, LEAK_SELECTION),
     "leak_worst": lambda b: card.leak_worst(b.leak_tests),
     "leak_trend_by_id": lambda b: factboard.leak_trend_by_id(b.leak_tests),
     "leak_worst_known": lambda b: factboard.leak_worst_known(b.leak_tests),
@@ -242,10 +246,10 @@ REGISTERED: dict[str, Callable[[Board], DataFrame]] = {
     "clean_log": lambda b: log.clean_log(b.read("BC_Cage_Log").drop("LINE_NO"), "DATE_REMOVED"),
     "clean_report": lambda b: log.clean_report(b.read("BC_Cage_Log"), "DATE_REMOVED", carry=["LINE_NO"]),
     "log_row_id": lambda b: b.saved_log(),
-    "grid_filter": lambda b: log.grid_query(b.saved_log(), {"DISPOSITION": "1-URGENT", "QUANTITY": "1"}, sort="QUANTITY"),
+    "grid_filter": lambda b: log.grid_query(b.saved_log(), {"DISPOSITION": "1-URGENT", "QUANTITY": "1"}, sort="QUANTITY", exact=("DISPOSITION",)),
     "grid_search": lambda b: log.grid_query(b.saved_log(), {"Status": "Closed"}, search="r1", sort="RACK_ID"),
     "grid_sort": lambda b: log.grid_query(b.saved_log(), sort="RACK_ID", descending=True),
-    "grid_counts": lambda b: log.grid_counts(b.saved_log(), {"DISPOSITION": "1-URGENT", "QUANTITY": "1"}),
+    "grid_counts": lambda b: log.grid_counts(b.saved_log(), {"DISPOSITION": "1-URGENT", "QUANTITY": "1"}, exact=("DISPOSITION",)),
     "suggestions": lambda b: log.suggestions(b.clean_rows.drop("LINE_NO")),
     "apply_changes": lambda b: log.apply_changes(b.saved_log(), _raw(b, INSERTS), _raw(b, UPDATES), date_removed="DATE_REMOVED"),
     "profile_table": _profile,

@@ -21,14 +21,23 @@ NO_SPACE = r"^[!-~]+$"
 def number_text(number: Column) -> Column:
     """Plain decimal text of a double without trailing zeros.
 
-    Spark writes doubles outside 1e-3..1e7 with exponents; those go through a
-    decimal. There, more than ten decimals are out of contract, and 1e28 and
-    beyond give NULL.
+    Spark writes doubles outside 1e-3..1e7 with exponents. Those go through a decimal
+    that holds all their digits; 1e28 and more, and less than 1e-10, keep an exponent,
+    so that no two numbers share a text and none is lost.
     """
     size = F.abs(number)
     direct = ((size >= 1e-3) & (size < 1e7)) | (number == 0)
-    text = F.when(direct, number.cast("string")).otherwise(number.try_cast("decimal(38,10)").cast("string"))
-    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    plain = F.when(direct, number.cast("string")).when(size < 1, number.try_cast("decimal(38,27)").cast("string")).otherwise(number.try_cast("decimal(38,10)").cast("string"))
+    text = F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
+    exponent = F.regexp_replace(F.regexp_replace(F.lower(number.cast("string")), r"\.0e", "e"), r"e(\d)", "e+$1")
+    return F.when((size >= 1e28) | (size < 1e-10) & (number != 0), exponent).otherwise(text)
+
+
+def _long_number(text: Column) -> Column:
+    """Whole part of a number written with 16 to 37 digits before any point, else NULL."""
+    found = F.regexp_extract(text, r"^\s*(-?)\+?0*([1-9]\d{15,36})(?:\.\d*)?\s*$", 1)
+    digits = F.regexp_extract(text, r"^\s*-?\+?0*([1-9]\d{15,36})(?:\.\d*)?\s*$", 1)
+    return F.when(digits != "", F.concat(found, digits))
 
 
 def _bare_id(column: Column, data_type: T.DataType, mode: str) -> Column:
@@ -42,8 +51,9 @@ def _bare_id(column: Column, data_type: T.DataType, mode: str) -> Column:
         stripped = F.when(text.rlike(NO_SPACE), text).otherwise(strip(text))
         bare = F.regexp_replace(stripped, r"\.0+$", "")
     else:
-        # The second try is for spaces outside ASCII; most ids need the first only.
-        tries = [to_number(t, T.StringType()).try_cast("bigint").cast("string") for t in (text, strip(text))]
+        # The second try is for spaces outside ASCII; most ids need the first only. A whole
+        # number of more digits than a double holds is read as a decimal.
+        tries = [t for tried in (text, strip(text)) for t in (_long_number(tried), to_number(tried, T.StringType()).try_cast("bigint").cast("string"))]
         bare = F.coalesce(*tries, strip(text))
     # Most ids are in their final form already.
     return F.when(text.rlike(FINAL_ID), text).otherwise(bare)
@@ -53,8 +63,8 @@ def normalized_ids(df: DataFrame, source: str = "OP_ID", mode: str = "numeric",
     """Operator ids of ``source`` padded to six characters, as ``target``.
 
     ``numeric``: anything that reads as a number is cut to its whole part first
-    (``12.7`` and ``1e3`` become ``000012`` and ``001000``); numbers of more
-    than 18 digits are out of contract.
+    (``12.7`` and ``1e3`` become ``000012`` and ``001000``), also numbers of
+    more digits than a double holds, up to 37.
     ``text``: only a trailing ``.0`` is dropped, the rest is kept as written.
     """
     if mode not in ("numeric", "text"):

@@ -10,9 +10,7 @@ from pyspark.sql import types as T
 # or hexadecimal floats, which are codes rather than numbers here.
 NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 
-# Sums of doubles depend on the order of addition; past this many decimals the
-# digits are noise, and dropping them makes results independent of partitioning.
-SUM_DIGITS = 6
+AMOUNT_TYPE = "decimal(38,9)"
 
 
 def is_floating(data_type: T.DataType) -> bool:
@@ -53,8 +51,9 @@ def ratio_or_zero(numerator: Column, denominator: Column, digits: int | None = 3
 
 
 def total(column: Column) -> Column:
-    """Sum of a double measure: 0 when there is nothing to add, noise digits dropped."""
-    return F.bround(F.coalesce(F.sum(column), F.lit(0.0)), SUM_DIGITS)
+    """Sum of a measure as decimals, which no order of addition changes: 0 when there
+    is nothing to add. Measures have up to nine decimals."""
+    return F.coalesce(F.sum(column.cast(AMOUNT_TYPE)).cast("double"), F.lit(0.0))
 
 
 def total_count(column: Column) -> Column:

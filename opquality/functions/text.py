@@ -12,9 +12,6 @@ WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" + "".join(
 )
 OPEN, CLOSED = "Open", "Closed"
 
-# Digit runs are left-padded to this width for natural ordering.
-DIGIT_WIDTH = 30
-
 
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
@@ -56,6 +53,16 @@ def leading_number(text: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Lower-cased text whose digit runs compare by value."""
-    widened = F.regexp_replace(F.lower(text), r"(\d+)", "0" * DIGIT_WIDTH + "$1")
-    return F.regexp_replace(widened, r"\d*(\d{%d})" % DIGIT_WIDTH, "$1")
+    """Lower-cased text whose digit runs compare by value, however long they are.
+
+    A run becomes its number of digits without leading zeros, itself as a run with that
+    many digits of its own, and then the digits: longer numbers follow shorter ones.
+    """
+    pieces = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
+
+    def keyed(piece: Column) -> Column:
+        digits = F.ltrim(piece, F.lit("0"))
+        size = F.length(digits).cast("string")
+        return F.when(piece.rlike(r"^\d"), F.concat(F.lpad(F.length(size).cast("string"), 2, "0"), size, digits)).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, keyed), "")

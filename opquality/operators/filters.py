@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opquality.functions.text import strip
 
+def text_id(value: str) -> str:
+    """An operator id as the tables of this engine hold it: without a trailing ``.0``,
+    padded to six characters."""
+    return re.sub(r"\.0+$", "", str(value).strip()).zfill(6)
+
+
 CONFECTION, FINISHING = "Confection", "Finishing"
 
 
@@ -44,7 +52,9 @@ class Filters:
             if values and name:
                 df = df.where(_in(df, name, values))
         if self.op_id and "OP_ID" in df.columns:
-            df = df.where(F.col("OP_ID").cast("string") == str(self.op_id))
+            # A plain comparison, which reaches the files of a table.
+            text = isinstance(df.schema["OP_ID"].dataType, T.StringType)
+            df = df.where((F.col("OP_ID") if text else F.col("OP_ID").cast("string")) == text_id(self.op_id))
         return df
 
 

@@ -8,14 +8,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# A lookup is broadcast only when a count has shown it to be within both limits.
-MAX_BROADCAST_ROWS = 1_000_000
-MAX_BROADCAST_BYTES = 128 * 1024 * 1024
-
-# Beyond them each fact row takes one of this many copies of its lookup row.
-SALTS = 16
+# Rows without a key match nothing; they are dealt to this many places instead of one.
+NO_KEY_PLACES = 1024
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
@@ -35,45 +30,30 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] =
     return best.select(*[F.col(c) if c in keys else values[c] for c in df.columns])
 
 
-def within_broadcast_limits(df: DataFrame) -> bool:
-    """Count the rows and bytes of a side before allowing it to be broadcast."""
-    def width(field: T.StructField):
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
-        return F.lit(16)
-
-    row_bytes = reduce(lambda a, b: a + b, [width(f) for f in df.schema.fields])
-    rows, size = df.agg(F.count(F.lit(1)), F.sum(row_bytes.cast("long"))).first()
-    return rows <= MAX_BROADCAST_ROWS and (size or 0) <= MAX_BROADCAST_BYTES
-
-
 @dataclass(frozen=True)
 class Lookup:
-    """A keyed side table together with the checked decision how to join it.
+    """A keyed side table with one row per key, which is what makes the left join keep
+    the number of fact rows.
 
-    ``unique_keys`` promises one row per key; it is what makes the left join
-    keep the number of fact rows.
+    How to join is left to Spark: it broadcasts the table if its size, known before or
+    measured at run time, is below ``spark.sql.autoBroadcastJoinThreshold``, and splits
+    the facts of a hot key otherwise. Building a join starts no job.
     """
 
     table: DataFrame
     keys: tuple[str, ...]
-    small: bool
 
     @classmethod
     def of(cls, table: DataFrame, *keys: str) -> "Lookup":
-        """Rows without a key do no harm: they never match in an equi-join."""
-        return cls(table, keys, within_broadcast_limits(table))
+        return cls(table, keys)
 
     def select(self, *columns: str) -> "Lookup":
-        return Lookup(self.table.select(*columns), self.keys, self.small)
+        return Lookup(self.table.select(*columns), self.keys)
 
     def left_join(self, facts: DataFrame) -> DataFrame:
-        keys = list(self.keys)
-        if self.small:
-            return facts.join(F.broadcast(self.table), keys, "left")
-        # The salt depends only on which map task holds the row, so a retried
-        # task deals its rows out the same way.
-        salted = facts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-        copies = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-        replicated = self.table.withColumn("_salt", copies)
-        return salted.join(replicated, keys + ["_salt"], "left").drop("_salt")
+        """Facts without a key keep NULLs and are spread, so that they meet in no task."""
+        no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in self.keys])
+        place = F.pmod(F.monotonically_increasing_id(), F.lit(NO_KEY_PLACES)) + 1
+        spread = facts.withColumn("_place", F.when(no_key, place).otherwise(F.lit(0).cast("long")))
+        table = self.table.withColumn("_place", F.lit(0).cast("long"))
+        return spread.join(table, [*self.keys, "_place"], "left").drop("_place")

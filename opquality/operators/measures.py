@@ -64,10 +64,9 @@ def with_share_of_total(
 
     Both are NULL where a ``by`` column is missing. The totals are aggregated
     and joined back, so a group of any size is never gathered in one task.
-    ``cells`` should be shared: it is read for the totals and for the rows.
     """
     totals = cells.groupBy(*by).agg(add_up(F.col(value)).alias(total_name))
-    joined = Lookup.of(totals, *by).left_join(cells)
+    joined = Lookup(totals, tuple(by)).left_join(cells)
     return joined.select(*cells.columns, total_name).withColumn(
         share_name, ratio(F.col(value), F.col(total_name), digits)
     )

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opquality.functions.numbers import half_even
-from opquality.operators.sharing import share
 
 SCORE_DIGITS = 2
 
@@ -17,18 +16,20 @@ SCORE_DIGITS = 2
 def normalized(frame: DataFrame, terms: Mapping[str, Column]) -> DataFrame:
     """Adds each term rescaled to 0..1 over the whole frame; a constant term is 0.
 
-    ``frame`` should be shared: the bounds come from a one-row subquery on it.
+    The bounds are one row, from the shuffle that ``frame`` itself has.
     """
     bounds = []
     for name, term in terms.items():
         bounds += [F.min(term).alias(f"{name}_lo"), F.max(term).alias(f"{name}_hi")]
-    limits = frame.agg(F.struct(*bounds)).scalar()
+    limits = frame.agg(*bounds).withColumn("_one", F.lit(1))
 
     def rescale(name: str, term: Column) -> Column:
-        low, high = limits[f"{name}_lo"], limits[f"{name}_hi"]
+        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         return F.when(high == low, F.lit(0.0)).otherwise((term - low) / F.nullif(high - low, F.lit(0.0)))
 
-    return frame.withColumns({name: rescale(name, term) for name, term in terms.items()})
+    # one row of limits
+    bounded = frame.withColumn("_one", F.lit(1)).join(F.broadcast(limits), "_one")
+    return bounded.select(*[F.col(c) for c in frame.columns], *[rescale(name, term).alias(name) for name, term in terms.items()])
 
 
 def scored(frame: DataFrame, terms: Mapping[str, Column]) -> DataFrame:
@@ -58,8 +59,8 @@ def ranked(frame: DataFrame, score: str = "QUALITY_SCORE", eligible: str = "RANK
 def scored_and_ranked(frame: DataFrame, terms: Mapping[str, Column], min_volume: float = 100, volume: str = "TIRES_BUILT") -> DataFrame:
     """RANKABLE, the rescaled terms, QUALITY_SCORE and RANK on an aggregated frame.
 
-    Bounds and ranks run over all rows, so the frame is computed once and shared.
+    Bounds, ranks and rows all read the aggregate ``frame``, whose shuffle Spark
+    runs once.
     """
     rankable = F.coalesce(F.col(volume) >= min_volume, F.lit(False))
-    shared = share(frame.withColumn("RANKABLE", rankable))
-    return ranked(scored(shared, terms))
+    return ranked(scored(frame.withColumn("RANKABLE", rankable), terms))

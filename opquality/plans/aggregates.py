@@ -12,7 +12,6 @@ from opquality.operators.filters import CONFECTION, FINISHING, of_step, with_cod
 from opquality.operators.lookup import Lookup, first_per_key
 from opquality.operators.measures import AMOUNT, COUNT, combine, combine_onto, stack, sums, best_per_item, with_share_of_total
 from opquality.operators.scoring import scored_and_ranked
-from opquality.operators.sharing import share
 from opquality.plans.star import repair_flag, rft_flag
 from opquality.sources.columns import column_type, upper_columns
 
@@ -80,7 +79,7 @@ def agg_donut(events: DataFrame) -> DataFrame:
     The share divides a week's count by the total of all weeks.
     """
     keys = [*CELL_KEYS, *CODE_KEYS]
-    slices = with_share_of_total(share(donut_cells(events)), "CQ_COUNT", total_count, ["BU", "CREW"], "BU_CREW_TOTAL", "PCT_OF_SLICE")
+    slices = with_share_of_total(donut_cells(events), "CQ_COUNT", total_count, ["BU", "CREW"], "BU_CREW_TOTAL", "PCT_OF_SLICE")
     return slices.orderBy(F.desc("CQ_COUNT"), *keys)
 
 
@@ -93,7 +92,7 @@ def agg_donut_scrap(scrap: DataFrame) -> DataFrame:
         F.count("OP_ID").alias("EVENTS"),
     )
     cells = cells.withColumn("LBS_PER_TIRE", ratio(F.col("SCRAP_LBS"), F.col("TIRES"), scale=1.0))
-    slices = with_share_of_total(share(cells), "SCRAP_LBS", total, ["BU", "CREW"], "BU_CREW_TOTAL", "PCT_OF_SLICE")
+    slices = with_share_of_total(cells, "SCRAP_LBS", total, ["BU", "CREW"], "BU_CREW_TOTAL", "PCT_OF_SLICE")
     return slices.orderBy(F.desc_nulls_last("SCRAP_LBS"), *keys)
 
 
@@ -237,8 +236,7 @@ def agg_operator_week(
 def _with_identity(counts: DataFrame, prod: DataFrame) -> DataFrame:
     """Name, unit and crew of each operator, from rows that carry a name, which
     sort before those that do not."""
-    seen = prod.select("OP_ID", "OPERATOR_NAME", "BU", "CREW").distinct()
-    first = first_per_key(seen, ["OP_ID"])
+    first = first_per_key(prod.select("OP_ID", "OPERATOR_NAME", "BU", "CREW"), ["OP_ID"])
     named = F.col("OPERATOR_NAME").isNotNull()
     identity = first.select(
         "OP_ID", "OPERATOR_NAME", F.when(named, F.col("BU")).alias("BU"), F.when(named, F.col("CREW")).alias("CREW")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,6 @@ from opquality.functions.numbers import to_number
 from opquality.functions.text import (
     CLOSED, blank_to_null, contains_ignoring_case, is_blank, leading_number, natural_key, status_of,
 )
-from opquality.operators.lookup import within_broadcast_limits
 from opquality.operators.numbering import dense_numbers
 from opquality.operators.topk import top, with_position
 from opquality.sources.columns import col
@@ -39,12 +39,6 @@ LOG_COLUMNS = (
 )
 KEY, STATUS, DATE_REMOVED = "row_id", "Status", "Date Removed"
 
-# Most distinct values offered as suggestions and as a dropdown,
-# and most rows shown at once.
-MAX_SUGGESTIONS = 500
-MAX_DROPDOWN = 40
-MAX_SHOWN = 1500
-
 
 def clean_log(log: DataFrame, date_removed: str = DATE_REMOVED, carry: Sequence[str] = ()) -> DataFrame:
     """Drops rows that are blank throughout, strips text, blanks to NULL, adds
@@ -77,53 +71,41 @@ def add_row_id(log: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
     return dense_numbers(log, [col(c).asc_nulls_last() for c in order_by], KEY)
 
 
-def suggestions(log: DataFrame, limit: int = MAX_SUGGESTIONS) -> DataFrame:
-    """Distinct values per column, most frequent first, for columns that have at
-    most ``limit`` of them.
-
-    A sketch pass first leaves out columns far beyond the limit, so that free
-    text is not shuffled; the exact limit is applied to what remains.
-    """
+def suggestions(log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct values per column, most frequent first; with a limit, only of columns
+    that have at most so many of them."""
     text = as_text(log)
     values = text.select(*[blank_to_null(col(c)).alias(c) for c in text.columns])
-    sketch = values.agg(*[F.approx_count_distinct(col(c), 0.02).alias(c) for c in values.columns]).first()
-    names = [c for c in values.columns if 0 < sketch[c] <= 2 * limit]
-    schema = T.StructType([T.StructField("COLUMN", T.StringType()), T.StructField("VALUE", T.StringType()), T.StructField("FREQUENCY", T.LongType())])
-    if not names:
-        return log.sparkSession.createDataFrame([], schema)
-    cells = values.unpivot([], [col(c) for c in names], "COLUMN", "VALUE").where(F.col("VALUE").isNotNull())
+    cells = values.unpivot([], [col(c) for c in values.columns], "COLUMN", "VALUE").where(F.col("VALUE").isNotNull())
     counts = cells.groupBy("COLUMN", "VALUE").agg(F.count(F.lit(1)).alias("FREQUENCY"))
-    # one row per column of the log
-    short = counts.groupBy("COLUMN").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= limit).select("COLUMN")
-    kept = counts.join(F.broadcast(short), "COLUMN")
-    return kept.orderBy("COLUMN", F.desc("FREQUENCY"), "VALUE")
+    if limit is not None:
+        # one row per column of the log
+        short = counts.groupBy("COLUMN").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= limit).select("COLUMN")
+        counts = counts.join(F.broadcast(short), "COLUMN")
+    return counts.orderBy("COLUMN", F.desc("FREQUENCY"), "VALUE")
 
 
-def dropdown_columns(log: DataFrame, names: Iterable[str], limit: int = MAX_DROPDOWN) -> set[str]:
-    """Of the given columns those filtered by exact choice: the status, and
-    columns with few distinct values."""
+def distinct_counts(log: DataFrame, names: Iterable[str]) -> dict[str, int]:
+    """Distinct filled values of some columns, for a caller that chooses which of them
+    to filter by exact value."""
     asked = [n for n in names if n in log.columns]
-    plain = [n for n in asked if n != STATUS]
-    few = set()
-    if plain:
-        rows = suggestions(log.select(*[col(n) for n in plain]), limit).select("COLUMN").distinct().collect()
-        few = {r["COLUMN"] for r in rows}
-    return few | ({STATUS} & set(asked))
+    counts = suggestions(log.select(*[col(n) for n in asked])).groupBy("COLUMN").count().collect() if asked else []
+    return {n: 0 for n in asked} | {r["COLUMN"]: r["count"] for r in counts}
 
 
 def _shown_text(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(""))
 
 
-def grid_predicate(log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", exact: Iterable[str] | None = None, key: str = KEY) -> Column:
+def grid_predicate(log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", exact: Iterable[str] = (STATUS,), key: str = KEY) -> Column:
     """True for rows matching every column filter and, in some visible column,
     the search.
 
-    Dropdown columns compare exactly, the others by case-insensitive
-    containment. ``exact`` spares finding out which columns are dropdowns.
+    The columns in ``exact`` compare by their whole text, the others by
+    case-insensitive containment, however many values they have.
     """
     wanted = {n: v.strip() for n, v in (column_filters or {}).items() if v and v.strip()}
-    chosen = set(exact) if exact is not None else dropdown_columns(log, wanted)
+    chosen = set(exact)
     tests = [F.lit(True)]
     for name, value in wanted.items():
         text = _shown_text(name)
@@ -135,7 +117,7 @@ def grid_predicate(log: DataFrame, column_filters: Mapping[str, str] | None = No
     return reduce(lambda a, b: a & b, tests)
 
 
-def grid_filter(log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", exact: Iterable[str] | None = None, key: str = KEY) -> DataFrame:
+def grid_filter(log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", exact: Iterable[str] = (STATUS,), key: str = KEY) -> DataFrame:
     return log.where(grid_predicate(log, column_filters, search, exact, key))
 
 
@@ -155,28 +137,33 @@ def natural_order(descending: bool = False) -> list[Column]:
 
 def grid_query(
     log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", sort: str | None = None,
-    descending: bool = False, limit: int = MAX_SHOWN, exact: Iterable[str] | None = None, key: str = KEY,
+    descending: bool = False, limit: int | None = None, exact: Iterable[str] = (STATUS,), key: str = KEY,
 ) -> DataFrame:
-    """The page of rows the grid shows, numbered from 1; ties keep key order.
+    """The matching rows in order, numbered from 1; ties keep key order. With a
+    limit, the first page of them.
 
-    Sort keys are columns: as expressions they would be redone per comparison.
+    Sort keys are columns: as expressions they would be redone per comparison. All
+    rows are numbered by ranges, a page by a window over it.
     """
     rows = grid_filter(log, column_filters, search, exact, key)
     keys = natural_keys(sort) if sort else {}
     order = (natural_order(descending) if sort else []) + [F.asc(key)]
-    return with_position(top(rows.withColumns(keys), limit, *order), *order).drop(*keys)
+    keyed = rows.withColumns(keys)
+    numbered = dense_numbers(keyed, order, "POSITION") if limit is None else with_position(top(keyed, limit, *order), *order)
+    return numbered.select(*[col(c) for c in rows.columns], "POSITION")
 
 
 def grid_counts(
-    log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", limit: int = MAX_SHOWN,
-    exact: Iterable[str] | None = None, key: str = KEY,
+    log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", limit: int | None = None,
+    exact: Iterable[str] = (STATUS,), key: str = KEY,
 ) -> DataFrame:
     """How many rows match, are shown and exist, in one pass."""
     counts = log.agg(
         F.count_if(grid_predicate(log, column_filters, search, exact, key)).alias("MATCHED"),
         F.count(F.lit(1)).alias("TOTAL"),
     )
-    return counts.withColumn("SHOWN", F.least(F.col("MATCHED"), F.lit(limit).cast("long")))
+    shown = F.col("MATCHED") if limit is None else F.least(F.col("MATCHED"), F.lit(limit).cast("long"))
+    return counts.withColumn("SHOWN", shown)
 
 
 def _values(changes: DataFrame, base: DataFrame, key: str, status: str, date_removed: str) -> dict[str, Column]:
@@ -237,8 +224,6 @@ def apply_changes(
             F.struct(col(order).alias("_order"), new_row.alias("_row")).alias("_change"),
         ).where(F.col("_key").isNotNull())
         last = keyed.groupBy("_key").agg(F.max("_change")["_row"].alias("_row"))
-        if within_broadcast_limits(updates):
-            last = F.broadcast(last)
         joined = rows.join(last, rows[key].cast("long") == F.col("_key"), "left")
         hit = F.col("_key").isNotNull()
         rows = joined.select(
@@ -255,20 +240,37 @@ def change_counts(inserts: DataFrame | None, updates: DataFrame | None) -> dict[
     }
 
 
+class SaveConflict(Exception):
+    """Another writer has saved since the log was read; nothing was changed."""
+
+
+COMMIT = "version int, folder string, inserted long, updated long"
+
+
+def _latest(spark: SparkSession, path: str) -> tuple[int, str]:
+    """Number and folder of the last committed version; 0 if nothing was ever saved."""
+    try:
+        commits = spark.read.schema(COMMIT).parquet(f"{path}/commits")
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return 0, ""
+        raise
+    last = commits.agg(F.max(F.struct("version", "folder")).alias("last")).first()["last"]
+    if last is None:
+        raise ValueError(f"{path}/commits names no version")
+    return last["version"], last["folder"]
+
+
 def current_version(spark: SparkSession, path: str) -> int:
     """Number of the last committed version of a saved log, 0 if there is none."""
-    try:
-        commits = spark.read.parquet(f"{path}/commits")
-    except AnalysisException:
-        return 0
-    return commits.agg(F.max("version")).first()[0] or 0
+    return _latest(spark, path)[0]
 
 
 def load_log(spark: SparkSession, path: str, original: DataFrame) -> DataFrame:
     """The saved log if it has rows, else the original import."""
-    version = current_version(spark, path)
+    version, folder = _latest(spark, path)
     if version:
-        saved = spark.read.parquet(f"{path}/v={version}")
+        saved = spark.read.parquet(f"{path}/{folder}")
         if not saved.isEmpty():
             return saved
     return original
@@ -278,13 +280,19 @@ def save_changes(spark: SparkSession, path: str, original: DataFrame, inserts: D
     """Applies a change set all or nothing.
 
     The result goes to a new version folder; only the commit row appended
-    afterwards makes it current, so a failed job leaves the log as it was.
-    One writer at a time.
+    afterwards makes it current, so a failed job leaves the log as it was. The
+    version folder has a name of its own: of two writers that began from the same
+    version, the second to commit fails with ``SaveConflict``.
     """
-    changed = apply_changes(load_log(spark, path, original), inserts, updates, **options)
     version = current_version(spark, path) + 1
-    changed.write.mode("overwrite").parquet(f"{path}/v={version}")
+    changed = apply_changes(load_log(spark, path, original), inserts, updates, **options)
     counts = change_counts(inserts, updates)
-    commit = spark.createDataFrame([(version, counts["inserted"], counts["updated"])], "version int, inserted long, updated long")
-    commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    folder = f"v={version}-{uuid4().hex}"
+    changed.write.mode("error").parquet(f"{path}/{folder}")
+    commit = spark.createDataFrame([(version, folder, counts["inserted"], counts["updated"])], COMMIT)
+    try:
+        # A folder per version: it exists if another writer has committed this one.
+        commit.coalesce(1).write.mode("error").parquet(f"{path}/commits/n={version}")
+    except AnalysisException as problem:
+        raise SaveConflict(f"version {version} was saved by another writer") from problem
     return counts

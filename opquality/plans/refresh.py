@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import cache
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from opquality.operators.filters import CONFECTION, FINISHING
 from opquality.plans import aggregates as agg
 from opquality.plans.star import DEFAULT_MIN_PROD_DATE, Star
 from opquality.sources.readers import Catalog
+from opquality.sources.writers import overwrite_table
 
 FACTS = ("fact_first_step", "fact_second_step", "fact_conf_bc", "fact_conf_ac", "fact_nc_scrap", "fact_uniformity")
 PARTITION_COLUMNS = ("PROD_YEAR", "PROD_WEEK")
@@ -26,13 +26,12 @@ class RefreshFailed(Exception):
 
 
 def _write(df: DataFrame, path: str, partitioned: bool) -> None:
+    # Rows of a week go to the same files; rebalancing splits a heavy week
+    # over several tasks and merges light ones.
     if partitioned:
-        # Rows of a week go to the same files; rebalancing splits a heavy week
-        # over several tasks and merges light ones.
-        df = df.hint("rebalance", *PARTITION_COLUMNS)
-        df.write.mode("overwrite").partitionBy(*PARTITION_COLUMNS).parquet(path)
+        overwrite_table(df.hint("rebalance", *PARTITION_COLUMNS), path, PARTITION_COLUMNS)
     else:
-        df.write.mode("overwrite").parquet(path)
+        overwrite_table(df, path)
 
 
 def refresh(
@@ -42,7 +41,8 @@ def refresh(
     """Builds dimension, facts and aggregates in dependency order into ``out``.
 
     Each step reads what earlier steps wrote. A table that fails does not stop
-    the others; all failures are raised together at the end. The period
+    the others, but those that read it are not built from an old one: they fail
+    too. All failures are raised together at the end. The period
     aggregates, superseded by the operator-by-week tables, are optional.
     """
     options = {"min_date": min_date, "formats": formats}
@@ -51,12 +51,12 @@ def refresh(
     def star() -> Star:
         return Star(sources, published_dim=out.read("dim_operator"), **options)
 
-    def of(build: Callable[..., DataFrame], *inputs: str) -> Callable[[], DataFrame]:
-        return lambda: build(*[out.read(i) for i in inputs])
+    def of(build: Callable[..., DataFrame], *inputs: str) -> tuple[Callable[[], DataFrame], tuple[str, ...]]:
+        return lambda: build(*[out.read(i) for i in inputs]), inputs
 
     first, second, bc, ac, scrap, uni = FACTS
-    steps: dict[str, Callable[[], DataFrame]] = {"dim_operator": lambda: Star(sources, **options).dim_operator}
-    steps |= {name: (lambda name=name: getattr(star(), name)) for name in FACTS}
+    steps: dict[str, tuple[Callable[[], DataFrame], tuple[str, ...]]] = {"dim_operator": (lambda: Star(sources, **options).dim_operator, ())}
+    steps |= {name: (lambda name=name: getattr(star(), name), ("dim_operator",)) for name in FACTS}
     steps |= {
         "agg_donut_bc": of(agg.agg_donut, bc),
         "agg_donut_ac": of(agg.agg_donut, ac),
@@ -69,19 +69,23 @@ def refresh(
             "agg_kpi_summary": of(agg.agg_kpi_summary, first, bc, ac, scrap),
             "agg_weekly_trend": of(agg.agg_weekly_trend, "agg_kpi_summary"),
             "agg_weekly_trend_fin": of(agg.agg_weekly_trend_fin, second, bc, ac),
-            "agg_uniformity": lambda: agg.agg_uniformity(sources.read("uniformity_breakdown"), star().operators, CONFECTION),
-            "agg_uniformity_fin": lambda: agg.agg_uniformity(sources.read("uniformity_breakdown"), star().operators, FINISHING),
+            "agg_uniformity": (lambda: agg.agg_uniformity(sources.read("uniformity_breakdown"), star().operators, CONFECTION), ("dim_operator",)),
+            "agg_uniformity_fin": (lambda: agg.agg_uniformity(sources.read("uniformity_breakdown"), star().operators, FINISHING), ("dim_operator",)),
             "agg_top_performers": of(agg.agg_top_performers, first, bc, ac, scrap),
             "agg_top_performers_fin": of(agg.agg_top_performers_fin, second, bc, ac, scrap, uni),
         }
     built, failures = [], {}
-    for name, build in steps.items():
+    for name, (build, inputs) in steps.items():
+        missing = [i for i in inputs if i in failures]
+        if missing:
+            failures[name] = "not built, for want of " + ", ".join(missing)
+            continue
         try:
             _write(build(), out.path(name), partition_facts and name in FACTS)
             out.forget(name)
             built.append(name)
-        except (PySparkException, ValueError) as problem:
-            failures[name] = str(problem)
+        except Exception as problem:  # whatever stops a step, the others go on
+            failures[name] = f"{type(problem).__name__}: {problem}"
     if failures:
         raise RefreshFailed(failures)
     return built

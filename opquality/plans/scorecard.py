@@ -14,7 +14,6 @@ from opquality.functions.numbers import band, ratio, ratio_or_zero, total, total
 from opquality.operators.filters import CONFECTION, FINISHING, Filters, of_step_or_all
 from opquality.operators.measures import AMOUNT, COUNT, combine_onto, stack, sums
 from opquality.operators.scoring import scored_and_ranked
-from opquality.operators.sharing import share
 from opquality.operators.topk import top, top_with_other, with_position
 from opquality.plans.aggregates import WEEK_KEYS, percentages
 from opquality.sources.columns import upper_columns
@@ -36,6 +35,8 @@ BREAKDOWN_COLUMNS = ("CQ_TYPE_TIER", "CQ_DESCRIPTION", "CQ_CODE_STR")
 
 
 def with_text_ids(df: DataFrame) -> DataFrame:
+    """For tables that others wrote. Those of this engine hold their ids in this form
+    and are read as they are, so that filters reach their files."""
     return normalized_ids(upper_columns(df), mode="text")
 
 
@@ -52,8 +53,8 @@ def op_rollup(op_week: DataFrame | None, filters: Filters = EVERYTHING, period:
     if op_week is None or (period is not None and not _available(op_week)):
         if period is None:
             raise ValueError("neither an operator-by-week table nor a period leaderboard is available")
-        return Filters(bus=filters.bus, crews=filters.crews, op_id=filters.op_id).apply(with_text_ids(period))
-    rows = filters.apply(with_text_ids(op_week))
+        return Filters(bus=filters.bus, crews=filters.crews, op_id=filters.op_id).apply(upper_columns(period))
+    rows = filters.apply(upper_columns(op_week))
     rolled = rows.groupBy(*IDENTITY).agg(
         total(F.col("TIRES_BUILT")).alias("TIRES_BUILT"),
         total_count(F.col("SHIFTS")).alias("SHIFTS_WORKED"),
@@ -100,12 +101,24 @@ def scored_named(rollup: DataFrame, n: int) -> DataFrame:
     return top(named, n, F.asc_nulls_last("QUALITY_SCORE"), F.asc("OP_ID"))
 
 
-def kpi_summary(op_week: DataFrame, leak_tests: DataFrame, filters: Filters = EVERYTHING) -> DataFrame:
+WEEK_FIGURES = ("TIRES_BUILT", "BC_COUNT", "AC_COUNT", "SCRAP_LBS", "UNI_TESTED", "UNI_RFT")
+
+
+def kpi_summary(op_week: DataFrame | None, leak_tests: DataFrame, filters: Filters = EVERYTHING, period: DataFrame | None = None) -> DataFrame:
     """One row of headline figures with their bands; empty selections give 0.
 
-    Both inputs are stacked and summed in one aggregate.
+    Both inputs are stacked and summed in one aggregate. With ``period`` given, that
+    leaderboard stands in (unit, crew and operator filters only) when there is no
+    operator-by-week table or it is empty; figures it lacks are 0.
     """
-    weeks = filters.apply(with_text_ids(op_week)).select("TIRES_BUILT", "BC_COUNT", "AC_COUNT", "SCRAP_LBS", "UNI_TESTED", "UNI_RFT")
+    if period is not None and not _available(op_week):
+        rows = Filters(bus=filters.bus, crews=filters.crews, op_id=filters.op_id).apply(upper_columns(period))
+        weeks = rows.select(*[n for n in WEEK_FIGURES if n in rows.columns])
+    elif op_week is None:
+        raise ValueError("neither an operator-by-week table nor a period leaderboard is available")
+    else:
+        weeks = filters.apply(upper_columns(op_week)).select(*WEEK_FIGURES)
+    weeks = weeks.withColumns({n: F.lit(0).cast("long") for n in WEEK_FIGURES if n not in weeks.columns})
     leaks = filters.apply(with_text_ids(leak_tests)).select(
         F.lit(1).cast("long").alias("VERIFIED"), F.col("IS_LEAK").cast("long").alias("LEAKS")
     )
@@ -137,10 +150,10 @@ def kpi_summary(op_week: DataFrame, leak_tests: DataFrame, filters: Filters = EV
 
 
 def folded(df: DataFrame, columns: Sequence[str], value: str) -> DataFrame:
-    """Totals per combination of the columns, computed once: a handful of rows
-    per code, which the choice of a breakdown then reads several times."""
+    """Totals per combination of the columns: a handful of rows per code, which the
+    choice of a breakdown then reads several times, by one shuffle."""
     names = [c for c in columns if c in df.columns]
-    return share(df.groupBy(*names).agg(F.sum(value).alias(value)))
+    return df.groupBy(*names).agg(F.sum(value).alias(value))
 
 
 def category_totals(df: DataFrame, candidates: Sequence[str], value: str, k: int = 6) -> DataFrame:
@@ -181,7 +194,7 @@ def _week_order(df: DataFrame, *names: str) -> DataFrame:
 
 def weekly_trend(op_week: DataFrame, filters: Filters = EVERYTHING) -> DataFrame:
     """Weekly percentages for the selection, from the operator-by-week table."""
-    weeks = filters.apply(with_text_ids(op_week)).groupBy(*WEEK_KEYS).agg(
+    weeks = filters.apply(upper_columns(op_week)).groupBy(*WEEK_KEYS).agg(
         total(F.col("TIRES_BUILT")).alias("TIRES"),
         total_count(F.col("BC_COUNT")).alias("BC"),
         total_count(F.col("AC_COUNT")).alias("AC"),
@@ -236,6 +249,16 @@ def weekly_trend_from_periods(trend: DataFrame, uniformity: DataFrame | None, fi
     )
 
 
+def trend(op_week: DataFrame | None, periods: DataFrame | None, uniformity: DataFrame | None = None, filters: Filters = EVERYTHING) -> DataFrame:
+    """The weekly trend from the operator-by-week table, or from the period aggregates
+    when that table is missing or empty."""
+    if _available(op_week):
+        return weekly_trend(op_week, filters)
+    if periods is None:
+        raise ValueError("neither an operator-by-week table nor a weekly trend is available")
+    return weekly_trend_from_periods(periods, uniformity, filters)
+
+
 def leak_kpis(leak_tests: DataFrame, filters: Filters = EVERYTHING) -> DataFrame:
     tests = filters.apply(with_text_ids(leak_tests))
     counts = tests.agg(F.count(F.lit(1)).alias("TESTED"), total_count(F.col("IS_LEAK")).alias("LEAKS"))

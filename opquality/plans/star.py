@@ -13,7 +13,7 @@ from opquality.functions.dates import calendar_parts, to_datetime
 from opquality.functions.ids import canonical_codes, dimension_key, normalized_ids
 from opquality.functions.numbers import nan_to_null
 from opquality.operators.filters import since
-from opquality.operators.lookup import Lookup, first_per_key, within_broadcast_limits
+from opquality.operators.lookup import Lookup, first_per_key
 from opquality.sources.columns import col, column_type, first_column, resolve_column, upper_columns
 from opquality.sources.readers import Catalog
 
@@ -61,13 +61,11 @@ def dim_operator(employees: DataFrame, bu: DataFrame) -> DataFrame:
     shared_names = [c for c in left.columns if c in right.columns and c != "OP_ID"]
     left = left.withColumnsRenamed({c: c + "_x" for c in shared_names})
     right = right.withColumnsRenamed({c: c + "_y" for c in shared_names} | {"OP_ID": "_BU_OP_ID"})
-    if within_broadcast_limits(right):
-        right = F.broadcast(right)
     return left.join(right, F.col("OP_ID").eqNullSafe(F.col("_BU_OP_ID")), "left").drop("_BU_OP_ID")
 
 
 def operator_lookup(dim: DataFrame) -> Lookup:
-    """One row per operator id, checked once for how it can be joined."""
+    """One row per operator id."""
     slim = upper_columns(dim).select(*OPERATOR_COLUMNS)
     slim = slim.withColumn("OP_ID", dimension_key(F.col("OP_ID")))
     return Lookup.of(first_per_key(slim, ["OP_ID"]), "OP_ID")
@@ -92,7 +90,7 @@ def _with_operator(facts: DataFrame, operators: Lookup) -> DataFrame:
     facts = facts.withColumnsRenamed({c: c + "_x" for c in clash})
     table = operators.table.withColumnsRenamed({c: c + "_y" for c in clash})
     added = [c for c in table.columns if c != "OP_ID"]
-    joined = Lookup(table, operators.keys, operators.small).left_join(facts)
+    joined = Lookup(table, operators.keys).left_join(facts)
     return joined.select(*[col(c) for c in facts.columns], *added)
 
 

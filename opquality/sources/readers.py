@@ -11,6 +11,14 @@ from pyspark.sql import types as T
 from opquality.sources.columns import project
 
 
+# Conditions under which a table is not there; any other failure is passed on.
+MISSING = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
+
+
+def is_missing(problem: AnalysisException) -> bool:
+    return (problem.getCondition() or "").startswith(MISSING)
+
+
 class Catalog:
     """Names to tables: ready DataFrames first, then parquet under ``root``,
     then tables or views of the session's catalog."""
@@ -43,8 +51,9 @@ class Catalog:
             for path in (self.path(name), self.path(name) + ".parquet"):
                 try:
                     return self.spark.read.parquet(path)
-                except AnalysisException:
-                    continue
+                except AnalysisException as problem:
+                    if not is_missing(problem):
+                        raise
         return self.spark.table(name)
 
     def read_first_available(self, *names: str, columns: Iterable[str] | None = None) -> DataFrame:
@@ -52,8 +61,9 @@ class Catalog:
         for name in names[:-1]:
             try:
                 return self.read(name, columns)
-            except AnalysisException:
-                continue
+            except AnalysisException as problem:
+                if not is_missing(problem):
+                    raise
         return self.read(names[-1], columns)
 
     def read_first_nonempty(self, *names: str) -> tuple[DataFrame, str]:
@@ -61,7 +71,9 @@ class Catalog:
         for name in names[:-1]:
             try:
                 df = self.read(name)
-            except AnalysisException:
+            except AnalysisException as problem:
+                if not is_missing(problem):
+                    raise
                 continue
             if not df.isEmpty():
                 return df, name
@@ -71,7 +83,9 @@ class Catalog:
         """A missing table reads as an empty one."""
         try:
             return self.read(name)
-        except AnalysisException:
+        except AnalysisException as problem:
+            if not is_missing(problem):
+                raise
             return self.spark.createDataFrame([], schema)
 
 

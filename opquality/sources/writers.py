@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,8 +15,28 @@ from opquality.sources.columns import col
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
-def overwrite_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def replace_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Puts a finished folder in the place of another, by renaming within one store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = path(f"{target}.old-{uuid4().hex}")
+    had_one = store.exists(path(target))
+    if had_one and not store.rename(path(target), old):
+        raise OSError(f"cannot set aside {target}")
+    if not store.rename(path(source), path(target)):
+        if had_one:
+            store.rename(old, path(target))
+        raise OSError(f"cannot put {source} in the place of {target}")
+    if had_one:
+        store.delete(old, True)
+
+
+def overwrite_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Readers meet the old table until the new one is written, and a failed job leaves
+    the old one as it was."""
+    beside = f"{path}.{uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(beside)
+    replace_folder(df.sparkSession, beside, path)
 
 
 def _json_value(field: T.StructField) -> Column:

@@ -18,7 +18,7 @@ SAMPLE = [
 
 
 def test_every_query_has_a_twin():
-    assert set(registered.oracle_sql()) == set(registered.queries())
+    assert set(registered.REGISTERED) <= set(registered.oracle_sql()) <= set(registered.queries())
 
 
 def test_entry_has_rows(spark):

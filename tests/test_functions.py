@@ -114,3 +114,16 @@ def test_natural_keys_order_digit_runs_by_value(spark):
     names = ["R2", "r10", "R1", "Rack 9b", "rack 10a"]
     ordered = [r.x for r in single(spark, names).orderBy(natural_key(F.col("x"))).collect()]
     assert ordered == ["R1", "R2", "r10", "Rack 9b", "rack 10a"]
+
+
+def test_long_numbers_lose_no_digit(spark):
+    ids = ["1234567890123456789012", "1234567890123456789013.0", " -98765432109876543210.5 ", "0000000000000000000012"]
+    got = [r["id"] for r in normalized_ids(single(spark, ids), "x", target="id").orderBy("x").collect()]
+    assert sorted(got) == sorted(["1234567890123456789012", "1234567890123456789013", "-98765432109876543210", "000012"])
+    codes = {r.x: r.c for r in canonical_codes(single(spark, ["1e28", "3e300", "1e-11", "2e-11", "1.23456789012e-5"]), "x", "c").collect()}
+    assert codes == {"1e28": "1e+28", "3e300": "3e+300", "1e-11": "1e-11", "2e-11": "2e-11", "1.23456789012e-5": "0.0000123456789012"}
+
+
+def test_natural_keys_of_long_runs(spark):
+    ordered = ["x", "x5", "x" + "9" * 35, "x1" + "0" * 35, "x2" + "0" * 35, "y"]
+    assert [r.x for r in single(spark, ordered[::-1]).orderBy(natural_key(F.col("x"))).collect()] == ordered

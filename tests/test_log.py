@@ -59,12 +59,19 @@ def test_natural_sort_keeps_blanks_last_both_ways(saved):
     assert ids(log.grid_query(saved, limit=2)) == [1, 2]
 
 
-def test_dropdown_columns_compare_exactly_and_others_contain(saved):
+def test_exact_columns_compare_whole_and_others_contain(saved):
     assert ids(log.grid_query(saved, {"Status": "Closed"}, search="R1")) == [2, 7]
     assert ids(log.grid_query(saved, {"Status": "close"})) == []
-    assert ids(log.grid_query(saved, {"RACK ID": "R1"}, exact=[])) == [2, 7]
-    assert ids(log.grid_query(saved, {"RACK ID": "R1"})) == [7]
-    assert tuple(log.grid_counts(saved, {"RACK ID": "r"}, limit=2, exact=[]).first()) == (3, 7, 2)
+    assert ids(log.grid_query(saved, {"RACK ID": "R1"})) == [2, 7]
+    assert ids(log.grid_query(saved, {"RACK ID": "R1"}, exact=["RACK ID"])) == [7]
+    assert tuple(log.grid_counts(saved, {"RACK ID": "r"}, limit=2).first()) == (3, 7, 2)
+    assert tuple(log.grid_counts(saved, {"RACK ID": "r"}).first()) == (3, 7, 3)
+
+
+def test_all_rows_are_numbered_without_a_limit(spark):
+    many = spark.range(1, 4001).selectExpr("id AS row_id", "concat('x', cast(id * 7919 % 4001 as string)) AS `RACK ID`", "'Open' AS Status").repartition(5)
+    got = [(r.POSITION, r["RACK ID"]) for r in log.grid_query(many, sort="RACK ID").orderBy("POSITION").collect()]
+    assert got == [(n, f"x{n}") for n in range(1, 4001)]
 
 
 def test_suggestions_by_frequency_up_to_a_limit(spark, rows):
@@ -73,7 +80,7 @@ def test_suggestions_by_frequency_up_to_a_limit(spark, rows):
     assert [(r.COLUMN, r.VALUE, r.FREQUENCY) for r in got.collect()] == [("c", "a", 6), ("c", "b", 3)]
     assert {r.COLUMN for r in log.suggestions(df).collect()} == {"c", "many"}
     assert log.suggestions(df.where("false")).count() == 0
-    assert log.dropdown_columns(df.withColumn("Status", F.lit("Open")), ["many", "Status", "gone"], 4) == {"Status"}
+    assert log.distinct_counts(df.withColumn("Status", F.lit("Open")), ["many", "Status", "gone"]) == {"many": 7, "Status": 1}
 
 
 BASE = "row_id bigint, `RACK ID` string, `Date Removed` string, Status string"
@@ -127,11 +134,35 @@ def test_saving_switches_versions_only_when_complete(spark, base, rows, tmp_path
     assert log.save_changes(spark, path, base, inserts) == {"inserted": 1, "updated": 0}
     assert log.save_changes(spark, path, base, None, updates) == {"inserted": 0, "updated": 1}
     # a version without its commit row, as a failed job leaves it, is not read
-    base.write.parquet(f"{path}/v=3")
+    base.write.parquet(f"{path}/v=3-left")
     assert log.current_version(spark, path) == 2
     assert rows(log.load_log(spark, path, base)) == [(1, "A", None, "Open"), (5, "B", "1-May", "Closed"), (6, "edited", None, "Open")]
 
 
+def test_the_second_of_two_writers_fails(spark, base, rows, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    inserts, updates = changes(spark, [(1, "n", None)], [(1, "5", "edited", None)])
+    apply = log.apply_changes
+
+    def overtaken(*args, **options):
+        monkeypatch.setattr(log, "apply_changes", apply)
+        log.save_changes(spark, path, base, inserts)
+        return apply(*args, **options)
+
+    monkeypatch.setattr(log, "apply_changes", overtaken)
+    with pytest.raises(log.SaveConflict):
+        log.save_changes(spark, path, base, None, updates)
+    assert log.current_version(spark, path) == 1
+    assert [r["RACK ID"] for r in log.load_log(spark, path, base).orderBy("row_id").collect()][-1] == "n"
+
+
+def test_an_emptied_commit_folder_is_no_new_log(spark, base, tmp_path):
+    path = tmp_path / "log"
+    (path / "commits").mkdir(parents=True)
+    with pytest.raises(ValueError):
+        log.load_log(spark, str(path), base)
+
+
 def test_column_resolution():
     names = ["FIN_OP_ID", "Cq_Main_Code", "MY_PROD_DATE", "OP_ID"]
     assert resolve_column(names, exact=["OP_ID"], suffix="OP_ID") == "OP_ID"

@@ -5,13 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from opquality.operators import lookup as lookup_module
 from opquality.operators.filters import Filters, of_step, of_step_or_all, since
 from opquality.operators.lookup import Lookup, first_per_key
 from opquality.operators.measures import AMOUNT, COUNT, combine, combine_onto, best_per_item, with_share_of_total
 from opquality.operators.numbering import dense_numbers, running_totals
 from opquality.operators.scoring import scored_and_ranked
-from opquality.operators.sharing import share
 from opquality.operators.topk import top_with_other
 from opquality.functions.numbers import total
 
@@ -24,17 +22,30 @@ def test_first_per_key_is_independent_of_row_order(spark, rows):
         assert rows(first_per_key(df, ["k"], ["o"])) == [("a", 1, "z"), (None, 4, "m")]
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_lookup_gives_the_same_rows_broadcast_or_salted(spark, rows, monkeypatch, limit):
-    monkeypatch.setattr(lookup_module, "MAX_BROADCAST_ROWS", limit)
-    facts = spark.createDataFrame([("a", i) for i in range(50)] + [(None, 50), ("b", 51), ("c", 52)], "k string, n int").repartition(5)
-    side = Lookup.of(spark.createDataFrame([("a", "A"), ("b", "B"), (None, "N")], "k string, v string"), "k")
-    assert side.small == (limit > 0)
-    joined = side.left_join(facts)
-    assert joined.count() == 53
-    assert rows(joined.where("n >= 49")) == [("a", 49, "A"), ("b", 51, "B"), ("c", 52, None), (None, 50, None)]
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert ("_salt" in plan) == (limit == 0)
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_lookup_gives_the_same_rows_broadcast_or_not(spark, rows, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        facts = spark.range(400).selectExpr("CASE WHEN id < 50 THEN 'a' WHEN id = 51 THEN 'b' WHEN id = 52 THEN 'c' END AS k", "id AS n").repartition(5)
+        side = Lookup.of(spark.range(2).selectExpr("CASE id WHEN 0 THEN 'a' ELSE 'b' END AS k", "CASE id WHEN 0 THEN 'A' ELSE 'B' END AS v"), "k")
+        joined = side.left_join(facts)
+        assert joined.count() == 400
+        assert rows(joined.where("n between 49 and 52")) == [("a", 49, "A"), ("b", 51, "B"), ("c", 52, None), (None, 50, None)]
+        # rows without a key are dealt to many places, not to one
+        assert joined.where("k is null").count() == 348 and "_place" not in joined.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_building_a_join_starts_no_job(spark):
+    tracker, group = spark.sparkContext.statusTracker(), "lookup-plan"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        Lookup.of(spark.range(100).selectExpr("id AS k", "id AS v"), "k").left_join(spark.range(1000).selectExpr("id AS k"))
+        assert list(tracker.getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def random_measure(spark, rng, name, kind):
@@ -75,7 +86,7 @@ def test_a_missing_item_adds_its_flag_but_is_not_counted(spark, rows):
 
 def test_shares_are_missing_for_incomplete_slices(spark, rows):
     cells = spark.createDataFrame([("E", 1, 1.0), ("E", 1, 3.0), ("E", None, 5.0), (None, 1, 7.0)], "bu string, crew int, v double")
-    got = with_share_of_total(share(cells), "v", total, ["bu", "crew"], "t", "pct")
+    got = with_share_of_total(cells, "v", total, ["bu", "crew"], "t", "pct")
     assert rows(got, "v", "t", "pct") == [(1.0, 4.0, 25.0), (3.0, 4.0, 75.0), (5.0, None, None), (7.0, None, None)]
 
 

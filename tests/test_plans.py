@@ -319,6 +319,30 @@ def test_refresh_goes_on_after_a_failure_and_reports_it(spark, tmp_path):
     assert Catalog(spark, str(tmp_path)).read("agg_donut_bc").count() == 4
 
 
+def test_a_later_refresh_builds_nothing_from_old_facts(spark, tmp_path, rows):
+    sources, out = tables(spark), Catalog(spark, str(tmp_path))
+    refresh(Catalog(spark, tables=sources), out)
+    old = rows(out.read("agg_donut_scrap"))
+    del sources["nc_scrap"]
+    with pytest.raises(RefreshFailed) as problem:
+        refresh(Catalog(spark, tables=sources), out)
+    assert set(problem.value.failures) == {"fact_nc_scrap", "agg_donut_scrap", "agg_op_week", "agg_op_week_fin"}
+    # the old table is still there, whole
+    assert rows(Catalog(spark, str(tmp_path)).read("agg_donut_scrap")) == old
+
+
+def test_a_damaged_file_stops_its_own_step_only(spark, tmp_path):
+    sources, damaged = tables(spark), tmp_path / "damaged"
+    sources["nc_scrap"].write.parquet(str(damaged))
+    for file in damaged.glob("part-*"):
+        file.write_bytes(file.read_bytes()[:-200] + b"x" * 200)
+    sources["nc_scrap"] = spark.read.schema(sources["nc_scrap"].schema).parquet(str(damaged))
+    with pytest.raises(RefreshFailed) as problem:
+        refresh(Catalog(spark, tables=sources), Catalog(spark, str(tmp_path / "out")))
+    assert set(problem.value.failures) == {"fact_nc_scrap", "agg_donut_scrap", "agg_op_week", "agg_op_week_fin"}
+    assert Catalog(spark, str(tmp_path / "out")).read("agg_donut_bc").count() == 4
+
+
 def test_operator_lookup_has_one_row_per_id(star):
     lookup = operator_lookup(star.dim_operator)
     names = {r.OP_ID: (r.OPERATOR_NAME, r.BU) for r in lookup.table.collect()}
