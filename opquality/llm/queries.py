@@ -122,6 +122,9 @@ WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 
 BASE32 = " || ".join(f"lpad(to_base(cast('0x' || substr(h, {n}, 5) AS BIGINT), 32), 4, '0')" for n in range(1, 41, 5))
 
+SPACED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+CRC_STEP = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
@@ -142,4 +145,38 @@ hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY
 SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
+    "op3_histogram_sort": f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: {CRC_STEP})) AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+b AS (SELECT *, substr(md5(text), 1, 15) AS k, sum(size) OVER () AS total,
+             coalesce(sum(size) OVER (ORDER BY substr(md5(text), 1, 15), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d),
+s AS (SELECT *, cast(8 * below // total AS INTEGER) AS shard,
+             list_transform(range(size - 1), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM b)
+SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS text_crc32,
+       'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k, doc_id) - 1 AS slot, cast(NULL AS INTEGER) AS grown_shard
+FROM s, crc""",
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, unnest(range(n - 99)) AS pos, h FROM d WHERE n >= 100),
+k AS (SELECT doc_id, pos, md5(substr(h, 2 * pos + 1, 200)) AS name FROM p),
+later AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, pos) AS place FROM k) WHERE place > 1),
+marked AS (SELECT *, pos > coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100, -1) AS fresh FROM later),
+numbered AS (SELECT *, sum(cast(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(pos) AS lo, max(pos) + 100 AS hi FROM numbered GROUP BY doc_id, run),
+per_doc AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM runs GROUP BY doc_id),
+edges AS (SELECT d.doc_id, h, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_prepend(0, coalesce(his, [])) AS starts, list_append(coalesce(los, []), n) AS ends
+          FROM d LEFT JOIN per_doc USING (doc_id))
+SELECT doc_id, n AS n_bytes, cast(n_removed AS BIGINT) AS n_removed, n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, len(starts) + 1), lambda i: substr(h, 2 * starts[i] + 1, 2 * (ends[i] - starts[i]))), ''))) AS kept_sha256
+FROM edges""",
+    "op8_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {SPACED} AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS pos FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[pos:pos + 4], ' ') AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+reached AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN n USING (doc_id)""",
 }
