@@ -161,17 +161,19 @@ def category_totals(df: DataFrame, candidates: Sequence[str], value: str, k: int
     the first with any), the k largest and the remainder.
 
     Two different categories exist exactly when smallest and largest differ, so
-    the choice is a one-row subquery and no distinct count is needed. ``df``
-    should be ``folded``.
+    the choice needs one row and no distinct count. ``df`` should be
+    ``folded``.
     """
     names = [c for c in candidates if c in df.columns]
     text = {c: F.col(c).cast("string") for c in names}
     edges = [e for c in names for e in (F.min(text[c]).alias(f"{c}_lo"), F.max(text[c]).alias(f"{c}_hi"))]
-    found = df.agg(F.struct(*edges)).scalar()
-    choices = [(found[f"{c}_lo"] != found[f"{c}_hi"], text[c]) for c in names]
-    choices += [(found[f"{c}_lo"].isNotNull(), text[c]) for c in names]
+    # one row of smallest and largest categories
+    found = df.agg(*edges).withColumn("_one", F.lit(1))
+    choices = [(F.col(f"{c}_lo") != F.col(f"{c}_hi"), text[c]) for c in names]
+    choices += [(F.col(f"{c}_lo").isNotNull(), text[c]) for c in names]
     label = reduce(lambda chain, choice: chain.when(*choice), choices[1:], F.when(*choices[0]))
-    labelled = df.select(label.alias("_category"), F.col(value)).where(F.col("_category").isNotNull())
+    chosen = df.withColumn("_one", F.lit(1)).join(F.broadcast(found), "_one")
+    labelled = chosen.select(label.alias("_category"), F.col(value)).where(F.col("_category").isNotNull())
     return top_with_other(labelled, "_category", value, k)
 
 
