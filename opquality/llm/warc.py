@@ -9,12 +9,12 @@ so a task that is run again does no harm. Readers stream a file record by record
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
-from uuid import UUID, uuid4
+from uuid import uuid4
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,6 +26,7 @@ from opquality.llm.common import cut, map_arrow, new_folder, write_parquet
 
 FILE_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
+SMALL_RECORD = 2048
 CAPTURE_TYPES = ("response", "revisit", "resource")
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_FIELD = "page-id"
@@ -45,7 +46,8 @@ def base32_of_hex(digest: Column) -> Column:
 
 
 def _record_id(kind: str, page: int | None, digest: str) -> str:
-    return f"<urn:uuid:{UUID(bytes=hashlib.md5(f'{kind} {page} {digest}'.encode()).digest())}>"
+    h = hashlib.md5(f"{kind} {page} {digest}".encode()).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
 def _record(kind: str, record_id: str, date: str, uri: str | None, block: bytes, content_type: str, more: list[tuple[str, str]]) -> bytes:
@@ -58,7 +60,8 @@ def _record(kind: str, record_id: str, date: str, uri: str | None, block: bytes,
 
 
 def _member(record: bytes, level: int) -> bytes:
-    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    # Small records need no large window, which costs more to set up than to fill.
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31) if len(record) > SMALL_RECORD else zlib.compressobj(level, zlib.DEFLATED, 16 + 11, 4)
     return packer.compress(record) + packer.flush()
 
 
@@ -145,8 +148,12 @@ def archives(spark, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(folder).select("path")
 
 
-def parse_records(stream) -> Iterator[dict]:
-    """Records of an open, unpacked archive."""
+def batch_of(records: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*records), RECORD.types)], schema=RECORD)
+
+
+def parse_records(stream) -> Iterator[list]:
+    """Records of an open, unpacked archive, as values in the order of RECORD."""
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -155,17 +162,16 @@ def parse_records(stream) -> Iterator[dict]:
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head.setdefault(name.strip().lower(), []).append(value.strip())
         block = stream.read(int(head.get("content-length", ["0"])[0]))
-        one = lambda name: head.get(name, [None])[0]
+        one = lambda name: head[name][0] if name in head else None
         text, payload = "", block
         if (one("content-type") or "").startswith("application/http"):
             text, _, payload = block.partition(b"\r\n\r\n")
             text = text.decode("latin-1")
         digest = one("warc-payload-digest")
-        yield {
-            "record_id": one("warc-record-id"), "type": one("warc-type"), "date": one("warc-date"), "target_uri": one("warc-target-uri"),
-            "concurrent_to": head.get("warc-concurrent-to", []), "refers_to": one("warc-refers-to"),
-            "payload_digest": digest.partition(":")[2] if digest else None, "head": text, "payload_bytes": len(payload), "payload": payload,
-        }
+        yield [
+            one("warc-record-id"), one("warc-type"), one("warc-date"), one("warc-target-uri"), head.get("warc-concurrent-to", []), one("warc-refers-to"),
+            digest.partition(":")[2] if digest else None, text, len(payload), payload,
+        ]
 
 
 def full_length(head: str, payload_bytes: int) -> int:
@@ -188,21 +194,22 @@ def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 store, place = fs.FileSystem.from_uri(path)
                 held, size = [], 0
-                with store.open_input_stream(place, compression=None, buffer_size=1 << 20) as raw, gzip.GzipFile(fileobj=raw) as stream:
+                with io.BufferedReader(store.open_input_stream(place, compression="gzip"), 1 << 20) as stream:
                     for record in parse_records(stream):
-                        if record["type"] == "revisit":
-                            record["payload_bytes"] = full_length(record["head"], record["payload_bytes"])
-                        elif record["type"] in CAPTURE_TYPES:
-                            record["payload_digest"] = base64.b32encode(hashlib.sha1(record["payload"]).digest()).decode()
-                        if not payloads and record["type"] != "metadata":
-                            record["payload"] = None
+                        kind = record[1]
+                        if kind == "revisit":
+                            record[8] = full_length(record[7], record[8])
+                        elif kind in CAPTURE_TYPES:
+                            record[6] = base64.b32encode(hashlib.sha1(record[9]).digest()).decode()
+                        if not payloads and kind != "metadata":
+                            record[9] = None
                         held.append(record)
-                        size += len(record["payload"] or b"") + 500
+                        size += len(record[9] or b"") + 500
                         if size >= BATCH_BYTES:
-                            yield pa.RecordBatch.from_pylist(held, schema=RECORD)
+                            yield batch_of(held)
                             held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_pylist(held, schema=RECORD)
+                    yield batch_of(held)
 
     return map_arrow(files.select("path").repartition(count), tasks, RECORD_DDL)
 
