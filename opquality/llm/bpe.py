@@ -45,14 +45,20 @@ class Ranks:
         self.buffer = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
         self.byte_ids = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
         # Rank of each pair of ids whose bytes together are a token.
-        self.merged = {
-            (self.rank[token[:k]], self.rank[token[k:]]): rank
+        found = [
+            ((self.rank[token[:k]] << ID_BITS) | self.rank[token[k:]], rank)
             for token, rank in self.rank.items() for k in range(1, len(token))
             if token[:k] in self.rank and token[k:] in self.rank
-        }
-        keys = np.array([(a << ID_BITS) | b for a, b in self.merged], dtype=np.int64)
+        ]
+        keys, ranks = np.array(found, dtype=np.int64).reshape(-1, 2).T
         order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.merged.values()), dtype=np.int64)[order]
+        self.pair_keys, self.pair_ranks = keys[order].copy(), ranks[order].copy()
+
+    def pair(self, left: int, right: int) -> int | None:
+        """Rank of one pair of ids, None where it does not merge."""
+        key = (left << ID_BITS) | right
+        at = int(self.pair_keys.searchsorted(key))
+        return int(self.pair_ranks[at]) if at < len(self.pair_keys) and self.pair_keys[at] == key else None
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids, INFINITE where they do not merge."""
@@ -76,13 +82,12 @@ def merge_one(piece: bytes, ranks: Ranks) -> list[int]:
         return [int(ranks.byte_ids[b]) for b in piece]
     width = 1 << (n - 2).bit_length()
     none = (1 << 62, n)
-    merged = ranks.merged
     token = [int(ranks.byte_ids[b]) for b in piece]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
     def leaf(p: int) -> tuple[int, int]:
         q = after[p]
-        rank = merged.get((token[p], token[q])) if q < n else None
+        rank = ranks.pair(token[p], token[q]) if q < n else None
         return none if rank is None else (rank, p)
 
     tree = [none] * width + [leaf(p) for p in range(n - 1)] + [none] * (width - n + 1)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +78,39 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def release_memory() -> None:
+    """Gives back what arrays of finished batches held; workers live on after a task,
+    beside the JVM that they share an executor's memory with."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow with this package at hand in the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one_by_one() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                release_memory()
+
+        yield from function(one_by_one())
+        release_memory()
+
+    return df.mapInArrow(lean, schema)
+
+
+def per_bucket(df: DataFrame, function, schema) -> DataFrame:
+    """applyInArrow over the column bucket, likewise."""
+    ship(df.sparkSession)
+
+    def lean(group: pa.Table) -> pa.Table:
+        out = function(group)
+        release_memory()
+        return out
+
+    return df.groupBy("bucket").applyInArrow(lean, schema)

@@ -29,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opquality.llm.common import cut, map_arrow, write_parquet
+from opquality.llm.common import map_arrow, per_bucket, write_parquet
 from opquality.llm.units import blocks, bounds, ragged
 from opquality.llm.wordhash import mix, range_hashes, raw_bytes
 
 LENGTH = 100
 GRAM = 24
-SCAN_BYTES = 2 << 20
-ENTRIES_A_BUCKET = 1 << 20
+SCAN_BYTES = 1 << 20
+# Samples are sorted, and copies among them found, within so many bytes of text.
+SORT_BYTES = 16 << 20
+ENTRIES_A_BUCKET = 1 << 19
 # From so many surroundings of one gram in a batch, its entries are spread by both; from
 # so many in all, its byte positions are ranked in buckets of their own.
 MANY = 128
@@ -143,7 +145,7 @@ def _rank_samples(docs: DataFrame, buckets: int, length: int, gram: int, many: i
     packer = Packer(buckets, ["gram", "around", "doc", "version", "lo", "width", "shared"])
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in blocks(pc.binary_length(whole.column(2)).to_numpy(), SORT_BYTES)):
             ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = [[] for _ in range(6)]
             for a, b in blocks(pc.binary_length(batch.column(2)).to_numpy(), SCAN_BYTES):
@@ -201,7 +203,7 @@ def _rank_samples(docs: DataFrame, buckets: int, length: int, gram: int, many: i
             np.concatenate((np.full(int(again.sum()), COVERED), kind[open_], np.full(len(done[0]), COVERED))), both(name, np.zeros(len(done[0]), dtype=np.int64)),
         )
 
-    return map_arrow(docs, tasks, packer.ddl()).groupBy("bucket").applyInArrow(rank, INTERVALS_DDL)
+    return per_bucket(map_arrow(docs, tasks, packer.ddl()), rank, INTERVALS_DDL)
 
 
 def _rank_positions(candidates: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -278,7 +280,7 @@ def _rank_positions(candidates: DataFrame, buckets: int, length: int) -> DataFra
         none = np.zeros(len(firsts), dtype=np.int64)
         return _intervals(doc[firsts], version[firsts], lo[firsts], hi[lasts], none, none)
 
-    return map_arrow(candidates, tasks, packer.ddl()).groupBy("bucket").applyInArrow(rank, INTERVALS_DDL)
+    return per_bucket(map_arrow(candidates, tasks, packer.ddl()), rank, INTERVALS_DDL)
 
 
 def removed_runs(spans: list[dict] | None) -> list[tuple[int, int]]:

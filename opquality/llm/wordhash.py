@@ -21,7 +21,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     ones = np.ones(1, dtype=np.uint64)
     grow = lambda m: np.concatenate((ones, np.cumprod(np.full((1 << bits) - 1, m, dtype=np.uint64))))
@@ -32,7 +32,7 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """Hashes of byte ranges; equal ranges have equal hashes wherever they stand."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    power, inverse = _powers(max(16, int(len(data)).bit_length()))
+    power, inverse = _powers(max(20, int(len(data) - 1).bit_length()))
     total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE_VALUES[data] * power[:len(data)])))
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
