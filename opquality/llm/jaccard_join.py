@@ -13,13 +13,13 @@ share shingles among their first few, and the number of those depends on the siz
 Equal sets are one class from the start. Members of a list are first held against the
 least member, so that large groups of near copies fall together by a link per member;
 after that, only pairs from different components are left to be looked at, and those whose
-number of common first shingles already rules a link out are not compared. Every other
-pair is compared on its whole sets.
+number of common first shingles, or whose signatures, already rule a link out are not
+compared. Every other pair is compared on its whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +27,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opquality.llm.common import cut, map_arrow, write_parquet
+from opquality.llm.common import cut, map_arrow, per_bucket, write_parquet
 from opquality.llm.components import components
 from opquality.llm.units import blocks, ragged
 from opquality.llm.wordhash import LOWER, find_words, mix, range_hashes, raw_bytes, text_of_word, window_hashes
 
 WORDS = 5
 PERCENT = 75
-SCAN_BYTES = 2 << 20
+SCAN_BYTES = 1 << 20
+# Different sets are counted within so many bytes of text.
+COUNT_BYTES = 16 << 20
 # A shingle counts as common from so many sets, or more if there would be over 2^20 of them.
 COMMON_SETS = 64
 MOST_COMMON = 1 << 20
-ENTRIES_A_BUCKET = 1 << 20
+ENTRIES_A_BUCKET = 1 << 19
 # Ids up to this number are sent along as a broadcast, 8 bytes each.
 BROADCAST_IDS = 2_000_000
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+# Lists of more members compare signatures before they give a pair.
+MANY_MEMBERS = 64
+# Bits of a set's signature.
+SIGNATURE = 2048
+SIGNED_AT_ONCE = 512
 COMMON_BIT = np.uint64(1 << 62)
 PAIR_BIT = 1 << 62
 # Stands for a null id; sorts last.
@@ -98,17 +105,33 @@ def fingerprints(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(total(mix(value)) + n).view(np.int64), mix(total(mix(value ^ np.uint64(0xA5A5A5A5DEADBEEF))) ^ n).view(np.int64)
 
 
+def signatures(value: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For each set, SIGNATURE bits as 64-bit words: the parity of its shingles by hash.
+    A shingle that one of two sets lacks flips one bit, so the sets differ by at least as
+    many shingles as their signatures by bits."""
+    bit = (mix(value) >> np.uint64(64 - SIGNATURE.bit_length() + 1)).astype(np.int64)
+    parts = [np.zeros(0, dtype=np.int64)]
+    for lo in range(0, len(at) - 1, SIGNED_AT_ONCE):
+        own = at[lo:lo + SIGNED_AT_ONCE + 1]
+        rows = len(own) - 1
+        place = np.repeat(np.arange(rows), np.diff(own)) * SIGNATURE + bit[own[0]:own[-1]]
+        odd = np.bincount(place, minlength=rows * SIGNATURE) & 1
+        parts.append(np.packbits(odd.astype(np.uint8).reshape(rows, SIGNATURE), axis=1).view(np.int64).reshape(-1))
+    words = np.concatenate(parts)
+    return pa.FixedSizeListArray.from_arrays(pa.array(words), SIGNATURE // 64).cast(pa.list_(pa.int64()))
+
+
 def _common_shingles(texts: DataFrame, words: int, seed: int) -> tuple[np.ndarray, float]:
-    """Shingles of many sets, sorted, and how many other sets of its batch have a shingle.
+    """Shingles of many sets, sorted, and how many other sets of its block have a shingle.
 
-    Each task counts, in each batch, the different sets that hold a shingle, and passes on
-    those of two and more; all batches are summed up. The list only sets the order of
+    Each task counts, in each block of text, the different sets that hold a shingle, and
+    passes on those of two and more; all blocks are summed up. The list only sets the order of
     shingles, so what it misses costs time and never a link.
     """
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for texts in (batch.column(0).slice(a, b - a) for batch in batches for a, b in blocks(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(), COUNT_BYTES)):
             seen, held = set(), []
-            for _, _, value, at in shingle_sets(batch.column(0), words, seed):
+            for _, _, value, at in shingle_sets(texts, words, seed):
                 first, _ = fingerprints(value, at)
                 fresh = [n for n, f in enumerate(first.tolist()) if f not in seen and not seen.add(f)]
                 held.append(value[ragged(at[:-1][fresh], np.diff(at)[fresh])])
@@ -217,75 +240,134 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
         many = ~(start & change)
         return pa.table({"key": key[many], "id": who[many], "n": size[many]})
 
-    return postings.groupBy("bucket").applyInArrow(lists, "key long, id long, n int")
+    return per_bucket(postings, lists, "key long, id long, n int")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _beside(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """Pairs with the columns of both sides, suffixed _a and _b."""
+    for side in ("b", "a"):
+        pairs = pairs.join(of.withColumnsRenamed({c: side if c == "id" else f"{c}_{side}" for c in of.columns}), side)
+    return pairs
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose whole sets overlap enough."""
-    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
-    both = pairs.join(b, "b").join(a, "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
-    return both.where(100 * F.col("common") >= percent * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
+def _linked(pairs: DataFrame, signatures_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Those pairs (a, b) whose sets overlap enough: by their signatures first, which can
+    only rule a link out, then by the whole sets."""
+    pairs = cut(pairs)
+    marked = _beside(pairs, signatures_of(_ids(pairs)))
+    apart = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    # Common shingles are half of all that the sets do not differ in.
+    near = cut(marked.where((100 + percent) * (F.col("n_a") + F.col("n_b") - apart) >= 2 * percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    if near.isEmpty():
+        return near
+    both = _beside(near, sets_of(_ids(near))).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
+    return cut(both.where(100 * F.col("common") >= percent * (F.size("shingles_a") + F.size("shingles_b") - F.col("common"))).select("a", "b"))
 
 
 def _fits(n_a, n_b, percent: int):
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
 
 
-def _cross_pairs(lists: DataFrame, edge: int, percent: int) -> DataFrame:
+def _small_list_pairs(key, n, label, edge: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of whole lists, sorted by key and size: the partners of a member
+    are the next ones up to its size limit."""
+    ends, step = np.searchsorted(key, key, side="right"), 1
+    open_ = np.flatnonzero(np.arange(len(key)) + 1 < ends)
+    while len(open_):
+        other = open_ + step
+        fits = n[open_] * 100 >= n[other] * percent
+        open_, other = open_[fits], other[fits]
+        # In lists of single shingles one of the two is large.
+        apart = (label[open_] != label[other]) & ((key[open_] < 0) | (n[other] > edge))
+        yield open_[apart], other[apart]
+        step += 1
+        open_ = open_[open_ + step < ends[open_]]
+
+
+def _large_list_pairs(key: int, n, label, marks, edge: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one list, sorted by size. Most members have one label; each of
+    the others is held against those whose signature does not rule a link out."""
+    names, often = np.unique(label, return_counts=True)
+    rest = np.flatnonzero(label != names[often.argmax()])
+    in_rest = np.zeros(len(n), dtype=bool)
+    in_rest[rest] = True
+    for u in rest.tolist():
+        lo, hi = np.searchsorted(n, -(-n[u] * percent // 100)), np.searchsorted(n, n[u] * 100 // percent, side="right")
+        other = np.arange(lo, hi)
+        other = other[(label[lo:hi] != label[u]) & (~in_rest[lo:hi] | (other > u))]
+        if key >= 0:
+            other = other[np.maximum(n[other], n[u]) > edge]
+        apart = np.bitwise_count(marks[other] ^ marks[u]).sum(axis=1, dtype=np.int64)
+        both = n[other] + n[u]
+        other = other[(100 + percent) * (both - apart) >= 2 * percent * both]
+        yield np.full(len(other), u), other
+
+
+def _cross_pairs(lists: DataFrame, signatures_of: Callable[[DataFrame], DataFrame], edge: int, percent: int) -> DataFrame:
     """Pairs of members of a list that are in different components and of sizes that
-    can link, with the number of lists they share. lists: key, id, n, label."""
+    can link, with the number of lists they share. lists: key, id, n, label.
+
+    Members of large lists bring their signatures, and pairs that these rule out are not
+    given. No link is lost by that, and of the others every shared list is counted.
+    """
+    state = lists.groupBy("key").agg(F.count(F.lit(1)).alias("_members"), F.min("label").alias("_l0"), F.max("label").alias("_l1"))
+    still = lists.join(state.where("_l0 <> _l1").select("key", "_members"), "key")
+    large = cut(still.where(F.col("_members") > MANY_MEMBERS).drop("_members"))
+    marked = large.join(signatures_of(large.select("id").distinct()).select("id", "signature").dropDuplicates(["id"]), "id")
+    none = F.lit(None).cast("array<long>").alias("signature")
+    rows = still.where(F.col("_members") <= MANY_MEMBERS).select("key", "id", "n", "label", none).unionByName(marked.select("key", "id", "n", "label", "signature"))
+
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        ab, often = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(often.astype(np.int64))], names=["a", "b", "k"])
+
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        found: list[np.ndarray] = []
 
-        def pairs(key, who, n, label) -> Iterator[pa.RecordBatch]:
-            """All members are of whole lists."""
-            if not len(key):
-                return
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Pairs of whole lists."""
+            key, who, n, label = (table.column(k).to_numpy().astype(np.int64) for k in range(4))
             order = np.lexsort((n, key))
             key, who, n, label = key[order], who[order], n[order], label[order]
-            ends = np.searchsorted(key, key, side="right")
-            at = np.arange(len(key))
-            # Sorted by size, the partners of a member are the next ones up to its size limit.
-            step, a_found, b_found, held_rows = 1, [], [], 0
-            open_ = at[at + 1 < ends]
-            while len(open_):
-                other = open_ + step
-                fits = n[open_].astype(np.int64) * 100 >= n[other].astype(np.int64) * percent
-                open_, other = open_[fits], other[fits]
-                apart = label[open_] != label[other]
-                # In lists of single shingles one of the two is large.
-                apart &= (key[open_] < 0) | (n[other] > edge)
-                x, y = who[open_[apart]], who[other[apart]]
-                a_found.append(np.maximum(x, y)), b_found.append(np.minimum(x, y))
-                held_rows += len(x)
-                if held_rows > 1 << 20:
-                    yield counted(a_found, b_found)
-                    a_found, b_found, held_rows = [], [], 0
-                step += 1
-                open_ = open_[open_ + step < ends[open_]]
-            if held_rows:
-                yield counted(a_found, b_found)
-
-        def counted(a_found, b_found) -> pa.RecordBatch:
-            ab = np.stack((np.concatenate(a_found), np.concatenate(b_found)), axis=1)
-            ab, often = np.unique(ab, axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(often.astype(np.int64))], names=["a", "b", "k"])
-
+            is_large = table.column(4).is_valid().to_numpy()[order]
+            words = table.column(4).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE // 64)
+            place = np.cumsum(table.column(4).is_valid().to_numpy()) - 1
+            small = np.flatnonzero(~is_large)
+            parts = [(small, _small_list_pairs(key[small], n[small], label[small], edge, percent))]
+            big = np.flatnonzero(is_large)
+            for own in np.split(big, np.flatnonzero(np.diff(key[big])) + 1) if len(big) else []:
+                parts.append((own, _large_list_pairs(int(key[own[0]]), n[own], label[own], words[place[order[own]]], edge, percent)))
+            for own, produced in parts:
+                for x, y in produced:
+                    x, y = who[own[x]], who[own[y]]
+                    found.append(np.stack((np.maximum(x, y), np.minimum(x, y)), axis=1))
+                    if sum(map(len, found)) > 1 << 20 or len(found) > 4096:
+                        yield counted(found)
+                        found.clear()
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
-            rows = np.concatenate(held, axis=1)
-            last = np.searchsorted(rows[0], rows[0][-1]) if rows.shape[1] else 0
-            yield from pairs(*rows[:, :last])
-            held = [rows[:, last:]]
-        if held:
-            yield from pairs(*np.concatenate(held, axis=1))
-
-    ordered = lists.select("key", "id", "n", "label").repartition("key").sortWithinPartitions("key")
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            key = table.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if last:
+                yield from pairs(table.slice(0, last))
+                held = table.slice(last).combine_chunks().to_batches()
+        if held and pa.Table.from_batches(held).num_rows:
+            yield from pairs(pa.Table.from_batches(held))
+        if found:
+            yield counted(found)
+
+    ordered = rows.repartition("key").sortWithinPartitions("key")
     return map_arrow(ordered, tasks, "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k"))
 
 
-def _by_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+def _by_ids(df: DataFrame, ids: DataFrame, column: str | list[str]) -> DataFrame:
     """Rows of df whose column is among ids; a broadcast only while they are few."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
 
@@ -318,13 +400,14 @@ def jaccard_components(
                     p = prefix(n, percent, 1)
                     last = order[np.minimum(at[:-1] + np.maximum(p, 1) - 1, max(0, len(order) - 1))] if len(order) else np.zeros(len(n), dtype=np.uint64)
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), pa.array(first), pa.array(second), pa.array(last.view(np.int64)),
-                    ], names=["doc", "n", "id", "check", "last"])
+                        batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), pa.array(first), pa.array(second), pa.array(last.view(np.int64)), signatures(value, at),
+                    ], names=["doc", "n", "id", "check", "last", "signature"])
 
-        rows = write_parquet(map_arrow(docs, measure, "doc long, n int, id long, check long, last long"), "jaccard-rows")
+        rows = write_parquet(map_arrow(docs, measure, "doc long, n int, id long, check long, last long, signature array<long>"), "jaccard-rows")
         classes = cut(rows.where("n > 0").groupBy("id").agg(
             F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("last").alias("last"), F.min("check").alias("c0"), F.max("check").alias("c1"),
         ))
+
         # Two sets with one fingerprint, told apart by the second: another seed.
         if classes.where("c0 <> c1").isEmpty():
             break
@@ -336,9 +419,6 @@ def jaccard_components(
     buckets = max(64, -(-entries // ENTRIES_A_BUCKET))
     lists = write_parquet(_shared_lists(_postings(docs, known, edge, words, percent, seed, buckets)), "jaccard-lists")
 
-    met = lists.select("id").distinct()
-    chosen = cut(_by_ids(classes, met, "id").select("doc", "id"))
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, value, at in shingle_sets(batch.column(1), words, seed):
@@ -347,33 +427,39 @@ def jaccard_components(
                     pa.array(first), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64))),
                 ], names=["id", "shingles"])
 
-    texts = _by_ids(docs, chosen.select("doc").distinct(), "doc")
-    sets = write_parquet(map_arrow(texts, gather, "id long, shingles array<long>"), "jaccard-sets")
+    def signatures_of(ids: DataFrame) -> DataFrame:
+        """Size and signature of these sets, from one document each."""
+        chosen = cut(_by_ids(classes, ids, "id").select("id", "doc"))
+        return _by_ids(rows.select("id", "doc", "n", "signature"), chosen, ["id", "doc"]).drop("doc")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The shingles of these sets, read from the text of one document each."""
+        chosen = _by_ids(classes, ids, "id").select("doc").distinct()
+        return write_parquet(map_arrow(_by_ids(docs, cut(chosen), "doc"), gather, "id long, shingles array<long>"), "jaccard-sets")
 
     links = spark.createDataFrame([], "a long, b long")
-    labels = chosen.select(F.col("id").alias("node"), F.col("id").alias("label"))
+    labels = classes.select(F.col("id").alias("node"), F.col("id").alias("label"))
     labelled = lists.withColumn("label", F.col("id"))
     for _ in range(STAR_ROUNDS):
         # The least label of a list; each member is held against the one it meets most.
         least = labelled.groupBy("key").agg(F.min(F.struct("label", "id", "n")).alias("hub"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", "hub")
         star = labelled.join(least, "key").where((F.col("label") != F.col("hub.label")) & _fits(F.col("n"), F.col("hub.n"), percent))
         best = star.groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b")).count().groupBy("a").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
-        found = cut(_linked(best, sets, percent))
+        found = _linked(best.where("b is not null"), signatures_of, sets_of, percent)
         if found.isEmpty():
             break
         links = cut(links.unionByName(found))
         labels = cut(components(links))
         labelled = lists.join(labels, lists.id == labels.node, "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
 
-    pairs = _cross_pairs(labelled, edge, percent)
-    of = lambda side: classes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("last").alias(f"last_{side}"))
-    sized = pairs.join(of("a"), "a").join(of("b"), "b")
+    pairs = _cross_pairs(labelled, signatures_of, edge, percent)
+    sized = _beside(pairs, classes.select("id", "n", "last"))
     # What two sets can still have in common lies behind the prefix that ends first.
     first_ends = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a")).otherwise(F.col("n_b"))
     needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     most = F.col("k") + F.ceil(first_ends * percent / 100) - 1
     likely = sized.where((F.greatest("n_a", "n_b") <= edge) | (most >= needed)).select("a", "b")
-    found = cut(_linked(write_parquet(likely, "jaccard-pairs"), sets, percent))
+    found = _linked(likely, signatures_of, sets_of, percent)
     if not found.isEmpty():
         labels = components(links.unionByName(found))
     component = classes.join(labels, classes.id == labels.node, "left").select("id", "doc", F.coalesce("label", "id").alias("label"))
