@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -87,9 +88,17 @@ def release_memory() -> None:
         trim(0)
 
 
+def smaller_batches(spark: SparkSession) -> None:
+    """Batches of whole texts come in pieces of 8 MiB, unless the session asks for another
+    size than Spark's own 64 MiB; both the JVM and the worker hold a batch or two."""
+    if spark.conf.get(BATCH_SETTING, None) in (None, "64m", "67108864", "67108864b"):
+        spark.conf.set(BATCH_SETTING, "8m")
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow with this package at hand in the workers."""
     ship(df.sparkSession)
+    smaller_batches(df.sparkSession)
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one_by_one() -> Iterator[pa.RecordBatch]:
