@@ -472,13 +472,37 @@ def jaccard_components(
     )
 
 
+def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of different (id, text) with a column _key, which no two of them share."""
+    id_, text = F.col(id_col), F.col(text_col)
+    seed = 0
+    while True:
+        # Hashes pass over nulls, so these are told apart by flags.
+        key = F.xxhash64(F.lit(seed), id_.isNull(), id_, text.isNull(), text)
+        keyed = rows.withColumn("_key", key)
+        if keyed.groupBy("_key").count().where((F.col("count") > 1) | (F.col("_key") == NO_ID)).isEmpty():
+            return keyed
+        seed += 1
+
+
 def one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of df that are the least of their component, with the columns they came
     with. Rows that share an id, or have none, are told apart by their texts first: each
-    text stays once."""
-    rows = df
-    if not df.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
-        rows = df.dropDuplicates([id_col, text_col])
-    found = jaccard_components(rows, id_col, text_col, **options)
-    others = cut(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct())
-    return rows.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, id_col, "left_anti").select(df.columns)
+    text stays once. Of a component's rows that share the least id one stays, and a row
+    without an id stays only if no row of its component has one."""
+    doc = F.col(id_col).cast("long")
+    if df.groupBy(doc.alias("doc")).count().where((F.col("count") > 1) | F.col("doc").isNull() | (F.col("doc") == NO_ID)).isEmpty():
+        found = jaccard_components(df, id_col, text_col, **options)
+        others = cut(found.where(F.col("component_id") != F.col(id_col)).select(id_col))
+        return _without(df, others, id_col)
+    rows = _keyed(write_parquet(df.dropDuplicates([id_col, text_col]), "jaccard-different"), id_col, text_col)
+    found = jaccard_components(rows.select("_key", text_col), "_key", text_col, **options).select("_key", "component_id")
+    placed = cut(found.join(rows.select("_key", doc.alias("_doc")), "_key"))
+    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_key"))["_key"].alias("_key"))
+    others = cut(placed.select("_key").join(stays, "_key", "left_anti"))
+    return _without(rows, others, "_key").select(df.columns)
+
+
+def _without(rows: DataFrame, others: DataFrame, column: str) -> DataFrame:
+    """Rows whose column is not among others; a broadcast only while these are few."""
+    return rows.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, column, "left_anti").select(rows.columns)

@@ -64,6 +64,29 @@ def test_one_row_of_each_group_stays(make, prose):
     assert sorted(ids) == sorted({c for d, _, c in expected(rows) if c is not None})
 
 
+def kept(df):
+    return sorted(((r.doc_id, r.text) for r in one_per_component(df).collect()), key=str)
+
+
+def test_rows_that_share_an_id_are_rows_of_their_own(make, prose):
+    a, b, c = (prose[n][1] for n in (0, 1, 2))
+    near = a + " and more"
+    # (5, near) goes with (3, a), (5, b) is linked to nothing; (7, c) and (7, near c) are one.
+    got = kept(make([(3, a), (5, near), (5, b), (7, c), (7, c + " and more"), (8, ""), (8, None), (9, None)]))
+    assert [r for r in got if r[0] != 7] == sorted([(3, a), (5, b), (8, ""), (8, None), (9, None)], key=str)
+    assert [r[1] in (c, c + " and more") for r in got if r[0] == 7] == [True]
+
+
+def test_rows_without_an_id_go_before_all_others(make, prose):
+    a, b = prose[0][1], prose[1][1]
+    near = a + " and more"
+    assert kept(make([(None, a), (7, a), (None, near), (9, near), (None, None), (None, "")])) == sorted([(7, a), (None, None), (None, "")], key=str)
+    # Of rows without an id one stays, and the largest id is an id like any other.
+    assert [r[0] for r in kept(make([(None, a), (None, near)]))] == [None]
+    assert kept(make([((1 << 63) - 1, a), (None, near), (4, b)])) == sorted([((1 << 63) - 1, a), (4, b)], key=str)
+    assert kept(make([((1 << 63) - 1, a), (4, near)])) == [(4, near)]
+
+
 def test_empty_table(make):
     assert jaccard_components(make([])).collect() == []
 
