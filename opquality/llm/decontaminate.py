@@ -1,9 +1,9 @@
 """Benchmark decontamination: training texts are scanned for windows of benchmark words.
 
 The windows of the benchmark are hashed into a set that is broadcast; a benchmark of
-more than BLOCK_BYTES of text is taken in blocks of that size, one scan after the
-other, so the broadcast is bounded. A hit of the hash set is verified on the words
-themselves before it counts.
+more than BLOCK_BYTES of different items is taken in blocks of at most that size, one
+scan after the other, so the broadcast is bounded (only a single longer item is a larger
+block). A hit of the hash set is verified on the words themselves before it counts.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ WINDOW = 13
 BLOCK_BYTES = 16 << 20
 SCAN_BYTES = 2 << 20
 FILTER_BITS = 22
+# Bits of the hash that items are put in order by, for blocks.
+ORDER_BITS = 62
 
 # Word bytes after lower-casing: digits, a-z and every byte beyond ASCII.
 IS_WORD = np.zeros(256, dtype=bool)
@@ -172,6 +174,31 @@ def _scan(df: DataFrame, index: Broadcast, columns: list[str], text_col: str, hi
     return map_arrow(df, tasks, schema)
 
 
+def _block_ranges(items: DataFrame, total: int, block_bytes: int) -> list[tuple[int, int]]:
+    """Ranges of `at` (from, before) that hold at most block_bytes of text each, by the
+    running sum over slices of `at`; a slice with more is cut finer while it has several items."""
+    slices: list[tuple[int, int, int]] = []
+    bits = min(ORDER_BITS, (16 * -(-total // block_bytes)).bit_length())
+    open_ = items
+    while True:
+        width = 1 << (ORDER_BITS - bits)
+        sums = open_.groupBy(F.shiftright("at", ORDER_BITS - bits).alias("slice")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
+        full = [r.slice for r in sums if r.bytes > block_bytes and r.n > 1 and bits < ORDER_BITS]
+        slices += [(r.slice * width, (r.slice + 1) * width, r.bytes) for r in sums if r.slice not in full]
+        if not full:
+            break
+        open_ = open_.where(F.shiftright("at", ORDER_BITS - bits).isin(full))
+        bits = min(ORDER_BITS, bits + 6)
+    ranges, held = [], 0
+    for lo, hi, size in sorted(slices):
+        if ranges and held + size <= block_bytes:
+            ranges[-1], held = (ranges[-1][0], hi), held + size
+        else:
+            ranges.append((lo, hi))
+            held = size
+    return ranges
+
+
 def scan(
     df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, hit_share: int = 20, block_bytes: int = BLOCK_BYTES,
@@ -192,16 +219,20 @@ def scan(
     are treated one by one, repeated ones too, and an empty benchmark hits nothing.
     """
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(item_text_col).cast("string").alias("text")).where(F.octet_length("text") > 0)
+    # A repeated item adds neither a window nor an id.
+    items = items.distinct()
     columns = [c for c in df.columns if c not in ADDED]
     out = df.select(columns)
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    count = max(1, -(-total // block_bytes))
-    spread = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(count)))
-    for n in range(count):
-        rows = (spread if count == 1 else spread.where(F.col("block") == n)).select("id", "text").collect()
+    ranges = [(0, 1 << ORDER_BITS)]
+    if total > block_bytes:
+        items = write_parquet(items.withColumn("at", F.shiftrightunsigned(F.xxhash64("id", "text"), 64 - ORDER_BITS)), "benchmark")
+        ranges = _block_ranges(items, total, block_bytes)
+    for n, (lo, hi) in enumerate(ranges):
+        rows = (items if len(ranges) == 1 else items.where((F.col("at") >= lo) & (F.col("at") < hi))).select("id", "text").collect()
         index = df.sparkSession.sparkContext.broadcast(build_index([r.id for r in rows], [r.text for r in rows], window))
         out = _scan(out, index, columns, text_col, hit_share)
-        if n < count - 1:
+        if n < len(ranges) - 1:
             out = write_parquet(out, "decontaminate")
     return out
 

@@ -1,5 +1,6 @@
 import re
 
+from opquality.llm import decontaminate
 from opquality.llm.decontaminate import scan, without_contaminated, without_spans
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -62,6 +63,17 @@ def test_documents_and_spans_go(spark, make, prose):
     assert cut_out[500] == "Before.  after" and cut_out[501] == "a  and a " and cut_out[502] is None
 
 
+def test_repeated_items_make_no_larger_block(spark, make, prose, monkeypatch):
+    rows, items = case(make, prose)
+    benchmark = spark.createDataFrame(items + items[:1] * 40 + [(100 + n, f"word{n} item") for n in range(30)], "item_id long, text string")
+    taken, build = [], decontaminate.build_index
+    monkeypatch.setattr(decontaminate, "build_index", lambda names, texts, window: taken.append(list(zip(names, texts))) or build(names, texts, window))
+    assert found(scan(make(rows), benchmark, block_bytes=300)) == expected(rows, items)
+    assert len(taken) > 2 and all(sum(len(t.encode()) for _, t in block) <= 300 or len(block) == 1 for block in taken)
+    every = [i for block in taken for i in block]
+    assert len(every) == len(set(every)) == len({i for i in items if i[1]}) + 30
+
+
 def test_empty_tables(spark, make, prose):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in scan(make(prose[:5]), nothing).collect()} == {0}
