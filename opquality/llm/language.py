@@ -124,12 +124,13 @@ def _features(texts: pa.StringArray) -> Iterator[np.ndarray]:
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_texts: int = MAX_TEXTS) -> Model | None:
     """Learns from the rows of docs that have a language and a text, max_texts of them:
-    the same number for each language, those of the least hashes of their ids. None if
-    there are no such rows."""
+    the same number for each language, those of the least hashes of id and text; rows that
+    have both in common count once. None if there are no such rows."""
     usable = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(
-        F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("h")
     )
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    different = usable.select("lang", "h").distinct()
+    counts = {r.lang: r["count"] for r in different.groupBy("lang").count().collect()}
     if not counts:
         return None
     each = max(1, max_texts // len(counts))
@@ -138,9 +139,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     for lang, n in counts.items():
         share = min(1.0, (2 * each + 50) / n)
         near = near | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))))
-    ranked = usable.where(near).select("id", "lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
-    chosen = ranked.where(F.col("n") <= each).select("id", "lang").distinct()
-    sample = usable.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text")
+    ranked = different.where(near).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = ranked.where(F.col("n") <= each).select("lang", "h")
+    sample = usable.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -151,14 +151,17 @@ def collect_bags(df: DataFrame, text_col: str) -> Bags:
 def fit(docs: DataFrame, toxic_ids: DataFrame, prior: float, id_col: str = "doc_id", text_col: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """docs: unlabelled text to learn from; toxic_ids: ids of its confirmed toxic rows;
     prior: the share of toxic texts in docs. At most max_positive confirmed and
-    max_unlabelled other texts are used, those of the least hashes of their ids."""
-    by_hash = F.xxhash64(F.col(id_col).cast("string"))
-    toxic = toxic_ids.select(id_col).distinct().orderBy(by_hash, id_col).limit(max_positive)
-    others = docs.select(id_col).distinct().orderBy(by_hash, id_col).limit(max_unlabelled)
-    texts = docs.select(id_col, text_col)
-    # Both id lists are bounded by their limits.
-    positive = collect_bags(texts.join(F.broadcast(toxic), id_col), text_col)
-    unlabelled = collect_bags(texts.join(F.broadcast(others), id_col), text_col)
+    max_unlabelled other texts are used, those of the least hashes of id and text; rows
+    that have both in common count once."""
+    texts = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("_hash"), id_col, text_col)
+
+    def sample(rows: DataFrame, most: int) -> Bags:
+        # At most so many hashes are sent along, and one text comes back for each.
+        chosen = rows.select("_hash").distinct().orderBy("_hash").limit(most)
+        return collect_bags(texts.join(F.broadcast(chosen), "_hash").dropDuplicates(["_hash"]), text_col)
+
+    positive = sample(texts.join(toxic_ids.select(id_col).distinct(), id_col, "left_semi"), max_positive)
+    unlabelled = sample(texts, max_unlabelled)
     return train(positive, unlabelled, prior)
 
 

@@ -43,6 +43,21 @@ def test_scores_of_empty_texts_and_nothing_learned(make):
     assert toxicity.score(make([]), model).collect() == []
 
 
+def test_samples_are_bounded_whatever_the_ids(spark, texts, monkeypatch):
+    # A third of all rows has one id, and some rows are there twice.
+    rows = [(1 if n % 3 == 0 else n, text, lang, toxic) for n, text, lang, toxic in texts]
+    docs = spark.createDataFrame(rows + rows[:90], "doc_id long, text string, lang string, toxic int")
+    sizes = []
+    monkeypatch.setattr(toxicity, "train", lambda positive, unlabelled, prior: sizes.append((len(positive), len(unlabelled))))
+    toxicity.fit(docs, docs.where("toxic = 1"), 1 / 6, max_positive=20, max_unlabelled=70)
+    toxicity.fit(docs, docs.where("doc_id = 1"), 1 / 6)
+    assert sizes == [(20, 70), (301, 900)]
+    monkeypatch.setattr(language, "train", lambda features, languages: sizes.append(len(languages)))
+    language.fit(docs, max_texts=60)
+    language.fit(docs)
+    assert sizes[2:] == [60, 900]
+
+
 def test_the_risk_stays_above_zero():
     rng = np.random.default_rng(1)
     bag = lambda toxic: np.unique(np.concatenate((rng.integers(100, 5000, 20), [7] if toxic else [])).astype(np.int64))
