@@ -34,9 +34,9 @@ def number_text(number: Column) -> Column:
 
 
 def _long_number(text: Column) -> Column:
-    """Whole part of a number written with 16 to 37 digits before any point, else NULL."""
-    found = F.regexp_extract(text, r"^\s*(-?)\+?0*([1-9]\d{15,36})(?:\.\d*)?\s*$", 1)
-    digits = F.regexp_extract(text, r"^\s*-?\+?0*([1-9]\d{15,36})(?:\.\d*)?\s*$", 1)
+    """Whole part of a number written with 16 or more digits before any point, else NULL."""
+    found = F.regexp_extract(text, r"^\s*(-?)\+?0*([1-9]\d{15,})(?:\.\d*)?\s*$", 1)
+    digits = F.regexp_extract(text, r"^\s*-?\+?0*([1-9]\d{15,})(?:\.\d*)?\s*$", 1)
     return F.when(digits != "", F.concat(found, digits))
 
 
@@ -64,7 +64,7 @@ def normalized_ids(df: DataFrame, source: str = "OP_ID", mode: str = "numeric",
 
     ``numeric``: anything that reads as a number is cut to its whole part first
     (``12.7`` and ``1e3`` become ``000012`` and ``001000``), also numbers of
-    more digits than a double holds, up to 37.
+    more digits than a double holds.
     ``text``: only a trailing ``.0`` is dropped, the rest is kept as written.
     """
     if mode not in ("numeric", "text"):

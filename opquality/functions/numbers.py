@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 
 AMOUNT_TYPE = "decimal(38,9)"
+# Smaller amounts are added as decimals; 10^11 of them fit the type.
+DECIMAL_BELOW = 1e18
+# A double this close to a decimal, relative to its size, stands for that decimal.
+NOISE = 1e-15
 
 
 def is_floating(data_type: T.DataType) -> bool:
@@ -51,9 +55,14 @@ def ratio_or_zero(numerator: Column, denominator: Column, digits: int | None = 3
 
 
 def total(column: Column) -> Column:
-    """Sum of a measure as decimals, which no order of addition changes: 0 when there
-    is nothing to add. Measures have up to nine decimals."""
-    return F.coalesce(F.sum(column.cast(AMOUNT_TYPE)).cast("double"), F.lit(0.0))
+    """Sum of a measure: 0 when there is nothing to add. Values of up to nine decimals are
+    added as decimals, which no order of addition changes. What others have beyond nine
+    decimals, and values too large for that, NaN and infinity too, are added as doubles."""
+    value = column.cast("double")
+    near = F.when(F.abs(value) < DECIMAL_BELOW, value.try_cast(AMOUNT_TYPE))
+    beyond = value - near.cast("double")
+    rest = F.when(near.isNull(), value).when(F.abs(beyond) > F.abs(value) * NOISE, beyond)
+    return F.coalesce(F.sum(near).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(rest), F.lit(0.0))
 
 
 def total_count(column: Column) -> Column:

@@ -1,6 +1,7 @@
 """Forms of ids, codes, dates and numbers, with hand-checked expectations."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import types as T
 
 from opquality.functions.dates import calendar_parts, short_week_label, to_datetime, week_label
 from opquality.functions.ids import canonical_codes, normalized_ids
-from opquality.functions.numbers import band, half_even, ratio, ratio_or_zero
+from opquality.functions.numbers import band, half_even, ratio, ratio_or_zero, total
 from opquality.functions.text import WHITESPACE, blank_to_null, leading_number, natural_key, status_of
 
 IDS = {
@@ -124,6 +125,23 @@ def test_long_numbers_lose_no_digit(spark):
     assert codes == {"1e28": "1e+28", "3e300": "3e+300", "1e-11": "1e-11", "2e-11": "2e-11", "1.23456789012e-5": "0.0000123456789012"}
 
 
+def test_ids_of_any_length_meet_their_other_form(spark):
+    long = "1" + "0" * 60 + "12"
+    got = [r["id"] for r in normalized_ids(single(spark, [long, long + ".0", " 000" + long + ".", "-" + long + ".5"]), "x", target="id").orderBy("i").collect()]
+    assert got == [long] * 3 + ["-" + long]
+
+
+def test_totals_lose_no_amount(spark):
+    add = lambda values, kind="double": single(spark, values, kind).repartition(3).agg(total(F.col("x"))).first()[0]
+    assert add([1e-10] * 4) == pytest.approx(4e-10, rel=1e-12)
+    assert add([1e-10, 1e-10, 5.0]) == pytest.approx(5.0000000002, rel=1e-15)
+    assert add([1e29, 1e29]) == 2e29 and add([1e30, 5.25]) == 1e30
+    assert math.isnan(add([float("nan"), 1.0])) and add([float("inf"), 1.0]) == math.inf
+    # Decimals that a double only comes near to are added as such.
+    assert add([0.1] * 10) == 1.0 and add([0.07 * 31, 0.03 * 7]) == 2.38
+    assert add([None, None]) == 0.0 and add([None, 3], "int") == 3.0
+
+
 def test_natural_keys_of_long_runs(spark):
     ordered = ["x", "x5", "x" + "9" * 35, "x1" + "0" * 35, "x2" + "0" * 35, "y"]
     assert [r.x for r in single(spark, ordered[::-1]).orderBy(natural_key(F.col("x"))).collect()] == ordered
