@@ -1,20 +1,20 @@
-"""Removal of byte strings that occur earlier in the corpus, by prefix doubling over a
-sampled suffix array.
+"""Removal of byte strings that occur earlier in the corpus, by winnowed grams and
+grouping by hashes.
 
-Sorting a rank for every byte of a corpus moves many times the corpus, and nearly all
-positions are alone after a few bytes. So the first round ranks a sample of positions
-that equal strings agree on: in each run of LENGTH bytes, the place of its least hashed
-GRAM bytes. Each round sorts positions by pairs of ranks and lets go of what is alone:
+This takes the place of prefix doubling over a suffix array: there are no rounds of
+ranks at growing lengths, no rank comes from a sort that Spark makes, and none is looked
+up at another offset. The number of steps is fixed:
 
-1. sampled positions, by the rank of their first GRAM bytes;
-2. those left, by that rank paired with the rank of all strings of LENGTH bytes that
+1. in each run of LENGTH bytes, the place of its least hashed GRAM bytes is a sample,
+   on which equal strings agree. Samples are grouped by the hash of their gram;
+2. those left, by that hash paired with the hash of all strings of LENGTH bytes that
    have this sample. Of equal pairs the first stays, the others are covered;
-3. every byte position that a remaining sample answers for, by the pair of the rank of
-   its first half and, at that offset, the rank of its second half. That is LENGTH
-   bytes, so equal pairs after the first are covered, and the doubling ends.
+3. every byte position that a remaining sample answers for, by the hashes of the two
+   halves of its LENGTH bytes, computed from the text. Equal pairs after the first are
+   covered.
 
-Ranks are names of 64 bits, from which tasks can form a pair without asking for the rank
-at the other offset. Entries travel as arrays, in buckets by rank; a batch sends one
+Names called ranks below are such hashes of 64 bits; strings are equal if their pairs
+are. Entries travel as arrays, in buckets by rank; a batch sends one
 entry for each pair it holds more than once, so a group of copies meets in no task.
 """
 
