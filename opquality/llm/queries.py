@@ -15,9 +15,11 @@ from opquality.llm.decontaminate import scan
 from opquality.llm.fertility import quality
 from opquality.llm.jaccard_join import jaccard_components
 from opquality.llm.sharding import histogram_sort
+from opquality.llm.spelling import count_words, runs_of, spelling_variants, with_planted_deletions
 from opquality.llm.suffix_dedup import remove_repeats
 from opquality.llm.warc import assemble, page_id, write_warc
 from opquality.llm.token_files import read_token_files, write_token_files
+from opquality.llm.whitening import whiten
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +107,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = runs_of(table(spark, sf_dir, "documents"), least_length=7)
+    return spelling_variants(count_words(with_planted_deletions(runs, every=31), least_length=7, least_count=2), ratio=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened, model, error = whiten(table(spark, sf_dir, "embeddings"))
+    explained = F.array(*[F.lit(float(e / model.trace)) for e in model.eigenvalues]).cast("array<double>")
+    each = whitened.select(F.col("id").alias("vec_id"), "deviation", F.posexplode("whitened").alias("_at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("_at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("_at")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -116,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_whitening": op12_whitening,
 }
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -179,4 +198,23 @@ links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
 reached AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.other)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN n USING (doc_id)""",
+    "op11_spelling_variants": f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: {CRC_STEP})) AS t),
+r AS (SELECT coalesce(cast(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+l AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM r WHERE length(run) >= 7),
+c AS (SELECT id, run, count(*) AS times, hex(encode(id || ':' || run)) AS h FROM l GROUP BY id, run),
+k AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                                         lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) AS h FROM c, crc),
+p AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM k),
+w AS (SELECT word, cast(sum(times) AS BIGINT) AS n FROM p WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+s AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+v AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM s),
+pairs AS (SELECT x.word, y.word AS other, y.n FROM v x JOIN v y USING (i, a, b) WHERE x.word <> y.word
+          UNION SELECT v.word, w.word, w.n FROM v JOIN w ON w.word = v.a || v.b
+          UNION SELECT w.word, v.word, v.n FROM v JOIN w ON w.word = v.a || v.b),
+near AS (SELECT word, count(*) AS n_near, arg_min(struct_pack(other := other, n := n), struct_pack(d := -n, other := other)) AS best FROM pairs GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * w.n THEN best.other END AS form, CASE WHEN best.n >= 10 * w.n THEN best.n END AS form_n
+      FROM w LEFT JOIN near USING (word)),
+led AS (SELECT word, word AS spot, 0 AS steps FROM f UNION ALL SELECT led.word, f.form, steps + 1 FROM led JOIN f ON f.word = led.spot WHERE f.form IS NOT NULL)
+SELECT word, n, form, root, n_near, form_n FROM f JOIN (SELECT word, arg_max(spot, steps) AS root FROM led GROUP BY word) USING (word)""",
 }
