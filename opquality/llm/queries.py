@@ -14,6 +14,7 @@ from opquality.llm.common import table, text_of, write_parquet
 from opquality.llm.decontaminate import scan
 from opquality.llm.fertility import quality
 from opquality.llm.jaccard_join import jaccard_components
+from opquality.llm.minhash import near_duplicates
 from opquality.llm.sharding import histogram_sort
 from opquality.llm.spelling import count_words, runs_of, spelling_variants, with_planted_deletions
 from opquality.llm.suffix_dedup import remove_repeats
@@ -122,6 +123,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -135,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_whitening": op12_whitening,
+    "op13_minhash": op13_minhash,
 }
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -144,6 +150,22 @@ BASE32 = " || ".join(f"lpad(to_base(cast('0x' || substr(h, {n}, 5) AS BIGINT), 3
 SPACED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 CRC_STEP = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
 
+
+
+def _linked_sql(percent: int, more: str = "") -> str:
+    """Components of documents that link at this percentage."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {SPACED} AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS pos FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[pos:pos + 4], ' ') AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= {percent} * (x.n + y.n - common)),
+reached AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{more}
+FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
@@ -188,16 +210,7 @@ edges AS (SELECT d.doc_id, h, n, coalesce(n_removed, 0) AS n_removed, coalesce(n
 SELECT doc_id, n AS n_bytes, cast(n_removed AS BIGINT) AS n_removed, n_spans,
        sha256(unhex(array_to_string(list_transform(range(1, len(starts) + 1), lambda i: substr(h, 2 * starts[i] + 1, 2 * (ends[i] - starts[i]))), ''))) AS kept_sha256
 FROM edges""",
-    "op8_jaccard_join": f"""
-WITH RECURSIVE d AS (SELECT doc_id, {SPACED} AS w FROM documents),
-i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS pos FROM d WHERE len(w) > 0),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[pos:pos + 4], ' ') AS g FROM i),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
-reached AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.other)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
-FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN n USING (doc_id)""",
+    "op8_jaccard_join": _linked_sql(75),
     "op11_spelling_variants": f"""
 WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: {CRC_STEP})) AS t),
 r AS (SELECT coalesce(cast(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
@@ -217,4 +230,5 @@ f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10
       FROM w LEFT JOIN near USING (word)),
 led AS (SELECT word, word AS spot, 0 AS steps FROM f UNION ALL SELECT led.word, f.form, steps + 1 FROM led JOIN f ON f.word = led.spot WHERE f.form IS NOT NULL)
 SELECT word, n, form, root, n_near, form_n FROM f JOIN (SELECT word, arg_max(spot, steps) AS root FROM led GROUP BY word) USING (word)""",
+    "op13_minhash": _linked_sql(85, ", doc_id = component_id AS kept"),
 }
