@@ -7,7 +7,8 @@ Each list holds sets that may link. Rounds go on until no list has a candidate l
 2. what stars leave in different components is compared inside the lists, by signatures:
    a member outside a list's most frequent label meets all others of the list, block by
    block, and gives for each foreign component only its nearest set that a signature does
-   not rule out. Links among these merge components, and the next round begins;
+   not rule out. Links among these merge components, and the next round begins with those
+   components only that had a candidate and are still two;
 3. once a round finds no link, the candidates that stood behind the nearest are given,
    those compared before left out.
 
@@ -33,6 +34,8 @@ AT_ONCE = 1 << 16
 # Ids up to this number are sent along as a broadcast, 8 bytes each.
 BROADCAST_IDS = 2_000_000
 SQUARE = ("key", "held_block", "asking_block")
+HELD, ASKS, BOTH = 0, 1, 2
+GIVEN = ["a", "b", "label_a", "label_b", "apart"]
 
 # Given pairs (a, b), those that link.
 Verify = Callable[[DataFrame], DataFrame]
@@ -101,24 +104,28 @@ def _placed(open_lists: DataFrame, block: int) -> DataFrame:
     everywhere = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     own = lambda count: F.pmod("_place", F.col(count)).cast("int")
     kept = ["key", "id", "n", "label", "outside"]
-    held = at.select(*kept, F.lit(False).alias("asks"), own("_helds").alias("held_block"), everywhere("_asks").alias("asking_block"))
-    asking = at.where("outside").select(*kept, F.lit(True).alias("asks"), everywhere("_helds").alias("held_block"), own("_asks").alias("asking_block"))
+    # In a list of one square a member outside does both with one row.
+    square = (F.col("_helds") == 1) & (F.col("_asks") == 1)
+    role = F.when(square & F.col("outside"), BOTH).otherwise(HELD)
+    held = at.select(*kept, role.alias("role"), own("_helds").alias("held_block"), everywhere("_asks").alias("asking_block"))
+    asking = at.where(F.col("outside") & ~square).select(*kept, F.lit(ASKS).alias("role"), everywhere("_helds").alias("held_block"), own("_asks").alias("asking_block"))
     return held.unionByName(asking)
 
 
 def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], DataFrame], percent: int, nearest: bool, block: int) -> DataFrame:
-    """Pairs (a, b) of different components that sizes and signatures do not rule out; with
-    nearest, only the best for each a and foreign label."""
+    """Pairs (a, b) of different components that sizes and signatures do not rule out, with
+    their labels; with nearest, only the best for each a and foreign label. No two components
+    that have such a pair are missing."""
     marks = signatures_of(open_lists.select("id").distinct()).select("id", "signature").dropDuplicates(["id"])
     placed = _placed(open_lists, block).join(marks, "id")
 
     def compared(group: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
         who, n, label = (group[c].to_numpy().astype(np.int64) for c in ("id", "n", "label"))
-        asks, outside = (group[c].to_numpy(zero_copy_only=False) for c in ("asks", "outside"))
+        role, outside = group["role"].to_numpy(), group["outside"].to_numpy(zero_copy_only=False)
         words = group["signature"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(who), -1)
-        held = np.flatnonzero(~asks)
+        held = np.flatnonzero(role != ASKS)
         held = held[np.argsort(n[held], kind="stable")]
-        for u in np.flatnonzero(asks).tolist():
+        for u in np.flatnonzero(role != HELD).tolist():
             lo, hi = np.searchsorted(n[held], -(-n[u] * percent // 100)), np.searchsorted(n[held], n[u] * 100 // percent, side="right")
             other = held[lo:hi]
             other = other[(label[other] != label[u]) & (~outside[other] | (who[other] < who[u]))]
@@ -132,7 +139,7 @@ def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], Data
                 first[1:] = label[other][1:] != label[other][:-1]
                 other, apart = other[first], apart[first]
             if len(other):
-                yield np.full(len(other), who[u]), who[other], label[other], apart
+                yield np.full(len(other), who[u]), who[other], np.full(len(other), label[u]), label[other], apart
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def given(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -141,10 +148,10 @@ def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], Data
                 parts.append(part)
                 size += len(part[0])
                 if size > AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["a", "b", "label", "apart"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=GIVEN)
                     parts, size = [], 0
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["a", "b", "label", "apart"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=GIVEN)
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -161,10 +168,14 @@ def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], Data
             yield from given(pa.Table.from_batches(held))
 
     ordered = placed.repartition(*SQUARE).sortWithinPartitions(*SQUARE)
-    pairs = map_arrow(ordered, tasks, "a long, b long, label long, apart long")
+    pairs = map_arrow(ordered, tasks, "a long, b long, label_a long, label_b long, apart long")
     if nearest:
-        pairs = pairs.groupBy("a", "label").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-    return pairs.select("a", "b").distinct()
+        return pairs.groupBy("a", "label_a", "label_b").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    return pairs.select("a", "b", "label_a", "label_b").distinct()
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def settle(
@@ -177,34 +188,39 @@ def settle(
     A list may be of any length: it is split among tasks. No entries give no rows.
     """
     spark = lists.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    tried = spark.createDataFrame([], "a long, b long")
-    labels = None
-    still = cut(_open(lists.withColumn("label", F.col("id"))))
-    step = 0
+    links, tried = (spark.createDataFrame([], "a long, b long") for _ in range(2))
+    labels = spark.createDataFrame([], "node long, label long")
+    named = lists.withColumn("label", F.col("id"))
+
+    def compare(pairs: DataFrame) -> bool:
+        """Verifies what was not tried yet, and joins the components of what links."""
+        nonlocal links, tried, labels, named
+        fresh = cut(_in_order(pairs).join(tried, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            return False
+        found = verify(fresh)
+        tried = cut(tried.unionByName(fresh))
+        if found.isEmpty():
+            return False
+        links = cut(links.unionByName(found.select("a", "b")))
+        labels = cut(components(links))
+        named = lists.join(labels, lists.id == labels.node, "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+        return True
+
+    for _ in range(stars):
+        if not compare(_star(_open(named), percent)):
+            break
+    still, nearest = cut(_open(named)), True
     while not still.isEmpty():
-        if step < stars:
-            pairs = _star(still, percent)
-        else:
-            # The nearest, until a round finds no link; then what stood behind them.
-            pairs = _candidates(still, signatures_of, percent, step == stars, block)
-        ordered = pairs.where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = cut(ordered.join(tried, ["a", "b"], "left_anti"))
-        found = None if pairs.isEmpty() else verify(pairs)
-        if found is not None and not found.isEmpty():
-            tried = cut(tried.unionByName(pairs))
-            links = cut(links.unionByName(found.select("a", "b")))
-            labels = cut(components(links))
-            named = lists.join(labels, lists.id == labels.node, "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-            still = cut(_open(named))
-            # After the last round nothing is left that could link.
-            if step > stars:
-                break
-            step = min(step + 1, stars)
-        elif step > stars:
+        pairs = cut(_candidates(still, signatures_of, percent, nearest, block))
+        joined = not pairs.isEmpty() and compare(pairs)
+        if not nearest:
             break
-        else:
-            if found is not None:
-                tried = cut(tried.unionByName(pairs))
-            step += 1
-    return labels if labels is not None else spark.createDataFrame([], "node long, label long")
+        # Only components that had a candidate and are still two can have another.
+        now = labels.select(F.col("node"), F.col("label").alias("now"))
+        apart = pairs.select("label_a", "label_b").distinct()
+        for side in ("label_a", "label_b"):
+            apart = apart.join(now, apart[side] == now.node, "left").withColumn(side, F.coalesce("now", side)).drop("node", "now")
+        active = cut(apart.where("label_a <> label_b").select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct())
+        still, nearest = cut(_open(by_ids(named, active, "label"))), joined
+    return labels
