@@ -12,23 +12,23 @@ share shingles among their first few, and the number of those depends on the siz
 
 Equal sets are one class from the start. Members of a list are first held against the
 least member, so that large groups of near copies fall together by a link per member;
-after that, only pairs from different components are left to be looked at, and those whose
-number of common first shingles, or whose signatures, already rule a link out are not
-compared. Every other pair is compared on its whole sets.
+after that, sets are compared across components only, in rounds that take one candidate
+per set and foreign component, those left out whose signatures rule a link out, until no
+list has a candidate left (settle.py). Every candidate is compared on its whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opquality.llm.common import cut, map_arrow, per_bucket, write_parquet
-from opquality.llm.components import components
+from opquality.llm.settle import BROADCAST_IDS, by_ids, linked, settle
 from opquality.llm.units import blocks, ragged
 from opquality.llm.wordhash import LOWER, find_words, mix, range_hashes, raw_bytes, text_of_word, window_hashes
 
@@ -41,18 +41,11 @@ COUNT_BYTES = 16 << 20
 COMMON_SETS = 64
 MOST_COMMON = 1 << 20
 ENTRIES_A_BUCKET = 1 << 19
-# Ids up to this number are sent along as a broadcast, 8 bytes each.
-BROADCAST_IDS = 2_000_000
-STAR_ROUNDS = 2
-# Lists of more members compare signatures before they give a pair.
-MANY_MEMBERS = 64
 # Bits of a set's signature.
 SIGNATURE = 2048
 SIGNED_AT_ONCE = 512
 COMMON_BIT = np.uint64(1 << 62)
 PAIR_BIT = 1 << 62
-# Stands for a null id; sorts last.
-NO_ID = (1 << 63) - 1
 
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[0x20] = IS_WORD[0x09:0x0E] = False
@@ -243,135 +236,6 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
     return per_bucket(postings, lists, "key long, id long, n int")
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-
-def _beside(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """Pairs with the columns of both sides, suffixed _a and _b."""
-    for side in ("b", "a"):
-        pairs = pairs.join(of.withColumnsRenamed({c: side if c == "id" else f"{c}_{side}" for c in of.columns}), side)
-    return pairs
-
-
-def _linked(pairs: DataFrame, signatures_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets overlap enough: by their signatures first, which can
-    only rule a link out, then by the whole sets."""
-    pairs = cut(pairs)
-    marked = _beside(pairs, signatures_of(_ids(pairs)))
-    apart = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    # Common shingles are half of all that the sets do not differ in.
-    near = cut(marked.where((100 + percent) * (F.col("n_a") + F.col("n_b") - apart) >= 2 * percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
-    if near.isEmpty():
-        return near
-    both = _beside(near, sets_of(_ids(near))).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
-    return cut(both.where(100 * F.col("common") >= percent * (F.size("shingles_a") + F.size("shingles_b") - F.col("common"))).select("a", "b"))
-
-
-def _fits(n_a, n_b, percent: int):
-    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
-
-
-def _small_list_pairs(key, n, label, edge: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of whole lists, sorted by key and size: the partners of a member
-    are the next ones up to its size limit."""
-    ends, step = np.searchsorted(key, key, side="right"), 1
-    open_ = np.flatnonzero(np.arange(len(key)) + 1 < ends)
-    while len(open_):
-        other = open_ + step
-        fits = n[open_] * 100 >= n[other] * percent
-        open_, other = open_[fits], other[fits]
-        # In lists of single shingles one of the two is large.
-        apart = (label[open_] != label[other]) & ((key[open_] < 0) | (n[other] > edge))
-        yield open_[apart], other[apart]
-        step += 1
-        open_ = open_[open_ + step < ends[open_]]
-
-
-def _large_list_pairs(key: int, n, label, marks, edge: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of one list, sorted by size. Most members have one label; each of
-    the others is held against those whose signature does not rule a link out."""
-    names, often = np.unique(label, return_counts=True)
-    rest = np.flatnonzero(label != names[often.argmax()])
-    in_rest = np.zeros(len(n), dtype=bool)
-    in_rest[rest] = True
-    for u in rest.tolist():
-        lo, hi = np.searchsorted(n, -(-n[u] * percent // 100)), np.searchsorted(n, n[u] * 100 // percent, side="right")
-        other = np.arange(lo, hi)
-        other = other[(label[lo:hi] != label[u]) & (~in_rest[lo:hi] | (other > u))]
-        if key >= 0:
-            other = other[np.maximum(n[other], n[u]) > edge]
-        apart = np.bitwise_count(marks[other] ^ marks[u]).sum(axis=1, dtype=np.int64)
-        both = n[other] + n[u]
-        other = other[(100 + percent) * (both - apart) >= 2 * percent * both]
-        yield np.full(len(other), u), other
-
-
-def _cross_pairs(lists: DataFrame, signatures_of: Callable[[DataFrame], DataFrame], edge: int, percent: int) -> DataFrame:
-    """Pairs of members of a list that are in different components and of sizes that
-    can link, with the number of lists they share. lists: key, id, n, label.
-
-    Members of large lists bring their signatures, and pairs that these rule out are not
-    given. No link is lost by that, and of the others every shared list is counted.
-    """
-    state = lists.groupBy("key").agg(F.count(F.lit(1)).alias("_members"), F.min("label").alias("_l0"), F.max("label").alias("_l1"))
-    still = lists.join(state.where("_l0 <> _l1").select("key", "_members"), "key")
-    large = cut(still.where(F.col("_members") > MANY_MEMBERS).drop("_members"))
-    marked = large.join(signatures_of(large.select("id").distinct()).select("id", "signature").dropDuplicates(["id"]), "id")
-    none = F.lit(None).cast("array<long>").alias("signature")
-    rows = still.where(F.col("_members") <= MANY_MEMBERS).select("key", "id", "n", "label", none).unionByName(marked.select("key", "id", "n", "label", "signature"))
-
-    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
-        ab, often = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(often.astype(np.int64))], names=["a", "b", "k"])
-
-    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-
-        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            """Pairs of whole lists."""
-            key, who, n, label = (table.column(k).to_numpy().astype(np.int64) for k in range(4))
-            order = np.lexsort((n, key))
-            key, who, n, label = key[order], who[order], n[order], label[order]
-            is_large = table.column(4).is_valid().to_numpy()[order]
-            words = table.column(4).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE // 64)
-            place = np.cumsum(table.column(4).is_valid().to_numpy()) - 1
-            small = np.flatnonzero(~is_large)
-            parts = [(small, _small_list_pairs(key[small], n[small], label[small], edge, percent))]
-            big = np.flatnonzero(is_large)
-            for own in np.split(big, np.flatnonzero(np.diff(key[big])) + 1) if len(big) else []:
-                parts.append((own, _large_list_pairs(int(key[own[0]]), n[own], label[own], words[place[order[own]]], edge, percent)))
-            for own, produced in parts:
-                for x, y in produced:
-                    x, y = who[own[x]], who[own[y]]
-                    found.append(np.stack((np.maximum(x, y), np.minimum(x, y)), axis=1))
-                    if sum(map(len, found)) > 1 << 20 or len(found) > 4096:
-                        yield counted(found)
-                        found.clear()
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            key = table.column(0).to_numpy()
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if last:
-                yield from pairs(table.slice(0, last))
-                held = table.slice(last).combine_chunks().to_batches()
-        if held and pa.Table.from_batches(held).num_rows:
-            yield from pairs(pa.Table.from_batches(held))
-        if found:
-            yield counted(found)
-
-    ordered = rows.repartition("key").sortWithinPartitions("key")
-    return map_arrow(ordered, tasks, "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k"))
-
-
-def _by_ids(df: DataFrame, ids: DataFrame, column: str | list[str]) -> DataFrame:
-    """Rows of df whose column is among ids; a broadcast only while they are few."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
-
-
 def jaccard_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, edge: int | None = None,
 ) -> DataFrame:
@@ -379,33 +243,31 @@ def jaccard_components(
     words as one if there are fewer) and component_id (the least id that links lead to).
 
     Two documents link if 100 * common >= percent * all shingles of the two. Null, empty and
-    blank texts have no shingles and link with nothing; equal texts link. Repeated rows are
-    rows of the result; rows with a null id are the least of a component only if no other
-    row is in it. edge: the largest size that counts as small; found by cost if not given.
+    blank texts have no shingles and link with nothing; equal texts link. Texts of any
+    length are read whole, a slice of texts at a time. Repeated rows are rows of the result;
+    component_id is null only if no row of the component has an id. An empty table gives
+    an empty one, and columns beside these two do not matter. edge: the largest size that counts as small; found by cost if not given.
     """
-    spark: SparkSession = df.sparkSession
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    # Where a text is read again; rows of one id and text are the same to it.
+    docs = docs.withColumn("row", F.xxhash64(F.col("doc").isNull(), "doc", "text"))
     seed = 0
     while True:
         common, shared = _common_shingles(docs, words, seed)
-        known = spark.sparkContext.broadcast(common)
+        known = df.sparkSession.sparkContext.broadcast(common)
 
         def measure(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo, hi, value, at in shingle_sets(batch.column(1), words, seed):
+                for lo, hi, value, at in shingle_sets(batch.column(2), words, seed):
                     first, second = fingerprints(value, at)
                     n = np.diff(at)
-                    order = order_keys(value, known.value)
-                    order = order[np.lexsort((order, np.repeat(np.arange(len(n)), n)))]
-                    p = prefix(n, percent, 1)
-                    last = order[np.minimum(at[:-1] + np.maximum(p, 1) - 1, max(0, len(order) - 1))] if len(order) else np.zeros(len(n), dtype=np.uint64)
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), pa.array(first), pa.array(second), pa.array(last.view(np.int64)), signatures(value, at),
-                    ], names=["doc", "n", "id", "check", "last", "signature"])
+                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int32)), pa.array(first), pa.array(second), signatures(value, at),
+                    ], names=["doc", "row", "n", "id", "check", "signature"])
 
-        rows = write_parquet(map_arrow(docs, measure, "doc long, n int, id long, check long, last long, signature array<long>"), "jaccard-rows")
+        rows = write_parquet(map_arrow(docs.select("doc", "row", "text"), measure, "doc long, row long, n int, id long, check long, signature array<long>"), "jaccard-rows")
         classes = cut(rows.where("n > 0").groupBy("id").agg(
-            F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("last").alias("last"), F.min("check").alias("c0"), F.max("check").alias("c1"),
+            F.min("doc").alias("doc"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"),
         ))
 
         # Two sets with one fingerprint, told apart by the second: another seed.
@@ -420,67 +282,43 @@ def jaccard_components(
     lists = write_parquet(_shared_lists(_postings(docs, known, edge, words, percent, seed, buckets)), "jaccard-lists")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
-            for _, _, value, at in shingle_sets(batch.column(1), words, seed):
+            for _, _, value, at in shingle_sets(batch.column(0), words, seed):
                 first, _ = fingerprints(value, at)
-                yield pa.RecordBatch.from_arrays([
+                sets = pa.RecordBatch.from_arrays([
                     pa.array(first), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64))),
                 ], names=["id", "shingles"])
+                yield sets.filter(pa.array([f not in given and not given.add(f) for f in first.tolist()], pa.bool_()))
 
     def signatures_of(ids: DataFrame) -> DataFrame:
         """Size and signature of these sets, from one document each."""
-        chosen = cut(_by_ids(classes, ids, "id").select("id", "doc"))
-        return _by_ids(rows.select("id", "doc", "n", "signature"), chosen, ["id", "doc"]).drop("doc")
+        chosen = cut(by_ids(classes, ids, "id").select("id", "row"))
+        return by_ids(rows.select("id", "row", "n", "signature"), chosen, ["id", "row"]).drop("row").dropDuplicates(["id"])
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """The shingles of these sets, read from the text of one document each."""
-        chosen = _by_ids(classes, ids, "id").select("doc").distinct()
-        return write_parquet(map_arrow(_by_ids(docs, cut(chosen), "doc"), gather, "id long, shingles array<long>"), "jaccard-sets")
-
-    links = spark.createDataFrame([], "a long, b long")
-    labels = classes.select(F.col("id").alias("node"), F.col("id").alias("label"))
-    labelled = lists.withColumn("label", F.col("id"))
-    for _ in range(STAR_ROUNDS):
-        # The least label of a list; each member is held against the one it meets most.
-        least = labelled.groupBy("key").agg(F.min(F.struct("label", "id", "n")).alias("hub"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", "hub")
-        star = labelled.join(least, "key").where((F.col("label") != F.col("hub.label")) & _fits(F.col("n"), F.col("hub.n"), percent))
-        best = star.groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b")).count().groupBy("a").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
-        found = _linked(best.where("b is not null"), signatures_of, sets_of, percent)
-        if found.isEmpty():
-            break
-        links = cut(links.unionByName(found))
-        labels = cut(components(links))
-        labelled = lists.join(labels, lists.id == labels.node, "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-
-    pairs = _cross_pairs(labelled, signatures_of, edge, percent)
-    sized = _beside(pairs, classes.select("id", "n", "last"))
-    # What two sets can still have in common lies behind the prefix that ends first.
-    first_ends = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a")).otherwise(F.col("n_b"))
-    needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    most = F.col("k") + F.ceil(first_ends * percent / 100) - 1
-    likely = sized.where((F.greatest("n_a", "n_b") <= edge) | (most >= needed)).select("a", "b")
-    found = _linked(likely, signatures_of, sets_of, percent)
-    if not found.isEmpty():
-        labels = components(links.unionByName(found))
+        wanted = cut(by_ids(classes, ids, "id").select("row").distinct())
+        return write_parquet(map_arrow(by_ids(docs, wanted, "row").select("text"), gather, "id long, shingles array<long>"), "jaccard-sets")
+
+    labels = settle(lists, signatures_of, lambda pairs: linked(pairs, signatures_of, sets_of, percent).distinct(), percent)
     component = classes.join(labels, classes.id == labels.node, "left").select("id", "doc", F.coalesce("label", "id").alias("label"))
     least_doc = component.groupBy("label").agg(F.min("doc").alias("component_id"))
-    placed = component.join(least_doc, "label").select("id", "component_id")
-    out = rows.join(placed, (rows.id == placed.id) & (rows.n > 0), "left")
+    placed = component.join(least_doc, "label").select(F.col("id").alias("_id"), "component_id")
+    out = rows.select("doc", "n", "id").join(placed, (F.col("id") == F.col("_id")) & (F.col("n") > 0), "left")
     return out.select(
-        F.nullif("doc", F.lit(NO_ID)).alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-        F.nullif(F.coalesce("component_id", "doc"), F.lit(NO_ID)).alias("component_id"),
+        F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"),
     )
 
 
-def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of different (id, text) with a column _key, which no two of them share."""
+def _keyed(rows: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """Rows of different (id, text) with a key, which no two of them share."""
     id_, text = F.col(id_col), F.col(text_col)
     seed = 0
     while True:
         # Hashes pass over nulls, so these are told apart by flags.
-        key = F.xxhash64(F.lit(seed), id_.isNull(), id_, text.isNull(), text)
-        keyed = rows.withColumn("_key", key)
-        if keyed.groupBy("_key").count().where((F.col("count") > 1) | (F.col("_key") == NO_ID)).isEmpty():
+        keyed = rows.withColumn(name, F.xxhash64(F.lit(seed), id_.isNull(), id_, text.isNull(), text))
+        if keyed.groupBy(name).count().where("count > 1").isEmpty():
             return keyed
         seed += 1
 
@@ -491,16 +329,19 @@ def one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text stays once. Of a component's rows that share the least id one stays, and a row
     without an id stays only if no row of its component has one."""
     doc = F.col(id_col).cast("long")
-    if df.groupBy(doc.alias("doc")).count().where((F.col("count") > 1) | F.col("doc").isNull() | (F.col("doc") == NO_ID)).isEmpty():
+    if df.groupBy(doc.alias("doc")).count().where((F.col("count") > 1) | F.col("doc").isNull()).isEmpty():
         found = jaccard_components(df, id_col, text_col, **options)
         others = cut(found.where(F.col("component_id") != F.col(id_col)).select(id_col))
         return _without(df, others, id_col)
-    rows = _keyed(write_parquet(df.dropDuplicates([id_col, text_col]), "jaccard-different"), id_col, text_col)
-    found = jaccard_components(rows.select("_key", text_col), "_key", text_col, **options).select("_key", "component_id")
-    placed = cut(found.join(rows.select("_key", doc.alias("_doc")), "_key"))
-    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_key"))["_key"].alias("_key"))
-    others = cut(placed.select("_key").join(stays, "_key", "left_anti"))
-    return _without(rows, others, "_key").select(df.columns)
+    name = "_key"
+    while name in df.columns:
+        name += "_"
+    rows = _keyed(write_parquet(df.dropDuplicates([id_col, text_col]), "jaccard-different"), id_col, text_col, name)
+    found = jaccard_components(rows.select(name, text_col), name, text_col, **options).select(name, "component_id")
+    placed = cut(found.join(rows.select(name, doc.alias("_doc")), name))
+    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", name))[name].alias(name))
+    others = cut(placed.select(name).join(stays, name, "left_anti"))
+    return _without(rows, others, name).select(df.columns)
 
 
 def _without(rows: DataFrame, others: DataFrame, column: str) -> DataFrame:
