@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opquality.llm.common import map_arrow
+from opquality.llm.common import map_arrow, vocabulary_cache
 from opquality.llm.units import Cache, Encoded, bounds, encode_texts, ragged
 
 INFINITE = np.iinfo(np.int64).max
@@ -70,7 +69,7 @@ class Ranks:
         return self.buffer[ragged(self.starts[ids], self.lengths[ids])]
 
 
-@lru_cache(maxsize=4)
+@vocabulary_cache
 def load_ranks(path: str) -> Ranks:
     return Ranks(path)
 
@@ -209,7 +208,7 @@ def merge_pieces(pieces: list[bytes], ranks: Ranks) -> Encoded:
 SPACES = r"\t-\r \x85\xa0  -     　"
 
 
-@lru_cache(maxsize=4)
+@vocabulary_cache
 def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]"))
 
@@ -259,4 +258,4 @@ def bpe_roundtrip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
                 ], names=["id", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, tasks, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return map_arrow(rows, tasks, f"id {kind}, ids array<int>, decoded binary", vocabularies=True).withColumnRenamed("id", id_col)

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
+_vocabulary_caches: list = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,12 +97,28 @@ def smaller_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, "8m")
 
 
-def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow with this package at hand in the workers."""
+def vocabulary_cache(function):
+    """Keeps what a worker has loaded for the tasks to come, until one that has no use for it."""
+    cached = lru_cache(maxsize=4)(function)
+    _vocabulary_caches.append(cached)
+    return cached
+
+
+def forget_vocabularies() -> None:
+    for cached in _vocabulary_caches:
+        cached.cache_clear()
+
+
+def map_arrow(df: DataFrame, function, schema, vocabularies: bool = False) -> DataFrame:
+    """mapInArrow with this package at hand in the workers. Workers outlive a stage: one
+    without vocabularies drops those that an earlier stage has loaded."""
     ship(df.sparkSession)
     smaller_batches(df.sparkSession)
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not vocabularies:
+            forget_vocabularies()
+
         def one_by_one() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch
@@ -118,6 +136,7 @@ def per_bucket(df: DataFrame, function, schema) -> DataFrame:
     ship(df.sparkSession)
 
     def lean(group: pa.Table) -> pa.Table:
+        forget_vocabularies()
         out = function(group)
         release_memory()
         return out

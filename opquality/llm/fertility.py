@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opquality.llm.bpe import encoder, load_ranks
-from opquality.llm.common import map_arrow
+from opquality.llm.common import map_arrow, vocabulary_cache
 from opquality.llm.units import blocks, bounds, encode_texts
 from opquality.llm.wordhash import find_words, mix, range_hashes, raw_bytes, text_of_word, window_hashes
 
@@ -113,7 +112,7 @@ def count_words(data: np.ndarray, text_at: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-@lru_cache(maxsize=4)
+@vocabulary_cache
 def _fallback(vocabulary: str) -> np.ndarray:
     """Which ids are not whole characters."""
     flags = []
@@ -197,7 +196,7 @@ def quality(
             out = [pa.array(c[name].astype(np.int64)) for name in COUNTS] + [pa.array(script.tolist(), pa.string()), tokens, pa.array(base_failed), pa.array(good)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*columns, *(f.name for f in added)])
 
-    return map_arrow(kept, tasks, T.StructType([kept.schema[c] for c in columns] + added))
+    return map_arrow(kept, tasks, T.StructType([kept.schema[c] for c in columns] + added), vocabularies=True)
 
 
 def kept_rows(df: DataFrame, vocabularies: dict[str, str], pattern: str, **options) -> DataFrame:

@@ -11,7 +11,6 @@ and needs no other file to be read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opquality.llm.common import cut, map_arrow, new_folder
+from opquality.llm.common import cut, map_arrow, new_folder, vocabulary_cache
 from opquality.llm.units import Cache, Encoded, bounds, encode_texts
 
 MAGIC = b"OQTOK1\0\0"
@@ -117,7 +116,7 @@ class Tokens:
         return np.concatenate([np.zeros(0, dtype=np.uint32), *found]), bounds([len(x) for x in found])
 
 
-@lru_cache(maxsize=2)
+@vocabulary_cache
 def load_tokens(path: str) -> Tokens:
     return Tokens(path)
 
@@ -168,7 +167,7 @@ def write_token_files(
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     # Equal ids may fill more than one range, hence the hash.
     ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
-    return cut(map_arrow(ordered, tasks, "path string, part int, number int, docs long, tokens long"))
+    return cut(map_arrow(ordered, tasks, "path string, part int, number int, docs long, tokens long", vocabularies=True))
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
