@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opquality.operators.numbering import running_totals
+from opquality.operators.quantiles import exact_quantiles, sketch
 from opquality.operators.topk import top
 from opquality.sources.columns import col
 from opquality.sources.readers import Catalog
@@ -21,73 +21,33 @@ def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def quartiles(df: DataFrame) -> DataFrame:
-    """Exact quartiles (linear interpolation) of every numeric column.
-
-    Values are counted, ranged and located by running totals; a percentile
-    aggregate would hold all distinct values of a column in one task.
-    """
-    names = _numeric(df)
-    cells = df.select(*[col(n).cast("double").alias(n) for n in names]).unpivot([], [col(n) for n in names], "COLUMN", "VALUE")
-    known = cells.where(F.col("VALUE").isNotNull() & ~F.isnan("VALUE"))
-    counts = known.groupBy("COLUMN", "VALUE").agg(F.count(F.lit(1)).alias("_n"))
-    located = running_totals(counts, "COLUMN", "VALUE", "_n", "_before")
-    # one row per column
-    sizes = located.groupBy("COLUMN").agg(F.sum("_n").alias("_rows"))
-    sized = located.join(F.broadcast(sizes), "COLUMN")
-    picks = []
-    for name, q in QUARTILES.items():
-        place = (F.col("_rows") - 1) * F.lit(q)
-        for edge, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            here = (F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))
-            picks.append(F.max(F.when(here, F.col("VALUE"))).alias(f"{name}_{edge}"))
-        picks.append(F.max(place - F.floor(place)).alias(f"{name}_part"))
-    edges = sized.groupBy("COLUMN").agg(*picks)
-
-    def between(name: str) -> Column:
-        """Interpolated from the nearer end, which keeps equal ends exact."""
-        low, high, part = (F.col(f"{name}_{x}") for x in ("lo", "hi", "part"))
-        gap = high - low
-        return F.when(part < 0.5, low + gap * part).otherwise(high - gap * (1 - part)).alias(name)
-
-    return edges.select("COLUMN", *[between(n) for n in QUARTILES])
-
-
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: type, rows, values, a sample value, and for numbers
-    mean, standard deviation, extremes and quartiles."""
+    mean, standard deviation, extremes and exact quartiles (linear interpolation).
+
+    Runs when called: one aggregate gives all figures and brackets the quartiles, a second
+    counts and keeps what lies inside the brackets (``operators/quantiles.py``).
+    """
     numeric = set(_numeric(df))
     aggregates = [F.count(F.lit(1)).alias("_rows")]
     for i, name in enumerate(df.columns):
         aggregates += [F.count(col(name)).alias(f"n{i}"), F.min(col(name)).cast("string").alias(f"s{i}")]
         if name in numeric:
             number = col(name).cast("double")
+            known = F.nanvl(number, F.lit(None).cast("double"))
             aggregates += [
-                F.avg(number).alias(f"m{i}"), F.stddev(number).alias(f"d{i}"),
-                F.min(number).alias(f"l{i}"), F.max(number).alias(f"h{i}"),
+                F.avg(number).alias(f"m{i}"), F.stddev(number).alias(f"d{i}"), F.min(number).alias(f"l{i}"), F.max(number).alias(f"h{i}"),
+                F.count(known).alias(f"k{i}"), sketch(known, list(QUARTILES.values())).alias(f"q{i}"),
             ]
-    one = df.agg(*aggregates)
-    missing = F.lit(None).cast("double")
-    entries = []
+    one = df.agg(*aggregates).first()
+    sketches = {name: (one[f"k{i}"], one[f"q{i}"]) for i, name in enumerate(df.columns) if name in numeric}
+    quartiles = exact_quantiles(df, sketches, list(QUARTILES.values())) if sketches else {}
+    rows = []
     for i, field in enumerate(df.schema.fields):
-        known = field.name in numeric
-        entries.append(
-            F.struct(
-                F.lit(field.name).alias("COLUMN"),
-                F.lit(field.dataType.simpleString()).alias("TYPE"),
-                F.col("_rows").alias("ROWS"),
-                F.col(f"n{i}").alias("VALUES"),
-                F.col(f"s{i}").alias("SAMPLE"),
-                (F.col(f"m{i}") if known else missing).alias("MEAN"),
-                (F.col(f"d{i}") if known else missing).alias("STD"),
-                (F.col(f"l{i}") if known else missing).alias("MIN"),
-                (F.col(f"h{i}") if known else missing).alias("MAX"),
-            )
-        )
-    long = one.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
-    if not numeric:
-        return long.withColumns({n: missing for n in QUARTILES})
-    return long.join(quartiles(df), "COLUMN", "left")
+        figures = [one[f"{k}{i}"] for k in "mdlh"] if field.name in numeric else [None] * 4
+        rows.append((field.name, field.dataType.simpleString(), one["_rows"], one[f"n{i}"], one[f"s{i}"], *figures, *quartiles.get(field.name, [None] * 3)))
+    figures = ", ".join(f"{name} double" for name in ("MEAN", "STD", "MIN", "MAX", *QUARTILES))
+    return df.sparkSession.createDataFrame(rows, f"COLUMN string, TYPE string, ROWS long, VALUES long, SAMPLE string, {figures}")
 
 
 def head(df: DataFrame, n: int = 5) -> DataFrame:
