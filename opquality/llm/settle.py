@@ -7,8 +7,9 @@ Each list holds sets that may link. Rounds go on until no list has a candidate l
 2. what stars leave in different components is compared inside the lists, by signatures:
    a member outside a list's most frequent label meets all others of the list, block by
    block, and gives for each foreign component only its nearest set that a signature does
-   not rule out. Links among these merge components, and the next round begins with those
-   components only that had a candidate and are still two;
+   not rule out. Of these the nearest of each set are verified first, then further ones
+   as far as they are still in two components. The next round begins with those components
+   only that had a candidate and are still two;
 3. once a round finds no link, the candidates that stood behind the nearest are given,
    those compared before left out.
 
@@ -18,10 +19,11 @@ A candidate costs one comparison of whole sets, whatever the number of lists it
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opquality.llm.common import cut, map_arrow
@@ -30,11 +32,14 @@ from opquality.llm.components import components
 # Members of a list that meet in one task.
 BLOCK = 1 << 12
 # Comparisons of signatures made at once.
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 15
+# Lists of up to so many members are compared side by side.
+SHORT = 256
 # Ids up to this number are sent along as a broadcast, 8 bytes each.
 BROADCAST_IDS = 2_000_000
 SQUARE = ("key", "held_block", "asking_block")
 HELD, ASKS, BOTH = 0, 1, 2
+EVERY = (1 << 31) - 1
 GIVEN = ["a", "b", "label_a", "label_b", "apart"]
 
 # Given pairs (a, b), those that link.
@@ -112,6 +117,37 @@ def _placed(open_lists: DataFrame, block: int) -> DataFrame:
     return held.unionByName(asking)
 
 
+@dataclass(frozen=True)
+class _Members:
+    """Rows of squares, as columns; list is the number of a row's square."""
+
+    list: np.ndarray
+    who: np.ndarray
+    n: np.ndarray
+    label: np.ndarray
+    outside: np.ndarray
+    role: np.ndarray
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table, edges: np.ndarray) -> "_Members":
+        number = np.zeros(table.num_rows, dtype=np.int64)
+        number[edges[1:]] = 1
+        who, n, label, role = (table[c].to_numpy().astype(np.int64) for c in ("id", "n", "label", "role"))
+        words = table["signature"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(who), -1)
+        return cls(np.cumsum(number), who, n, label, table["outside"].to_numpy(zero_copy_only=False), role, words)
+
+    def take(self, rows: np.ndarray) -> "_Members":
+        return _Members(*(getattr(self, f.name)[rows] for f in fields(self)))
+
+    def likely(self, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+        """Of the pairs of these rows those that signatures do not rule out."""
+        apart = np.bitwise_count(self.words[a] ^ self.words[b]).sum(axis=1, dtype=np.int64)
+        keep = may_link(self.n[a], self.n[b], apart, percent)
+        a, b = a[keep], b[keep]
+        return self.who[a], self.who[b], self.label[a], self.label[b], apart[keep]
+
+
 def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], DataFrame], percent: int, nearest: bool, block: int) -> DataFrame:
     """Pairs (a, b) of different components that sizes and signatures do not rule out, with
     their labels; with nearest, only the best for each a and foreign label. No two components
@@ -119,38 +155,59 @@ def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], Data
     marks = signatures_of(open_lists.select("id").distinct()).select("id", "signature").dropDuplicates(["id"])
     placed = _placed(open_lists, block).join(marks, "id")
 
-    def compared(group: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
-        who, n, label = (group[c].to_numpy().astype(np.int64) for c in ("id", "n", "label"))
-        role, outside = group["role"].to_numpy(), group["outside"].to_numpy(zero_copy_only=False)
-        words = group["signature"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(who), -1)
-        held = np.flatnonzero(role != ASKS)
-        held = held[np.argsort(n[held], kind="stable")]
-        for u in np.flatnonzero(role != HELD).tolist():
-            lo, hi = np.searchsorted(n[held], -(-n[u] * percent // 100)), np.searchsorted(n[held], n[u] * 100 // percent, side="right")
+    def in_short_lists(rows: _Members) -> Iterator[tuple[np.ndarray, ...]]:
+        """Whole lists, side by side: each member with the next ones of its list by size."""
+        rows = rows.take(np.lexsort((rows.n, rows.list)))
+        ends, step = np.searchsorted(rows.list, rows.list, side="right"), 1
+        left = np.flatnonzero(np.arange(len(ends)) + 1 < ends)
+        while len(left):
+            right = left + step
+            fits = rows.n[left] * 100 >= rows.n[right] * percent
+            left, right = left[fits], right[fits]
+            two = (rows.label[left] != rows.label[right]) & (rows.outside[left] | rows.outside[right])
+            asks_left = rows.outside[left] & (~rows.outside[right] | (rows.who[left] > rows.who[right]))
+            for lo in range(0, len(left), AT_ONCE):
+                l, r = (x[lo:lo + AT_ONCE][two[lo:lo + AT_ONCE]] for x in (left, right))
+                turned = ~asks_left[lo:lo + AT_ONCE][two[lo:lo + AT_ONCE]]
+                yield rows.likely(np.where(turned, r, l), np.where(turned, l, r), percent)
+            step += 1
+            left = left[left + step < ends[left]]
+
+    def in_long_list(rows: _Members) -> Iterator[tuple[np.ndarray, ...]]:
+        """One square: each member that asks with all that are held and of a size to link."""
+        held = np.flatnonzero(rows.role != ASKS)
+        held = held[np.argsort(rows.n[held], kind="stable")]
+        sizes = rows.n[held]
+        for u in np.flatnonzero(rows.role != HELD).tolist():
+            lo, hi = np.searchsorted(sizes, -(-rows.n[u] * percent // 100)), np.searchsorted(sizes, rows.n[u] * 100 // percent, side="right")
             other = held[lo:hi]
-            other = other[(label[other] != label[u]) & (~outside[other] | (who[other] < who[u]))]
-            apart = np.bitwise_count(words[other] ^ words[u]).sum(axis=1, dtype=np.int64)
-            likely = may_link(n[other], n[u], apart, percent)
-            other, apart = other[likely], apart[likely]
-            if nearest and len(other) > 1:
-                order = np.lexsort((who[other], apart, label[other]))
-                other, apart = other[order], apart[order]
-                first = np.ones(len(other), dtype=bool)
-                first[1:] = label[other][1:] != label[other][:-1]
-                other, apart = other[first], apart[first]
-            if len(other):
-                yield np.full(len(other), who[u]), who[other], np.full(len(other), label[u]), label[other], apart
+            other = other[(rows.label[other] != rows.label[u]) & (~rows.outside[other] | (rows.who[other] < rows.who[u]))]
+            who, found, label_a, label_b, apart = rows.likely(np.full(len(other), u), other, percent)
+            if nearest and len(found) > 1:
+                order = np.lexsort((found, apart, label_b))
+                first = np.ones(len(found), dtype=bool)
+                first[1:] = label_b[order][1:] != label_b[order][:-1]
+                order = order[first]
+                found, label_b, apart = found[order], label_b[order], apart[order]
+            yield who[:len(found)], found, label_a[:len(found)], label_b, apart
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def given(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        def given(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Of whole squares, which begin at these rows."""
+            rows = _Members.of(table, edges)
+            lengths = np.diff([*edges, table.num_rows])
+            # A member that both asks and is held is in the only square of its list.
+            whole = (lengths <= SHORT) & (np.maximum.reduceat(rows.role == ASKS, edges) == 0) & (np.maximum.reduceat(rows.role, edges) == BOTH)
+            short = np.repeat(whole, lengths)
             parts, size = [], 0
-            for part in compared(group):
-                parts.append(part)
-                size += len(part[0])
-                if size > AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=GIVEN)
-                    parts, size = [], 0
-            if parts:
+            for produced in (in_short_lists(rows.take(np.flatnonzero(short))), *(in_long_list(rows.take(np.arange(edges[k], edges[k] + lengths[k]))) for k in np.flatnonzero(~whole))):
+                for part in produced:
+                    parts.append(part)
+                    size += len(part[0])
+                    if size > AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=GIVEN)
+                        parts, size = [], 0
+            if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=GIVEN)
 
         held: list[pa.RecordBatch] = []
@@ -160,24 +217,33 @@ def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], Data
             if not table.num_rows:
                 continue
             change = np.flatnonzero(np.any([table[c].to_numpy()[1:] != table[c].to_numpy()[:-1] for c in SQUARE], axis=0)) + 1
-            edges = [0, *change.tolist()]
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                yield from given(table.slice(lo, hi - lo))
-            held = table.slice(edges[-1]).to_batches()
+            last = int(change[-1]) if len(change) else 0
+            if last:
+                yield from given(table.slice(0, last), np.concatenate(([0], change[:-1])))
+                held = table.slice(last).combine_chunks().to_batches()
         if held and sum(b.num_rows for b in held):
-            yield from given(pa.Table.from_batches(held))
+            yield from given(pa.Table.from_batches(held), np.zeros(1, dtype=np.int64))
 
     ordered = placed.repartition(*SQUARE).sortWithinPartitions(*SQUARE)
     pairs = map_arrow(ordered, tasks, "a long, b long, label_a long, label_b long, apart long")
     if nearest:
-        return pairs.groupBy("a", "label_a", "label_b").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-    return pairs.select("a", "b", "label_a", "label_b").distinct()
+        best = F.min(F.struct("apart", "b"))
+        return pairs.groupBy("a", "label_a", "label_b").agg(best["b"].alias("b"), best["apart"].alias("apart"))
+    return pairs.distinct()
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _now(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with the labels that their labels have become."""
+    now = labels.select(F.col("node"), F.col("label").alias("_now"))
+    for side in ("label_a", "label_b"):
+        pairs = pairs.join(now, pairs[side] == now.node, "left").withColumn(side, F.coalesce("_now", side)).drop("node", "_now")
+    return pairs
+
+
 def settle(
     lists: DataFrame, signatures_of: Callable[[DataFrame], DataFrame], verify: Verify, percent: int, stars: int = 2, block: int = BLOCK,
 ) -> DataFrame:
@@ -212,15 +278,20 @@ def settle(
             break
     still, nearest = cut(_open(named)), True
     while not still.isEmpty():
-        pairs = cut(_candidates(still, signatures_of, percent, nearest, block))
-        joined = not pairs.isEmpty() and compare(pairs)
+        pairs, joined, most = cut(_candidates(still, signatures_of, percent, nearest, block)), False, 1
+        while True:
+            # The nearest of a set first; what it links with takes others along. Then the
+            # next 2, 4, ... of those still in another component, all once none linked.
+            two = _now(pairs, labels).where("label_a <> label_b").join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+            chosen = cut(two.withColumn("_place", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("_place") <= most).select("a", "b"))
+            if chosen.isEmpty():
+                break
+            linking = compare(chosen)
+            joined, most = joined or linking, most * 2 if linking else EVERY
         if not nearest:
             break
         # Only components that had a candidate and are still two can have another.
-        now = labels.select(F.col("node"), F.col("label").alias("now"))
-        apart = pairs.select("label_a", "label_b").distinct()
-        for side in ("label_a", "label_b"):
-            apart = apart.join(now, apart[side] == now.node, "left").withColumn(side, F.coalesce("now", side)).drop("node", "now")
-        active = cut(apart.where("label_a <> label_b").select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct())
+        apart = _now(pairs.select("label_a", "label_b").distinct(), labels).where("label_a <> label_b")
+        active = cut(apart.select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct())
         still, nearest = cut(_open(by_ids(named, active, "label"))), joined
     return labels
