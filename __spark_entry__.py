@@ -18,6 +18,7 @@ from opquality.functions.dates import calendar_parts, short_week_label, to_datet
 from opquality.functions.ids import canonical_codes, normalized_ids
 from opquality.functions.numbers import half_even
 from opquality.operators.filters import CONFECTION, Filters, of_step_or_all
+from opquality.operators.sharing import new_folder
 from opquality.plans import aggregates as agg
 from opquality.plans import factboard, log
 from opquality.plans import scorecard as card
@@ -166,6 +167,16 @@ def _json(b: Board) -> DataFrame:
     return json_records(b.read("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
 
 
+def _saved_log(b: Board) -> DataFrame:
+    """The change set of apply_changes saved in three steps, with a new base in between."""
+    spark, path = b.catalog.spark, new_folder(b.catalog.spark, "log")
+    updates = _raw(b, UPDATES)
+    log.save_changes(spark, path, b.saved_log(), _raw(b, INSERTS), updates.where("seq <= 0"), date_removed="DATE_REMOVED")
+    log.compact(spark, path)
+    log.save_changes(spark, path, b.saved_log(), None, updates.where("seq > 0"), date_removed="DATE_REMOVED")
+    return log.load_log(spark, path, b.saved_log())
+
+
 def _fallback(b: Board) -> DataFrame:
     """No event is tagged with this step, so all of them are kept."""
     cells = of_step_or_all(b.star.fact_conf_bc, "Curing")
@@ -252,6 +263,7 @@ REGISTERED: dict[str, Callable[[Board], DataFrame]] = {
     "grid_counts": lambda b: log.grid_counts(b.saved_log(), {"DISPOSITION": "1-URGENT", "QUANTITY": "1"}, exact=("DISPOSITION",)),
     "suggestions": lambda b: log.suggestions(b.clean_rows.drop("LINE_NO")),
     "apply_changes": lambda b: log.apply_changes(b.saved_log(), _raw(b, INSERTS), _raw(b, UPDATES), date_removed="DATE_REMOVED"),
+    "log_saved": _saved_log,
     "profile_table": _profile,
     "fact_diagnostics": _diagnostics,
     "value_counts": lambda b: value_counts(b.star.fact_uniformity, "UNI_GRADE"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,22 @@ def _in(df: DataFrame, name: str, values: Sequence) -> Column:
     return F.col(name).isin(*[F.lit(v).cast(kind) for v in values])
 
 
+def day_ranges(years: Sequence[int], weeks: Sequence[int] = ()) -> list[tuple[date, date]]:
+    """The days of these calendar years that lie in these ISO weeks (all, if none are
+    given), as ranges from the first day to the one after the last."""
+    ranges: list[tuple[date, date]] = []
+    for year in sorted(set(map(int, years))):
+        day, one = date(year, 1, 1), timedelta(1)
+        while day.year == year:
+            if not weeks or day.isocalendar().week in weeks:
+                if ranges and ranges[-1][1] == day:
+                    ranges[-1] = ranges[-1][0], day + one
+                else:
+                    ranges.append((day, day + one))
+            day += one
+    return ranges
+
+
 @dataclass(frozen=True)
 class Filters:
     """Dashboard selection. Empty parts do not filter, and a part whose column
@@ -51,6 +69,11 @@ class Filters:
             name = next((n for n in names if n in df.columns), None)
             if values and name:
                 df = df.where(_in(df, name, values))
+        if self.years and "PROD_DATE" in df.columns and isinstance(df.schema["PROD_DATE"].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            # The same days as ranges of dates, which reach the files where years and weeks are derived.
+            day, kind = F.col("PROD_DATE"), df.schema["PROD_DATE"].dataType
+            ranges = [(day >= F.lit(a).cast(kind)) & (day < F.lit(b).cast(kind)) for a, b in day_ranges(self.years, self.weeks)]
+            df = df.where(reduce(lambda a, b: a | b, ranges) if ranges else F.lit(False))
         if self.op_id and "OP_ID" in df.columns:
             # A plain comparison, which reaches the files of a table.
             text = isinstance(df.schema["OP_ID"].dataType, T.StringType)

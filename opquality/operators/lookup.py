@@ -9,8 +9,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opquality.sources.columns import col
+
 # Rows without a key match nothing; they are dealt to this many places instead of one.
 NO_KEY_PLACES = 1024
+# Missing keys that match each other are matched in this many blocks.
+NULL_BLOCKS = 32
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
@@ -50,10 +54,33 @@ class Lookup:
     def select(self, *columns: str) -> "Lookup":
         return Lookup(self.table.select(*columns), self.keys)
 
-    def left_join(self, facts: DataFrame) -> DataFrame:
-        """Facts without a key keep NULLs and are spread, so that they meet in no task."""
+    def left_join(self, facts: DataFrame, spread_by: Sequence[str] = ()) -> DataFrame:
+        """Facts without a key keep NULLs. They are dealt to places by the hash of the
+        columns ``spread_by``, so that they meet in no task; adaptive execution splits what
+        is still too much for one. Everything here is deterministic, so filters on the
+        facts pass the join and reach their files.
+        """
+        if not spread_by:
+            return facts.join(self.table, list(self.keys), "left")
         no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in self.keys])
-        place = F.pmod(F.monotonically_increasing_id(), F.lit(NO_KEY_PLACES)) + 1
+        place = F.pmod(F.xxhash64(*[col(c) for c in spread_by]), F.lit(NO_KEY_PLACES)) + 1
         spread = facts.withColumn("_place", F.when(no_key, place).otherwise(F.lit(0).cast("long")))
         table = self.table.withColumn("_place", F.lit(0).cast("long"))
         return spread.join(table, [*self.keys, "_place"], "left").drop("_place")
+
+
+def null_safe_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, blocks: int = NULL_BLOCKS) -> DataFrame:
+    """Left join in which missing keys match each other, without their meeting in one task.
+
+    Rows with a key are joined as usual. Those without are matched all with all, as the
+    definition asks: the right ones are dealt to blocks, the left ones come to every block.
+    ``right`` has no column of ``left``'s names.
+    """
+    keyed = left.where(col(left_key).isNotNull()).join(right, col(left_key) == col(right_key), "left")
+    missing, others = left.where(col(left_key).isNull()), right.where(col(right_key).isNull())
+    dealt = others.withColumn("_block", F.pmod(F.xxhash64(*[col(c) for c in right.columns]), F.lit(blocks)))
+    everywhere = missing.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    matched = everywhere.join(dealt, "_block").select(*keyed.columns)
+    any_other = others.agg(F.count(F.lit(1)) > 0).scalar()
+    alone = missing.where(~any_other).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields])
+    return keyed.unionByName(matched).unionByName(alone)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
 
 
+def new_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh place in the folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid4().hex}"
+
+
 def share(df: DataFrame) -> DataFrame:
     """Compute once into reliable storage, so several consumers read the result
     instead of repeating the work. Meant for aggregated results, not for facts."""

@@ -189,7 +189,7 @@ def agg_uniformity(tests: DataFrame, operators: Lookup, step: str = FINISHING) -
         F.year(when).alias("PROD_YEAR"),
         F.weekofyear(when).alias("PROD_WEEK"),
     )
-    known = operators.select("OP_ID", "BU", "CREW").left_join(_first_tests(slim))
+    known = operators.select("OP_ID", "BU", "CREW").left_join(_first_tests(slim), spread_by=("BARCODE",))
     return known.groupBy(*CELL_KEYS).agg(
         F.count_distinct("BARCODE").alias("TIRES_TESTED") if "TEST_DATETIME" not in tests.columns
         else F.count("BARCODE").alias("TIRES_TESTED"),

@@ -1,4 +1,4 @@
-"""The inspection log: cleaning, row ids, grid queries and change sets."""
+"""The inspection log: cleaning, row ids, grid queries, change sets and saving them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,6 +192,43 @@ def key_number(column: Column, data_type: T.DataType) -> Column:
     return to_number(column, data_type).try_cast("long")
 
 
+def numbered_inserts(
+    inserts: DataFrame, columns: DataFrame, next_id: Column | int, key: str = KEY, order: str = "seq", status: str = STATUS, date_removed: str = DATE_REMOVED,
+) -> DataFrame:
+    """New rows in the columns of the log, with the ids from ``next_id`` on in ``order``."""
+    values = _values(inserts, columns, key, status, date_removed)
+    new = inserts.select(col(order).alias("_order"), *[v.alias(n) for n, v in values.items()])
+    numbered = dense_numbers(new, [F.asc("_order")], "_new_id", next_id)
+    return numbered.select(*[F.col("_new_id").cast(columns.schema[key].dataType).alias(key) if c == key else col(c) for c in columns.columns])
+
+
+def keyed_updates(
+    updates: DataFrame, columns: DataFrame, key: str = KEY, order: str = "seq", status: str = STATUS, date_removed: str = DATE_REMOVED,
+) -> DataFrame:
+    """_key, _order and _row, the new values of a row, for updates whose key is a number."""
+    values = _values(updates, columns, key, status, date_removed)
+    return updates.select(
+        key_number(col(key), updates.schema[key].dataType).alias("_key"), col(order).alias("_order"), F.struct(*[v.alias(n) for n, v in values.items()]).alias("_row"),
+    ).where(F.col("_key").isNotNull())
+
+
+def last_updates(keyed: DataFrame, *order: str) -> DataFrame:
+    """The last new row of each key."""
+    change = F.struct(*order, "_row").alias("_change")
+    return keyed.select("_key", change).groupBy("_key").agg(F.max("_change")["_row"].alias("_row"))
+
+
+def replaced(rows: DataFrame, last: DataFrame, key: str = KEY) -> DataFrame:
+    """Rows with all columns but the key taken from the last update of their key."""
+    joined = rows.join(last, rows[key].cast("long") == F.col("_key"), "left")
+    hit = F.col("_key").isNotNull()
+    return joined.select(*[col(c) if c == key else F.when(hit, F.col("_row").getField(c)).otherwise(col(c)).alias(c) for c in rows.columns])
+
+
+def _filled(changes: DataFrame | None) -> bool:
+    return changes is not None and not changes.isEmpty()
+
+
 def apply_changes(
     base: DataFrame, inserts: DataFrame | None = None, updates: DataFrame | None = None,
     key: str = KEY, order: str = "seq", status: str = STATUS, date_removed: str = DATE_REMOVED,
@@ -202,33 +239,16 @@ def apply_changes(
     column of its row, the last one for an id wins, it may hit a row inserted
     along with it, and an unknown id changes nothing.
     """
-    has_inserts = inserts is not None and not inserts.isEmpty()
-    has_updates = updates is not None and not updates.isEmpty()
+    has_inserts, has_updates = _filled(inserts), _filled(updates)
     if not has_inserts and not has_updates:
         raise ValueError("nothing to save")
+    named = {"key": key, "order": order, "status": status, "date_removed": date_removed}
     rows = base
     if has_inserts:
         next_id = base.agg(F.coalesce(F.max(col(key)), F.lit(0)).cast("long") + 1).scalar()
-        values = _values(inserts, base, key, status, date_removed)
-        new = inserts.select(col(order).alias("_order"), *[v.alias(n) for n, v in values.items()])
-        numbered = dense_numbers(new, [F.asc("_order")], "_new_id", next_id)
-        named = numbered.select(
-            *[F.col("_new_id").cast(base.schema[key].dataType).alias(key) if c == key else col(c) for c in base.columns]
-        )
-        rows = base.unionByName(named)
+        rows = base.unionByName(numbered_inserts(inserts, base, next_id, **named))
     if has_updates:
-        values = _values(updates, base, key, status, date_removed)
-        new_row = F.struct(*[v.alias(n) for n, v in values.items()])
-        keyed = updates.select(
-            key_number(col(key), updates.schema[key].dataType).alias("_key"),
-            F.struct(col(order).alias("_order"), new_row.alias("_row")).alias("_change"),
-        ).where(F.col("_key").isNotNull())
-        last = keyed.groupBy("_key").agg(F.max("_change")["_row"].alias("_row"))
-        joined = rows.join(last, rows[key].cast("long") == F.col("_key"), "left")
-        hit = F.col("_key").isNotNull()
-        rows = joined.select(
-            *[col(c) if c == key else F.when(hit, F.col("_row").getField(c)).otherwise(col(c)).alias(c) for c in base.columns]
-        )
+        rows = replaced(rows, last_updates(keyed_updates(updates, base, **named), "_order"), key)
     return rows
 
 
@@ -240,59 +260,133 @@ def change_counts(inserts: DataFrame | None, updates: DataFrame | None) -> dict[
     }
 
 
-class SaveConflict(Exception):
-    """Another writer has saved since the log was read; nothing was changed."""
+# The saved log is a base sorted by row id and, beside it, the change sets saved since:
+#
+#     base-<name>/       whole rows
+#     added-<name>/      rows of a change set, with their ids
+#     updates-<name>/    ids and new values of a change set, one row per id
+#     commits/n=<version>/   one row, which names the files of a version
+#
+# A save writes no row of the base; reading folds the change sets in; only ``compact``
+# writes a new base. Ids go on after the last one ever given, and updates beyond it are
+# left out when they are saved, so no update meets a row that came later.
+COMMIT = "version int, base string, base_version int, added string, updates string, last_id long, inserted long, updated long"
+Commit = Row(*[part.split()[0] for part in COMMIT.split(", ")])
 
 
-COMMIT = "version int, folder string, inserted long, updated long"
+class SaveConflict(Exception):
+    """Another writer has saved since the log was read; nothing was changed."""
 
 
-def _latest(spark: SparkSession, path: str) -> tuple[int, str]:
-    """Number and folder of the last committed version; 0 if nothing was ever saved."""
+def _commits(spark: SparkSession, path: str) -> list[Row]:
+    """The commits from the last base on, oldest first; none if nothing was saved. Their
+    number is what ``compact`` keeps small."""
     try:
         commits = spark.read.schema(COMMIT).parquet(f"{path}/commits")
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
-            return 0, ""
+            return []
         raise
-    last = commits.agg(F.max(F.struct("version", "folder")).alias("last")).first()["last"]
+    last = commits.agg(F.max(F.struct("version", "base_version")).alias("last")).first()["last"]
     if last is None:
         raise ValueError(f"{path}/commits names no version")
-    return last["version"], last["folder"]
+    return commits.where((F.col("version") >= last["base_version"]) & (F.col("version") <= last["version"])).orderBy("version").collect()
 
 
 def current_version(spark: SparkSession, path: str) -> int:
     """Number of the last committed version of a saved log, 0 if there is none."""
-    return _latest(spark, path)[0]
+    commits = _commits(spark, path)
+    return commits[-1].version if commits else 0
+
+
+def _folded(spark: SparkSession, path: str, commits: Sequence[Row]) -> DataFrame:
+    """The log as of the last of these commits. Without an update nothing is joined."""
+    rows = spark.read.parquet(f"{path}/{commits[-1].base}")
+    change = T.StructType([f for f in rows.schema.fields if f.name != KEY])
+    for c in commits:
+        if c.added:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/{c.added}"))
+    updates = [
+        spark.read.schema(T.StructType().add("_key", "long").add("_row", change)).parquet(f"{path}/{c.updates}").withColumn("_version", F.lit(c.version))
+        for c in commits if c.updates
+    ]
+    return replaced(rows, last_updates(reduce(lambda a, b: a.unionByName(b), updates), "_version"), KEY) if updates else rows
 
 
 def load_log(spark: SparkSession, path: str, original: DataFrame) -> DataFrame:
     """The saved log if it has rows, else the original import."""
-    version, folder = _latest(spark, path)
-    if version:
-        saved = spark.read.parquet(f"{path}/{folder}")
+    commits = _commits(spark, path)
+    if commits:
+        saved = _folded(spark, path, commits)
         if not saved.isEmpty():
             return saved
     return original
 
 
-def save_changes(spark: SparkSession, path: str, original: DataFrame, inserts: DataFrame | None = None, updates: DataFrame | None = None, **options: str) -> dict[str, int]:
-    """Applies a change set all or nothing.
+def load_rows(spark: SparkSession, path: str, original: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows with ids from first to last. The base is sorted by id, so the test reaches its
+    files and skips what it rules out."""
+    return load_log(spark, path, original).where(col(KEY).between(first, last))
 
-    The result goes to a new version folder; only the commit row appended
-    afterwards makes it current, so a failed job leaves the log as it was. The
-    version folder has a name of its own: of two writers that began from the same
-    version, the second to commit fails with ``SaveConflict``.
-    """
-    version = current_version(spark, path) + 1
-    changed = apply_changes(load_log(spark, path, original), inserts, updates, **options)
-    counts = change_counts(inserts, updates)
-    folder = f"v={version}-{uuid4().hex}"
-    changed.write.mode("error").parquet(f"{path}/{folder}")
-    commit = spark.createDataFrame([(version, folder, counts["inserted"], counts["updated"])], COMMIT)
+
+def _write_base(df: DataFrame, path: str) -> str:
+    folder = f"base-{uuid4().hex}"
+    df.repartitionByRange(col(KEY)).sortWithinPartitions(col(KEY)).write.mode("error").parquet(f"{path}/{folder}")
+    return folder
+
+
+def _commit(spark: SparkSession, path: str, row: Row) -> None:
+    version = row.version
     try:
         # A folder per version: it exists if another writer has committed this one.
-        commit.coalesce(1).write.mode("error").parquet(f"{path}/commits/n={version}")
+        spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("error").parquet(f"{path}/commits/n={version}")
     except AnalysisException as problem:
         raise SaveConflict(f"version {version} was saved by another writer") from problem
+
+
+def save_changes(
+    spark: SparkSession, path: str, original: DataFrame, inserts: DataFrame | None = None, updates: DataFrame | None = None, **options: str,
+) -> dict[str, int]:
+    """Applies a change set all or nothing, as ``log.apply_changes`` defines it.
+
+    Its files become part of the log by the commit that is written last; of two writers
+    that began from the same version, the second to commit fails with ``SaveConflict``.
+    The first save takes the original over as the base.
+    """
+    has_inserts, has_updates = _filled(inserts), _filled(updates)
+    if not has_inserts and not has_updates:
+        raise ValueError("nothing to save")
+    commits = _commits(spark, path)
+    counts = change_counts(inserts, updates)
+    if commits:
+        before = commits[-1]
+        version, base, base_version, last_id = before.version + 1, before.base, before.base_version, before.last_id
+        columns = spark.read.parquet(f"{path}/{base}")
+    else:
+        version, base_version = 1, 1
+        base = _write_base(original, path)
+        columns = spark.read.parquet(f"{path}/{base}")
+        last_id = columns.agg(F.max(col(KEY)).cast("long")).first()[0] or 0
+    name, added, changed = uuid4().hex, None, None
+    if has_inserts:
+        added = f"added-{name}"
+        numbered_inserts(inserts, columns, last_id + 1, **options).write.mode("error").parquet(f"{path}/{added}")
+        last_id += counts["inserted"]
+    if has_updates:
+        changed = f"updates-{name}"
+        known = keyed_updates(updates, columns, **options).where(F.col("_key") <= last_id)
+        last_updates(known, "_order").write.mode("error").parquet(f"{path}/{changed}")
+    _commit(spark, path, Commit(version, base, base_version, added, changed, last_id, counts["inserted"], counts["updated"]))
     return counts
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Writes a new base with all change sets folded in, as a version of its own, and
+    returns its number. Readers of older versions are not disturbed; nothing is deleted."""
+    commits = _commits(spark, path)
+    if not commits:
+        raise ValueError(f"{path} holds no saved log")
+    before = commits[-1]
+    base = _write_base(_folded(spark, path, commits), path)
+    _commit(spark, path, Commit(before.version + 1, base, before.version + 1, None, None, before.last_id, 0, 0))
+    return before.version + 1

@@ -13,7 +13,7 @@ from opquality.functions.dates import calendar_parts, to_datetime
 from opquality.functions.ids import canonical_codes, dimension_key, normalized_ids
 from opquality.functions.numbers import nan_to_null
 from opquality.operators.filters import since
-from opquality.operators.lookup import Lookup, first_per_key
+from opquality.operators.lookup import Lookup, first_per_key, null_safe_left_join
 from opquality.sources.columns import col, column_type, first_column, resolve_column, upper_columns
 from opquality.sources.readers import Catalog
 
@@ -50,8 +50,8 @@ def _stamp(df: DataFrame, name: str, formats: Iterable[str] = ()) -> Column:
     return to_datetime(col(name), column_type(df, name), formats)
 
 
-def dim_operator(employees: DataFrame, bu: DataFrame) -> DataFrame:
-    """Employees with their organisational unit.
+def dim_operator(employees: DataFrame, bu: DataFrame, known_only: bool = False) -> DataFrame:
+    """Employees with their organisational unit; with ``known_only``, those with an id.
 
     Nothing is deduplicated, so an operator listed twice in ``bu`` appears
     twice, and missing ids match each other. Columns both sides have are told
@@ -61,7 +61,11 @@ def dim_operator(employees: DataFrame, bu: DataFrame) -> DataFrame:
     shared_names = [c for c in left.columns if c in right.columns and c != "OP_ID"]
     left = left.withColumnsRenamed({c: c + "_x" for c in shared_names})
     right = right.withColumnsRenamed({c: c + "_y" for c in shared_names} | {"OP_ID": "_BU_OP_ID"})
-    return left.join(right, F.col("OP_ID").eqNullSafe(F.col("_BU_OP_ID")), "left").drop("_BU_OP_ID")
+    if known_only:
+        joined = left.where(F.col("OP_ID").isNotNull()).join(right, F.col("OP_ID") == F.col("_BU_OP_ID"), "left")
+    else:
+        joined = null_safe_left_join(left, right, "OP_ID", "_BU_OP_ID")
+    return joined.drop("_BU_OP_ID")
 
 
 def operator_lookup(dim: DataFrame) -> Lookup:
@@ -90,7 +94,8 @@ def _with_operator(facts: DataFrame, operators: Lookup) -> DataFrame:
     facts = facts.withColumnsRenamed({c: c + "_x" for c in clash})
     table = operators.table.withColumnsRenamed({c: c + "_y" for c in clash})
     added = [c for c in table.columns if c != "OP_ID"]
-    joined = Lookup(table, operators.keys).left_join(facts)
+    # Rows without an operator are many, their dates are as well.
+    joined = Lookup(table, operators.keys).left_join(facts, spread_by=[c for c in ("PROD_DATE",) if c in facts.columns])
     return joined.select(*[col(c) for c in facts.columns], *added)
 
 
@@ -146,6 +151,7 @@ def fact_conf(events: DataFrame, operators: Lookup, codes: Lookup, min_date: str
     kept = since(coded.select(*picked), min_date)
     kept = canonical_codes(normalized_ids(kept, mode="text")).drop("CQ_CODE")
     slim_operators = operators.select(*EVENT_OPERATOR_COLUMNS)
+    # All events here have a code.
     fact = codes.left_join(_with_operator(kept, slim_operators))
     columns = [*EVENT_OPERATOR_COLUMNS, "CQ_CODE_STR", "CQ_DESCRIPTION", "CQ_RELATES_TO", "CQ_TYPE_TIER"]
     if date_column:
@@ -208,7 +214,10 @@ class Star:
 
     @cached_property
     def operators(self) -> Lookup:
-        return operator_lookup(self.dim_operator)
+        """A row without an id meets no fact, so the lookup is built without these."""
+        if self.published_dim is not None:
+            return operator_lookup(upper_columns(self.published_dim).where(F.col("OP_ID").isNotNull()))
+        return operator_lookup(dim_operator(self.catalog.read("view_employee"), self.catalog.read("BU_data"), known_only=True))
 
     @cached_property
     def codes(self) -> Lookup:

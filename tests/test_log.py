@@ -134,22 +134,66 @@ def test_saving_switches_versions_only_when_complete(spark, base, rows, tmp_path
     assert log.save_changes(spark, path, base, inserts) == {"inserted": 1, "updated": 0}
     assert log.save_changes(spark, path, base, None, updates) == {"inserted": 0, "updated": 1}
     # a version without its commit row, as a failed job leaves it, is not read
-    base.write.parquet(f"{path}/v=3-left")
+    base.write.parquet(f"{path}/base-left")
     assert log.current_version(spark, path) == 2
     assert rows(log.load_log(spark, path, base)) == [(1, "A", None, "Open"), (5, "B", "1-May", "Closed"), (6, "edited", None, "Open")]
 
 
+def files(path, kind):
+    return {str(f) for f in path.glob(f"{kind}-*/*.parquet")}
+
+
+def test_a_save_writes_no_base_file(spark, base, rows, tmp_path):
+    path = tmp_path / "log"
+    inserts, updates = changes(spark, [(1, "n", None)], [(1, "1", "one", None)])
+    log.save_changes(spark, str(path), base, inserts)
+    first, added = files(path, "base"), files(path, "added")
+    log.save_changes(spark, str(path), base, None, updates)
+    assert files(path, "base") == first and files(path, "added") == added
+    assert sum(spark.read.parquet(f).count() for f in files(path, "updates")) == 1
+    assert rows(log.load_log(spark, str(path), base)) == [(1, "one", None, "Open"), (5, "B", "1-May", "Closed"), (6, "n", None, "Open")]
+
+
+def test_folded_change_sets_equal_applied_ones(spark, base, rows, tmp_path):
+    path = str(tmp_path / "log")
+    sets = [
+        changes(spark, [(2, "b", None), (1, "a", "2-May")], [(1, "7", "hits an insert", None), (2, "9", "comes later", None)]),
+        changes(spark, [(1, "c", None)], [(1, "1", "x", None), (2, "6", "y", " "), (3, "1", "z", "3-May"), (4, "3", "never was", None)]),
+        changes(spark, [(1, "d", None)], [(1, "9", "now it is", None), (2, "7", "last", None)]),
+    ]
+    plain = base
+    for n, (inserts, updates) in enumerate(sets):
+        plain = log.apply_changes(plain, inserts, updates)
+        log.save_changes(spark, path, base, inserts, updates)
+        assert rows(log.load_log(spark, path, base)) == rows(plain)
+        if n == 1:
+            before = rows(log.load_log(spark, path, base))
+            assert log.compact(spark, path) == 3 == log.current_version(spark, path)
+            assert rows(log.load_log(spark, path, base)) == before
+    assert log.current_version(spark, path) == 4
+
+
+def test_a_lookup_by_id_skips_files_of_the_base(spark, tmp_path):
+    path = str(tmp_path / "log")
+    many = spark.range(1, 20_001).selectExpr("id AS row_id", "concat('r', id) AS `RACK ID`", "cast(null as string) AS `Date Removed`", "'Open' AS Status")
+    inserts, updates = changes(spark, [(1, "n", None)], [(1, "15000", "new", None)])
+    log.save_changes(spark, path, many, inserts, updates)
+    some = log.load_rows(spark, path, many, 14_999, 15_001)
+    assert [r["RACK ID"] for r in some.orderBy("row_id").collect()] == ["r14999", "new", "r15001"]
+    assert "GreaterThanOrEqual(row_id,14999)" in some._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_second_of_two_writers_fails(spark, base, rows, tmp_path, monkeypatch):
     path = str(tmp_path / "log")
     inserts, updates = changes(spark, [(1, "n", None)], [(1, "5", "edited", None)])
-    apply = log.apply_changes
+    counted = log.change_counts
 
-    def overtaken(*args, **options):
-        monkeypatch.setattr(log, "apply_changes", apply)
+    def overtaken(*args):
+        monkeypatch.setattr(log, "change_counts", counted)
         log.save_changes(spark, path, base, inserts)
-        return apply(*args, **options)
+        return counted(*args)
 
-    monkeypatch.setattr(log, "apply_changes", overtaken)
+    monkeypatch.setattr(log, "change_counts", overtaken)
     with pytest.raises(log.SaveConflict):
         log.save_changes(spark, path, base, None, updates)
     assert log.current_version(spark, path) == 1

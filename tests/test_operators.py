@@ -1,12 +1,13 @@
 """Building blocks: lookups, combinations, scores, numbering, top-k, filters."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from opquality.operators.filters import Filters, of_step, of_step_or_all, since
-from opquality.operators.lookup import Lookup, first_per_key
+from opquality.operators.filters import Filters, day_ranges, of_step, of_step_or_all, since
+from opquality.operators.lookup import Lookup, first_per_key, null_safe_left_join
 from opquality.operators.measures import AMOUNT, COUNT, combine, combine_onto, best_per_item, with_share_of_total
 from opquality.operators.numbering import dense_numbers, running_totals
 from opquality.operators.scoring import scored_and_ranked
@@ -33,7 +34,9 @@ def test_lookup_gives_the_same_rows_broadcast_or_not(spark, rows, threshold):
         assert joined.count() == 400
         assert rows(joined.where("n between 49 and 52")) == [("a", 49, "A"), ("b", 51, "B"), ("c", 52, None), (None, 50, None)]
         # rows without a key are dealt to many places, not to one
-        assert joined.where("k is null").count() == 348 and "_place" not in joined.columns
+        assert joined.where("k is null").count() == 348
+        spread = side.left_join(facts, spread_by=["n"])
+        assert rows(spread) == rows(joined) and "_place" not in spread.columns
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
@@ -162,3 +165,28 @@ def test_step_filters(spark):
 def test_minimum_date_drops_missing_dates(spark):
     df = spark.sql("SELECT * FROM VALUES (timestamp_ntz'2026-05-01'), (timestamp_ntz'2026-04-30'), (NULL) AS t(PROD_DATE)")
     assert since(df, "2026-05-01").count() == 1 and since(df, None).count() == 3
+
+
+def test_missing_keys_match_each_other_in_blocks(spark, rows):
+    left = spark.createDataFrame([(None, n) for n in range(20)] + [("a", 20), ("a", 21), ("b", 22)], "k string, n int")
+    right = spark.createDataFrame([(None, m) for m in range(30)] + [("a", 30), ("a", 31)], "k2 string, m int")
+    got = null_safe_left_join(left, right, "k", "k2")
+    assert rows(got) == rows(left.join(right, left.k.eqNullSafe(right.k2), "left"))
+    assert rows(null_safe_left_join(left, right.where("k2 = 'a'"), "k", "k2")) == rows(left.join(right.where("k2 = 'a'"), left.k.eqNullSafe(right.k2), "left"))
+    missing = null_safe_left_join(left.where("k is null"), right, "k", "k2")
+    assert missing.count() == 600
+    # no task joins all of them
+    sizes = everywhere_sizes(missing)
+    assert max(sizes) < 600
+
+
+def everywhere_sizes(df):
+    return [r["count"] for r in df.groupBy(F.pmod(F.xxhash64("k2", "m"), F.lit(32))).count().collect()]
+
+
+def test_days_of_weeks_and_years():
+    assert day_ranges([2026], [19]) == [(dt.date(2026, 5, 4), dt.date(2026, 5, 11))]
+    assert day_ranges([2026], [1, 53]) == [(dt.date(2026, 1, 1), dt.date(2026, 1, 5)), (dt.date(2026, 12, 28), dt.date(2027, 1, 1))]
+    assert day_ranges([2025, 2024]) == [(dt.date(2024, 1, 1), dt.date(2026, 1, 1))]
+    days = {d for a, b in day_ranges([2021, 2022], [1, 52, 53]) for d in (a + dt.timedelta(k) for k in range((b - a).days))}
+    assert days == {d for d in (dt.date(2021, 1, 1) + dt.timedelta(k) for k in range(730)) if d.isocalendar().week in (1, 52, 53)}

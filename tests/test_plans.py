@@ -347,3 +347,27 @@ def test_operator_lookup_has_one_row_per_id(star):
     lookup = operator_lookup(star.dim_operator)
     names = {r.OP_ID: (r.OPERATOR_NAME, r.BU) for r in lookup.table.collect()}
     assert names["000001"] == ("Ann", "E") and names["000002"] == ("Bob", "W") and names["0000AB"] == ("Cy", None)
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "FileScan" in line]
+
+
+def test_filters_reach_the_files_of_a_fact_built_on_the_fly(spark, tmp_path, rows):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for name, df in tables(spark).items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    star = Star(Catalog(spark, str(tmp_path)), min_date=None)
+    chosen = Filters(weeks=(19, 20), years=(2026,)).apply(star.fact_first_step).where("TBM = 'T1'")
+    assert rows(chosen) == rows(star.fact_first_step.where("TBM = 'T1' and PROD_YEAR = 2026 and PROD_WEEK in (19, 20)"))
+    pushed = next(s for s in scans(chosen) if "first_step_prod" in s).split("PushedFilters")[1]
+    assert "EqualTo(TBM,T1)" in pushed and "GreaterThanOrEqual(PROD_DATE,2026-05-04" in pushed and "LessThan(PROD_DATE,2026-05-18" in pushed
+    weeks = Filters(weeks=(19,)).apply(star.fact_nc_scrap)
+    scan = next(s for s in scans(weeks) if "nc_scrap" in s)
+    assert "weekofyear(" in scan.split("DataFilters")[1].split("Format")[0] and "IsNotNull(PROD_DATE)" in scan
+
+
+def test_a_unit_filter_turns_the_lookup_into_an_inner_join(spark, star):
+    plan = Filters(bus=("W",)).apply(star.fact_first_step)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "LeftOuter, (" not in plan.split("Join Inner")[0]
