@@ -35,3 +35,12 @@ def share(df: DataFrame) -> DataFrame:
     instead of repeating the work. Meant for aggregated results, not for facts."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """A small table that several aggregates read, written to the shared folder when
+    called and reread: computed once by construction, pruned by column, and of a size that
+    the planner knows. The folder belongs to the session that set it."""
+    path = new_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from opquality.operators.filters import CONFECTION, FINISHING, of_step, with_cod
 from opquality.operators.lookup import Lookup, first_per_key
 from opquality.operators.measures import AMOUNT, COUNT, combine, combine_onto, stack, sums, best_per_item, with_share_of_total
 from opquality.operators.scoring import scored_and_ranked
+from opquality.operators.sharing import written
 from opquality.plans.star import repair_flag, rft_flag
 from opquality.sources.columns import column_type, upper_columns
 
@@ -79,7 +80,7 @@ def agg_donut(events: DataFrame) -> DataFrame:
     The share divides a week's count by the total of all weeks.
     """
     keys = [*CELL_KEYS, *CODE_KEYS]
-    slices = with_share_of_total(donut_cells(events), "CQ_COUNT", total_count, ["BU", "CREW"], "BU_CREW_TOTAL", "PCT_OF_SLICE")
+    slices = with_share_of_total(written(donut_cells(events), "donut"), "CQ_COUNT", total_count, ["BU", "CREW"], "BU_CREW_TOTAL", "PCT_OF_SLICE")
     return slices.orderBy(F.desc("CQ_COUNT"), *keys)
 
 
@@ -91,7 +92,7 @@ def agg_donut_scrap(scrap: DataFrame) -> DataFrame:
         total(F.col("OP_TIRES")).alias("TIRES"),
         F.count("OP_ID").alias("EVENTS"),
     )
-    cells = cells.withColumn("LBS_PER_TIRE", ratio(F.col("SCRAP_LBS"), F.col("TIRES"), scale=1.0))
+    cells = written(cells.withColumn("LBS_PER_TIRE", ratio(F.col("SCRAP_LBS"), F.col("TIRES"), scale=1.0)), "donut")
     slices = with_share_of_total(cells, "SCRAP_LBS", total, ["BU", "CREW"], "BU_CREW_TOTAL", "PCT_OF_SLICE")
     return slices.orderBy(F.desc_nulls_last("SCRAP_LBS"), *keys)
 
@@ -108,7 +109,7 @@ def _leaderboard(prod: DataFrame, others: list[DataFrame], measures: dict[str, s
     )
     events = combine(others, ["OP_ID"], measures)
     merged = base.join(events, "OP_ID", "left").fillna(0, subset=list(measures))
-    merged = merged.withColumns(percentages(rft))
+    merged = written(merged.withColumns(percentages(rft)), "leaderboard")
     terms = {name.replace("_PCT", "_NORM"): F.coalesce(F.col(name), F.lit(0.0)) for name in ("BC_PCT", "AC_PCT", "SCRAP_PCT")}
     if rft:
         terms["UNI_NORM"] = F.coalesce(100 - F.col("RFT_PCT"), F.lit(0.0))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opquality.functions.dates import short_week_label
 from opquality.functions.ids import normalized_ids
 from opquality.functions.numbers import band, ratio, ratio_or_zero, total, total_count
-from opquality.operators.filters import CONFECTION, FINISHING, Filters, of_step_or_all
+from opquality.operators.filters import CONFECTION, FINISHING, Filters, matches_step
 from opquality.operators.measures import AMOUNT, COUNT, combine_onto, stack, sums
 from opquality.operators.scoring import scored_and_ranked
-from opquality.operators.topk import top, top_with_other, with_position
+from opquality.operators.sharing import written
+from opquality.operators.topk import top, with_position
 from opquality.plans.aggregates import WEEK_KEYS, percentages
 from opquality.sources.columns import upper_columns
 
@@ -70,7 +71,9 @@ def op_rollup(op_week: DataFrame | None, filters: Filters = EVERYTHING, period:
         "_SCRAP": F.coalesce(F.col("SCRAP_PCT"), F.lit(0.0)),
         "_UNI": F.coalesce(100 - F.col("RFT_PCT"), F.lit(0.0)),
     }
-    return scored_and_ranked(rolled.withColumns(percentages(rft=True)), terms, min_tires).drop(*terms)
+    # Bounds and ranks are read off the written roll-up, whatever it was computed from.
+    board = written(rolled.withColumns(percentages(rft=True)), "op-rollup")
+    return scored_and_ranked(board, terms, min_tires).drop(*terms)
 
 
 def quality_top(rollup: DataFrame, n: int = 10) -> DataFrame:
@@ -149,32 +152,40 @@ def kpi_summary(op_week: DataFrame | None, leak_tests: DataFrame, filters: Filte
     )
 
 
-def folded(df: DataFrame, columns: Sequence[str], value: str) -> DataFrame:
-    """Totals per combination of the columns: a handful of rows per code, which the
-    choice of a breakdown then reads several times, by one shuffle."""
-    names = [c for c in columns if c in df.columns]
-    return df.groupBy(*names).agg(F.sum(value).alias(value))
+def _sets_of_totals(df: DataFrame, names: Sequence[str], value: str, tagged: Column) -> DataFrame:
+    """Totals of each category of each column, and apart by ``tagged``, in one aggregate:
+    _at is the place of the column, _category its value."""
+    text = df.select(*[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(names)], tagged.alias("_tagged"), F.col(value).alias("_value"))
+    keys = [f"_c{i}" for i in range(len(names))]
+    sets = text.groupingSets([("_tagged", key) for key in keys], "_tagged", *keys).agg(
+        F.sum("_value").alias("VALUE"), *[F.grouping(key).alias(f"_g{i}") for i, key in enumerate(keys)],
+    )
+    at = reduce(lambda chain, i: chain.when(F.col(f"_g{i}") == 0, i), range(1, len(keys)), F.when(F.col("_g0") == 0, 0))
+    return sets.select("_tagged", at.alias("_at"), F.coalesce(*keys).alias("_category"), "VALUE")
 
 
-def category_totals(df: DataFrame, candidates: Sequence[str], value: str, k: int = 6) -> DataFrame:
-    """Totals by the first candidate column with at least two categories (else
-    the first with any), the k largest and the remainder.
+def category_totals(df: DataFrame, candidates: Sequence[str], value: str, k: int = 6, tagged: Column | None = None) -> DataFrame:
+    """Totals by the first candidate column with at least two categories (else the first
+    with any), the k largest and the remainder. Only ``tagged`` rows count, but all of them
+    if there are none.
 
-    Two different categories exist exactly when smallest and largest differ, so
-    the choice needs one row and no distinct count. ``df`` should be
-    ``folded``.
+    One aggregate gives a row per column and category; which column, which rows and which
+    categories is read off these few rows by windows. Two different categories exist
+    exactly when smallest and largest differ.
     """
     names = [c for c in candidates if c in df.columns]
-    text = {c: F.col(c).cast("string") for c in names}
-    edges = [e for c in names for e in (F.min(text[c]).alias(f"{c}_lo"), F.max(text[c]).alias(f"{c}_hi"))]
-    # one row of smallest and largest categories
-    found = df.agg(*edges).withColumn("_one", F.lit(1))
-    choices = [(F.col(f"{c}_lo") != F.col(f"{c}_hi"), text[c]) for c in names]
-    choices += [(F.col(f"{c}_lo").isNotNull(), text[c]) for c in names]
-    label = reduce(lambda chain, choice: chain.when(*choice), choices[1:], F.when(*choices[0]))
-    chosen = df.withColumn("_one", F.lit(1)).join(F.broadcast(found), "_one")
-    labelled = chosen.select(label.alias("_category"), F.col(value)).where(F.col("_category").isNotNull())
-    return top_with_other(labelled, "_category", value, k)
+    totals = _sets_of_totals(df, names, value, F.lit(True) if tagged is None else tagged)
+    every, column = Window.partitionBy(), Window.partitionBy("_at")
+    counted = totals.withColumn("_any", F.max("_tagged").over(every)).where(F.col("_tagged") == F.col("_any"))
+    edges = counted.withColumns({"_lo": F.min("_category").over(column), "_hi": F.max("_category").over(column)})
+    # A column with two categories comes before all that have one.
+    preference = F.when(F.col("_lo") != F.col("_hi"), F.col("_at")).when(F.col("_lo").isNotNull(), F.col("_at") + len(names))
+    chosen = edges.withColumn("_preference", preference).withColumn("_best", F.min("_preference").over(every))
+    chosen = chosen.where((F.col("_preference") == F.col("_best")) & F.col("_category").isNotNull())
+    place = F.row_number().over(every.orderBy(F.desc_nulls_last("VALUE"), F.asc("_category")))
+    placed = chosen.withColumn("IS_OTHER", place > k)
+    shown = placed.groupBy(F.when(F.col("IS_OTHER"), "Other").otherwise(F.col("_category")).alias("LABEL"), "IS_OTHER").agg(F.sum("VALUE").alias("VALUE"))
+    return shown.where(~F.col("IS_OTHER") | (F.col("VALUE") > 0))
 
 
 def breakdown(donut: DataFrame, step: str, stage: str, filters: Filters = EVERYTHING, k: int = 6) -> DataFrame:
@@ -184,10 +195,8 @@ def breakdown(donut: DataFrame, step: str, stage: str, filters: Filters = EVERYT
     the second step always count in full. The operator filter does not apply.
     """
     rows = filters.apply(upper_columns(donut), known_bu_only=True)
-    rows = folded(rows, ("CQ_RELATES_TO", *BREAKDOWN_COLUMNS), "CQ_COUNT")
-    if not (stage == "ac" and step == "2"):
-        rows = of_step_or_all(rows, STEPS[step])
-    return category_totals(rows, BREAKDOWN_COLUMNS, "CQ_COUNT", k)
+    split = not (stage == "ac" and step == "2") and "CQ_RELATES_TO" in rows.columns
+    return category_totals(rows, BREAKDOWN_COLUMNS, "CQ_COUNT", k, matches_step(STEPS[step]) if split else None)
 
 
 def _week_order(df: DataFrame, *names: str) -> DataFrame:
