@@ -23,6 +23,7 @@ from opquality.plans import aggregates as agg
 from opquality.plans import factboard, log
 from opquality.plans import scorecard as card
 from opquality.plans.star import Star
+from opquality.sources.buckets import write_bucketed
 from opquality.sources.profile import fact_diagnostics, profile, value_counts
 from opquality.sources.samples import sample_catalog
 from opquality.sources.writers import json_records
@@ -167,6 +168,13 @@ def _json(b: Board) -> DataFrame:
     return json_records(b.read("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
 
 
+def _uniformity_bucketed(b: Board) -> DataFrame:
+    """From tests stored in buckets of the barcode."""
+    path = new_folder(b.catalog.spark, "tests")
+    tests = write_bucketed(agg.test_columns(b.read("uniformity_breakdown")), path, "BARCODE", buckets=16)
+    return agg.agg_uniformity(tests, b.star.operators, CONFECTION, by_barcode=True)
+
+
 def _saved_log(b: Board) -> DataFrame:
     """The change set of apply_changes saved in three steps, with a new base in between."""
     spark, path = b.catalog.spark, new_folder(b.catalog.spark, "log")
@@ -212,6 +220,7 @@ REGISTERED: dict[str, Callable[[Board], DataFrame]] = {
     "agg_top_performers": lambda b: agg.agg_top_performers(*b.facts),
     "agg_top_performers_fin": lambda b: agg.agg_top_performers_fin(*b.facts_fin),
     "agg_uniformity": lambda b: b.uniformity(CONFECTION),
+    "agg_uniformity_bucketed": _uniformity_bucketed,
     "agg_uniformity_fin": lambda b: b.uniformity("Finishing"),
     "agg_op_week": lambda b: b.op_week,
     "agg_op_week_fin": lambda b: b.op_week_fin,

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opquality.sources.columns import col
@@ -34,6 +34,18 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] =
     return best.select(*[F.col(c) if c in keys else values[c] for c in df.columns])
 
 
+def first_of_bucketed(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
+    """The same from a table stored in buckets of its key: a ranking window that keeps one
+    row of each key and needs no shuffle. Rows without a key, which may be many, do not
+    meet in a bucket's task: the first of them is the least of each task's least."""
+    ordered = list(order_by) + [c for c in df.columns if c not in keys and c not in order_by]
+    order = [col(c).asc_nulls_last() for c in ordered]
+    no_key = reduce(lambda a, b: a & b, [col(k).isNull() for k in keys])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    keyed = df.where(~no_key).withColumn("_first", place).where("_first = 1").drop("_first")
+    return keyed.unionByName(df.where(no_key).orderBy(*order).limit(1))
+
+
 @dataclass(frozen=True)
 class Lookup:
     """A keyed side table with one row per key, which is what makes the left join keep

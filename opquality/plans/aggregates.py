@@ -9,7 +9,7 @@ from opquality.functions.dates import to_datetime, week_label
 from opquality.functions.ids import normalized_ids
 from opquality.functions.numbers import number_or_zero, ratio, total, total_count
 from opquality.operators.filters import CONFECTION, FINISHING, of_step, with_code
-from opquality.operators.lookup import Lookup, first_per_key
+from opquality.operators.lookup import Lookup, first_of_bucketed, first_per_key
 from opquality.operators.measures import AMOUNT, COUNT, combine, combine_onto, stack, sums, best_per_item, with_share_of_total
 from opquality.operators.scoring import scored_and_ranked
 from opquality.operators.sharing import written
@@ -162,19 +162,33 @@ def agg_top_performers_fin(
     return _leaderboard(prod, others, measures, min_tires, rft=True)
 
 
-def _first_tests(tests: DataFrame) -> DataFrame:
+def _first_tests(tests: DataFrame, by_barcode: bool) -> DataFrame:
     """The first test of each barcode (missing times last, ties by the other
     columns); tests without a barcode share one row, as equal keys do."""
     if not {"BARCODE", "TEST_DATETIME"} <= set(tests.columns):
         return tests
-    return first_per_key(tests, ["BARCODE"], order_by=["TEST_DATETIME"])
+    first = first_of_bucketed if by_barcode else first_per_key
+    return first(tests, ["BARCODE"], order_by=["TEST_DATETIME"])
 
 
-def agg_uniformity(tests: DataFrame, operators: Lookup, step: str = FINISHING) -> DataFrame:
+# What the uniformity aggregates read of a test.
+TEST_COLUMNS = (
+    "BARCODE", "TEST_DATETIME", "CONFECTION_OPERATOR_ID", "CONFECTION_TIMESTAMP", "FINISHING_OPERATOR_ID", "FINISHING_TIMESTAMP",
+    "RUN_TYPE", "OGU2_GRADE", "UNI_GRADE", "UNI_REPAIR",
+)
+
+
+def test_columns(tests: DataFrame) -> DataFrame:
+    """The tests with the columns that their aggregates read, as far as they exist."""
+    return upper_columns(tests).select(*[c for c in TEST_COLUMNS if c in upper_columns(tests).columns])
+
+
+def agg_uniformity(tests: DataFrame, operators: Lookup, step: str = FINISHING, by_barcode: bool = False) -> DataFrame:
     """First-test results per unit, crew and week of the given step's operator.
 
     For the finishing step each column falls back to its building counterpart
-    when the source lacks it.
+    when the source lacks it. ``by_barcode``: the tests are stored in buckets of the
+    barcode (``sources/buckets.py``), so that their first needs no shuffle.
     """
     tests = upper_columns(tests)
     prefixes = ["FINISHING", "CONFECTION"] if step == FINISHING else ["CONFECTION"]
@@ -190,7 +204,7 @@ def agg_uniformity(tests: DataFrame, operators: Lookup, step: str = FINISHING) -
         F.year(when).alias("PROD_YEAR"),
         F.weekofyear(when).alias("PROD_WEEK"),
     )
-    known = operators.select("OP_ID", "BU", "CREW").left_join(_first_tests(slim), spread_by=("BARCODE",))
+    known = operators.select("OP_ID", "BU", "CREW").left_join(_first_tests(slim, by_barcode), spread_by=("BARCODE",))
     return known.groupBy(*CELL_KEYS).agg(
         F.count_distinct("BARCODE").alias("TIRES_TESTED") if "TEST_DATETIME" not in tests.columns
         else F.count("BARCODE").alias("TIRES_TESTED"),

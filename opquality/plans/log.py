@@ -15,7 +15,7 @@ from opquality.functions.numbers import to_number
 from opquality.functions.text import (
     CLOSED, blank_to_null, contains_ignoring_case, is_blank, leading_number, natural_key, status_of,
 )
-from opquality.operators.numbering import dense_numbers
+from opquality.operators.numbering import Ranges, SortKey, dense_numbers
 from opquality.operators.topk import top, with_position
 from opquality.sources.columns import col
 from opquality.sources.readers import as_text
@@ -68,7 +68,7 @@ def clean_report(log: DataFrame, date_removed: str = DATE_REMOVED, carry: Sequen
 
 def add_row_id(log: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
     """``row_id`` 1..N as the first column, replacing any it had."""
-    return dense_numbers(log, [col(c).asc_nulls_last() for c in order_by], KEY)
+    return dense_numbers(log, [SortKey(c) for c in order_by], KEY)
 
 
 def suggestions(log: DataFrame, limit: int | None = None) -> DataFrame:
@@ -127,29 +127,35 @@ def natural_keys(name: str) -> dict[str, Column]:
     return {"_blank": text == "", "_number": leading_number(text), "_natural": natural_key(text), "_text": text}
 
 
-def natural_order(descending: bool = False) -> list[Column]:
+def natural_order(descending: bool = False) -> list[SortKey]:
     """Blanks last either way; numbers by value, before other text, digit runs
     in text by value."""
-    if descending:
-        return [F.asc("_blank"), F.desc_nulls_first("_number"), F.desc("_natural"), F.desc("_text")]
-    return [F.asc("_blank"), F.asc_nulls_last("_number"), F.asc("_natural"), F.asc("_text")]
+    return [SortKey("_blank"), SortKey("_number", descending, nulls_first=descending), SortKey("_natural", descending), SortKey("_text", descending)]
 
 
 def grid_query(
     log: DataFrame, column_filters: Mapping[str, str] | None = None, search: str = "", sort: str | None = None,
-    descending: bool = False, limit: int | None = None, exact: Iterable[str] = (STATUS,), key: str = KEY,
+    descending: bool = False, limit: int | None = None, exact: Iterable[str] = (STATUS,), key: str = KEY, offset: int = 0,
 ) -> DataFrame:
     """The matching rows in order, numbered from 1; ties keep key order. With a
-    limit, the first page of them.
+    limit, the page of so many rows after the first ``offset`` ones.
 
     Sort keys are columns: as expressions they would be redone per comparison. All
-    rows are numbered by ranges, a page by a window over it.
+    rows are numbered by ranges, the first page by a window over it, and a later page
+    by sorting only the ranges that it lies in.
     """
     rows = grid_filter(log, column_filters, search, exact, key)
     keys = natural_keys(sort) if sort else {}
-    order = (natural_order(descending) if sort else []) + [F.asc(key)]
+    order = (natural_order(descending) if sort else []) + [SortKey(key, nulls_first=True)]
     keyed = rows.withColumns(keys)
-    numbered = dense_numbers(keyed, order, "POSITION") if limit is None else with_position(top(keyed, limit, *order), *order)
+    if limit is None:
+        numbered = dense_numbers(keyed, order, "POSITION")
+        numbered = numbered.where(F.col("POSITION") > offset) if offset else numbered
+    elif offset:
+        numbered = Ranges(keyed, order).page(offset, limit)
+    else:
+        columns = [k.order() for k in order]
+        numbered = with_position(top(keyed, limit, *columns), *columns)
     return numbered.select(*[col(c) for c in rows.columns], "POSITION")
 
 
@@ -198,7 +204,7 @@ def numbered_inserts(
     """New rows in the columns of the log, with the ids from ``next_id`` on in ``order``."""
     values = _values(inserts, columns, key, status, date_removed)
     new = inserts.select(col(order).alias("_order"), *[v.alias(n) for n, v in values.items()])
-    numbered = dense_numbers(new, [F.asc("_order")], "_new_id", next_id)
+    numbered = dense_numbers(new, [SortKey("_order", nulls_first=True)], "_new_id", next_id)
     return numbered.select(*[F.col("_new_id").cast(columns.schema[key].dataType).alias(key) if c == key else col(c) for c in columns.columns])
 
 

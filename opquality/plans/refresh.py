@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from functools import cache
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
 from opquality.operators.filters import CONFECTION, FINISHING
 from opquality.plans import aggregates as agg
 from opquality.plans.star import DEFAULT_MIN_PROD_DATE, Star
+from opquality.sources.buckets import write_bucketed
 from opquality.sources.readers import Catalog
-from opquality.sources.writers import overwrite_table
+from opquality.sources.snapshots import latest, publish, run_folder
 
 FACTS = ("fact_first_step", "fact_second_step", "fact_conf_bc", "fact_conf_ac", "fact_nc_scrap", "fact_uniformity")
 PARTITION_COLUMNS = ("PROD_YEAR", "PROD_WEEK")
@@ -29,9 +31,9 @@ def _write(df: DataFrame, path: str, partitioned: bool) -> None:
     # Rows of a week go to the same files; rebalancing splits a heavy week
     # over several tasks and merges light ones.
     if partitioned:
-        overwrite_table(df.hint("rebalance", *PARTITION_COLUMNS), path, PARTITION_COLUMNS)
+        df.hint("rebalance", *PARTITION_COLUMNS).write.partitionBy(*PARTITION_COLUMNS).parquet(path)
     else:
-        overwrite_table(df, path)
+        df.write.parquet(path)
 
 
 def refresh(
@@ -40,19 +42,29 @@ def refresh(
 ) -> list[str]:
     """Builds dimension, facts and aggregates in dependency order into ``out``.
 
-    Each step reads what earlier steps wrote. A table that fails does not stop
-    the others, but those that read it are not built from an old one: they fail
-    too. All failures are raised together at the end. The period
-    aggregates, superseded by the operator-by-week tables, are optional.
+    Each step reads what earlier steps of this run wrote. A table that fails does not
+    stop the others, but those that read it are not built from an old one: they fail
+    too. At the end all tables built become current in one step, those that failed stay
+    as they were, and all failures are raised together. A run that ends before leaves
+    what is current untouched. The period aggregates, superseded by the operator-by-week
+    tables, are optional; for them the tests are stored once in buckets of the barcode.
     """
     options = {"min_date": min_date, "formats": formats}
+    spark, run = out.spark, uuid4().hex
+    since = latest(spark, out.root)
+    own: dict[str, DataFrame] = {}
 
     @cache
     def star() -> Star:
-        return Star(sources, published_dim=out.read("dim_operator"), **options)
+        return Star(sources, published_dim=own["dim_operator"], **options)
+
+    @cache
+    def tests() -> DataFrame:
+        source = agg.test_columns(sources.read("uniformity_breakdown"))
+        return write_bucketed(source, out.path(run_folder(run, "tests_by_barcode")), "BARCODE") if "BARCODE" in source.columns else source
 
     def of(build: Callable[..., DataFrame], *inputs: str) -> tuple[Callable[[], DataFrame], tuple[str, ...]]:
-        return lambda: build(*[out.read(i) for i in inputs]), inputs
+        return lambda: build(*[own[i] for i in inputs]), inputs
 
     first, second, bc, ac, scrap, uni = FACTS
     steps: dict[str, tuple[Callable[[], DataFrame], tuple[str, ...]]] = {"dim_operator": (lambda: Star(sources, **options).dim_operator, ())}
@@ -69,8 +81,8 @@ def refresh(
             "agg_kpi_summary": of(agg.agg_kpi_summary, first, bc, ac, scrap),
             "agg_weekly_trend": of(agg.agg_weekly_trend, "agg_kpi_summary"),
             "agg_weekly_trend_fin": of(agg.agg_weekly_trend_fin, second, bc, ac),
-            "agg_uniformity": (lambda: agg.agg_uniformity(sources.read("uniformity_breakdown"), star().operators, CONFECTION), ("dim_operator",)),
-            "agg_uniformity_fin": (lambda: agg.agg_uniformity(sources.read("uniformity_breakdown"), star().operators, FINISHING), ("dim_operator",)),
+            "agg_uniformity": (lambda: agg.agg_uniformity(tests(), star().operators, CONFECTION, by_barcode=True), ("dim_operator",)),
+            "agg_uniformity_fin": (lambda: agg.agg_uniformity(tests(), star().operators, FINISHING, by_barcode=True), ("dim_operator",)),
             "agg_top_performers": of(agg.agg_top_performers, first, bc, ac, scrap),
             "agg_top_performers_fin": of(agg.agg_top_performers_fin, second, bc, ac, scrap, uni),
         }
@@ -81,11 +93,15 @@ def refresh(
             failures[name] = "not built, for want of " + ", ".join(missing)
             continue
         try:
-            _write(build(), out.path(name), partition_facts and name in FACTS)
-            out.forget(name)
+            path = out.path(run_folder(run, name))
+            _write(build(), path, partition_facts and name in FACTS)
+            own[name] = spark.read.parquet(path)
             built.append(name)
         except Exception as problem:  # whatever stops a step, the others go on
             failures[name] = f"{type(problem).__name__}: {problem}"
+    if built:
+        publish(spark, out.root, run, built, since)
+        out.renew()
     if failures:
         raise RefreshFailed(failures)
     return built

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from opquality.sources.columns import project
+from opquality.sources.snapshots import Snapshot, latest
 
 
 # Conditions under which a table is not there; any other failure is passed on.
@@ -20,14 +21,27 @@ def is_missing(problem: AnalysisException) -> bool:
 
 
 class Catalog:
-    """Names to tables: ready DataFrames first, then parquet under ``root``,
-    then tables or views of the session's catalog."""
+    """Names to tables: ready DataFrames first, then what was published under ``root``
+    (``snapshots.py``), then parquet there, then tables or views of the session's catalog."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, tables: Mapping[str, DataFrame] | None = None):
         self.spark = spark
         self.root = root.rstrip("/") if root else None
         self.tables = dict(tables or {})
         self._opened: dict[str, DataFrame] = {}
+        self._snapshot: Snapshot | None = None
+
+    @property
+    def snapshot(self) -> Snapshot:
+        """What was published when this catalog first looked; it stays with that."""
+        if self._snapshot is None:
+            self._snapshot = latest(self.spark, self.root) if self.root else Snapshot()
+        return self._snapshot
+
+    def renew(self) -> None:
+        """From now on, what is published last."""
+        self._snapshot = None
+        self._opened.clear()
 
     def path(self, name: str) -> str:
         if not self.root:
@@ -40,14 +54,12 @@ class Catalog:
         df = self._opened[name]
         return df if columns is None else project(df, columns)
 
-    def forget(self, name: str) -> None:
-        """Look the table up again next time, after it was written."""
-        self._opened.pop(name, None)
-
     def _find(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
         if self.root:
+            if name in self.snapshot.folders:
+                return self.spark.read.parquet(self.path(self.snapshot.folders[name]))
             for path in (self.path(name), self.path(name) + ".parquet"):
                 try:
                     return self.spark.read.parquet(path)

@@ -74,6 +74,16 @@ def test_all_rows_are_numbered_without_a_limit(spark):
     assert got == [(n, f"x{n}") for n in range(1, 4001)]
 
 
+def test_a_page_in_the_middle(spark, saved):
+    many = spark.range(1, 2001).selectExpr("id AS row_id", "CASE WHEN id % 9 = 0 THEN '' ELSE concat('x', cast(id * 7919 % 2003 as string)) END AS `RACK ID`", "'Open' AS Status").repartition(5)
+    for descending in (False, True):
+        whole = [tuple(r) for r in log.grid_query(many, sort="RACK ID", descending=descending).orderBy("POSITION").collect()]
+        page = [tuple(r) for r in log.grid_query(many, sort="RACK ID", descending=descending, limit=25, offset=1000).orderBy("POSITION").collect()]
+        assert page == whole[1000:1025]
+    assert ids(log.grid_query(saved, sort="RACK ID", limit=3, offset=2)) == [7, 1, 2]
+    assert ids(log.grid_query(saved, sort="RACK ID", offset=5)) == [4, 8]
+
+
 def test_suggestions_by_frequency_up_to_a_limit(spark, rows):
     df = spark.createDataFrame([("a", str(i)) for i in range(6)] + [(" b ", "x"), ("b", None), ("b", " ")], "c string, many string")
     got = log.suggestions(df, 4)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from opquality.operators.filters import Filters, day_ranges, of_step, of_step_or_all, since
 from opquality.operators.lookup import Lookup, first_per_key, null_safe_left_join
 from opquality.operators.measures import AMOUNT, COUNT, combine, combine_onto, best_per_item, with_share_of_total
-from opquality.operators.numbering import dense_numbers, running_totals
+from opquality.operators.numbering import Ranges, SortKey, dense_numbers
 from opquality.operators.scoring import scored_and_ranked
 from opquality.operators.topk import top_with_other
 from opquality.functions.numbers import total
@@ -120,7 +120,7 @@ def test_ranks_equal_a_plain_competition_ranking(spark):
 def test_dense_numbers_follow_the_order_and_survive_equal_rows(spark):
     data = [("same",)] * 300 + [(f"v{i:03d}",) for i in range(100)]
     df = spark.createDataFrame(data, "v string").repartition(7)
-    got = dense_numbers(df, [F.col("v").asc()]).orderBy("row_id").collect()
+    got = dense_numbers(df, [SortKey("v")]).orderBy("row_id").collect()
     assert [r.row_id for r in got] == list(range(1, 401))
     assert [r.v for r in got] == sorted(v for v, in data)
 
@@ -132,10 +132,45 @@ def test_dense_numbers_without_order_shuffle_nothing(spark):
     assert sorted(r.row_id for r in got.collect()) == list(range(11, 111))
 
 
-def test_running_totals(spark):
-    df = spark.createDataFrame([(k, v, v + 1) for k in "ab" for v in range(50)], "k string, v int, n int").repartition(6)
-    got = running_totals(df, "k", "v", "n", "before").collect()
-    assert all(r.before == sum(range(1, r.v + 1)) for r in got) and len(got) == 100
+@pytest.fixture(scope="module")
+def unordered(spark):
+    rng = random.Random(4)
+    data = [(rng.choice([None, None, "a", "b", "é", "Z"]), rng.choice([None, 1.5, -2.0, 7.0]), n) for n in range(700)]
+    return spark.createDataFrame(data, "t string, x double, n int").repartition(6)
+
+
+ORDERS = [
+    ([SortKey("t"), SortKey("n")], ["t asc nulls last", "n"]), ([SortKey("t", True, True), SortKey("x"), SortKey("n", True)], ["t desc nulls first", "x asc nulls last", "n desc"]),
+    ([SortKey("x", nulls_first=True), SortKey("t", True), SortKey("n")], ["x asc nulls first", "t desc nulls last", "n"]),
+]
+
+
+@pytest.mark.parametrize("keys,sql", ORDERS)
+def test_numbers_and_pages_follow_any_order(spark, unordered, keys, sql, monkeypatch):
+    kind = type(unordered)
+    monkeypatch.setattr(kind, "checkpoint", lambda *a, **k: pytest.fail("rows are stored"))
+    unordered.createOrReplaceTempView("unordered")
+    expected = [tuple(r) for r in spark.sql(f"SELECT * FROM unordered ORDER BY {', '.join(sql)}").collect()]
+    ranges = Ranges(unordered, keys, 16)
+    assert len(ranges.splitters) > 8 and ranges.offsets[-1] == 700
+    assert [tuple(r)[1:] for r in ranges.numbered("place").orderBy("place").collect()] == expected
+    for offset, limit in ((0, 10), (333, 50), (690, 50), (700, 5), (9000, 5)):
+        page = ranges.page(offset, limit, "place").orderBy("place").collect()
+        assert [(r.place, (r.t, r.x, r.n)) for r in page] == [(offset + k + 1, row) for k, row in enumerate(expected[offset:offset + limit])]
+
+
+def test_a_page_sorts_only_the_ranges_it_lies_in(spark, unordered):
+    ranges = Ranges(unordered, [SortKey("n")], 16)
+    asked = ranges.rows.where(F.col("_range").isin([i for i in range(16) if ranges.offsets[i] < 360 and ranges.offsets[i + 1] > 350]))
+    assert asked.count() < 150 and ranges.page(350, 10).count() == 10
+
+
+def test_equal_rows_spread_over_ranges(spark):
+    df = spark.createDataFrame([("same", n) for n in range(500)] + [(f"v{n}", n) for n in range(100)], "v string, n int").repartition(5)
+    ranges = Ranges(df, [SortKey("v")], 8)
+    assert max(b - a for a, b in zip(ranges.offsets, ranges.offsets[1:])) < 250
+    assert sorted(x.k for x in ranges.numbered("k").collect()) == list(range(1, 601))
+    assert dense_numbers(df.limit(0), [SortKey("v")]).count() == 0
 
 
 def test_top_with_other(spark, rows):

@@ -11,7 +11,10 @@ from opquality.plans import factboard
 from opquality.plans import scorecard as card
 from opquality.plans.refresh import RefreshFailed, refresh
 from opquality.plans.star import Star, dim_operator, fact_second_step, operator_lookup
+from opquality.operators.lookup import first_of_bucketed
+from opquality.sources.buckets import read_bucketed, write_bucketed
 from opquality.sources.readers import Catalog
+from opquality.sources.snapshots import SnapshotConflict
 
 D1, D2, OLD = "2026-05-04 06:00:00", "2026-05-12 06:00:00", "2026-04-01 06:00:00"
 UNI = (
@@ -319,6 +322,63 @@ def test_refresh_goes_on_after_a_failure_and_reports_it(spark, tmp_path):
     assert Catalog(spark, str(tmp_path)).read("agg_donut_bc").count() == 4
 
 
+def test_a_reader_meets_one_run_throughout(spark, tmp_path, rows, monkeypatch):
+    root, sources = str(tmp_path), tables(spark)
+    refresh(Catalog(spark, tables=sources), Catalog(spark, root))
+    early = Catalog(spark, root)
+    before = {n: rows(early.read(n)) for n in ("agg_donut_bc", "fact_first_step", "agg_op_week")}
+    during = []
+
+    def watched(build):
+        def built(*facts):
+            # another reader, in the middle of the second run
+            during.append({n: rows(Catalog(spark, root).read(n)) for n in before})
+            return build(*facts)
+        return built
+
+    monkeypatch.setattr(agg, "agg_op_week", watched(agg.agg_op_week))
+    sources["first_step_prod"] = sources["first_step_prod"].withColumn("TIRES_BUILT", F.col("TIRES_BUILT") * 2)
+    late = Catalog(spark, root)
+    assert late.snapshot.number == 1
+    refresh(Catalog(spark, tables=sources), Catalog(spark, root))
+    assert during == [before]
+    # one that looked before stays with what it saw, also for tables it opens only now
+    assert {n: rows(late.read(n)) for n in before} == before
+    assert {n: rows(early.read(n)) for n in before} == before
+    late.renew()
+    assert late.snapshot.number == 2 and len(set(late.snapshot.runs.values())) == 1
+    assert rows(late.read("agg_op_week")) != before["agg_op_week"]
+
+
+def test_the_second_of_two_runs_is_not_published(spark, tmp_path, rows, monkeypatch):
+    root, sources = str(tmp_path), tables(spark)
+    build = agg.agg_op_week
+
+    def overtaken(*facts):
+        monkeypatch.setattr(agg, "agg_op_week", build)
+        refresh(Catalog(spark, tables=sources), Catalog(spark, root))
+        return build(*facts)
+
+    monkeypatch.setattr(agg, "agg_op_week", overtaken)
+    with pytest.raises(SnapshotConflict):
+        refresh(Catalog(spark, tables=sources), Catalog(spark, root))
+    assert Catalog(spark, root).snapshot.number == 1
+
+
+def test_first_tests_from_buckets_need_no_shuffle(spark, tmp_path, star, rows):
+    source = agg.test_columns(star.catalog.read("uniformity_breakdown"))
+    stored = write_bucketed(source, str(tmp_path / "tests"), "BARCODE", buckets=4)
+    for step in ("Confection", "Finishing"):
+        got = agg.agg_uniformity(stored, star.operators, step, by_barcode=True)
+        assert rows(got) == rows(agg.agg_uniformity(source, star.operators, step))
+    again = read_bucketed(spark, str(tmp_path / "tests"), "BARCODE", buckets=4)
+    first = first_of_bucketed(again.where("BARCODE is not null"), ["BARCODE"], ["TEST_DATETIME"])
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(BARCODE" not in plan and "SortAggregate" not in plan and "Bucketed: true" in plan
+    whole = agg.agg_uniformity(again, star.operators, "Confection", by_barcode=True)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(BARCODE" not in whole
+
+
 def test_a_later_refresh_builds_nothing_from_old_facts(spark, tmp_path, rows):
     sources, out = tables(spark), Catalog(spark, str(tmp_path))
     refresh(Catalog(spark, tables=sources), out)
