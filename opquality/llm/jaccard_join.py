@@ -19,7 +19,7 @@ list has a candidate left (settle.py). Every candidate is compared on its whole
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opquality.llm.common import cut, map_arrow, per_bucket, write_parquet
-from opquality.llm.settle import BROADCAST_IDS, by_ids, linked, settle
+from opquality.llm.settle import BROADCAST_IDS, Compare, by_ids, settle
 from opquality.llm.units import blocks, ragged
 from opquality.llm.wordhash import LOWER, find_words, mix, range_hashes, raw_bytes, text_of_word, window_hashes
 
@@ -44,6 +44,7 @@ ENTRIES_A_BUCKET = 1 << 19
 # Bits of a set's signature.
 SIGNATURE = 2048
 SIGNED_AT_ONCE = 512
+MARKED = np.uint64(0x5851F42D4C957F2D)
 COMMON_BIT = np.uint64(1 << 62)
 PAIR_BIT = 1 << 62
 
@@ -114,6 +115,20 @@ def signatures(value: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(words), SIGNATURE // 64).cast(pa.list_(pa.int64()))
 
 
+def marks(value: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For each set, parities of its shingles by hash like signatures, but two to four bits
+    for each shingle, a power of 2 and SIGNATURE at least. Half of them, put on the other
+    half by exclusive or, are the marks of half the size."""
+    n = np.diff(at)
+    bits = np.maximum(SIGNATURE, 4 << np.floor(np.log2(np.maximum(n, 1))).astype(np.int64))
+    first = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(bits)))
+    owner = np.repeat(np.arange(len(n)), n)
+    place = first[owner] + (mix(value ^ MARKED) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(first[-1])) & 1).astype(np.uint8)
+    words = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array((first // 64).astype(np.int32)), pa.array(words))
+
+
 def _common_shingles(texts: DataFrame, words: int, seed: int) -> tuple[np.ndarray, float]:
     """Shingles of many sets, sorted, and how many other sets of its block have a shingle.
 
@@ -236,6 +251,28 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
     return per_bucket(postings, lists, "key long, id long, n int")
 
 
+def readers(docs: DataFrame, classes: DataFrame, words: int, seed: int):
+    """Two functions from ids of sets to their marks and to their shingles, read from the
+    text of one document each. docs: row, text; classes: id, row."""
+    def reader(column: str, of: Callable[[np.ndarray, np.ndarray], pa.Array]) -> Callable[[DataFrame], DataFrame]:
+        def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            given: set[int] = set()
+            for batch in batches:
+                for _, _, value, at in shingle_sets(batch.column(0), words, seed):
+                    first, _ = fingerprints(value, at)
+                    found = pa.RecordBatch.from_arrays([pa.array(first), of(value, at)], names=["id", column])
+                    yield found.filter(pa.array([f not in given and not given.add(f) for f in first.tolist()], pa.bool_()))
+
+        def read(ids: DataFrame) -> DataFrame:
+            wanted = cut(by_ids(classes, ids, "id").select("row").distinct())
+            return write_parquet(map_arrow(by_ids(docs, wanted, "row").select("text"), tasks, f"id long, {column} array<long>"), f"jaccard-{column}")
+
+        return read
+
+    shingles = lambda value, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
+    return reader("marks", marks), reader("shingles", shingles)
+
+
 def jaccard_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, edge: int | None = None,
 ) -> DataFrame:
@@ -281,27 +318,13 @@ def jaccard_components(
     buckets = max(64, -(-entries // ENTRIES_A_BUCKET))
     lists = write_parquet(_shared_lists(_postings(docs, known, edge, words, percent, seed, buckets)), "jaccard-lists")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[int] = set()
-        for batch in batches:
-            for _, _, value, at in shingle_sets(batch.column(0), words, seed):
-                first, _ = fingerprints(value, at)
-                sets = pa.RecordBatch.from_arrays([
-                    pa.array(first), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64))),
-                ], names=["id", "shingles"])
-                yield sets.filter(pa.array([f not in given and not given.add(f) for f in first.tolist()], pa.bool_()))
-
     def signatures_of(ids: DataFrame) -> DataFrame:
         """Size and signature of these sets, from one document each."""
         chosen = cut(by_ids(classes, ids, "id").select("id", "row"))
         return by_ids(rows.select("id", "row", "n", "signature"), chosen, ["id", "row"]).drop("row").dropDuplicates(["id"])
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """The shingles of these sets, read from the text of one document each."""
-        wanted = cut(by_ids(classes, ids, "id").select("row").distinct())
-        return write_parquet(map_arrow(by_ids(docs, wanted, "row").select("text"), gather, "id long, shingles array<long>"), "jaccard-sets")
-
-    labels = settle(lists, signatures_of, lambda pairs: linked(pairs, signatures_of, sets_of, percent).distinct(), percent)
+    compare = Compare(signatures_of, *readers(docs, classes, words, seed), percent)
+    labels = settle(lists, signatures_of, compare.linked, percent)
     component = classes.join(labels, classes.id == labels.node, "left").select("id", "doc", F.coalesce("label", "id").alias("label"))
     least_doc = component.groupBy("label").agg(F.min("doc").alias("component_id"))
     placed = component.join(least_doc, "label").select(F.col("id").alias("_id"), "component_id")

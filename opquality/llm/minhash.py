@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opquality.llm.common import cut, map_arrow, write_parquet
-from opquality.llm.jaccard_join import fingerprints, shingle_sets, signatures
-from opquality.llm.settle import by_ids, linked, settle
+from opquality.llm.jaccard_join import fingerprints, readers, shingle_sets, signatures
+from opquality.llm.settle import Compare, by_ids, settle
 from opquality.llm.wordhash import MULTIPLIER, mix
 
 WORDS = 5
@@ -120,24 +120,11 @@ def near_duplicates(
     several = entries.groupBy("key").agg(F.min("id").alias("_i0"), F.max("id").alias("_i1")).where("_i0 <> _i1").select("key")
     lists = write_parquet(entries.join(several, "key", "left_semi"), "minhash-buckets")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[int] = set()
-        for batch in batches:
-            for _, _, value, at in shingle_sets(batch.column(0), words, seed):
-                first, _ = fingerprints(value, at)
-                sets = pa.RecordBatch.from_arrays([
-                    pa.array(first), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64))),
-                ], names=["id", "shingles"])
-                yield sets.filter(pa.array([f not in given and not given.add(f) for f in first.tolist()], pa.bool_()))
-
     def signatures_of(ids: DataFrame) -> DataFrame:
         return by_ids(rows.select("id", "row", "n", "signature"), cut(by_ids(classes, ids, "id").select("id", "row")), ["id", "row"]).drop("row").dropDuplicates(["id"])
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = cut(by_ids(classes, ids, "id").select("row").distinct())
-        return write_parquet(map_arrow(by_ids(docs, wanted, "row").select("text"), gather, "id long, shingles array<long>"), "minhash-sets")
-
-    labels = settle(lists, signatures_of, lambda pairs: linked(pairs, signatures_of, sets_of, percent).distinct(), percent)
+    compare = Compare(signatures_of, *readers(docs, classes, words, seed), percent)
+    labels = settle(lists, signatures_of, compare.linked, percent)
     component = classes.join(labels, classes.id == labels.node, "left").select("id", "doc", F.coalesce("label", "id").alias("label"))
     least = component.groupBy("label").agg(F.min("doc").alias("component_id"))
     placed = component.join(least, "label").select(F.col("id").alias("_id"), "component_id")

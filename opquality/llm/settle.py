@@ -23,7 +23,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opquality.llm.common import cut, map_arrow
@@ -38,6 +38,8 @@ SHORT = 256
 # Ids up to this number are sent along as a broadcast, 8 bytes each.
 BROADCAST_IDS = 2_000_000
 SQUARE = ("key", "held_block", "asking_block")
+# Pairs of so many elements together are compared by their marks.
+MARKED_FROM = 1000
 HELD, ASKS, BOTH = 0, 1, 2
 EVERY = (1 << 31) - 1
 GIVEN = ["a", "b", "label_a", "label_b", "apart"]
@@ -67,17 +69,44 @@ def _beside(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return pairs
 
 
-def linked(pairs: DataFrame, signatures_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets overlap enough: by their signatures first, which can
-    only rule a link out, then by the whole sets. signatures_of gives id, n and signature of
-    the ids asked for, sets_of id and shingles."""
-    marked = _beside(pairs, signatures_of(_ids(pairs)))
-    apart = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    near = cut(marked.where(may_link(F.col("n_a"), F.col("n_b"), apart, percent)).select("a", "b"))
-    if near.isEmpty():
-        return near
-    both = _beside(near, sets_of(_ids(near))).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
-    return cut(both.where(100 * F.col("common") >= percent * (F.size("shingles_a") + F.size("shingles_b") - F.col("common"))).select("a", "b"))
+def _apart(left: str, right: str) -> Column:
+    """In how many bits two arrays differ."""
+    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+
+
+def _halved(column: str, other: str) -> Column:
+    """Marks as short as the other's; sizes of sets that can link are at most one apart."""
+    half = (F.size(column) / 2).cast("int")
+    halves = F.zip_with(F.slice(column, F.lit(1), half), F.slice(column, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(column) > F.size(other), halves).otherwise(F.col(column))
+
+
+@dataclass(frozen=True)
+class Compare:
+    """Compares pairs of sets: by signatures and, where sets are too large for these, by
+    marks, which can only rule a link out, then by the whole sets. signatures_of gives id, n
+    and signature of the ids asked for, marks_of id and marks, sets_of id and shingles."""
+
+    signatures_of: Callable[[DataFrame], DataFrame]
+    marks_of: Callable[[DataFrame], DataFrame]
+    sets_of: Callable[[DataFrame], DataFrame]
+    percent: int
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose sets overlap enough."""
+        signed = _beside(pairs, self.signatures_of(_ids(pairs)))
+        near = cut(signed.where(may_link(F.col("n_a"), F.col("n_b"), _apart("signature_a", "signature_b"), self.percent)).select("a", "b", "n_a", "n_b"))
+        large = near.where(F.col("n_a") + F.col("n_b") > MARKED_FROM)
+        if not large.isEmpty():
+            marked = _beside(large, self.marks_of(_ids(large)))
+            marked = marked.withColumns({"_a": _halved("marks_a", "marks_b"), "_b": _halved("marks_b", "marks_a")})
+            near = cut(near.where(F.col("n_a") + F.col("n_b") <= MARKED_FROM).unionByName(
+                marked.where(may_link(F.col("n_a"), F.col("n_b"), _apart("_a", "_b"), self.percent)).select(near.columns),
+            ))
+        if near.isEmpty():
+            return near.select("a", "b")
+        both = _beside(near, self.sets_of(_ids(near))).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
+        return cut(both.where(100 * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct())
 
 
 def _open(lists: DataFrame) -> DataFrame:
