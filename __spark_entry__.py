@@ -41,6 +41,7 @@ LEAK_SELECTION = Filters(bus=("EUROPE", "ASIA"), crews=(1, 2), weeks=(1, 2, 3))
 MIN_DATE = "2001-01-01"
 
 TEXT = T.StringType()
+LEAK_SCHEMA = "OP_ID string, BU string, CREW int, WEEK int, IS_LEAK int"
 
 
 class Board:
@@ -72,6 +73,10 @@ class Board:
     def op_week_fin(self) -> DataFrame:
         return agg.agg_op_week_fin(*self.facts_fin)
 
+    @cached_property
+    def leaderboards(self) -> tuple[DataFrame, ...]:
+        return agg.agg_top_performers(*self.facts), agg.agg_top_performers_fin(*self.facts_fin)
+
     @cached_property
     def kpi(self) -> DataFrame:
         return agg.agg_kpi_summary(*self.facts)
@@ -115,6 +120,10 @@ SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN s || '.50' WHEN 2
 FROM (SELECT l_orderkey, l_linenumber, l_suppkey, cast(l_partkey AS string) AS s FROM {lineitem}) AS codes"""
 RAW_DATES = """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'no date ' || o_orderpriority ELSE cast(o_orderdate AS string) END AS PROD_DATE FROM {orders}"""
+JSON_ROWS = """
+SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN cast('NaN' AS double) ELSE o_totalprice END AS o_totalprice,
+       o_orderdate, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
+FROM {orders}"""
 INSERTS = """
 SELECT s_suppkey AS seq, 'N' || cast(s_suppkey AS string) AS RACK_ID, ' ' AS QUANTITY, s_name AS DISPOSITION,
        CASE WHEN s_acctbal > 5000 THEN cast(s_nationkey AS string) WHEN s_acctbal > 0 THEN '  ' END AS DATE_REMOVED
@@ -165,7 +174,8 @@ def _diagnostics(b: Board) -> DataFrame:
 
 
 def _json(b: Board) -> DataFrame:
-    return json_records(b.read("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
+    """Whole rows; prices of some and priorities of others are missing."""
+    return json_records(_raw(b, JSON_ROWS))
 
 
 def _uniformity_bucketed(b: Board) -> DataFrame:
@@ -192,11 +202,11 @@ def _fallback(b: Board) -> DataFrame:
 
 
 def _name_lookup(b: Board) -> DataFrame:
-    return card.name_lookup(b.op_week, b.op_week_fin)
+    return card.name_lookup(*b.leaderboards, b.op_week, b.op_week_fin)
 
 
 def _filter_options(b: Board) -> DataFrame:
-    return card.filter_options([], [b.op_week, b.op_week_fin], [b.trend_fin], b.leak_tests)
+    return card.filter_options(b.leaderboards, [b.op_week, b.op_week_fin], [b.trend, b.trend_fin], b.leak_tests)
 
 
 REGISTERED: dict[str, Callable[[Board], DataFrame]] = {
@@ -261,6 +271,9 @@ REGISTERED: dict[str, Callable[[Board], DataFrame]] = {
     "period_best": lambda b: factboard.period_best(agg.agg_top_performers(*b.facts), Filters(bus=("EUROPE", "ASIA"))),
     "filter_options": _filter_options,
     "name_lookup": _name_lookup,
+    "read_columns": lambda b: b.catalog.read("first_step_prod", ["OP_ID", "TIRES_BUILT", "NOT_THERE"]),
+    "read_first_nonempty": lambda b: b.catalog.read_first_nonempty("log_not_there", "BC_Cage_Log")[0],
+    "kpi_without_leak_tests": lambda b: card.kpi_summary(b.op_week, b.catalog.read_or_empty("leak_tests_not_there", LEAK_SCHEMA)),
     "clean_log": lambda b: log.clean_log(b.read("BC_Cage_Log").drop("LINE_NO"), "DATE_REMOVED"),
     "clean_report": lambda b: log.clean_report(b.read("BC_Cage_Log"), "DATE_REMOVED", carry=["LINE_NO"]),
     "log_row_id": lambda b: b.saved_log(),

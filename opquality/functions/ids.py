@@ -40,12 +40,17 @@ def _long_number(text: Column) -> Column:
     return F.when(digits != "", F.concat(found, digits))
 
 
+def _whole_part(number: Column) -> Column:
+    """Text of a double without its fraction, also of those that no bigint holds."""
+    return F.coalesce(number.try_cast("bigint").cast("string"), number.try_cast("decimal(38,0)").cast("string"))
+
+
 def _bare_id(column: Column, data_type: T.DataType, mode: str) -> Column:
     if isinstance(data_type, T.IntegralType):
         return column.cast("string")
     if is_floating(data_type):
         known = nan_to_null(column, data_type).cast("double")
-        return number_text(known) if mode == "text" else known.try_cast("bigint").cast("string")
+        return number_text(known) if mode == "text" else _whole_part(known)
     text = column.cast("string")
     if mode == "text":
         stripped = F.when(text.rlike(NO_SPACE), text).otherwise(strip(text))
@@ -53,7 +58,7 @@ def _bare_id(column: Column, data_type: T.DataType, mode: str) -> Column:
     else:
         # The second try is for spaces outside ASCII; most ids need the first only. A whole
         # number of more digits than a double holds is read as a decimal.
-        tries = [t for tried in (text, strip(text)) for t in (_long_number(tried), to_number(tried, T.StringType()).try_cast("bigint").cast("string"))]
+        tries = [t for tried in (text, strip(text)) for t in (_long_number(tried), _whole_part(to_number(tried, T.StringType())))]
         bare = F.coalesce(*tries, strip(text))
     # Most ids are in their final form already.
     return F.when(text.rlike(FINAL_ID), text).otherwise(bare)

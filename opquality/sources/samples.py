@@ -41,7 +41,7 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "conf_ac_grq2": """
 SELECT cast(l_suppkey AS string) AS OP_ID, cast(l_shipdate AS string) AS PROD_DATE,
        CASE WHEN l_returnflag = 'A' THEN NULL ELSE cast(l_partkey % 40 AS double) END AS CQ_CODE
-FROM {lineitem} WHERE l_linestatus = 'O'""",
+FROM {lineitem}""",
     "TBM6": """
 SELECT DISTINCT cast(p_size AS string) AS CQ, 'defect ' || cast(p_size AS string) AS CQ_CODE_DESCRIPTION,
        CASE WHEN p_size % 11 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'Confection' ELSE ' finishing ' END AS RELATES_TO,
@@ -50,7 +50,7 @@ FROM {part} WHERE p_size % 9 <> 0""",
     "nc_scrap": """
 SELECT cast(l_suppkey AS string) AS OP_ID, l_shipdate AS PROD_DATE, 'TBM' || cast(l_linenumber AS string) AS TBM,
        l_discount * l_quantity AS OP_SCRAP_LBS_BY_TIRES, CASE WHEN l_linenumber = 7 THEN 0.0 ELSE l_quantity END AS OP_TIRES
-FROM {lineitem} WHERE l_returnflag = 'R'""",
+FROM {lineitem}""",
     "uniformity_breakdown": """
 SELECT CASE WHEN l_orderkey % 101 = 0 THEN NULL ELSE l_orderkey * 10 + l_linenumber END AS BARCODE,
        l_suppkey AS CONFECTION_OPERATOR_ID, l_suppkey + 1 AS FINISHING_OPERATOR_ID,

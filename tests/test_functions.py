@@ -145,3 +145,10 @@ def test_totals_lose_no_amount(spark):
 def test_natural_keys_of_long_runs(spark):
     ordered = ["x", "x5", "x" + "9" * 35, "x1" + "0" * 35, "x2" + "0" * 35, "y"]
     assert [r.x for r in single(spark, ordered[::-1]).orderBy(natural_key(F.col("x"))).collect()] == ordered
+
+
+def test_ids_beyond_a_bigint_are_kept(spark):
+    numbers = spark.createDataFrame([(1e19,), (-1e19,), (9.3e18,), (12.7,), (float("nan"),), (None,)], "OP_ID double")
+    assert [r.OP_ID for r in normalized_ids(numbers).collect()] == ["10000000000000000000", "-10000000000000000000", "9300000000000000000", "000012", None, None]
+    texts = spark.createDataFrame([("1e20",), ("1e3",), ("-2.5e19",), ("abc",)], "OP_ID string")
+    assert [r.OP_ID for r in normalized_ids(texts).collect()] == ["100000000000000000000", "001000", "-25000000000000000000", "000abc"]
