@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+ROWS_A_TASK = 200_000
 _shipped: set[str] = set()
 _vocabulary_caches: list = []
 
@@ -53,6 +54,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_small(df: DataFrame) -> DataFrame:
+    """Cut, and read by one task for so many rows: few links make few tasks and files in
+    what follows, also where Spark does not merge small partitions itself."""
+    out = cut(df)
+    return out.coalesce(max(1, -(-out.count() // ROWS_A_TASK)))
+
+
 def text_of(column: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

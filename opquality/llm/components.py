@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opquality.llm.common import cut
+from opquality.llm.common import cut_small
 
 
-def _to_smallest(links: DataFrame, larger_only: bool) -> DataFrame:
+def _to_smallest(links: DataFrame, larger_only: bool, tasks: int) -> DataFrame:
     """Ties a node's neighbours to the smallest node of them and itself: all that are
     larger than the node, or all that are smaller together with the node."""
     both = links if larger_only else links.where("a > b")
     if larger_only:
         both = both.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    tied = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")).coalesce(tasks)
+    tied = both.join(least, "a").coalesce(tasks)
     if larger_only:
         return tied.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
     return tied.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(tied.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
@@ -25,10 +25,12 @@ def components(links: DataFrame) -> DataFrame:
     """links: a, b. Per node that has a link to another: node and label, the smallest
     node it can reach. The number of rounds grows with the logarithm of the longest path,
     and no node's neighbours are gathered in one place."""
-    at = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    at = cut_small(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        at = cut(_to_smallest(_to_smallest(at, True), False))
+        # As many tasks as the links were read by; a round does not make them more than twice as many.
+        tasks = at.rdd.getNumPartitions()
+        at = cut_small(_to_smallest(_to_smallest(at, True, tasks).coalesce(tasks), False, tasks).coalesce(tasks))
         now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if now == seen:
             break

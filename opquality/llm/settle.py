@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opquality.llm.common import cut, map_arrow
+from opquality.llm.common import cut_small, map_arrow
 from opquality.llm.components import components
 
 # Members of a list that meet in one task.
@@ -95,18 +95,18 @@ class Compare:
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose sets overlap enough."""
         signed = _beside(pairs, self.signatures_of(_ids(pairs)))
-        near = cut(signed.where(may_link(F.col("n_a"), F.col("n_b"), _apart("signature_a", "signature_b"), self.percent)).select("a", "b", "n_a", "n_b"))
+        near = cut_small(signed.where(may_link(F.col("n_a"), F.col("n_b"), _apart("signature_a", "signature_b"), self.percent)).select("a", "b", "n_a", "n_b"))
         large = near.where(F.col("n_a") + F.col("n_b") > MARKED_FROM)
         if not large.isEmpty():
             marked = _beside(large, self.marks_of(_ids(large)))
             marked = marked.withColumns({"_a": _halved("marks_a", "marks_b"), "_b": _halved("marks_b", "marks_a")})
-            near = cut(near.where(F.col("n_a") + F.col("n_b") <= MARKED_FROM).unionByName(
+            near = cut_small(near.where(F.col("n_a") + F.col("n_b") <= MARKED_FROM).unionByName(
                 marked.where(may_link(F.col("n_a"), F.col("n_b"), _apart("_a", "_b"), self.percent)).select(near.columns),
             ))
         if near.isEmpty():
             return near.select("a", "b")
         both = _beside(near, self.sets_of(_ids(near))).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
-        return cut(both.where(100 * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct())
+        return cut_small(both.where(100 * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct())
 
 
 def _open(lists: DataFrame) -> DataFrame:
@@ -290,29 +290,29 @@ def settle(
     def compare(pairs: DataFrame) -> bool:
         """Verifies what was not tried yet, and joins the components of what links."""
         nonlocal links, tried, labels, named
-        fresh = cut(_in_order(pairs).join(tried, ["a", "b"], "left_anti"))
+        fresh = cut_small(_in_order(pairs).join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             return False
         found = verify(fresh)
-        tried = cut(tried.unionByName(fresh))
+        tried = cut_small(tried.unionByName(fresh))
         if found.isEmpty():
             return False
-        links = cut(links.unionByName(found.select("a", "b")))
-        labels = cut(components(links))
+        links = cut_small(links.unionByName(found.select("a", "b")))
+        labels = cut_small(components(links))
         named = lists.join(labels, lists.id == labels.node, "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
         return True
 
     for _ in range(stars):
         if not compare(_star(_open(named), percent)):
             break
-    still, nearest = cut(_open(named)), True
+    still, nearest = cut_small(_open(named)), True
     while not still.isEmpty():
-        pairs, joined, most = cut(_candidates(still, signatures_of, percent, nearest, block)), False, 1
+        pairs, joined, most = cut_small(_candidates(still, signatures_of, percent, nearest, block)), False, 1
         while True:
             # The nearest of a set first; what it links with takes others along. Then the
             # next 2, 4, ... of those still in another component, all once none linked.
             two = _now(pairs, labels).where("label_a <> label_b").join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-            chosen = cut(two.withColumn("_place", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("_place") <= most).select("a", "b"))
+            chosen = cut_small(two.withColumn("_place", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("_place") <= most).select("a", "b"))
             if chosen.isEmpty():
                 break
             linking = compare(chosen)
@@ -321,6 +321,6 @@ def settle(
             break
         # Only components that had a candidate and are still two can have another.
         apart = _now(pairs.select("label_a", "label_b").distinct(), labels).where("label_a <> label_b")
-        active = cut(apart.select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct())
-        still, nearest = cut(_open(by_ids(named, active, "label"))), joined
+        active = cut_small(apart.select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct())
+        still, nearest = cut_small(_open(by_ids(named, active, "label"))), joined
     return labels
