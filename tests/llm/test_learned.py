@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from opquality.llm import language, toxicity
@@ -48,21 +49,59 @@ def test_samples_are_bounded_whatever_the_ids(spark, texts, monkeypatch):
     rows = [(1 if n % 3 == 0 else n, text, lang, toxic) for n, text, lang, toxic in texts]
     docs = spark.createDataFrame(rows + rows[:90], "doc_id long, text string, lang string, toxic int")
     sizes = []
-    monkeypatch.setattr(toxicity, "train", lambda positive, unlabelled, prior: sizes.append((len(positive), len(unlabelled))))
-    toxicity.fit(docs, docs.where("toxic = 1"), 1 / 6, max_positive=20, max_unlabelled=70)
-    toxicity.fit(docs, docs.where("doc_id = 1"), 1 / 6)
-    assert sizes == [(20, 70), (301, 900)]
+    monkeypatch.setattr(toxicity, "descend", lambda positive, unlabelled, n, size, *_: sizes.append((len(positive), n)) or (np.zeros(size), 0.0))
+    toxicity.fit(docs, docs.where("toxic = 1"), 1 / 6, max_positive=100)
+    toxicity.fit(docs, docs.where("toxic = 1"), 1 / 6)
+    # Rows with a confirmed id are 301 texts, of which the repeated ones count once.
+    assert sizes == [(100, 990), (301, 990)]
     monkeypatch.setattr(language, "train", lambda features, languages: sizes.append(len(languages)))
+    sizes.clear()
     language.fit(docs, max_texts=60)
     language.fit(docs)
-    assert sizes[2:] == [60, 900]
+    assert sizes == [60, 900]
+
+
+def some_bags(toxic, n):
+    rng = np.random.default_rng(n)
+    return toxicity.Bags([np.unique(np.concatenate((rng.integers(10, 50, 5), [7] if toxic(k) else [])).astype(np.int64)) for k in range(n)])
 
 
 def test_the_risk_stays_above_zero():
-    rng = np.random.default_rng(1)
-    bag = lambda toxic: np.unique(np.concatenate((rng.integers(100, 5000, 20), [7] if toxic else [])).astype(np.int64))
-    model = toxicity.train(toxicity.Bags([bag(True) for _ in range(60)]), toxicity.Bags([bag(n % 10 == 0) for n in range(600)]), 0.1)
-    assert model.weights[7] > 0 and model.bias < 0 and model.bias + model.weights[7] > 0
+    unlabelled = some_bags(lambda k: k % 10 == 0, 600)
+    w, bias = toxicity.descend(some_bags(lambda k: True, 60), lambda w, b: toxicity.risk(unlabelled, np.ones(600), w, b), 600, 50, 0.1)
+    assert w[7] > 0 > bias and bias + w[7] > 0 and (w >= 0).all()
+
+
+def test_risk_and_derivative_equal_plain_ones():
+    bags, times, rng = some_bags(lambda k: k % 3 == 0, 40), np.arange(40) % 4, np.random.default_rng(3)
+    w, bias = rng.normal(size=50), -0.7
+
+    def plain(w, bias):
+        return sum(t * np.log1p(np.exp(bias + sum(w[k] for k in bags.items[a:b]))) for t, a, b in zip(times, bags.at[:-1], bags.at[1:]))
+
+    loss, slope = toxicity.risk(bags, times, w, bias)
+    assert np.isclose(loss, plain(w, bias))
+    for k in range(50):
+        step = np.zeros(50)
+        step[k] = 1e-5
+        assert np.isclose(slope[k], (plain(w + step, bias) - plain(w - step, bias)) / 2e-5, atol=1e-6)
+    assert np.isclose(slope[50], (plain(w, bias + 1e-5) - plain(w, bias - 1e-5)) / 2e-5, atol=1e-6)
+
+
+def test_every_unlabelled_row_counts(make):
+    rows = [(n, t) for n, t in enumerate(["bad word", "word", None, "", "bad bad", "Bad word", "WORD"] * 30)]
+    docs = make(rows).select("text").repartition(5)
+    bucket_of = lambda word: next(iter(toxicity.word_buckets(pa.array([word]))))[0]
+    buckets = np.unique(np.concatenate([bucket_of("bad"), bucket_of("word")]))
+    counts, n = toxicity.bucket_counts(docs, buckets)
+    assert n == 210 and (counts[bucket_of("bad")] == 90).all() and (counts[bucket_of("word")] == 120).all()
+    sets = toxicity.telling_sets(docs, buckets)
+    assert sorted(r.n for r in sets.collect()) == [30, 60, 60, 60]
+    w = np.arange(1.0, len(buckets) + 1)
+    z = lambda text: -1 + sum(w[np.searchsorted(buckets, k)] for k in next(iter(toxicity.word_buckets(pa.array([text]))))[0])
+    loss, slope = toxicity.risk_of_sets(sets, w, -1.0)
+    assert np.isclose(loss, sum(np.logaddexp(0, z(t or "")) for _, t in rows))
+    assert np.isclose(slope[-1], sum(1 / (1 + np.exp(-z(t or ""))) for _, t in rows))
 
 
 def test_languages_of_held_out_texts(spark, texts):
