@@ -61,6 +61,17 @@ def cut_small(df: DataFrame) -> DataFrame:
     return out.coalesce(max(1, -(-out.count() // ROWS_A_TASK)))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """These names, lengthened until no column has them in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_of(column: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -15,12 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opquality.llm.common import cut, text_of
+from opquality.llm.common import cut, text_of, unused
 
 KEY_BITS = 60
 FIRST_BITS = 12
 PROBES_A_ROUND = 1 << 17
-MAX_RANGES = 8192
+MAX_RANGES = 1 << 16
 LOWEST_ID = -(1 << 63)
 
 
@@ -144,8 +144,8 @@ def _ranges(total: int, shards: int, range_bytes: int) -> int:
     return min(max(8, -(-total // (shards * range_bytes))), max(1, MAX_RANGES // shards))
 
 
-def _range_of(cuts: list[Cut]) -> Column:
-    """The number of cuts at or below (_k, _i): a step to the cuts of the key's first
+def _range_of(cuts: list[Cut], k: str, i: str) -> Column:
+    """The number of cuts at or below (k, i): a step to the cuts of the key's first
     bits, then a scan of those few."""
     by_bin: dict[int, list[Cut]] = {}
     for c in cuts:
@@ -156,8 +156,8 @@ def _range_of(cuts: list[Cut]) -> Column:
         steps.append({"n": below, "c": [{"k": c.key, "i": c.id} for c in here]})
         below += len(here)
     lookup = F.from_json(F.lit(json.dumps(steps)), "array<struct<n:int,c:array<struct<k:bigint,i:bigint>>>>")
-    step = F.element_at(lookup, (F.shiftright("_k", KEY_BITS - FIRST_BITS) + 1).cast("int"))
-    return step.n + F.size(F.filter(step.c, lambda c: (c.k < F.col("_k")) | ((c.k == F.col("_k")) & (c.i <= F.col("_i")))))
+    step = F.element_at(lookup, (F.shiftright(k, KEY_BITS - FIRST_BITS) + 1).cast("int"))
+    return step.n + F.size(F.filter(step.c, lambda c: (c.k < F.col(k)) | ((c.k == F.col(k)) & (c.i <= F.col(i)))))
 
 
 def histogram_sort(
@@ -173,12 +173,15 @@ def histogram_sort(
     tolerance is the share of a shard by which a splitter may miss its place; 0 lets
     probes narrow down to single rows. Rows that are equal in text and id stay in one
     shard, a null id sorts first, and an empty table gives an empty table. Columns of
-    df that are named like a new one are replaced; others pass through.
+    df that are named like a new one are replaced; others pass through. A text of any
+    length is one row. Each range is sorted by a task of its own; from 4 TB on there are
+    MAX_RANGES of them and they grow, sorting with spills.
     """
     new = {"size", "shard", "slot"}
     rows = df.select([c for c in df.columns if c not in new])
-    keyed = rows.withColumns({"_k": text_key(text_col), "_i": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST_ID)), "size": byte_size(text_col)})
-    slim = cut(keyed.select(F.col("_k").alias("k"), F.col("_i").alias("i"), F.col("size").alias("s")))
+    k, i, part, place = unused(df.columns, "_k", "_i", "_part", "_n")
+    keyed = rows.withColumns({k: text_key(text_col), i: F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST_ID)), "size": byte_size(text_col)})
+    slim = cut(keyed.select(F.col(k).alias("k"), F.col(i).alias("i"), F.col("size").alias("s")))
     total = slim.agg(F.coalesce(F.sum("s"), F.lit(0))).head()[0]
     ranges = _ranges(total, shards, range_bytes)
     parts = shards * ranges
@@ -186,7 +189,9 @@ def histogram_sort(
     cuts = find_splitters(slim, [-(-total * n // parts) for n in range(1, parts)], int(tolerance * total / shards)) if total else []
     starts = [0, *(c.rows_below for c in cuts)]
     offsets = [starts[n] - starts[n - n % ranges] for n in range(len(starts))]
-    within = Window.partitionBy("_part").orderBy("_k", "_i", "size")
-    moved = keyed.withColumn("_part", _range_of(cuts).cast("int")).withColumn("_n", F.row_number().over(within))
-    offset = F.element_at(F.from_json(F.lit(json.dumps(offsets)), "array<bigint>"), F.col("_part") + 1)
-    return moved.withColumns({"shard": F.floor(F.col("_part") / ranges).cast("int"), "slot": (offset + F.col("_n") - 1).cast("long")}).drop("_k", "_i", "_part", "_n")
+    within = Window.partitionBy(part).orderBy(k, i, "size")
+    # One task per range, by its number: a hash of it would let ranges share tasks.
+    apart = keyed.withColumn(part, _range_of(cuts, k, i).cast("int")).repartitionById(max(1, len(starts)), F.col(part))
+    moved = apart.withColumn(place, F.row_number().over(within))
+    offset = F.element_at(F.from_json(F.lit(json.dumps(offsets)), "array<bigint>"), F.col(part) + 1)
+    return moved.withColumns({"shard": F.floor(F.col(part) / ranges).cast("int"), "slot": (offset + F.col(place) - 1).cast("long")}).drop(k, i, part, place)

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from opquality.llm.sharding import find_splitters, histogram_sort
 
 
@@ -19,8 +21,9 @@ def expected(rows, shards):
 def test_shards_follow_the_bytes(make, prose):
     rows = prose + [(1000 + n, "one hot text of a third of all rows") for n in range(60)] + [(5000, None), (None, ""), (-7, "é" * 5000)]
     for shards in (1, 3, 8):
-        out = histogram_sort(make(rows, "size", "shard", "slot", "extra"), shards=shards)
-        assert out.columns == ["doc_id", "text", "extra", "size", "shard", "slot"]
+        out = histogram_sort(make(rows, "size", "shard", "slot", "_k", "_I", "_part", "_n"), shards=shards)
+        assert out.columns == ["doc_id", "text", "_k", "_I", "_part", "_n", "size", "shard", "slot"]
+        assert {(r._k, r._I, r._part, r._n) for r in out.collect()} == {("own",) * 4}
         assert sorted(((r.doc_id, r["size"], r.shard, r.slot) for r in out.collect()), key=str) == expected(rows, shards)
 
 
@@ -42,3 +45,18 @@ def test_tolerance_stops_the_probes_early(spark):
     assert [c.bytes_below for c in exact] == [2500, 5000]
     near = find_splitters(slim, [2505, 5003], 200)
     assert all(abs(c.bytes_below - t) <= 200 and c.rows_below * 10 == c.bytes_below for c, t in zip(near, [2505, 5003]))
+
+
+def test_each_range_is_a_task(make, prose):
+    out = histogram_sort(make(prose), shards=2, range_bytes=2000)
+    total = sum(len(t.encode()) + 1 for _, t in prose)
+    # Rows and bytes of each partition of the result, which no exchange follows.
+    sizes = out.groupBy(F.spark_partition_id()).agg(F.sum("size").alias("bytes")).collect()
+    assert len(sizes) > 8 and max(r.bytes for r in sizes) <= total / (2 * max(8, -(-total // 4000))) + max(len(t.encode()) + 1 for _, t in prose)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_a_very_long_text_is_one_row(make):
+    rows = [(n, "short") for n in range(20)] + [(50, "é" * 3_000_000)]
+    out = histogram_sort(make(rows), shards=3)
+    assert sorted(((r.doc_id, r["size"], r.shard, r.slot) for r in out.drop("text").collect()), key=str) == expected(rows, 3)
