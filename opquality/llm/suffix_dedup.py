@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opquality.llm.common import map_arrow, per_bucket, write_parquet
+from opquality.llm.common import map_arrow, per_bucket, unused, write_parquet
 from opquality.llm.units import blocks, bounds, ragged
 from opquality.llm.wordhash import mix, range_hashes, raw_bytes
 
@@ -313,14 +313,18 @@ def remove_repeats(
 
     A null text is empty; a null id comes before all others. Rows that are equal in id and
     text are one document and get the same result; other rows of one id are ordered by
-    their text's hash. Columns of df named like a new one are replaced.
+    their text's hash. Columns of df named like a new one are replaced. Texts of any
+    length are taken whole, and an empty table gives an empty table.
     """
     new = ["n_bytes", "runs", "kept"]
     rows = df.drop(*new)
     columns = rows.columns
-    repeated = not rows.groupBy(id_col).count().where("count > 1").isEmpty()
-    version = F.xxhash64(F.col(text_col).cast("string")) if repeated else F.lit(0).cast("long")
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), version.alias("version")]
+    id_ = F.col(id_col).cast("long")
+    repeated = not rows.groupBy(F.coalesce(id_, F.lit(NO_ID)).alias("doc")).count().where("count > 1").isEmpty()
+    # No id reads as the least one; its versions lie below those of rows that have that id.
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 1)
+    version = F.when(id_.isNull(), -1 - hashed).otherwise(hashed) if repeated else F.lit(0).cast("long")
+    key = [F.coalesce(id_, F.lit(NO_ID)).alias("doc"), version.alias("version")]
     docs = rows.select(*key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     long = docs.where(F.octet_length("text") >= length)
     total = long.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
@@ -334,7 +338,8 @@ def remove_repeats(
     candidates = _only(long, open_.select("doc").distinct(), few, "left_semi").join(spans, ["doc", "version"]).select("doc", "version", "text", "spans")
     later = _rank_positions(candidates, max(64, -(-starts // ENTRIES_A_BUCKET)), length)
     covered = found.where(F.col("kind") == COVERED).unionByName(later)
-    runs = write_parquet(covered.groupBy("doc", "version").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans")), "suffix-covered")
+    spans, = unused(columns, "_spans")
+    runs = write_parquet(covered.groupBy("doc", "version").agg(F.collect_set(F.struct("lo", "hi")).alias(spans)), "suffix-covered")
 
     whole = rows.withColumns({"doc": key[0], "version": key[1]}) if not {"doc", "version"} & set(columns) else None
     if whole is None:
@@ -344,7 +349,7 @@ def remove_repeats(
         return back.withColumnsRenamed({v: k for k, v in aside.items()})
     touched = runs.select("doc").distinct()
     few = touched.count() <= BROADCAST_IDS
-    hit = _only(whole, touched, few, "left_semi").join(runs, ["doc", "version"], "left").select(*columns, "_spans")
+    hit = _only(whole, touched, few, "left_semi").join(runs, ["doc", "version"], "left").select(*columns, spans)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     added = T.StructType.fromDDL("n_bytes long, runs array<struct<start:int,end:int>>, kept " + ("string" if as_text else "binary")).fields
     at_column = columns.index(text_col)

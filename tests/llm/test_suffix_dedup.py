@@ -35,8 +35,8 @@ def odd():
 @pytest.mark.parametrize("many", [(128, 4096), (2, 4096), (2, 2), (128, 2)])
 def test_removed_bytes_equal_a_plain_search(make, prose, many):
     rows = odd() + [(1000 + i, t) for i, t in prose]
-    out = remove_repeats(make(rows, "doc", "runs", "lo").repartition(3), many=many[0], many_in_all=many[1])
-    assert out.columns == ["doc_id", "text", "doc", "lo", "n_bytes", "runs", "kept"]
+    out = remove_repeats(make(rows, "doc", "runs", "lo", "_spans").repartition(3), many=many[0], many_in_all=many[1])
+    assert out.columns == ["doc_id", "text", "doc", "lo", "_spans", "n_bytes", "runs", "kept"]
     assert found(out) == expected(rows)
 
 
@@ -51,3 +51,18 @@ def test_as_text_and_empty_tables(make):
     out = {r.doc_id: r.kept for r in remove_repeats(make([(1, one), (2, two), (3, None)]), as_text=True).collect()}
     assert out[3] == "" and out[1].endswith("é") and out[2] == ""
     assert remove_repeats(make([])).collect() == []
+
+
+def test_no_id_and_the_least_id_are_two_documents(make):
+    text = "".join(chr(97 + n * n % 26) + str(n) for n in range(100))
+    out = remove_repeats(make([(-(2 ** 63), text), (None, text), (1, "x")])).collect()
+    assert {r.doc_id: len(r.kept) for r in out} == {None: len(text), -(2 ** 63): 0, 1: 1}
+
+
+def test_texts_of_several_slices(make):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh") for _ in range(1_300_000))
+    rows = [(1, "begin " + long), (2, long[700_000:700_400]), (3, long[1_200_000:] + " end"), (4, "z" * 99)]
+    got = found(remove_repeats(make(rows)))
+    assert [(d, n, k) for d, n, k, _ in got] == [(1, len(rows[0][1]), 0), (2, 400, 1), (3, len(rows[2][1]), 1), (4, 99, 0)]
+    assert [kept for *_, kept in got] == [rows[0][1].encode(), b"", b" end", b"z" * 99]
