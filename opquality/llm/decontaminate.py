@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opquality.llm.common import map_arrow, write_parquet
-from opquality.llm.units import blocks, bounds
+from opquality.llm.units import blocks, bounds, ragged
 from opquality.llm.wordhash import LOWER, find_words, range_hashes, raw_bytes, run_bounds, text_of_word, window_hashes
 
 WINDOW = 13
@@ -59,39 +59,70 @@ class Index:
     windows: list[Windows]
 
 
+def normalised(texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of the texts joined by a space; where each begins in that, with the end
+    last; their hashes; and how many words each text has. One slice after the other."""
+    joined, lengths, hashes, counts = [], [], [], []
+    column = pa.array(texts, pa.string())
+    for lo, hi in blocks(pc.fill_null(pc.binary_length(column), 0).to_numpy(), SCAN_BYTES):
+        data, text_at = raw_bytes(column.slice(lo, hi - lo))
+        data = LOWER[data]
+        words = find_words(data, text_at, IS_WORD)
+        size = words.ends - words.starts
+        at = bounds(size + 1)
+        out = np.full(int(at[-1]), 0x20, dtype=np.uint8)
+        out[ragged(at[:-1], size)] = data[ragged(words.starts, size)]
+        joined.append(out.tobytes())
+        lengths.append((size + 1).astype(np.int32))
+        hashes.append(range_hashes(data, words.starts, words.ends))
+        counts.append(np.diff(words.at))
+    none = np.zeros(0, dtype=np.int64)
+    return b"".join(joined), bounds(np.concatenate([none, *lengths])), np.concatenate([none.astype(np.uint64), *hashes]), np.concatenate([none, *counts])
+
+
+def _equal_windows(value: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in order of their hashes, equal ones side by side, and which are the first
+    of their like. Neighbours of one hash are compared as text."""
+    order = np.argsort(value, kind="stable").astype(np.int32)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = value[order[1:]] != value[order[:-1]]
+    runs, clashes = np.flatnonzero(new), set()
+    for k in np.flatnonzero(~new).tolist():
+        if text_of(order[k]) != text_of(order[k - 1]):
+            clashes.add(int(np.searchsorted(runs, k, side="right")) - 1)
+    edges = np.append(runs, len(order))
+    for r in clashes:
+        lo, hi = edges[r], edges[r + 1]
+        order[lo:hi] = sorted(order[lo:hi].tolist(), key=lambda w: (text_of(w), w))
+        new[lo + 1:hi] = [text_of(x) != text_of(y) for x, y in zip(order[lo + 1:hi], order[lo:hi - 1])]
+    return order, new
+
+
 def build_index(names: list[str], texts: list[str | None], window: int) -> Index:
     """Windows of a block of items: each run of so many words, or all words of an item
     that has fewer."""
-    data, text_at = raw_bytes(pa.array(texts, pa.string()))
-    data = LOWER[data]
-    words = find_words(data, text_at, IS_WORD)
-    hashes = range_hashes(data, words.starts, words.ends)
-    normal = b" ".join(data[s:e].tobytes() for s, e in zip(words.starts, words.ends))
-    end = np.cumsum(words.ends - words.starts + 1) - 1
-    start = end - (words.ends - words.starts)
-    item_of = text_of_word(words.at)
-    counts = np.diff(words.at)
+    normal, at, hashes, counts = normalised(texts)
+    small = np.int32 if len(normal) < 1 << 31 else np.int64
+    item_of, at = np.repeat(np.arange(len(counts), dtype=np.int32), counts), at.astype(small)
     found = []
-    for n in sorted({min(window, int(c)) for c in counts if c}):
-        first = np.arange(max(0, len(hashes) - n + 1))
-        own = item_of[first] == item_of[first + n - 1]
+    for n in sorted({min(window, int(c)) for c in np.unique(counts) if c}):
+        last = np.arange(n - 1, len(hashes), dtype=np.int32)
+        first = last - np.int32(n - 1)
+        own = item_of[first] == item_of[last]
         own &= (counts[item_of[first]] >= window) if n == window else (counts[item_of[first]] == n)
         first = first[own]
         value = window_hashes(hashes, n)[first]
-        # Equal windows, not equal hashes, are one entry.
-        groups: dict[tuple[int, bytes], set[int]] = {}
-        place: dict[tuple[int, bytes], int] = {}
-        for k, h in zip(first.tolist(), value.tolist()):
-            key = (h, normal[start[k]:end[k + n - 1]])
-            groups.setdefault(key, set()).add(int(item_of[k]))
-            place.setdefault(key, k)
-        order = sorted(groups)
-        at = np.array([place[k] for k in order], dtype=np.int64)
         table = np.zeros(1 << FILTER_BITS, dtype=bool)
-        table[(value >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        table[(value >> np.uint64(64 - FILTER_BITS)).astype(np.int32)] = True
+        del last, own
+        # Equal windows, not equal hashes, are one entry.
+        order, new = _equal_windows(value, lambda w: normal[at[first[w]]:at[first[w] + n] - 1])
+        entry = (np.cumsum(new) - 1) * len(names) + item_of[first[order]]
+        pairs = np.unique(entry)
+        place = first[order[new]]
         found.append(Windows(
-            n, np.array([h for h, _ in order], dtype=np.uint64), start[at], end[at + n - 1],
-            bounds([len(groups[k]) for k in order]), np.array([i for k in order for i in sorted(groups[k])], dtype=np.int64), table,
+            n, value[order[new]], at[place], at[place + n] - small(1),
+            np.searchsorted(pairs, np.arange(len(place) + 1) * len(names)).astype(small), (pairs % len(names)).astype(np.int32), table,
         ))
     return Index(normal, names, found)
 

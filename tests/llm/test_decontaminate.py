@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+import pyarrow as pa
 from opquality.llm import decontaminate
 from opquality.llm.decontaminate import scan, without_contaminated, without_spans
 
@@ -78,3 +80,29 @@ def test_empty_tables(spark, make, prose):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in scan(make(prose[:5]), nothing).collect()} == {0}
     assert scan(make([]), nothing).collect() == []
+
+
+def test_windows_with_equal_hashes_are_told_apart(make, prose, monkeypatch):
+    rows, items = case(make, prose)
+    right = decontaminate.window_hashes
+    monkeypatch.setattr(decontaminate, "window_hashes", lambda words, n: right(words, n) % np.uint64(5))
+    index = decontaminate.build_index([str(n) for n, _ in items], [t for _, t in items], 13)
+    for w in index.windows:
+        texts = [index.normal[a:b] for a, b in zip(w.starts, w.ends)]
+        assert len(texts) == len(set(texts)) and all(t.count(b" ") == w.words - 1 for t in texts)
+        assert all(len(set(x)) == len(x) > 0 for x in (w.items[a:b].tolist() for a, b in zip(w.item_at[:-1], w.item_at[1:])))
+    data, text_at = decontaminate.raw_bytes(pa.array([t for _, t in rows], pa.string()))
+    found_words, hit, pairs = decontaminate.scan_block(data, text_at, index)
+    plain = expected([(n, t) for n, (_, t) in enumerate(rows)], [(str(n), t) for n, t in items])
+    total = np.concatenate(([0], np.cumsum(hit)))
+    got = [(n, int(total[found_words.at[n + 1]] - total[found_words.at[n]]), sorted(index.names[i] for d, i in pairs if d == n)) for n in range(len(rows))]
+    assert sorted(got, key=str) == sorted(((d, n_hit, names) for d, _, n_hit, names, _ in plain), key=str)
+
+
+def test_empty_benchmark_and_long_texts(spark, make):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert found(scan(make([(1, "a b"), (2, None)]), none)) == [(1, 2, 0, [], False), (2, 0, 0, [], False)]
+    assert scan(make([]), none).collect() == []
+    items = [(1, " ".join(f"w{n}" for n in range(13)))]
+    rows = [(1, "filler " * 700_000 + items[0][1]), (2, items[0][1] + " end")]
+    assert found(scan(make(rows), spark.createDataFrame(items, "item_id long, text string"))) == expected(rows, items)
