@@ -38,3 +38,32 @@ def test_stages_equal_plain_forms(spark, prose, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = ["_key", "_spans", "kept", "runs", "n_words", "spans", "contaminated", "_k"]
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_missing_and_repeated_ids_and_clashing_columns(spark, prose, tmp_path):
+    items = [(1, " ".join(prose[8][1].split()[:30]))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = sorted({t for _, t in prose})[:12]
+    ids = [None, None, 5, 5, 5, -(2 ** 63), *range(10, 10 + len(texts) - 6)]
+    rows = [(i, t, "en", "src", len(t), *(f"{c} {k}" for c in CLASHING)) for k, (i, t) in enumerate(zip(ids, texts))]
+    docs = spark.createDataFrame(rows, DOCUMENTS + "".join(f", `{c}` string" for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {tuple(r[c] for c in CLASHING): r for r in docs.collect()}
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.names == docs.schema.names, name
+        kept = out.collect()
+        assert 0 < len(kept) <= len(before)
+        for r in kept:
+            was = before[tuple(r[c] for c in CLASHING)]
+            assert (r.doc_id, r.lang, r.source) == (was.doc_id, was.lang, was.source) and r.n_chars == len(r.text)
+            assert r.text == was.text or name == "suffix_dedup"
