@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from opquality.operators.filters import Filters, day_ranges, of_step, of_step_or_all, since
 from opquality.operators.lookup import Lookup, first_per_key, null_safe_left_join
+from opquality.operators import measures
 from opquality.operators.measures import AMOUNT, COUNT, combine, combine_onto, best_per_item, with_share_of_total
 from opquality.operators.numbering import Ranges, SortKey, dense_numbers
 from opquality.operators.scoring import scored_and_ranked
@@ -225,3 +226,22 @@ def test_days_of_weeks_and_years():
     assert day_ranges([2025, 2024]) == [(dt.date(2024, 1, 1), dt.date(2026, 1, 1))]
     days = {d for a, b in day_ranges([2021, 2022], [1, 52, 53]) for d in (a + dt.timedelta(k) for k in range((b - a).days))}
     assert days == {d for d in (dt.date(2021, 1, 1) + dt.timedelta(k) for k in range(730)) if d.isocalendar().week in (1, 52, 53)}
+
+
+def test_rows_of_fine_keys_are_dealt_by_the_size_of_their_files(spark, rows, tmp_path, monkeypatch):
+    path = str(tmp_path / "a b=%41[1]")
+    spark.range(4000).selectExpr("CASE WHEN id % 7 > 0 THEN id DIV 2 END AS k", "id % 3 AS w", "id / 8 AS x").repartition(3).write.parquet(path)
+    data = spark.read.option("__globPaths__", "false").parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "a b=%41[1]").glob("*.parquet"))
+    monkeypatch.setattr(measures, "BYTES_A_PLACE", size // 8)
+    parts = [data.select("k", "w", "x"), data.select("k", "w", F.lit(1).cast("long").alias("n"))]
+    # more input, more tasks, whatever the number of cores
+    assert measures.dealt(parts, ["k", "w"]).rdd.getNumPartitions() in (16, 17)
+    kinds = {"x": AMOUNT, "n": COUNT}
+    fine = combine(parts, ["k", "w"], kinds, fine=True)
+    assert rows(fine) == rows(combine(parts, ["k", "w"], kinds))
+    # rows from no file
+    own = [spark.createDataFrame([(None, 1, 2.5), (None, 1, None), (3, None, 0.25)], "k long, w long, x double")]
+    assert rows(combine(own, ["k", "w"], {"x": AMOUNT}, fine=True)) == rows(combine(own, ["k", "w"], {"x": AMOUNT}))
+    once = best_per_item(data.withColumn("f", F.lit(1.0)), ["w"], "k", "f")
+    assert once.count() == data.select("w", "k").distinct().count() and once.rdd.getNumPartitions() >= 8
