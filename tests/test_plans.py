@@ -431,3 +431,21 @@ def test_filters_reach_the_files_of_a_fact_built_on_the_fly(spark, tmp_path, row
 def test_a_unit_filter_turns_the_lookup_into_an_inner_join(spark, star):
     plan = Filters(bus=("W",)).apply(star.fact_first_step)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" in plan and "LeftOuter, (" not in plan.split("Join Inner")[0]
+
+
+@pytest.mark.parametrize("finishing", [False, True])
+def test_names_and_options_need_no_figures(spark, rows, finishing):
+    facts = [
+        spark.createDataFrame([(i, None if i == "3" else f"N{i}", "E", 1, "S", y, w, 5.0, dt.date(2024, 1, 1)) for i, y, w in [("1", 2024, 1), ("1", 2024, 2), ("2.0", 2023, 7), ("3", None, None), (None, 2024, 9)]], "OP_ID string, OPERATOR_NAME string, BU string, CREW int, SUPERVISOR_CHORUS_ID string, PROD_YEAR int, PROD_WEEK int, TIRES_BUILT double, PROD_DATE date"),
+        spark.createDataFrame([("4", 2024, 11, "Confection", "a"), ("5", 2024, 12, "Finishing", "a"), ("6", 2024, 13, "Confection", None)], "OP_ID string, PROD_YEAR int, PROD_WEEK int, CQ_RELATES_TO string, CQ_CODE_STR string"),
+        spark.createDataFrame([("7", 2024, 21, None, "a"), ("2", 2024, 22, "Confection", "b")], "OP_ID string, PROD_YEAR int, PROD_WEEK int, CQ_RELATES_TO string, CQ_CODE_STR string"),
+        spark.createDataFrame([("8", 2024, 31, 1.0)], "OP_ID string, PROD_YEAR int, PROD_WEEK int, OP_SCRAP_LBS_BY_TIRES double"),
+        spark.createDataFrame([("9", "1", 2024, 41, 1, 1), (None, "x", 2024, None, 2, 0)], "OP_ID string, FINISHING_OPERATOR_ID string, PROD_YEAR int, PROD_WEEK int, BARCODE int, IS_RFT int"),
+    ]
+    whole = (agg.agg_op_week_fin if finishing else agg.agg_op_week)(*facts)
+    names = agg.operator_week_values(*facts, "OP_ID", finishing)
+    assert rows(names, "OP_ID", "OPERATOR_NAME", "BU", "CREW") == rows(whole.select("OP_ID", "OPERATOR_NAME", "BU", "CREW").distinct())
+    assert rows(agg.operator_week_values(*facts, "PROD_WEEK", finishing)) == rows(whole.select("PROD_WEEK").distinct())
+    board = agg.agg_top_performers_fin(*facts) if finishing else agg.agg_top_performers(*facts[:4])
+    people = agg.leaderboard_operators(facts[0], finishing)
+    assert rows(people) == rows(board.select(*people.columns))
