@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opquality.llm.common import cut, map_arrow, per_bucket, write_parquet
+from opquality.llm.common import cut, cut_counted, map_arrow, per_bucket, write_parquet
 from opquality.llm.settle import BROADCAST_IDS, Compare, by_ids, settle
 from opquality.llm.units import blocks, ragged
 from opquality.llm.wordhash import LOWER, find_words, mix, range_hashes, raw_bytes, text_of_word, window_hashes
@@ -251,9 +251,19 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
     return per_bucket(postings, lists, "key long, id long, n int")
 
 
-def readers(docs: DataFrame, classes: DataFrame, words: int, seed: int):
+def signed_sets(rows: DataFrame, classes: DataFrame, count: int) -> Callable[[DataFrame], DataFrame]:
+    """A function from ids of sets to their sizes and signatures, from one of their rows each.
+    rows: id, row, n, signature; classes: id, row, so many of them."""
+    def signatures_of(ids: DataFrame) -> DataFrame:
+        chosen = by_ids(classes, ids, "id", count).select("id", "row")
+        return by_ids(rows.select("id", "row", "n", "signature"), chosen, ["id", "row"], count).drop("row").dropDuplicates(["id"])
+
+    return signatures_of
+
+
+def readers(docs: DataFrame, classes: DataFrame, count: int, words: int, seed: int):
     """Two functions from ids of sets to their marks and to their shingles, read from the
-    text of one document each. docs: row, text; classes: id, row."""
+    text of one document each. docs: row, text; classes: id, row, so many of them."""
     def reader(column: str, of: Callable[[np.ndarray, np.ndarray], pa.Array]) -> Callable[[DataFrame], DataFrame]:
         def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             given: set[int] = set()
@@ -264,8 +274,8 @@ def readers(docs: DataFrame, classes: DataFrame, words: int, seed: int):
                     yield found.filter(pa.array([f not in given and not given.add(f) for f in first.tolist()], pa.bool_()))
 
         def read(ids: DataFrame) -> DataFrame:
-            wanted = cut(by_ids(classes, ids, "id").select("row").distinct())
-            return write_parquet(map_arrow(by_ids(docs, wanted, "row").select("text"), tasks, f"id long, {column} array<long>"), f"jaccard-{column}")
+            wanted = by_ids(classes, ids, "id", count).select("row").distinct()
+            return write_parquet(map_arrow(by_ids(docs, wanted, "row", count).select("text"), tasks, f"id long, {column} array<long>"), f"jaccard-{column}")
 
         return read
 
@@ -303,7 +313,7 @@ def jaccard_components(
                     ], names=["doc", "row", "n", "id", "check", "signature"])
 
         rows = write_parquet(map_arrow(docs.select("doc", "row", "text"), measure, "doc long, row long, n int, id long, check long, signature array<long>"), "jaccard-rows")
-        classes = cut(rows.where("n > 0").groupBy("id").agg(
+        classes, count = cut_counted(rows.where("n > 0").groupBy("id").agg(
             F.min("doc").alias("doc"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"),
         ))
 
@@ -318,12 +328,8 @@ def jaccard_components(
     buckets = max(64, -(-entries // ENTRIES_A_BUCKET))
     lists = write_parquet(_shared_lists(_postings(docs, known, edge, words, percent, seed, buckets)), "jaccard-lists")
 
-    def signatures_of(ids: DataFrame) -> DataFrame:
-        """Size and signature of these sets, from one document each."""
-        chosen = cut(by_ids(classes, ids, "id").select("id", "row"))
-        return by_ids(rows.select("id", "row", "n", "signature"), chosen, ["id", "row"]).drop("row").dropDuplicates(["id"])
-
-    compare = Compare(signatures_of, *readers(docs, classes, words, seed), percent)
+    signatures_of = signed_sets(rows, classes, count)
+    compare = Compare(signatures_of, *readers(docs, classes, count, words, seed), percent)
     labels = settle(lists, signatures_of, compare.linked, percent)
     component = classes.join(labels, classes.id == labels.node, "left").select("id", "doc", F.coalesce("label", "id").alias("label"))
     least_doc = component.groupBy("label").agg(F.min("doc").alias("component_id"))

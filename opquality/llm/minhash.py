@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opquality.llm.common import cut, map_arrow, write_parquet
-from opquality.llm.jaccard_join import fingerprints, readers, shingle_sets, signatures
-from opquality.llm.settle import Compare, by_ids, settle
+from opquality.llm.common import cut_counted, map_arrow, write_parquet
+from opquality.llm.jaccard_join import fingerprints, readers, shingle_sets, signatures, signed_sets
+from opquality.llm.settle import Compare, settle
 from opquality.llm.wordhash import MULTIPLIER, mix
 
 WORDS = 5
@@ -109,7 +109,7 @@ def near_duplicates(
 
         rows = write_parquet(map_arrow(docs.select("doc", "row", "text"), measure, "doc long, row long, n int, id long, check long, signature array<long>, bands array<long>"), "minhash-rows")
         # Documents of one set, by its fingerprint, and one row to read the set from.
-        classes = cut(rows.where("n > 0").groupBy("id").agg(
+        classes, count = cut_counted(rows.where("n > 0").groupBy("id").agg(
             F.min("doc").alias("doc"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"),
         ))
         if classes.where("c0 <> c1").isEmpty():
@@ -120,10 +120,8 @@ def near_duplicates(
     several = entries.groupBy("key").agg(F.min("id").alias("_i0"), F.max("id").alias("_i1")).where("_i0 <> _i1").select("key")
     lists = write_parquet(entries.join(several, "key", "left_semi"), "minhash-buckets")
 
-    def signatures_of(ids: DataFrame) -> DataFrame:
-        return by_ids(rows.select("id", "row", "n", "signature"), cut(by_ids(classes, ids, "id").select("id", "row")), ["id", "row"]).drop("row").dropDuplicates(["id"])
-
-    compare = Compare(signatures_of, *readers(docs, classes, words, seed), percent)
+    signatures_of = signed_sets(rows, classes, count)
+    compare = Compare(signatures_of, *readers(docs, classes, count, words, seed), percent)
     labels = settle(lists, signatures_of, compare.linked, percent)
     component = classes.join(labels, classes.id == labels.node, "left").select("id", "doc", F.coalesce("label", "id").alias("label"))
     least = component.groupBy("label").agg(F.min("doc").alias("component_id"))

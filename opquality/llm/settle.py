@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opquality.llm.common import cut_small, map_arrow
+from opquality.llm.common import cut_counted, cut_small, map_arrow
 from opquality.llm.components import components
 
 # Members of a list that meet in one task.
@@ -53,9 +53,11 @@ def may_link(n_a, n_b, apart, percent: int):
     return (100 + percent) * (n_a + n_b - apart) >= 2 * percent * (n_a + n_b)
 
 
-def by_ids(df: DataFrame, ids: DataFrame, column: str | list[str]) -> DataFrame:
-    """Rows of df whose column is among ids; a broadcast only while they are few."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
+def by_ids(df: DataFrame, ids: DataFrame, column: str | list[str], most: int | None = None) -> DataFrame:
+    """Rows of df whose column is among ids; a broadcast only while they are few. They are
+    counted only if it is not known that there are no more than so many."""
+    few = (most is not None and most <= BROADCAST_IDS) or ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -95,15 +97,15 @@ class Compare:
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose sets overlap enough."""
         signed = _beside(pairs, self.signatures_of(_ids(pairs)))
-        near = cut_small(signed.where(may_link(F.col("n_a"), F.col("n_b"), _apart("signature_a", "signature_b"), self.percent)).select("a", "b", "n_a", "n_b"))
+        near, some = cut_counted(signed.where(may_link(F.col("n_a"), F.col("n_b"), _apart("signature_a", "signature_b"), self.percent)).select("a", "b", "n_a", "n_b"))
         large = near.where(F.col("n_a") + F.col("n_b") > MARKED_FROM)
         if not large.isEmpty():
             marked = _beside(large, self.marks_of(_ids(large)))
             marked = marked.withColumns({"_a": _halved("marks_a", "marks_b"), "_b": _halved("marks_b", "marks_a")})
-            near = cut_small(near.where(F.col("n_a") + F.col("n_b") <= MARKED_FROM).unionByName(
+            near, some = cut_counted(near.where(F.col("n_a") + F.col("n_b") <= MARKED_FROM).unionByName(
                 marked.where(may_link(F.col("n_a"), F.col("n_b"), _apart("_a", "_b"), self.percent)).select(near.columns),
             ))
-        if near.isEmpty():
+        if not some:
             return near.select("a", "b")
         both = _beside(near, self.sets_of(_ids(near))).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
         return cut_small(both.where(100 * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct())
@@ -181,7 +183,7 @@ def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], Data
     """Pairs (a, b) of different components that sizes and signatures do not rule out, with
     their labels; with nearest, only the best for each a and foreign label. No two components
     that have such a pair are missing."""
-    marks = signatures_of(open_lists.select("id").distinct()).select("id", "signature").dropDuplicates(["id"])
+    marks = signatures_of(open_lists.select("id").distinct()).select("id", "signature")
     placed = _placed(open_lists, block).join(marks, "id")
 
     def in_short_lists(rows: _Members) -> Iterator[tuple[np.ndarray, ...]]:
@@ -283,44 +285,49 @@ def settle(
     A list may be of any length: it is split among tasks. No entries give no rows.
     """
     spark = lists.sparkSession
-    links, tried = (spark.createDataFrame([], "a long, b long") for _ in range(2))
+    tried = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, label long")
     named = lists.withColumn("label", F.col("id"))
 
-    def compare(pairs: DataFrame) -> bool:
-        """Verifies what was not tried yet, and joins the components of what links."""
-        nonlocal links, tried, labels, named
-        fresh = cut_small(_in_order(pairs).join(tried, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            return False
+    def untried(pairs: DataFrame) -> DataFrame:
+        done = tried.select(F.col("a").alias("_high"), F.col("b").alias("_low"))
+        ordered = pairs.withColumns({"_high": F.greatest("a", "b"), "_low": F.least("a", "b")})
+        return ordered.join(done, ["_high", "_low"], "left_anti").drop("_high", "_low")
+
+    def compare(pairs: DataFrame) -> bool | None:
+        """Verifies pairs that were not tried yet, and joins the components of what links:
+        whether any does, None without pairs."""
+        nonlocal tried, labels, named
+        fresh, some = cut_counted(_in_order(pairs))
+        if not some:
+            return None
         found = verify(fresh)
         tried = cut_small(tried.unionByName(fresh))
         if found.isEmpty():
             return False
-        links = cut_small(links.unionByName(found.select("a", "b")))
-        labels = cut_small(components(links))
+        # A node's link to the least of its component stands for those that led there.
+        labels = cut_small(components(found.select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
         named = lists.join(labels, lists.id == labels.node, "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
         return True
 
     for _ in range(stars):
-        if not compare(_star(_open(named), percent)):
+        if not compare(untried(_star(_open(named), percent))):
             break
-    still, nearest = cut_small(_open(named)), True
-    while not still.isEmpty():
+    (still, entries), nearest = cut_counted(_open(named)), True
+    while entries:
         pairs, joined, most = cut_small(_candidates(still, signatures_of, percent, nearest, block)), False, 1
         while True:
             # The nearest of a set first; what it links with takes others along. Then the
             # next 2, 4, ... of those still in another component, all once none linked.
-            two = _now(pairs, labels).where("label_a <> label_b").join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-            chosen = cut_small(two.withColumn("_place", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("_place") <= most).select("a", "b"))
-            if chosen.isEmpty():
+            two = untried(_now(pairs, labels).where("label_a <> label_b"))
+            linking = compare(two.withColumn("_place", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("_place") <= most).select("a", "b"))
+            if linking is None:
                 break
-            linking = compare(chosen)
             joined, most = joined or linking, most * 2 if linking else EVERY
         if not nearest:
             break
         # Only components that had a candidate and are still two can have another.
         apart = _now(pairs.select("label_a", "label_b").distinct(), labels).where("label_a <> label_b")
-        active = cut_small(apart.select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct())
-        still, nearest = cut_small(_open(by_ids(named, active, "label"))), joined
+        active, many = cut_counted(apart.select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct())
+        (still, entries), nearest = cut_counted(_open(by_ids(named, active, "label", many))), joined
     return labels
