@@ -449,3 +449,23 @@ def test_names_and_options_need_no_figures(spark, rows, finishing):
     board = agg.agg_top_performers_fin(*facts) if finishing else agg.agg_top_performers(*facts[:4])
     people = agg.leaderboard_operators(facts[0], finishing)
     assert rows(people) == rows(board.select(*people.columns))
+
+
+def test_the_weeks_of_an_operator_come_to_one_of_many_tasks(spark, rows, tmp_path, monkeypatch):
+    from opquality.operators import measures
+
+    path = str(tmp_path / "facts")
+    spark.range(3000).selectExpr(
+        "CASE WHEN id % 50 > 0 THEN lpad(cast(id % 90 AS string), 6, '0') END AS OP_ID", "CASE WHEN id % 3 > 0 THEN concat('name ', id % 90) END AS OPERATOR_NAME",
+        "'E' AS BU", "id % 4 AS CREW", "timestampadd(DAY, id % 500, timestamp_ntz'2020-01-01') AS PROD_DATE", "2020 + id % 500 DIV 366 AS PROD_YEAR", "id % 53 AS PROD_WEEK",
+        "id / 8 AS TIRES_BUILT", "cast(id % 9 AS string) AS CQ_CODE_STR", "'Confection' AS CQ_RELATES_TO", "id * 1.5 AS OP_SCRAP_LBS_BY_TIRES", "id AS BARCODE", "id % 2 AS IS_RFT",
+    ).repartition(2).write.parquet(path)
+    facts = [spark.read.parquet(path)] * 5
+    whole = rows(agg.agg_op_week(*facts))
+    size = sum(f.stat().st_size for f in (tmp_path / "facts").glob("*.parquet"))
+    monkeypatch.setattr(measures, "BYTES_A_PLACE", size // 12)
+    weeks = agg.agg_op_week(*facts)
+    assert rows(weeks) == whole
+    # More input, more tasks, and none of them reads more than its operators.
+    places = weeks.select("OP_ID", F.spark_partition_id().alias("place")).distinct().collect()
+    assert len({r.OP_ID for r in places}) == len(places) and len({r.place for r in places}) > 8
