@@ -234,7 +234,9 @@ def _postings(docs: DataFrame, common, edge: int, words: int, percent: int, seed
 
 
 def _shared_lists(postings: DataFrame) -> DataFrame:
-    """Entries (key, set, size) of the keys that two or more sets have."""
+    """Entries (key, set, size, times) of the keys that two or more sets have. Keys of the
+    same sets are one list, named by a hash of these, with the number of its keys; different
+    lists of one hash would be one list of all their sets, which loses no pair."""
     def lists(group: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(group[name].to_pylist()), dtype=kind)
         key, who, size = join("keys", np.int64), join("sets", np.int64), join("sizes", np.int32)
@@ -246,9 +248,18 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
         change = np.concatenate((key[1:] != key[:-1], [True]))
         start = np.concatenate(([True], change[:-1]))
         many = ~(start & change)
-        return pa.table({"key": key[many], "id": who[many], "n": size[many]})
+        key, who, size = key[many], who[many], size[many]
+        at = np.concatenate((np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), [len(key)])) if len(key) else np.zeros(1, dtype=np.int64)
+        name, check = fingerprints(who.view(np.uint64), at)
+        by = np.lexsort((check, name))
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (name[by][1:] != name[by][:-1]) | (check[by][1:] != check[by][:-1])
+        first, length = by[new], np.diff(at)[by[new]]
+        times, rows = np.diff(np.concatenate((np.flatnonzero(new), [len(by)]))), ragged(at[:-1][first], length)
+        return pa.table({"key": np.repeat(name[first], length), "id": who[rows], "n": size[rows], "times": np.repeat(times, length)})
 
-    return per_bucket(postings, lists, "key long, id long, n int")
+    found = per_bucket(postings, lists, "key long, id long, n int, times long")
+    return found.groupBy("key", "id", "n").agg(F.sum("times").alias("times"))
 
 
 def signed_sets(rows: DataFrame, classes: DataFrame, count: int) -> Callable[[DataFrame], DataFrame]:
@@ -330,7 +341,7 @@ def jaccard_components(
 
     signatures_of = signed_sets(rows, classes, count)
     compare = Compare(signatures_of, *readers(docs, classes, count, words, seed), percent)
-    labels = settle(lists, signatures_of, compare.linked, percent)
+    labels = settle(lists, signatures_of, compare.linked, percent, thin=compare.marked, whole=compare.whole)
     component = classes.join(labels, classes.id == labels.node, "left").select("id", "doc", F.coalesce("label", "id").alias("label"))
     least_doc = component.groupBy("label").agg(F.min("doc").alias("component_id"))
     placed = component.join(least_doc, "label").select(F.col("id").alias("_id"), "component_id")

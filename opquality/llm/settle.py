@@ -7,13 +7,14 @@ Each list holds sets that may link. Rounds go on until no list has a candidate l
 2. what stars leave in different components is compared inside the lists, by signatures:
    a member outside a list's most frequent label meets all others of the list, block by
    block, and gives for each foreign component only its nearest set that a signature does
-   not rule out. Of these the nearest of each set are verified first, then further ones
-   as far as they are still in two components. The next round begins with those components
-   only that had a candidate and are still two;
-3. once a round finds no link, the candidates that stood behind the nearest are given,
-   those compared before left out.
-
-A candidate costs one comparison of whole sets, whatever the number of lists it is in.
+   not rule out. What marks rule out goes first, all at once; of the others the nearest of
+   each set are verified first, then further ones as far as they are still in two components.
+   The next round begins with those components only that had a candidate and are still two;
+3. once a round finds few links or none, the candidates that stood behind the nearest are
+   given, those compared before left out.
+
+A candidate costs one comparison of whole sets, whatever the number of lists it is in. Lists
+of one majority go to the same few tasks, which give a candidate once and not once a list.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ BLOCK = 1 << 12
 AT_ONCE = 1 << 15
 # Lists of up to so many members are compared side by side.
 SHORT = 256
+# Candidates of a task among which those found in several lists are told apart.
+PAIRS_HELD = 1 << 18
+# Tasks that the squares of one place in lists of one majority go to.
+ROUTES = 16
+# A round that links one in so many of its candidates is followed by another like it.
+LINKING = 4
 # Ids up to this number are sent along as a broadcast, 8 bytes each.
 BROADCAST_IDS = 2_000_000
 SQUARE = ("key", "held_block", "asking_block")
@@ -97,18 +104,28 @@ class Compare:
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose sets overlap enough."""
         signed = _beside(pairs, self.signatures_of(_ids(pairs)))
-        near, some = cut_counted(signed.where(may_link(F.col("n_a"), F.col("n_b"), _apart("signature_a", "signature_b"), self.percent)).select("a", "b", "n_a", "n_b"))
-        large = near.where(F.col("n_a") + F.col("n_b") > MARKED_FROM)
-        if not large.isEmpty():
-            marked = _beside(large, self.marks_of(_ids(large)))
-            marked = marked.withColumns({"_a": _halved("marks_a", "marks_b"), "_b": _halved("marks_b", "marks_a")})
-            near, some = cut_counted(near.where(F.col("n_a") + F.col("n_b") <= MARKED_FROM).unionByName(
-                marked.where(may_link(F.col("n_a"), F.col("n_b"), _apart("_a", "_b"), self.percent)).select(near.columns),
-            ))
-        if not some:
-            return near.select("a", "b")
-        both = _beside(near, self.sets_of(_ids(near))).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
-        return cut_small(both.where(100 * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct())
+        near, some = self._marked(*cut_counted(signed.where(may_link(F.col("n_a"), F.col("n_b"), _apart("signature_a", "signature_b"), self.percent)).select("a", "b", "n_a", "n_b")))
+        return self.whole(near) if some else near
+
+    def marked(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b), whose signatures were compared, without those that marks rule out."""
+        return self._marked(*cut_counted(_beside(pairs, self.signatures_of(_ids(pairs)).select("id", "n"))))[0]
+
+    def _marked(self, pairs: DataFrame, some: int) -> tuple[DataFrame, int]:
+        large = pairs.where(F.col("n_a") + F.col("n_b") > MARKED_FROM)
+        if large.isEmpty():
+            return pairs.select("a", "b"), some
+        marked = _beside(large, self.marks_of(_ids(large)))
+        marked = marked.withColumns({"_a": _halved("marks_a", "marks_b"), "_b": _halved("marks_b", "marks_a")})
+        return cut_counted(pairs.where(F.col("n_a") + F.col("n_b") <= MARKED_FROM).select("a", "b").unionByName(
+            marked.where(may_link(F.col("n_a"), F.col("n_b"), _apart("_a", "_b"), self.percent)).select("a", "b"),
+        ))
+
+    def whole(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose sets overlap enough, by the sets alone."""
+        both = _beside(pairs, self.sets_of(_ids(pairs))).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
+        total = F.size("shingles_a") + F.size("shingles_b") - F.col("common")
+        return cut_small(both.where(100 * F.col("common") >= self.percent * total).select("a", "b").distinct())
 
 
 def _open(lists: DataFrame) -> DataFrame:
@@ -122,7 +139,7 @@ def _star(open_lists: DataFrame, percent: int) -> DataFrame:
     hubs = open_lists.groupBy("key").agg(F.min(F.struct("label", "id", "n")).alias("hub"))
     fits = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
     held = open_lists.join(hubs, "key").where((F.col("label") != F.col("hub.label")) & fits)
-    met = held.groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b")).count()
+    met = held.groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b")).agg(F.sum("times").alias("count"))
     return met.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
 
 
@@ -139,7 +156,7 @@ def _placed(open_lists: DataFrame, block: int) -> DataFrame:
     })
     everywhere = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     own = lambda count: F.pmod("_place", F.col(count)).cast("int")
-    kept = ["key", "id", "n", "label", "outside"]
+    kept = ["key", "id", "n", "label", "outside", F.col("_major").alias("major")]
     # In a list of one square a member outside does both with one row.
     square = (F.col("_helds") == 1) & (F.col("_asks") == 1)
     role = F.when(square & F.col("outside"), BOTH).otherwise(HELD)
@@ -179,6 +196,39 @@ class _Members:
         return self.who[a], self.who[b], self.label[a], self.label[b], apart[keep]
 
 
+class _Pairs:
+    """Candidates of a task, as columns GIVEN; what several of its lists have in common
+    leaves it once. With nearest, only the best for each a and foreign label does."""
+
+    def __init__(self, nearest: bool):
+        self.nearest = nearest
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, part: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        self.parts.append(part)
+        self.size += len(part[0])
+        if self.size > PAIRS_HELD:
+            self.parts = [self._once()]
+            self.size = len(self.parts[0][0])
+            if self.size > PAIRS_HELD // 2:
+                yield from self.all()
+
+    def _once(self) -> tuple[np.ndarray, ...]:
+        a, b, label_a, label_b, apart = (np.concatenate(x) for x in zip(*self.parts))
+        group = label_b if self.nearest else b
+        order = np.lexsort((b, apart, group, a))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (a[order][1:] != a[order][:-1]) | (group[order][1:] != group[order][:-1])
+        return tuple(x[order[first]] for x in (a, b, label_a, label_b, apart))
+
+    def all(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            found, self.parts, self.size = self._once(), [], 0
+            for lo in range(0, len(found[0]), AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + AT_ONCE]) for x in found], names=GIVEN)
+
+
 def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], DataFrame], percent: int, nearest: bool, block: int) -> DataFrame:
     """Pairs (a, b) of different components that sizes and signatures do not rule out, with
     their labels; with nearest, only the best for each a and foreign label. No two components
@@ -223,6 +273,8 @@ def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], Data
             yield who[:len(found)], found, label_a[:len(found)], label_b, apart
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Pairs(nearest)
+
         def given(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Of whole squares, which begin at these rows."""
             rows = _Members.of(table, edges)
@@ -230,16 +282,9 @@ def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], Data
             # A member that both asks and is held is in the only square of its list.
             whole = (lengths <= SHORT) & (np.maximum.reduceat(rows.role == ASKS, edges) == 0) & (np.maximum.reduceat(rows.role, edges) == BOTH)
             short = np.repeat(whole, lengths)
-            parts, size = [], 0
             for produced in (in_short_lists(rows.take(np.flatnonzero(short))), *(in_long_list(rows.take(np.arange(edges[k], edges[k] + lengths[k]))) for k in np.flatnonzero(~whole))):
                 for part in produced:
-                    parts.append(part)
-                    size += len(part[0])
-                    if size > AT_ONCE:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=GIVEN)
-                        parts, size = [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=GIVEN)
+                    yield from found.add(part)
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -254,8 +299,10 @@ def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], Data
                 held = table.slice(last).combine_chunks().to_batches()
         if held and sum(b.num_rows for b in held):
             yield from given(pa.Table.from_batches(held), np.zeros(1, dtype=np.int64))
+        yield from found.all()
 
-    ordered = placed.repartition(*SQUARE).sortWithinPartitions(*SQUARE)
+    route = ("major", F.pmod("key", F.lit(ROUTES)), *SQUARE[1:])
+    ordered = placed.repartition(*route).sortWithinPartitions(*SQUARE).drop("major")
     pairs = map_arrow(ordered, tasks, "a long, b long, label_a long, label_b long, apart long")
     if nearest:
         best = F.min(F.struct("apart", "b"))
@@ -277,14 +324,18 @@ def _now(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def settle(
     lists: DataFrame, signatures_of: Callable[[DataFrame], DataFrame], verify: Verify, percent: int, stars: int = 2, block: int = BLOCK,
+    thin: Verify | None = None, whole: Verify | None = None,
 ) -> DataFrame:
-    """lists: key, id, n, an entry per list and set. Per set that links: node and label, the
-    least set it can reach. signatures_of(ids) gives id and signature, bits of which two sets
-    differ in no more than elements; verify(pairs) those pairs (a, b) that link.
+    """lists: key, id, n, an entry per list and set, and times, for how many lists of the same
+    members it stands, if not for one. Per set that links: node and label, the least set it
+    can reach. signatures_of(ids) gives id and signature, bits of which two sets differ in no
+    more than elements; verify(pairs) those pairs (a, b) that link. For pairs that signatures
+    leave, thin takes out some that do not link, and whole is verify for those left.
 
     A list may be of any length: it is split among tasks. No entries give no rows.
     """
     spark = lists.sparkSession
+    lists = lists if "times" in lists.columns else lists.withColumn("times", F.lit(1))
     tried = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, label long")
     named = lists.withColumn("label", F.col("id"))
@@ -294,40 +345,54 @@ def settle(
         ordered = pairs.withColumns({"_high": F.greatest("a", "b"), "_low": F.least("a", "b")})
         return ordered.join(done, ["_high", "_low"], "left_anti").drop("_high", "_low")
 
-    def compare(pairs: DataFrame) -> bool | None:
+    def compare(pairs: DataFrame, by: Verify) -> tuple[int, int]:
         """Verifies pairs that were not tried yet, and joins the components of what links:
-        whether any does, None without pairs."""
+        how many there were, and how many link."""
         nonlocal tried, labels, named
         fresh, some = cut_counted(_in_order(pairs))
         if not some:
-            return None
-        found = verify(fresh)
+            return 0, 0
+        found = by(fresh)
         tried = cut_small(tried.unionByName(fresh))
-        if found.isEmpty():
-            return False
-        # A node's link to the least of its component stands for those that led there.
-        labels = cut_small(components(found.select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
-        named = lists.join(labels, lists.id == labels.node, "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-        return True
+        linking = found.count()
+        if linking:
+            # A node's link to the least of its component stands for those that led there.
+            labels = cut_small(components(found.select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
+            named = lists.join(labels, lists.id == labels.node, "left").select("key", "id", "n", "times", F.coalesce("label", "id").alias("label"))
+        return some, linking
+
+    def thinned(pairs: DataFrame) -> DataFrame:
+        """Pairs that were not tried yet, without those that thin takes out, which need no
+        further trial."""
+        nonlocal tried
+        if thin is None:
+            return pairs
+        fresh, some = cut_counted(_in_order(untried(pairs)))
+        if not some:
+            return pairs.limit(0)
+        left = thin(fresh)
+        tried = cut_small(tried.unionByName(fresh.join(left, ["a", "b"], "left_anti")))
+        return cut_small(untried(pairs))
 
     for _ in range(stars):
-        if not compare(untried(_star(_open(named), percent))):
+        if not compare(untried(_star(_open(named), percent)), verify)[1]:
             break
     (still, entries), nearest = cut_counted(_open(named)), True
     while entries:
-        pairs, joined, most = cut_small(_candidates(still, signatures_of, percent, nearest, block)), False, 1
+        pairs, given = cut_counted(_candidates(still, signatures_of, percent, nearest, block))
+        likely, joined, most = thinned(pairs), 0, 1
         while True:
             # The nearest of a set first; what it links with takes others along. Then the
-            # next 2, 4, ... of those still in another component, all once none linked.
-            two = untried(_now(pairs, labels).where("label_a <> label_b"))
-            linking = compare(two.withColumn("_place", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("_place") <= most).select("a", "b"))
-            if linking is None:
+            # next 8, 64, ... of those still in another component, all once none linked.
+            two = untried(_now(likely, labels).where("label_a <> label_b"))
+            some, linking = compare(two.withColumn("_place", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("_place") <= most).select("a", "b"), whole or verify)
+            if not some:
                 break
-            joined, most = joined or linking, most * 2 if linking else EVERY
+            joined, most = joined + linking, most * 8 if linking else EVERY
         if not nearest:
             break
         # Only components that had a candidate and are still two can have another.
         apart = _now(pairs.select("label_a", "label_b").distinct(), labels).where("label_a <> label_b")
         active, many = cut_counted(apart.select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct())
-        (still, entries), nearest = cut_counted(_open(by_ids(named, active, "label", many))), joined
+        (still, entries), nearest = cut_counted(_open(by_ids(named, active, "label", many))), joined * LINKING > given
     return labels

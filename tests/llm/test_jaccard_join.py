@@ -3,7 +3,7 @@ import pytest
 from plain_words import words
 
 from opquality.llm.components import components
-from opquality.llm.jaccard_join import boundary, jaccard_components, one_per_component, prefix
+from opquality.llm.jaccard_join import _shared_lists, boundary, jaccard_components, one_per_component, prefix
 
 
 def expected(rows):
@@ -103,3 +103,18 @@ def test_components_of_paths_and_stars(spark):
     links = [(n, n + 1) for n in range(50)] + [(100, n) for n in range(101, 130)] + [(7, 7), (300, 301), (301, 300)]
     out = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {**{n: 0 for n in range(51)}, **{n: 100 for n in range(100, 130)}, 300: 300, 301: 300}
+
+
+def test_keys_of_the_same_sets_are_one_list(spark):
+    """Sets 5 and 6 share 300 keys, 5, 6 and 7 one more: two lists, whatever the buckets."""
+    rows = []
+    for bucket in range(3):
+        key = np.arange(bucket * 100, bucket * 100 + 100)
+        entries = [(k, s) for k in key.tolist() for s in (5, 6)] + [(1000, s) for s in (5, 6, 7) if bucket == 1] + [(2000 + bucket, 8)]
+        keys, sets = (np.array(x, dtype=np.int64) for x in zip(*entries))
+        rows.append((bucket, bytearray(keys.tobytes()), bytearray(sets.tobytes()), bytearray((sets * 10).astype(np.int32).tobytes())))
+    lists = _shared_lists(spark.createDataFrame(rows, "bucket int, keys binary, sets binary, sizes binary")).collect()
+    by_list = {}
+    for r in lists:
+        by_list.setdefault(r.key, []).append((r.id, r.n, r.times))
+    assert sorted(sorted(x) for x in by_list.values()) == [[(5, 50, 1), (6, 60, 1), (7, 70, 1)], [(5, 50, 300), (6, 60, 300)]]

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from plain_words import words
 
+from opquality.llm.common import map_arrow
 from opquality.llm.jaccard_join import jaccard_components, marks, signatures
 from opquality.llm.minhash import band_keys, bin_values, densified, near_duplicates
 from opquality.llm.settle import settle
@@ -126,3 +127,20 @@ def test_rounds_give_few_candidates_and_lose_no_link(spark):
         labels = {r.node: r.label for r in settle(lists, same, verify, 75, block=block).collect()}
         assert labels == {p: 0 if p < 60 else 100 for p in points}
     assert max(compared) <= 100 * 99 // 2
+
+
+def test_tasks_give_a_candidate_once_and_not_once_a_list(spark, monkeypatch):
+    """200 lists, each of 30 of the same 40 sets, which are alike but do not link."""
+    lists = spark.createDataFrame([(k, (k + p) % 40, 10) for k in range(200) for p in range(30)], "key long, id long, n int")
+    made = []
+
+    def counted(df, function, schema):
+        out = map_arrow(df, function, schema)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr("opquality.llm.settle.map_arrow", counted)
+    same = lambda ids: ids.selectExpr("id", "10 AS n", "array(0L, 0L) AS signature")
+    for block in (4096, 16):
+        assert settle(lists, same, lambda pairs: pairs.where("false"), 75, block=block).isEmpty()
+    assert made and max(made) <= 16 * 40 * 39 // 2
