@@ -117,12 +117,16 @@ def near_duplicates(
         seed += 1
     chosen = rows.where("n > 0").join(classes.select("id", "row"), ["id", "row"], "left_semi")
     entries = chosen.select("id", "n", "bands").dropDuplicates(["id"]).select(F.explode("bands").alias("key"), "id", "n")
-    several = entries.groupBy("key").agg(F.min("id").alias("_i0"), F.max("id").alias("_i1")).where("_i0 <> _i1").select("key")
-    lists = write_parquet(entries.join(several, "key", "left_semi"), "minhash-buckets")
+    # Buckets of the same sets are one list, named by a hash of these, with the number of its
+    # buckets; different ones of one hash would be one list of all their sets.
+    name = F.expr("bit_xor(xxhash64(id))")
+    several = entries.groupBy("key").agg(F.min("id").alias("_i0"), F.max("id").alias("_i1"), name.alias("_name")).where("_i0 <> _i1").select("key", "_name")
+    named = entries.join(several, "key").groupBy(F.col("_name").alias("key"), "id", "n").agg(F.count(F.lit(1)).alias("times"))
+    lists = write_parquet(named, "minhash-buckets")
 
     signatures_of = signed_sets(rows, classes, count)
     compare = Compare(signatures_of, *readers(docs, classes, count, words, seed), percent)
-    labels = settle(lists, signatures_of, compare.linked, percent)
+    labels = settle(lists, signatures_of, compare.linked, percent, thin=compare.marked, whole=compare.whole)
     component = classes.join(labels, classes.id == labels.node, "left").select("id", "doc", F.coalesce("label", "id").alias("label"))
     least = component.groupBy("label").agg(F.min("doc").alias("component_id"))
     placed = component.join(least, "label").select(F.col("id").alias("_id"), "component_id")
