@@ -6,12 +6,14 @@ Each list holds sets that may link. Rounds go on until no list has a candidate l
    it meets most, one candidate per member and round;
 2. what stars leave in different components is compared inside the lists, by signatures:
    a member outside a list's most frequent label meets all others of the list, block by
-   block, and gives for each foreign component only its nearest set that a signature does
-   not rule out. What marks rule out goes first, all at once; of the others the nearest of
-   each set are verified first, then further ones as far as they are still in two components.
-   The next round begins with those components only that had a candidate and are still two;
-3. once a round finds few links or none, the candidates that stood behind the nearest are
-   given, those compared before left out.
+   block. Of the pairs that signatures do not rule out a task gives the nearest ones that
+   tie its components together, a forest: fewer than it has components, however many
+   members of a list may link. What marks rule out goes first, all at once; of the others the
+   nearest of each set are verified first, then further ones as far as they are still in two
+   components. The next round begins with those components only that had a candidate and are
+   still two;
+3. once a round finds few links beside the candidates that are left, or none, the candidates
+   that stood behind the nearest are given, those compared before left out.
 
 A candidate costs one comparison of whole sets, whatever the number of lists it is in. Lists
 of one majority go to the same few tasks, which give a candidate once and not once a list.
@@ -28,7 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opquality.llm.common import cut_counted, cut_small, map_arrow
-from opquality.llm.components import components
+from opquality.llm.components import components, least_labels
+from opquality.llm.wordhash import MULTIPLIER, mix
 
 # Members of a list that meet in one task.
 BLOCK = 1 << 12
@@ -40,7 +43,7 @@ SHORT = 256
 PAIRS_HELD = 1 << 18
 # Tasks that the squares of one place in lists of one majority go to.
 ROUTES = 16
-# A round that links one in so many of its candidates is followed by another like it.
+# A round that finds a link for every so many candidates it leaves is followed by another like it.
 LINKING = 4
 # Ids up to this number are sent along as a broadcast, 8 bytes each.
 BROADCAST_IDS = 2_000_000
@@ -196,9 +199,25 @@ class _Members:
         return self.who[a], self.who[b], self.label[a], self.label[b], apart[keep]
 
 
+def forest(label_a: np.ndarray, label_b: np.ndarray) -> np.ndarray:
+    """Of links between labels, the best first, the rows of those that tie together all that
+    the links tie together, with no link to spare."""
+    chosen, left = [np.zeros(0, dtype=np.int64)], np.flatnonzero(label_a != label_b)
+    x, y = label_a[left], label_b[left]
+    while len(left):
+        # The best link of each label; as the order is strict, they close no ring.
+        best = np.unique(np.unique(np.stack((x, y), axis=1).reshape(-1), return_index=True)[1] // 2)
+        chosen.append(left[best])
+        nodes, least = least_labels(x[best], y[best])
+        x, y = (least[np.searchsorted(nodes, z)] for z in (x, y))
+        two = x != y
+        left, x, y = left[two], x[two], y[two]
+    return np.sort(np.concatenate(chosen))
+
+
 class _Pairs:
     """Candidates of a task, as columns GIVEN; what several of its lists have in common
-    leaves it once. With nearest, only the best for each a and foreign label does."""
+    leaves it once. With nearest, only the best that tie its labels together do."""
 
     def __init__(self, nearest: bool):
         self.nearest = nearest
@@ -216,11 +235,16 @@ class _Pairs:
 
     def _once(self) -> tuple[np.ndarray, ...]:
         a, b, label_a, label_b, apart = (np.concatenate(x) for x in zip(*self.parts))
-        group = label_b if self.nearest else b
-        order = np.lexsort((b, apart, group, a))
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = (a[order][1:] != a[order][:-1]) | (group[order][1:] != group[order][:-1])
-        return tuple(x[order[first]] for x in (a, b, label_a, label_b, apart))
+        if self.nearest:
+            # Equally near ones in any order, lest all of them tie to one set.
+            order = np.lexsort((mix(a.view(np.uint64) * MULTIPLIER + b.view(np.uint64)), apart))
+            kept = order[forest(label_a[order], label_b[order])]
+        else:
+            order = np.lexsort((b, a))
+            first = np.ones(len(order), dtype=bool)
+            first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+            kept = order[first]
+        return tuple(x[kept] for x in (a, b, label_a, label_b, apart))
 
     def all(self) -> Iterator[pa.RecordBatch]:
         if self.size:
@@ -231,8 +255,8 @@ class _Pairs:
 
 def _candidates(open_lists: DataFrame, signatures_of: Callable[[DataFrame], DataFrame], percent: int, nearest: bool, block: int) -> DataFrame:
     """Pairs (a, b) of different components that sizes and signatures do not rule out, with
-    their labels; with nearest, only the best for each a and foreign label. No two components
-    that have such a pair are missing."""
+    their labels; with nearest, only the best that tie the components of a task together, so
+    that every two components that have such a pair are on a path of these."""
     marks = signatures_of(open_lists.select("id").distinct()).select("id", "signature")
     placed = _placed(open_lists, block).join(marks, "id")
 
@@ -379,7 +403,7 @@ def settle(
             break
     (still, entries), nearest = cut_counted(_open(named)), True
     while entries:
-        pairs, given = cut_counted(_candidates(still, signatures_of, percent, nearest, block))
+        pairs = cut_small(_candidates(still, signatures_of, percent, nearest, block))
         likely, joined, most = thinned(pairs), 0, 1
         while True:
             # The nearest of a set first; what it links with takes others along. Then the
@@ -392,7 +416,7 @@ def settle(
         if not nearest:
             break
         # Only components that had a candidate and are still two can have another.
-        apart = _now(pairs.select("label_a", "label_b").distinct(), labels).where("label_a <> label_b")
+        apart, left = cut_counted(_now(pairs.select("label_a", "label_b").distinct(), labels).where("label_a <> label_b"))
         active, many = cut_counted(apart.select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct())
-        (still, entries), nearest = cut_counted(_open(by_ids(named, active, "label", many))), joined * LINKING > given
+        (still, entries), nearest = cut_counted(_open(by_ids(named, active, "label", many))), joined * LINKING > left
     return labels

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from plain_words import words
 
-from opquality.llm.components import components
+from opquality.llm.components import components, least_labels
 from opquality.llm.jaccard_join import _shared_lists, boundary, jaccard_components, one_per_component, prefix
+from opquality.llm.settle import forest
 
 
 def expected(rows):
@@ -118,3 +119,16 @@ def test_keys_of_the_same_sets_are_one_list(spark):
     for r in lists:
         by_list.setdefault(r.key, []).append((r.id, r.n, r.times))
     assert sorted(sorted(x) for x in by_list.values()) == [[(5, 50, 1), (6, 60, 1), (7, 70, 1)], [(5, 50, 300), (6, 60, 300)]]
+
+
+def test_a_forest_ties_what_all_links_tie():
+    rng = np.random.default_rng(2)
+    for nodes, links in ((2, 1), (40, 30), (40, 400), (300, 20_000)):
+        a, b = rng.integers(0, nodes, (2, links)) * 7 - 3
+        kept = forest(a, b)
+        two = a != b
+        every, of_all = least_labels(a[two], b[two])
+        some, of_kept = least_labels(a[kept], b[kept])
+        assert np.array_equal(every, some) and np.array_equal(of_all, of_kept)
+        assert len(kept) == len(every) - len(np.unique(of_all))
+    assert forest(np.array([1, 1, 2]), np.array([2, 3, 3])).tolist() == [0, 1]
