@@ -36,6 +36,8 @@ from opquality.llm.wordhash import mix, range_hashes, raw_bytes
 LENGTH = 100
 GRAM = 24
 SCAN_BYTES = 1 << 20
+# Samples are looked for in so many bytes at a time, which take some 100 bytes each meanwhile.
+SAMPLE_BYTES = 1 << 18
 # Samples are sorted, and copies among them found, within so many bytes of text.
 SORT_BYTES = 16 << 20
 ENTRIES_A_BUCKET = 1 << 19
@@ -148,7 +150,7 @@ def _rank_samples(docs: DataFrame, buckets: int, length: int, gram: int, many: i
         for batch in (whole.slice(a, b - a) for whole in batches for a, b in blocks(pc.binary_length(whole.column(2)).to_numpy(), SORT_BYTES)):
             ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = [[] for _ in range(6)]
-            for a, b in blocks(pc.binary_length(batch.column(2)).to_numpy(), SCAN_BYTES):
+            for a, b in blocks(pc.binary_length(batch.column(2)).to_numpy(), SAMPLE_BYTES):
                 data, text_at = raw_bytes(batch.column(2).slice(a, b - a))
                 text, lo, hi, value, around = samples(data, text_at, length, gram)
                 for x, y in zip(found, (value, around, ids[a + text], versions[a + text], (lo - text_at[text]).astype(np.int32), (hi - lo).astype(np.uint16))):

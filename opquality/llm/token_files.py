@@ -28,6 +28,8 @@ NO_ID = -(1 << 63)
 VALUES_A_FILE = 4 << 20
 CONTROLS_A_STEP = 1 << 16
 TEXTS_A_CALL = 8
+# The library encodes a word at more cost, so each is encoded once in more bytes of text.
+SHARED_BYTES = 16 << 20
 
 # For each control byte: the bytes of its four values, and for each of the sixteen
 # bytes of four decoded values its place in the data and whether it is there.
@@ -155,7 +157,7 @@ def write_token_files(
 
         for batch in batches:
             own = batch.column(0).to_pylist()
-            for lo, hi, ids, at in encode_texts(batch.column(1), tokens.encode, tokens.lengths, tokens.cache):
+            for lo, hi, ids, at in encode_texts(batch.column(1), tokens.encode, tokens.lengths, tokens.cache, SHARED_BYTES):
                 doc_ids += own[lo:hi]
                 counts += (np.diff(at) + 1).tolist()
                 held.append(np.insert(ids, at[1:], end_id))

@@ -19,7 +19,8 @@ WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 IRREGULAR = f" {WHITE}|{WHITE} "
 JOINED = 2048
 # Words are made distinct within so many bytes of text; ids are handed out by smaller blocks.
-SHARED_BYTES = 16 << 20
+# A worker holds some 50 times as much beside its vocabulary while it encodes words that are new to it.
+SHARED_BYTES = 2 << 20
 BLOCK_BYTES = 2 << 20
 CACHED_WORDS = 1 << 18
 
@@ -82,11 +83,12 @@ def blocks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def encode_texts(texts: pa.StringArray, encode: Callable[[list[str]], Encoded], token_bytes: np.ndarray, cache: Cache | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encode_texts(texts: pa.StringArray, encode: Callable[[list[str]], Encoded], token_bytes: np.ndarray, cache: Cache | None = None, shared: int = SHARED_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For one slice of the texts after the other: its first and last row, the ids and
-    where each row's ids begin. Nulls count as empty. token_bytes: bytes of each id."""
+    where each row's ids begin. Nulls count as empty. token_bytes: bytes of each id;
+    shared: words are made distinct within so many bytes of text."""
     texts = pc.fill_null(texts, "")
-    for a, b in blocks(pc.binary_length(texts).to_numpy(), SHARED_BYTES):
+    for a, b in blocks(pc.binary_length(texts).to_numpy(), shared):
         for lo, hi, ids, at in _encode_shared(texts.slice(a, b - a), encode, token_bytes, cache or Cache(0)):
             yield a + lo, a + hi, ids, at
 

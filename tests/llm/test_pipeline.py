@@ -1,11 +1,15 @@
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import test_decontaminate
 import test_fertility
 import test_jaccard_join
 import test_suffix_dedup
 import tiktoken
+from opquality.llm import suffix_dedup
 from opquality.llm.bpe import load_ranks
 from opquality.llm.fertility import BANDS
+from opquality.llm.units import encode_texts
 
 import corpus_pipeline
 
@@ -67,3 +71,24 @@ def test_missing_and_repeated_ids_and_clashing_columns(spark, prose, tmp_path):
             was = before[tuple(r[c] for c in CLASHING)]
             assert (r.doc_id, r.lang, r.source) == (was.doc_id, was.lang, was.source) and r.n_chars == len(r.text)
             assert r.text == was.text or name == "suffix_dedup"
+
+
+def test_a_worker_holds_the_words_and_samples_of_a_small_part_of_a_batch(monkeypatch):
+    texts = pa.array([" ".join(f"{n}x{k}" for k in range(25_000)) for n in range(40)])
+    words, scanned, tasks = [], [], []
+
+    def encode(pieces):
+        words.append(sum(map(len, pieces)))
+        data = b"".join(p.encode() for p in pieces)
+        return np.frombuffer(data, dtype=np.uint8).astype(np.int64), np.cumsum([0, *map(len, pieces)])
+
+    assert sum(len(ids) for _, _, ids, _ in encode_texts(texts, encode, np.ones(256, dtype=np.int64))) == sum(map(len, texts.to_pylist()))
+    assert max(words) < 4 << 20
+    monkeypatch.setattr(suffix_dedup, "map_arrow", lambda docs, function, ddl: tasks.append(function))
+    monkeypatch.setattr(suffix_dedup, "per_bucket", lambda *_: None)
+    whole = suffix_dedup.samples
+    monkeypatch.setattr(suffix_dedup, "samples", lambda data, *rest: scanned.append(len(data)) or whole(data, *rest))
+    suffix_dedup._rank_samples(None, 64, 100, 24, 128, 4096)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([0] * 40), texts], names=["doc", "version", "text"])
+    assert list(tasks[0](iter([batch])))
+    assert max(scanned) < 1 << 19
