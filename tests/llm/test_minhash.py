@@ -144,3 +144,21 @@ def test_tasks_give_a_candidate_once_and_not_once_a_list(spark, monkeypatch):
     for block in (4096, 16):
         assert settle(lists, same, lambda pairs: pairs.where("false"), 75, block=block).isEmpty()
     assert made and max(made) <= 16 * 40 * 39 // 2
+
+
+def test_a_group_that_its_hub_does_not_tie_gives_few_candidates(spark):
+    """All sets of a list link but with its hub; a round gives fewer candidates than sets,
+    not every pair of them."""
+    lists = spark.createDataFrame([(k, p, 10) for k in range(3) for p in range(300)], "key long, id long, n int")
+    given = []
+
+    def thin(pairs):
+        given.append(pairs.count())
+        return pairs
+
+    same = lambda ids: ids.selectExpr("id", "10 AS n", "array(0L, 0L) AS signature")
+    for block in (4096, 64):
+        labels = {r.node: r.label for r in settle(lists, same, lambda pairs: pairs.where("b > 0"), 75, block=block, thin=thin).collect()}
+        assert labels == {p: 1 for p in range(1, 300)}
+    # Each of up to 25 squares of a list ties its own sets.
+    assert sum(given) < 25 * 300
